@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectio.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from lectio.llm.simhash import op2_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
