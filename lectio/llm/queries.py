@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectio.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from lectio.llm.packing import op4_packing
+from lectio.llm.pieces import op9_sentencepiece
 from lectio.llm.simhash import op2_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_packing": op4_packing,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
