@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectio.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from lectio.llm.license_scan import op3_license_scan
 from lectio.llm.packing import op4_packing
 from lectio.llm.pieces import op9_sentencepiece
+from lectio.llm.quality_rules import op6_quality_rules
 from lectio.llm.simhash import op2_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_packing": op4_packing,
+    "op6_quality_rules": op6_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
 }
