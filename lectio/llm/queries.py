@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectio.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from lectio.llm.hilbert_shards import op7_hilbert_sharding
 from lectio.llm.license_scan import op3_license_scan
 from lectio.llm.packing import op4_packing
 from lectio.llm.pieces import op9_sentencepiece
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_packing": op4_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_hilbert_sharding": op7_hilbert_sharding,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
 }
