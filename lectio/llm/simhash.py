@@ -8,10 +8,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectio.llm.common import documents, texts, written
+from lectio.llm.common import documents, small_or_shuffled, texts, written
 from lectio.llm.components import connected_components
 
 SEED = 42
@@ -230,9 +230,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents of ``docs``, all columns, less all but the smallest doc_id of each component."""
-    groups = near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("dropped")).distinct()
-    return docs.join(groups, F.col("doc_id").eqNullSafe(F.col("dropped")), "left_anti")
+    """The documents of ``docs``, all columns, less all but the smallest doc_id of each component.
+
+    Rows that repeat a doc_id and a text are copies: one stays. Rows of one doc_id with different texts
+    stay or go together, as do those without a doc_id.
+    """
+    near = written(near_duplicates(docs), "simhash-near")
+    counted = near.groupBy("doc_id", "component_id").agg(F.count("*").alias("n"))
+    gone = written(counted.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("other")).distinct(), "simhash-gone")
+    again = written(counted.where("n > 1").select(F.col("doc_id").alias("other")).distinct(), "simhash-again")
+    same = F.col("doc_id").eqNullSafe(F.col("other"))
+    kept = docs.join(small_or_shuffled(gone), same, "left_anti")
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(small_or_shuffled(again), same, "left_semi").withColumn("_h", F.xxhash64("text"))
+    first = F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("_h"))
+    once = repeated.withColumn("_n", first).where("_n = 1").select(*docs.columns)
+    return kept.join(small_or_shuffled(again), same, "left_anti").unionByName(once)
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
