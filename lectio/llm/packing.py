@@ -18,8 +18,8 @@ OPEN_WINDOWS = 64
 #: An emitted window with a larger gap is filled by cutting the document at hand.
 GAP = 8
 END_ID = 1
-#: Distinct words whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 300_000
+#: Distinct chunks in a generation of those whose ids a worker remembers.
+REMEMBERED = 400_000
 #: Leftover windows of so many partitions are merged by one task: FAN_IN * LENGTH ids at most.
 FAN_IN = 256
 
@@ -34,28 +34,76 @@ class WordTokenizer:
 
     Its words never reach across ASCII white space (normaliser and splitter treat what stands between
     independently), so a text's ids are those of its white-space separated chunks in order, and a
-    chunk seen before needs no second look. Chunks new in a batch are encoded in one call.
+    chunk seen before needs no second look. Letters followed by points and commas are two words; new
+    words of letters alone are encoded many in one string and told apart by the marks of word ends,
+    all others one by one. Two generations of chunks are remembered; the older is dropped when the
+    younger is full.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, values: list[bytes]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
         chunks = [x.split() for x in values]  # bytes.split: the six ASCII white-space characters
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self.older, self.known = self.known, {}
         known = self.known
-        new = list({c for words in chunks for c in words if c not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            encoded = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
+        self._learn({c for words in chunks for c in words if c not in known})
         return [b"".join([known[c] for c in words]) for words in chunks]
 
+    def _learn(self, new: set[bytes]) -> None:
+        known, older = self.known, self.older
+        parts, letters, others = [], set(), set()
+        for c in new:
+            if c in older:
+                known[c] = older[c]
+                continue
+            core = c.rstrip(b".,")
+            tail = c[len(core) :]
+            if core.isalpha():  # ASCII letters: their case is of no account to the tokenizer
+                core = core.lower()
+            elif core.isascii() or not core.decode().isalpha():
+                core, tail = c, b""
+            parts.append((c, core, tail))
+            for x in (core, tail):
+                if x and x not in known:
+                    if x in older:
+                        known[x] = older[x]
+                    else:
+                        (letters if x is core and x.decode().isalpha() else others).add(x)
+        self._encode_letters(sorted(letters), others)
+        self._encode_each(list(others))
+        for c, core, tail in parts:
+            known[c] = known[core] + known[tail] if tail and core else known[core or tail]
+
+    def _encode_letters(self, words: list[bytes], others: set[bytes]) -> None:
+        """Many words in one string; where there are more word ends than words, they are left to the others."""
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                others.update(group)
+                continue
+            data, at = ids.tobytes(), 0
+            for word, end in zip(group, (4 * ends).tolist(), strict=True):
+                self.known[word] = data[at:end]
+                at = end
+
+    def _encode_each(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            encoded = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
+            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
+
 
 _tokenizers: dict[str, WordTokenizer] = {}
 

@@ -16,7 +16,7 @@ from lectio.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WHOLE = Tokenizer.from_file(PATH)
-texts = st.lists(st.sampled_from(["The", "it's", " ", "\n", "\t", " ", "　", "é", "́", "ΑΣ", "<|endoftext|>", "<|startoftext|>", "don't", "99", "!?", "\x1c", "\x85", "İ", "🙂"]) | st.text(max_size=5), max_size=12).map("".join)
+texts = st.lists(st.sampled_from(["The", "it's", " ", "\n", "\t", " ", "　", "é", "́", "ΑΣ", "<|endoftext|>", "<|startoftext|>", "don't", "word.", "WORD,", "été...", "a.b", "ẖ", "ẖ", "99", "!?", "\x1c", "\x85", "İ", "🙂"]) | st.text(max_size=5), max_size=12).map("".join)
 
 
 @settings(deadline=None, max_examples=300)
