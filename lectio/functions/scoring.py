@@ -178,7 +178,7 @@ def deixis_score(c, premise, window: int = 6, cap: int = 60) -> Column:
     marked = F.regexp_replace(clean, f"(?iU)({POINTING_WORD})", f"$1{mark}")
     rests = F.slice(F.split(marked, mark), 2, 1 << 30)
     n = F.size(rests)
-    suffix = F.transform(rests, lambda x, i: F.array_join(F.slice(rests, i + 1, n), " " + " "))
+    suffix = F.transform(rests, lambda x, i: F.array_join(F.slice(rests, i + 1, n), ""))
     resolved = F.size(F.filter(suffix, lambda x: F.exists(tx.content_terms(tx.following_terms(x, window), window), lambda t: F.contains(lower, F.lower(t)))))
     acts = F.exists(F.array(*map(F.lit, POINTING_ACT)), lambda p: F.contains(F.lower(clean), p))
     plain = (clean == "") | (n == 0) | (F.size(tx.content_terms(lower, cap)) == 0)

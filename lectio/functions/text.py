@@ -105,17 +105,21 @@ def slide_premise(slide_text, on_screen) -> Column:
     return strip_sentinels(F.concat_ws(" ", part(slide_text), part(on_screen)))
 
 
-def _first_by_lower(terms: Column) -> Column:
-    """Distinct terms without regard to case, the first spelling of each, in order."""
-    lowered = F.transform(terms, F.lower)
-    return F.filter(terms, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+def _first_by_lower(terms: Column, cap: int) -> Column:
+    """The first ``cap`` distinct terms without regard to case, the first spelling of each, in order.
+
+    One pass with at most ``cap`` terms in hand, so a long text costs no more than its length times the cap.
+    """
+    start = F.struct(F.array().cast("array<string>").alias("lower"), F.array().cast("array<string>").alias("terms"))
+    full = lambda a, x: (F.size(a["lower"]) >= cap) | F.array_contains(a["lower"], F.lower(x))
+    more = lambda a, x: F.struct(F.concat(a["lower"], F.array(F.lower(x))).alias("lower"), F.concat(a["terms"], F.array(x)).alias("terms"))
+    return F.aggregate(terms, start, lambda a, x: F.when(full(a, x), a).otherwise(more(a, x)), lambda a: a["terms"])
 
 
 def content_terms(c, cap: int = 30) -> Column:
     """S-06, K-08: distinct terms in order of first appearance, stop terms left out, at most ``cap``."""
     found = F.regexp_extract_all(strip_sentinels(c), F.lit(TERM), F.lit(0))
-    kept = F.filter(found, lambda x: ~F.lower(x).isin(list(STOP_TERMS)))
-    return F.slice(_first_by_lower(kept), 1, cap)
+    return _first_by_lower(F.filter(found, lambda x: ~F.lower(x).isin(list(STOP_TERMS))), cap)
 
 
 def following_terms(c, limit: int) -> Column:
@@ -155,7 +159,7 @@ def normalise(c) -> Column:
 def quote_is_grounded(quote, source) -> Column:
     """S-12: the quote stands in the source; around an ellipsis, its pieces stand there in order."""
     q, s = normalise(quote), normalise(source)
-    pieces = F.filter(F.transform(F.split(q, r"…|\.\.\."), F.trim), lambda x: x != "")
+    pieces = F.filter(F.transform(F.split(q, r"…|\.\.\."), lambda x: F.trim(x)), lambda x: x != "")
     end = F.aggregate(pieces, F.lit(1), lambda at, x: F.when((at > 0) & (_position(x, s, at) > 0), _position(x, s, at) + F.length(x)).otherwise(F.lit(-1)))
     return (F.size(pieces) > 0) & (end > 0)
 

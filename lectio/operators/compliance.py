@@ -47,7 +47,7 @@ MECHANICAL = {"style": "style_properties", "terminology": "terminology_grounding
 def rule_table(spark: SparkSession) -> DataFrame:
     """SRC-19: rule, number, types, when_described, when_silent, route, checks; a table of fixed size."""
     raw = spark.createDataFrame(list(RULES), "rule string, number int, types string, when_described boolean, when_silent boolean, route string, checks string")
-    listed = lambda c, by: F.filter(F.transform(F.split(c, by), F.trim), lambda x: x != "")
+    listed = lambda c, by: F.filter(F.transform(F.split(c, by), lambda x: F.trim(x)), lambda x: x != "")
     return raw.withColumn("types", listed("types", ",")).withColumn("checks", listed("checks", ";"))
 
 
