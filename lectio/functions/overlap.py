@@ -6,6 +6,7 @@ from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ORDER, BETA = 6, 2.0
 
@@ -32,12 +33,12 @@ def chrf_score(hypothesis: str | None, reference: str | None) -> float:
     return (1 + BETA**2) * p * q / (BETA**2 * p + q)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chrf(hypotheses: pd.Series, references: pd.Series) -> pd.Series:
     return pd.Series([chrf_score(h, r) for h, r in zip(hypotheses, references, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def best_chrf(hypotheses: pd.Series, references: pd.Series) -> pd.Series:
     """A-33: the best over an array of references; null if there is none."""
     return pd.Series([max((chrf_score(h, r) for r in rs), default=None) if rs is not None else None for h, rs in zip(hypotheses, references, strict=True)], dtype="float64")

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectio.functions import text as tx
 
@@ -88,13 +89,13 @@ def _largest_json(reply: str | None) -> str | None:
     return best
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def extract_json(replies: pd.Series) -> pd.Series:
     """P-03: the largest parseable JSON document anywhere in a reply, as text; else null."""
     return replies.map(_largest_json)
 
 
-@F.pandas_udf("struct<how:string,ad_text:string>")
+@F.pandas_udf(T.StructType([T.StructField("how", T.StringType()), T.StructField("ad_text", T.StringType())]))
 def salvage(replies: pd.Series) -> pd.DataFrame:
     """P-08: three readings in turn: the whole reply, the largest balanced object, an unclosed text field."""
 

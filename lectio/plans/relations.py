@@ -45,20 +45,20 @@ FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
 
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a time line per user: t in seconds from the start of 2024."""
+    """Events as a time line per user: t in whole seconds from the start of 2024."""
     t = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) / 1e6")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("lecture"), "event_id", "event_type", F.round(t, 3).alias("t"), "value", "props")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("lecture"), "event_id", "event_type", F.floor(t).cast("double").alias("t"), "value", "props")
 
 
-TIMELINE = "timeline AS (SELECT user_id AS lecture, event_id, event_type, round(epoch_us(ts - TIMESTAMP '2024-01-01' + TIMESTAMP '1970-01-01') / 1e6, 3) AS t, value, props FROM events)"
+TIMELINE = "timeline AS (SELECT user_id AS lecture, event_id, event_type, floor(epoch_us(ts - TIMESTAMP '2024-01-01' + TIMESTAMP '1970-01-01') / 1e6)::DOUBLE AS t, value, props FROM events)"
 
 
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error events as silences: they start then and last ``value`` tens of seconds."""
-    return timeline(spark, sf_dir).where("event_type = 'error'").select("lecture", F.col("t").alias("start"), F.round(F.col("t") + F.col("value") * 10, 3).alias("end"))
+    return timeline(spark, sf_dir).where("event_type = 'error'").select("lecture", F.col("t").alias("start"), F.floor(F.col("t") + F.col("value") * 10).cast("double").alias("end"))
 
 
-GAPS = "gaps AS (SELECT lecture, t AS start, round(t + value * 10, 3) AS \"end\" FROM timeline WHERE event_type = 'error')"
+GAPS = "gaps AS (SELECT lecture, t AS start, floor(t + value * 10)::DOUBLE AS \"end\" FROM timeline WHERE event_type = 'error')"
 
 
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:

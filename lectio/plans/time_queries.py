@@ -13,10 +13,10 @@ _BASE = f"{TIMELINE}, {GAPS}, {VIEWS}"
 
 
 def _speech(spark, sf_dir):
-    return timeline(spark, sf_dir).where("event_type = 'click'").select("lecture", F.col("t").alias("start"), F.round(F.col("t") + F.col("value") * 60, 3).alias("end"))
+    return timeline(spark, sf_dir).where("event_type = 'click'").select("lecture", F.col("t").alias("start"), F.floor(F.col("t") + F.col("value") * 60).cast("double").alias("end"))
 
 
-_SPEECH = f"""{TIMELINE}, speech AS (SELECT lecture, t AS start, round(t + value * 60, 3) AS "end" FROM timeline WHERE event_type = 'click'),
+_SPEECH = f"""{TIMELINE}, speech AS (SELECT lecture, t AS start, floor(t + value * 60)::DOUBLE AS "end" FROM timeline WHERE event_type = 'click'),
 line AS (SELECT * FROM speech UNION ALL SELECT DISTINCT lecture, 2600000.0, 2600000.0 FROM speech),
 silence AS (SELECT lecture, round(f, 2) AS start, round(start, 2) AS "end" FROM (SELECT *, coalesce(max("end") OVER (PARTITION BY lecture ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS f FROM line) WHERE start - f >= 0.5)"""
 
@@ -107,9 +107,9 @@ def _frames(spark, sf_dir):
 
 _CONTENT = rf"list_filter(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z\-'']{{2,}}'), lambda x: lower(x))), lambda x: x NOT IN ({', '.join(repr(w) for w in tx.COMMON_WORDS)}))"
 _FRAME_PAIRS = f"""frames AS (SELECT source AS lecture, doc_id::DOUBLE AS time, {_CONTENT} AS words FROM documents WHERE lang = 'en'),
-both AS (SELECT *, lag(words) OVER (PARTITION BY lecture ORDER BY time) AS before FROM frames),
+neighbours AS (SELECT *, lag(words) OVER (PARTITION BY lecture ORDER BY time) AS before FROM frames),
 fp AS (SELECT lecture, time, len(words) + len(before) AS n, CASE WHEN len(list_distinct(list_concat(words, before))) = 0 THEN 1.0 ELSE len(list_intersect(words, before)) / len(list_distinct(list_concat(words, before)))::DOUBLE END AS text_overlap,
-  len(words) - len(list_intersect(words, before)) AS added_words FROM both WHERE before IS NOT NULL),
+  len(words) - len(list_intersect(words, before)) AS added_words FROM neighbours WHERE before IS NOT NULL),
 hits AS (SELECT *, CASE WHEN n > 0 AND text_overlap < 0.55 THEN 'slide_turnover' WHEN added_words >= 3 THEN 'added_words' END AS channel FROM fp)"""
 
 
