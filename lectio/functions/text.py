@@ -108,12 +108,16 @@ def slide_premise(slide_text, on_screen) -> Column:
 def _first_by_lower(terms: Column, cap: int) -> Column:
     """The first ``cap`` distinct terms without regard to case, the first spelling of each, in order.
 
-    One pass with at most ``cap`` terms in hand, so a long text costs no more than its length times the cap.
+    ``terms`` is bound once: the distinct lower-case forms come from one hash pass, and each of at most
+    ``cap`` of them looks up its first place.
     """
-    start = F.struct(F.array().cast("array<string>").alias("lower"), F.array().cast("array<string>").alias("terms"))
-    full = lambda a, x: (F.size(a["lower"]) >= cap) | F.array_contains(a["lower"], F.lower(x))
-    more = lambda a, x: F.struct(F.concat(a["lower"], F.array(F.lower(x))).alias("lower"), F.concat(a["terms"], F.array(x)).alias("terms"))
-    return F.aggregate(terms, start, lambda a, x: F.when(full(a, x), a).otherwise(more(a, x)), lambda a: a["terms"])
+
+    def spelled(both: Column) -> Column:
+        lowered = F.slice(F.array_distinct(both["l"]), 1, cap)
+        return F.transform(lowered, lambda t: F.element_at(both["t"], F.array_position(both["l"], t).cast("int")))
+
+    pair = F.transform(F.array(terms), lambda ts: F.struct(ts.alias("t"), F.transform(ts, lambda x: F.lower(x)).alias("l")))
+    return F.element_at(F.transform(pair, spelled), 1)
 
 
 def content_terms(c, cap: int = 30) -> Column:
