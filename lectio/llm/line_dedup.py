@@ -18,7 +18,7 @@ MIN_SHINGLES = 4
 #: BANDS bands of ROWS minima find a pair of similarity s with probability 1 - (1 - s**3)**8: 0.997 at
 #: 0.8, 0.9999 at 0.9.
 BANDS, ROWS = 8, 3
-#: In a bucket of at most so many lines all are compared, in a larger one each with two of its lines.
+#: In a bucket of at most so many lines all are compared at once, in a larger one stars come first.
 ALL_PAIRS = 16
 
 _seeds = random.Random(20)
@@ -64,11 +64,10 @@ def _keys(lines: DataFrame) -> DataFrame:
     return lines.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line"))
 
 
-def _candidates(signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of keys a < b to verify; no bucket of more than ALL_PAIRS lines gives all its pairs.
+def _members(signed: DataFrame) -> DataFrame:
+    """(band, k1, m, low, top): the lines of each bucket of two or more, with its size, smallest key and most frequent line.
 
-    Buckets are found by an aggregation that keeps one row per bucket and task. A larger bucket's
-    lines are paired with its most frequent line and with its smallest key.
+    Buckets are found by an aggregation that keeps one row per bucket and task.
     """
     exploded = signed.where("bands is not null").select("k1", "n", F.explode("bands").alias("band"))
     buckets = exploded.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low != high")
@@ -77,24 +76,85 @@ def _candidates(signed: DataFrame) -> DataFrame:
     members = written(members, "line-members")
     heads = members.groupBy("band").agg(F.count("*").alias("m"), F.min("k1").alias("low"), F.max(F.struct("n", "k1")).alias("top"))
     heads = written(heads.select("band", "m", "low", F.col("top.k1").alias("top")), "line-heads")
-    dealt = members.join(heads.hint("merge"), "band")
-    stars = dealt.where(f"m > {ALL_PAIRS}").select("k1", F.explode(F.array("low", "top")).alias("other"))
-    lists = dealt.where(f"m <= {ALL_PAIRS}").groupBy("band").agg(F.sort_array(F.collect_list("k1")).alias("ks"))
-    pairs = lists.select(F.explode(F.expr("flatten(transform(ks, (a, i) -> transform(slice(ks, i + 2, size(ks)), b -> struct(a AS k1, b AS other))))")).alias("p")).select("p.*")
-    both = stars.union(pairs).where("k1 != other")
+    return written(members.join(heads.hint("merge"), "band").select("band", "k1", "m", "low", "top"), "line-dealt")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    both = pairs.where("k1 != other")
     return both.select(F.least("k1", "other").alias("a"), F.greatest("k1", "other").alias("b")).distinct()
 
 
-def _verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
-    keys = written(pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct(), "line-keys")
+def _candidates(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys a < b: all of a bucket of at most ALL_PAIRS lines, two stars of a larger one."""
+    stars = members.where(f"m > {ALL_PAIRS}").select("k1", F.explode(F.array("low", "top")).alias("other"))
+    lists = members.where(f"m <= {ALL_PAIRS}").groupBy("band").agg(F.sort_array(F.collect_list("k1")).alias("ks"))
+    pairs = lists.select(F.explode(F.expr("flatten(transform(ks, (a, i) -> transform(slice(ks, i + 2, size(ks)), b -> struct(a AS k1, b AS other))))")).alias("p")).select("p.*")
+    return _ordered(stars.union(pairs))
+
+
+def _finer_stars(signed: DataFrame, large: DataFrame) -> DataFrame:
+    """Pairs of lines of large buckets that share two bands, as stars around the smallest key of each two bands."""
+    keys = written(large.select("k1").distinct(), "line-large-keys")
+    bands = signed.join(small_or_shuffled(keys), "k1", "left_semi")
+    two = F.expr(f"flatten(transform(sequence(0, {BANDS - 2}), i -> transform(sequence(i + 1, {BANDS - 1}), j -> xxhash64(i, j, bands[i], bands[j]))))")
+    dealt = written(bands.select("k1", F.explode(two).alias("cell")), "line-cells")
+    least = written(dealt.groupBy("cell").agg(F.min("k1").alias("other"), F.max("k1").alias("high")).where("other != high").drop("high"), "line-cell-heads")
+    return _ordered(dealt.join(least.hint("merge"), "cell"))
+
+
+def _unsettled(large: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of lines in different components, out of large buckets that hold several: none that is similar is left out.
+
+    Of two sets of a similarity of SIMILARITY or more, the rarest shingles (all but SIMILARITY of each,
+    and one) share one, and the sizes differ by no more than that factor.
+    """
+    named = written(large.join(parts.withColumnRenamed("node", "k1"), "k1", "left").select("band", "k1", F.coalesce("component", "k1").alias("part")), "line-named")
+    several = written(named.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("band"), "line-several")
+    mixed = written(named.join(small_or_shuffled(several), "band", "left_semi").select("k1", "part").distinct(), "line-mixed")
+    held = written(sets.join(small_or_shuffled(mixed), "k1").select("k1", "part", F.size("s").alias("z"), F.explode("s").alias("x")), "line-held")
+    often = written(held.groupBy("x").agg(F.count("*").alias("f")), "line-often")
+    ranked = held.join(often.hint("merge"), "x").groupBy("k1", "part", "z").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("xs"))
+    first = ranked.select("k1", "part", "z", F.explode(F.expr(f"slice(xs, 1, z - cast(ceil({SIMILARITY} * z - 1e-6) as int) + 1)")).alias("e"))
+    first = written(first.select("k1", "part", "z", F.col("e.x").alias("x")), "line-rarest")
+    other = first.select(F.col("k1").alias("other"), F.col("part").alias("part2"), F.col("z").alias("z2"), "x")
+    close = (F.col("k1") < F.col("other")) & (F.col("part") != F.col("part2")) & (F.least("z", "z2") + 1e-6 >= SIMILARITY * F.greatest("z", "z2"))
+    return _ordered(first.join(other.hint("merge"), "x").where(close).select("k1", "other"))
+
+
+def _sets(lines: DataFrame, members: DataFrame) -> DataFrame:
+    """(k1, s): the shingle set of each line of a bucket."""
+    keys = written(members.select("k1").distinct(), "line-keys")
     sought = lines.join(small_or_shuffled(keys), "k1", "left_semi").distinct()
-    sets = written(sought.select("k1", F.expr(f"array_distinct({shingles('line')})").alias("s")), "line-sets")
+    return written(sought.select("k1", F.expr(f"array_distinct({shingles('line')})").alias("s")), "line-sets")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
     left = pairs.join(sets.withColumnsRenamed({"k1": "a", "s": "sa"}), "a")
     both = left.join(sets.withColumnsRenamed({"k1": "b", "s": "sb"}), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return both.where(f"common >= {SIMILARITY} * (size(sa) + size(sb) - common)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _similar_parts(lines: DataFrame, signed: DataFrame) -> DataFrame:
+    """(node, component) of the lines that resemble another: no similar pair of a bucket is left out.
+
+    Stars join most of a large bucket's lines at a linear cost; pairs across the components that then
+    remain in it are all compared.
+    """
+    members = _members(signed)
+    sets = _sets(lines, members)
+    edges = written(_verified(sets, written(_candidates(members), "line-pairs")), "line-similar")
+    large = members.where(f"m > {ALL_PAIRS}").select("band", "k1")
+    if large.isEmpty():
+        return written(connected_components(edges), "line-parts")
+    edges = written(edges.union(_verified(sets, written(_finer_stars(signed, large), "line-pairs"))), "line-similar")
+    parts = written(connected_components(edges), "line-parts")
+    more = written(_verified(sets, written(_unsettled(large, parts, sets), "line-pairs")), "line-similar")
+    if more.isEmpty():
+        return parts
+    return written(connected_components(edges.union(more)), "line-parts")
+
+
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(r1, r2, drop): for each row that loses lines, their positions.
 
@@ -103,8 +163,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     lines = _keys(occurrences(docs))
     signed = written(signatures(lines), "line-signatures")
     often = signed.where("n > 1").select("k1", "k2", "n")
-    edges = _verified(lines.select("k1", "line"), written(_candidates(signed), "line-pairs"))
-    parts = written(connected_components(edges), "line-parts")
+    parts = _similar_parts(lines.select("k1", "line"), signed)
     flagged = parts.select(F.col("node").alias("k1"), "component").union(often.join(parts, often.k1 == parts.node, "left_anti").select("k1", F.lit(None).cast("long")))
     flagged = written(flagged.distinct(), "line-flagged")
     places = lines.drop("line").join(small_or_shuffled(flagged), "k1")

@@ -95,3 +95,19 @@ def test_main_path_is_native(spark):
     docs = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
     plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_large_buckets_lose_no_pair(spark):
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+    rows = []
+    for size, slots, values in ((24, 3, 10), (30, 3, 30), (40, 4, 12)):
+        base, choices = words(size), [words(values) for _ in range(slots)]
+        for _ in range(250):
+            line = list(base)
+            for k, choice in enumerate(choices):
+                line[k * size // slots + 2] = rng.choice(choice)
+            rows.append((len(rows), " ".join(line)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in line_dedup.dedup_lines(docs).collect() if r.n_dropped}
+    assert got == {i for i, _ in slow(rows)}
