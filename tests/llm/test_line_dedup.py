@@ -97,7 +97,12 @@ def test_main_path_is_native(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_large_buckets_lose_no_pair(spark):
+def every_shingle(line):
+    return {line[i : i + line_dedup.SHINGLE] for i in range(max(1, len(line) - line_dedup.SHINGLE + 1))}
+
+
+def test_large_buckets_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setitem(slow.__globals__, "shingle_set", every_shingle)
     rng = random.Random(9)
     words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n)]
     rows = []
@@ -111,3 +116,17 @@ def test_large_buckets_lose_no_pair(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id for r in line_dedup.dedup_lines(docs).collect() if r.n_dropped}
     assert got == {i for i, _ in slow(rows)}
+
+
+def test_shingles_start_at_every_character(spark, monkeypatch):
+    """As ``slow``, with its shingle sets cut at every position."""
+    monkeypatch.setitem(slow.__globals__, "shingle_set", every_shingle)
+    urls = [" ".join(f"https://{site}{k}.example/{k * 977}" for k in range(4)) for site in ("alpha", "beta", "gamma")]
+    pairs = ["abcdefghij klmnopqrst uvwxyz12", "abcdefghij klmnopqrst uvwxyz13", "x" * 9, "x" * 12, "tiny", "tiny", "tine"]
+    long = "".join(random.Random(2).choices("0123456789", k=60))
+    rows = [*enumerate([*urls, *pairs, long, long[:-1] + "x", "Z\u2028" + long]), *((i + 100, t) for i, t in corpus(3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    gone = slow(rows)
+    assert {i for i, _ in gone if i < 100} == {4, 8, 11, 12}
+    assert got == {i: "\n".join(x for pos, x in enumerate(t.split("\n")) if (i, pos) not in gone) for i, t in rows}
