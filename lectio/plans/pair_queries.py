@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectio.functions import scoring, statistics
+from lectio.functions import overlap, scoring, statistics
 from lectio.functions import text as tx
 from lectio.operators import decisions, integrity, joins, sampling
 from lectio.plans.catalogue import query
@@ -313,11 +313,12 @@ def pair_candidates(spark, sf_dir):
 
 @query()
 def build_pairs(spark, sf_dir):
-    """K-01, S-32 over character overlap in thousandths."""
+    """K-01, S-32 over chrF in both directions."""
     c = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "moment_id")
     found = decisions.candidate_pairs(c, "moment_id", "turn", "text", "role")
-    share = F.abs(F.length("a") - F.length("b")) / F.greatest(F.length("a"), F.length("b"), F.lit(1))
-    return decisions.spread_pairs(found.withColumn("distance", 100 * share), "moment_id").select("moment_id", "a_ordinal", "b_ordinal", F.round("distance", 4).alias("distance"))
+    both = found.withColumn("forward", overlap.chrf("a", "b")).withColumn("backward", overlap.chrf("b", "a"))
+    apart = both.withColumn("distance", scoring.distance_between("forward", "backward")).drop("forward", "backward")
+    return decisions.spread_pairs(apart, "moment_id").select("moment_id", "a_ordinal", "b_ordinal", F.round("distance", 4).alias("distance"))
 
 
 @query("""SELECT p_, CASE WHEN NOT ax THEN 'wrong axis' WHEN gap > 3 THEN 'length differs' ELSE '' END AS faults FROM (SELECT a_id AS p_, a_id % 7 <> 0 AS ax, abs(x - y) AS gap FROM (

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
 import duckdb
 import pandas as pd
 import pytest
 
+from lectio.functions.overlap import chrf_score
 from lectio.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -65,3 +68,23 @@ assert len(e.queries()) > 60 and "pipeline" not in e.queries() and "score_system
 """
     root = Path(__file__).resolve().parent.parent
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, env=os.environ | {"PYTHONPATH": str(root)})
+
+
+def test_build_pairs_ranks_by_chrf(spark, tmp_path):
+    texts = ["the derivative is the slope", "green cats sleep all morning", "the derivative is the slope", "the derivative is a slope of the tangent line"]
+    rows = [(m, turn, "ab"[turn % 2], text + " again" * m) for m in (1, 2) for turn, text in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    expected = set()
+    for m in (1, 2):
+        ranked = []
+        for (_, i, v, a), (_, j, w, b) in itertools.combinations([r for r in rows if r[0] == m], 2):
+            distance = 100 - 50 * (chrf_score(a, b) + chrf_score(b, a))
+            ranked += [(v == w, -distance, i, j, a, b)] * (distance >= 12)
+        used, kept = Counter(), 0
+        for _, distance, i, j, a, b in sorted(ranked):
+            if kept < 4 and used[a] < 2 and used[b] < 2:
+                used.update((a, b))
+                kept += 1
+                expected.add((m, i, j, round(-distance, 4)))
+    got = {(r.moment_id, r.a_ordinal, r.b_ordinal, r.distance) for r in catalogue.QUERIES["build_pairs"](spark, str(tmp_path)).collect()}
+    assert got == expected and len(got) > 3
