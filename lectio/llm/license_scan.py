@@ -39,10 +39,30 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 CONTAINMENT = 0.8
-#: A template of fewer distinct words must be contained whole: one word there tells licences apart.
-WHOLE_BELOW = 12
-
-FIELDS = "n_words long, places array<struct<label:string,first:long>>, matches array<struct<label:string,template:int,first:long,n_words:long,containment:double>>"
+#: A template of fewer distinct words must be contained whole: none, see TOLD_BY.
+WHOLE_BELOW = 0
+_NC = frozenset({"nc", "noncommercial", "commercial"})
+_SA = frozenset({"sa", "sharealike", "alike"})
+_ND = frozenset({"nd", "noderivatives", "noderivs", "derivatives", "derivs"})
+_CC = (frozenset({"cc", "creative", "commons"}), frozenset({"attribution", "by"}))
+#: Label: (word groups, words of other licences). A block tells its label if it holds a word of each group
+#: that its template has a word of, and no word of another licence.
+TOLD_BY: dict[str, tuple] = {
+    "agpl": (({"affero"},), ()),
+    "apache": (({"apache"},), ()),
+    "cc-by": (_CC, _NC | _SA | _ND),
+    "cc-by-nc": ((*_CC, _NC), _SA | _ND),
+    "cc-by-nd": ((*_CC, _ND), _NC | _SA),
+    "cc-by-sa": ((*_CC, _SA), _NC | _ND),
+    "epl": (({"eclipse"},), ()),
+    "gpl": (({"gnu", "general"},), {"affero", "lesser"}),
+    "lgpl": (({"lesser"},), ()),
+    "mit": (({"mit"},), ()),
+    "mpl": (({"mozilla"},), ()),
+    "unlicense": (({"unencumbered"},), ()),
+}
+
+FIELDS = "n_words long, places array<struct<label:string,first:long>>, matches array<struct<label:string,template:int,first:long,n_words:long,containment:double,told:boolean>>"
 _NOT_WORD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
@@ -78,16 +98,19 @@ class TemplateIndex:
             wording = wording.encode().split()
             order = sorted(set(wording), key=lambda w: (frequency.get(w, 0), w))
             need = len(order) if len(order) < WHOLE_BELOW else -(-int(round(containment * len(order) * 1000)) // 1000)
-            self.templates.append((label, {w: i for i, w in enumerate(order)}, len(wording), need))
+            groups, others = TOLD_BY.get(label, ((), ()))
+            groups = [g for g in (frozenset(w.encode() for w in g) for g in groups) if not g.isdisjoint(order)]
+            self.templates.append((label, {w: i for i, w in enumerate(order)}, len(wording), need, (groups, frozenset(w.encode() for w in others))))
             for w in order[: len(order) - need + 1]:
                 self.prefix.setdefault(w, []).append(k)
         self.rare = frozenset(self.prefix)
 
-    def matches(self, words: list[bytes]) -> list[tuple[str, int, int, int, float]]:
-        """(label, template, first word, number of words, containment) of each matching stretch.
+    def matches(self, words: list[bytes]) -> list[tuple[str, int, int, int, float, bool]]:
+        """(label, template, first word, number of words, containment, told) of each matching stretch.
 
         A block is any run of as many words as the template has, or the whole text if that is
-        shorter; overlapping blocks that match are one stretch with the best containment.
+        shorter; overlapping blocks that match are one stretch with the best containment. It
+        is told if one of its blocks meets TOLD_BY.
         """
         if self.rare.isdisjoint(words):
             return []
@@ -98,13 +121,13 @@ class TemplateIndex:
                     seeds.setdefault(k, []).append(i)
         found = []
         for k, at in sorted(seeds.items()):
-            label, rank, length, need = self.templates[k]
+            label, rank, length, need, telling = self.templates[k]
             if len(words) >= need:
-                found += [(label, k, first, end - first, best / len(rank)) for first, end, best in self._stretches(words, at, rank, length, need)]
+                found += [(label, k, first, end - first, best / len(rank), told) for first, end, best, told in self._stretches(words, at, rank, length, need, telling)]
         return found
 
     @staticmethod
-    def _stretches(words, at, rank, length, need):
+    def _stretches(words, at, rank, length, need, telling):
         """Slide a block over the words near the seeds, counting the distinct template words inside."""
         last_start = max(0, len(words) - length)
         near: list[list[int]] = []  # ranges of starts whose block holds a seed
@@ -114,7 +137,8 @@ class TemplateIndex:
                 near[-1][1] = max(high, near[-1][1])
             else:
                 near.append([low, high])
-        out: list[list[int]] = []
+        groups, others = telling
+        out: list[list] = []
         for low, high in near:
             inside: Counter = Counter(w for w in words[low : low + length] if w in rank)
             for start in range(low, high + 1):
@@ -129,10 +153,12 @@ class TemplateIndex:
                 if len(inside) < need or len(rank) - min(rank[w] for w in inside) < need:
                     continue
                 end = min(start + length, len(words))
+                block = words[start:end]
+                told = others.isdisjoint(block) and not any(g.isdisjoint(block) for g in groups)
                 if out and start < out[-1][1]:
-                    out[-1][1:] = [end, max(out[-1][2], len(inside))]
+                    out[-1][1:] = [end, max(out[-1][2], len(inside)), told or out[-1][3]]
                 else:
-                    out.append([start, end, len(inside)])
+                    out.append([start, end, len(inside), told])
         return out
 
 
@@ -163,7 +189,7 @@ def scan(docs: DataFrame) -> DataFrame:
     index = TemplateIndex(word_frequency(docs))
     kind = dict(docs.dtypes)["doc_id"]
     place = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64())]))
-    match = pa.list_(pa.struct([("label", pa.string()), ("template", pa.int32()), ("first", pa.int64()), ("n_words", pa.int64()), ("containment", pa.float64())]))
+    match = pa.list_(pa.struct([("label", pa.string()), ("template", pa.int32()), ("first", pa.int64()), ("n_words", pa.int64()), ("containment", pa.float64()), ("told", pa.bool_())]))
 
     def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,14 +198,14 @@ def scan(docs: DataFrame) -> DataFrame:
                 words = words_of(text)
                 sizes.append(len(words))
                 found.append([{"label": a, "first": b} for a, b in places(words)])
-                matched.append([dict(zip(("label", "template", "first", "n_words", "containment"), m, strict=True)) for m in index.matches(words)])
+                matched.append([dict(zip(("label", "template", "first", "n_words", "containment", "told"), m, strict=True)) for m in index.matches(words)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(found, place), pa.array(matched, match)], ["doc_id", "n_words", "places", "matches"])
 
     return texts(docs).mapInArrow(scan_batches, f"doc_id {kind}, {FIELDS}")
 
 
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:
-    found = scan(documents(spark, sf_dir))
+    found = scan(documents(spark, sf_dir)).withColumn("matches", F.filter("matches", lambda m: m["told"]))
     base, more = F.col("places.label"), F.col("matches.label")
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return found.select(

@@ -69,3 +69,24 @@ def test_query(spark, tmp_path):
     got = {r.doc_id: r for r in scan.op3_license_scan(spark, str(tmp_path)).collect()}
     assert (got[1].base_labels, got[1].labels, got[1].first_word, got[1].last_word, got[1].score) == ("mit", "cc-by-nc,mit", 3, 3, 1.0)
     assert (got[2].n_words, got[2].labels, got[2].first_word, got[2].score) == (0, "", None, 0.0)
+
+
+def test_short_notices_with_a_word_missing(spark, tmp_path):
+    told = {
+        "Licensed under Creative Commons Attribution 4.0 International License": "cc-by",
+        "available under the terms of the Eclipse Public License": "epl",
+        "released under MIT license": "mit",
+        "Licensed under the Apache License, 2.0": "apache",
+        "Licensed under a Creative Commons Attribution-ShareAlike International License": "cc-by-sa",
+        "Licensed under a Creative Commons Attribution Non-Commercial 4.0 International License": "cc-by-nc",
+        "Licensed under CC BY-ND 4.0": "cc-by-nd",
+        "Licensed under CC BY-NC-SA 4.0": "",
+        "made available under the terms of the Foo Public License": "",
+        "this is free software released into the public domain": "",
+        "released under the same license": "",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation": "gpl",
+    }
+    spark.createDataFrame(list(enumerate(told)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in scan.op3_license_scan(spark, str(tmp_path)).collect()}
+    assert {text: got[i].labels for i, text in enumerate(told)} == told
+    assert abs(got[0].score - 0.9) < 1e-9 and abs(got[1].score - 8 / 9) < 1e-9 and got[8].score == 0
