@@ -170,9 +170,11 @@ def cursor_probe(spark, sf_dir):
 
 @query()
 def keyframe_times(spark, sf_dir):
-    """W-08: the scene times of each user's first errors."""
-    scenes = gaps(spark, sf_dir).where("start < 20000").groupBy("lecture").agg(F.sort_array(F.collect_list("start")).alias("scenes"))
-    return scenes.select("lecture", F.array_join(F.transform(sequence.keyframe_times(F.lit(20000.0), F.col("scenes"), 3000.0, 500.0), lambda x: x.cast("string")), ",").alias("times"))
+    """W-08: the scene times of each user's errors, up to the second of the user's last event."""
+    events = timeline(spark, sf_dir)
+    scene = F.when(F.col("event_type") == "error", F.col("t"))
+    scenes = events.groupBy("lecture").agg((F.max("t") + 1).alias("duration"), F.sort_array(F.collect_list(scene)).alias("scenes"))
+    return scenes.select("lecture", F.array_join(F.transform(sequence.keyframe_times(F.col("duration"), F.col("scenes"), 3000.0, 500.0), lambda x: x.cast("string")), ",").alias("times"))
 
 
 @query()

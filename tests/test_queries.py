@@ -88,3 +88,16 @@ def test_build_pairs_ranks_by_chrf(spark, tmp_path):
                 expected.add((m, i, j, round(-distance, 4)))
     got = {(r.moment_id, r.a_ordinal, r.b_ordinal, r.distance) for r in catalogue.QUERIES["build_pairs"](spark, str(tmp_path)).collect()}
     assert got == expected and len(got) > 3
+
+
+def test_keyframe_times_take_every_user_and_error(spark, tables):
+    got = {r.lecture: [float(x) for x in r.times.split(",")] for r in catalogue.QUERIES["keyframe_times"](spark, DATA).collect()}
+    line = "epoch_us(ts - TIMESTAMP '2024-01-01' + TIMESTAMP '1970-01-01') // 1000000"
+    expected = {}
+    for user, scenes, last in tables.execute(f"SELECT user_id, list({line}) FILTER (event_type = 'error'), max({line}) FROM events GROUP BY 1").fetchall():
+        kept = []
+        for x in sorted({*(scenes or []), *range(0, int(last) + 1, 3000)}):
+            if not kept or x - kept[-1] >= 500:
+                kept.append(x)
+        expected[user] = kept
+    assert got == expected
