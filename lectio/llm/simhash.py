@@ -230,23 +230,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents of ``docs``, all columns, less all but the smallest doc_id of each component.
+    """The rows of ``docs``, all columns, less all but one of each component.
 
-    Rows that repeat a doc_id and a text are copies: one stays. Rows of one doc_id with different texts
-    stay or go together, as do those without a doc_id.
+    Rows are told apart by doc_id and text; of a component the one with the smallest doc_id stays, one
+    without a doc_id only if no other has one. Rows that repeat a doc_id and a text are copies: one stays.
     """
-    near = written(near_duplicates(docs), "simhash-near")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    near = written(near_duplicates(docs.select(key.alias("doc_id"), "text")), "simhash-near")
     counted = near.groupBy("doc_id", "component_id").agg(F.count("*").alias("n"))
     gone = written(counted.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("other")).distinct(), "simhash-gone")
     again = written(counted.where("n > 1").select(F.col("doc_id").alias("other")).distinct(), "simhash-again")
-    same = F.col("doc_id").eqNullSafe(F.col("other"))
-    kept = docs.join(small_or_shuffled(gone), same, "left_anti")
+    same = F.col("_key").eqNullSafe(F.col("other"))
+    kept = docs.withColumn("_key", key).join(small_or_shuffled(gone), same, "left_anti")
     if again.isEmpty():
-        return kept
-    repeated = kept.join(small_or_shuffled(again), same, "left_semi").withColumn("_h", F.xxhash64("text"))
-    first = F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("_h"))
+        return kept.select(*docs.columns)
+    repeated = kept.join(small_or_shuffled(again), same, "left_semi")
+    first = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
     once = repeated.withColumn("_n", first).where("_n = 1").select(*docs.columns)
-    return kept.join(small_or_shuffled(again), same, "left_anti").unionByName(once)
+    return kept.join(small_or_shuffled(again), same, "left_anti").select(*docs.columns).unionByName(once)
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

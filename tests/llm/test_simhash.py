@@ -91,3 +91,12 @@ def test_documents(spark):
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {expected[i] for i in prints} | {None}
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_keep_one_drops_rows_not_ids(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(900)) for _ in range(200)) for _ in range(4))
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (7, a), (7, d), (7, d), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str)
+    assert got == sorted([(1, a), (None, b), (None, c), (7, d), (9, None)], key=str)
