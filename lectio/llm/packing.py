@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectio.llm import merges
 from lectio.llm.common import documents, texts, written
 
 LENGTH = 2048
@@ -18,8 +22,8 @@ OPEN_WINDOWS = 64
 #: An emitted window with a larger gap is filled by cutting the document at hand.
 GAP = 8
 END_ID = 1
-#: Distinct chunks in a generation of those whose ids a worker remembers.
-REMEMBERED = 400_000
+#: The six ASCII white-space characters become a space.
+SPACES = bytes(0x20 if b in b"\t\n\x0b\x0c\r" else b for b in range(256))
 #: Leftover windows of so many partitions are merged by one task: FAN_IN * LENGTH ids at most.
 FAN_IN = 256
 
@@ -29,80 +33,121 @@ PIECES = "doc_id {kind}, start long, length long, ids binary, doc_tokens long, s
 # ---------------------------------------------------------------- tokens
 
 
+class Letters:
+    """What the tokenizer does with single characters, as tables over code points below LIMIT.
+
+    kind: letter, digit, other, or UNSURE where normalisation, case or the age of the character is
+    not plain; lower: the lower-case character. A word with an UNSURE character goes to the library.
+    """
+
+    UNSURE, LETTER, DIGIT, OTHER = range(4)
+    LIMIT = 0xD800
+
+    def __init__(self):
+        old = unicodedata.ucd_3_2_0
+        self.kind = np.zeros(self.LIMIT, np.uint8)
+        self.lower = np.arange(self.LIMIT, dtype=np.uint32)
+        for point in range(0x21, self.LIMIT):
+            c = chr(point)
+            category, low = old.category(c), c.lower()
+            settled = category == unicodedata.category(c) and category not in ("Cn", "Cc", "Zs", "Zl", "Zp") and not c.isspace()
+            if settled and len(low) == 1 and not unicodedata.combining(c) and c not in "'Σσς" and not 0x1100 <= point < 0x1200:
+                if unicodedata.is_normalized("NFC", c) and category[0] != "M":
+                    self.kind[point] = self.LETTER if category[0] == "L" else self.DIGIT if category[0] == "N" else self.OTHER
+                    self.lower[point] = ord(low)
+
+
 class WordTokenizer:
     """Ids of a tokenizer that drops white space, found word by word.
 
     Its words never reach across ASCII white space (normaliser and splitter treat what stands between
-    independently), so a text's ids are those of its white-space separated chunks in order, and a
-    chunk seen before needs no second look. Letters followed by points and commas are two words; new
-    words of letters alone are encoded many in one string and told apart by the marks of word ends,
-    all others one by one. Two generations of chunks are remembered; the older is dropped when the
-    younger is full.
+    independently), so a text's ids are those of its white-space separated chunks in order. The
+    distinct chunks of a slice of texts are found once; runs of letters, single digits and runs of
+    other characters are merged by :func:`merges.merge`, chunks with anything else by the library.
+    Nothing is kept from one slice to the next.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        model = json.loads(self.tokenizer.to_str())["model"]
+        vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
+        pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
+        made = np.array([vocabulary[a + b] for a, b in pairs], np.int32)
+        left, right = (np.array([vocabulary[p[k]] for p in pairs], np.int64) for k in (0, 1))
+        self.pairs = merges.PairTable(left, right, np.arange(len(pairs), dtype=np.int32), made)
+        plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+        names = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+        self.first = np.array([vocabulary[names[b]] for b in range(256)], np.int32)
+        self.last = np.array([vocabulary[names[b] + suffix] for b in range(256)], np.int32)
+        self.letters = Letters()
 
     def encode(self, values: list[bytes]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        chunks = [x.split() for x in values]  # bytes.split: the six ASCII white-space characters
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        known = self.known
-        self._learn({c for words in chunks for c in words if c not in known})
-        return [b"".join([known[c] for c in words]) for words in chunks]
-
-    def _learn(self, new: set[bytes]) -> None:
-        known, older = self.known, self.older
-        parts, letters, others = [], set(), set()
-        for c in new:
-            if c in older:
-                known[c] = older[c]
-                continue
-            core = c.rstrip(b".,")
-            tail = c[len(core) :]
-            if core.isalpha():  # ASCII letters: their case is of no account to the tokenizer
-                core = core.lower()
-            elif core.isascii() or not core.decode().isalpha():
-                core, tail = c, b""
-            parts.append((c, core, tail))
-            for x in (core, tail):
-                if x and x not in known:
-                    if x in older:
-                        known[x] = older[x]
-                    else:
-                        (letters if x is core and x.decode().isalpha() else others).add(x)
-        self._encode_letters(sorted(letters), others)
-        self._encode_each(list(others))
-        for c, core, tail in parts:
-            known[c] = known[core] + known[tail] if tail and core else known[core or tail]
-
-    def _encode_letters(self, words: list[bytes], others: set[bytes]) -> None:
-        """Many words in one string; where there are more word ends than words, they are left to the others."""
-        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(group) or ends[-1] != len(ids):
-                others.update(group)
-                continue
-            data, at = ids.tobytes(), 0
-            for word, end in zip(group, (4 * ends).tolist(), strict=True):
-                self.known[word] = data[at:end]
-                at = end
-
-    def _encode_each(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            encoded = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
+        words = [len(x.split(None, 1)) > 0 for x in values]
+        some = [x for x, there in zip(values, words, strict=True) if there]
+        found = iter(self._encode(some) if some else [])
+        return [next(found) if there else b"" for there in words]
+
+    def _encode(self, values: list[bytes]) -> list[bytes]:
+        data = np.frombuffer((b" " + b" ".join(values)).translate(SPACES), np.uint8)
+        begins = np.cumsum([0, *(len(x) + 1 for x in values[:-1])])
+        space = data == 0x20
+        starts = np.flatnonzero(space[:-1] & ~space[1:])
+        edges = np.append(np.searchsorted(starts, begins), len(starts))
+        keep = ~space
+        keep[starts] = True
+        if not keep.all():
+            data = data[keep]
+            starts = np.flatnonzero(data == 0x20)
+        places, chunks, offsets = merges.distinct(data, starts)
+        ids, counts = self._ids(chunks, len(offsets) - 1)
+        flat, at = merges.joined(merges.ragged(ids.astype("<u4"), counts).take(pa.array(places)))
+        cuts = at[edges].tolist()
+        return [bytes(flat[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _ids(self, chunks: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``n`` distinct chunks, each a space and a word, and their number per chunk."""
+        text = chunks.tobytes().decode()
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        small = np.minimum(points, Letters.LIMIT - 1)
+        space = points == 0x20
+        kind = np.where(points < Letters.LIMIT, self.letters.kind[small], Letters.UNSURE)
+        word = np.cumsum(space, dtype=np.int32) - 1
+        unsure = (kind == Letters.UNSURE) & ~space
+        unsure[:-1] |= (points[:-1] == ord("<")) & (points[1:] == ord("|"))  # may begin a special token
+        library = np.zeros(n, bool)
+        library[word[unsure]] = True
+        first = np.ones(len(points), bool)
+        first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == Letters.DIGIT) | space[:-1]
+        width = 1 + (points >= 0x80) + (points >= 0x800)
+        width[space] = 0
+        part = np.cumsum(first & ~space, dtype=np.int32) - 1
+        sizes = np.bincount(part[~space], width[~space])
+        library[word[~space][sizes[part[~space]] > merges.LONGEST]] = True
+        own = ~space & ~library[word]
+        first, owner = first[own], word[own]
+        data = np.frombuffer(self.letters.lower[small[own]].astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
+        ends = np.cumsum(np.select([self.letters.lower[small[own]] < 0x80, self.letters.lower[small[own]] < 0x800], [1, 2], 3))
+        symbols = self.first[data]
+        heads = np.flatnonzero(first)
+        tails = ends[np.append(heads[1:], len(first)) - 1] if len(heads) else heads
+        symbols[tails - 1] = self.last[data[tails - 1]]
+        merged, parts = merges.merge(symbols, np.diff(tails, prepend=0), self.pairs)
+        counts = np.bincount(owner[heads], parts, n).astype(np.int64) if len(heads) else np.zeros(n, np.int64)
+        others = np.flatnonzero(library)
+        if not len(others):
+            return merged, counts
+        edges = np.append(np.flatnonzero(space), len(points))
+        encoded = self.tokenizer.encode_batch_fast([text[edges[k] + 1 : edges[k + 1]] for k in others], add_special_tokens=False)
+        listed = [e.ids for e in encoded]
+        counts[others] = list(map(len, listed))
+        out = np.empty(counts.sum(), np.uint32)
+        foreign = np.repeat(library, counts)
+        out[foreign] = [i for ids in listed for i in ids]
+        out[~foreign] = merged
+        return out, counts
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -223,8 +268,8 @@ def _pack_partition(path: str):
             if packer is None:
                 rows = _Rows(_schema(batch.schema.field(0).type), part << 33)
                 packer = Packer(rows.emit)
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for low, high in merges.slices(pc.binary_length(batch.column(1)).to_pylist()):
+                some = batch.slice(low, high - low)
                 ids = tokenizer.encode(some.column(1).cast(pa.binary()).to_pylist())
                 for doc, x in zip(some.column(0).to_pylist(), ids, strict=True):
                     packer.add((doc, 0, x + end, len(x) // 4 + 1))
