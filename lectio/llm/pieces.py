@@ -6,19 +6,21 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from lectio.llm import merges
 from lectio.llm.common import documents, texts
 
 SPACE = "▁"
 SPACE_BYTES = SPACE.encode()
-#: Distinct chunks whose pieces a worker remembers; the memory is emptied when full.
-REMEMBERED = 200_000
-#: Types of vocabulary entries: fixed values of the model's file format.
-UNKNOWN, CONTROL, BYTE = 2, 3, 6
+#: Types of vocabulary entries, and the kind of model that merges pairs: fixed values of the model's file format.
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+BPE = 2
 
 
 class CharacterMap:
@@ -124,12 +126,24 @@ class Normaliser:
         return out.decode(), np.array([*align, at])
 
 
+class Encoded(NamedTuple):
+    """Per text: little-endian int32 ids, the text that they stand for, bytes of each piece in the marked text."""
+
+    ids: list[np.ndarray]
+    decoded: list[bytes]
+    lengths: list[np.ndarray]
+    decimals: list[bytes]
+
+
 class PieceEncoder:
     """Ids, source spans and the text that ids stand for.
 
-    The model's merges run on normalised text, chunk by chunk: where no vocabulary entry has a space
-    mark after another character, no piece reaches over the start of a run of space marks, so a text
-    may be cut there and each chunk looked up once. Models with such entries get whole texts.
+    Merges run on marked text: normalised text with a space in place of each space mark. Where no
+    vocabulary entry has a mark after another character, no piece reaches over the start of a run of
+    marks, so a slice of texts is cut there and each distinct chunk is encoded once. Characters that
+    no entry holds are their bytes' entries; they never merge. Models of other kinds, chunks of over
+    merges.LONGEST mergeable symbols in a row, and unknown characters of models without bytes are
+    left to the library. Nothing is kept from one slice to the next.
     """
 
     def __init__(self, path: str):
@@ -155,66 +169,153 @@ class PieceEncoder:
         self.bytes_of = [b"" if p.type == CONTROL else bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else p.piece.encode() for p in proto.pieces]
         self.unknown = next((i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN), -1)
         self.unknown_text = proto.trainer_spec.unk_surface or " ⁇ "
+        plain = self.unknown_text.encode()
+        shown = [plain if i == self.unknown else x.replace(SPACE_BYTES, b" ") for i, x in enumerate(self.bytes_of)]
+        self.shown = pa.array(shown, pa.large_binary())
+        self.shown_size = np.array(list(map(len, shown)), "<i4")
+        self.decimals = pa.array([b"%d," % i for i in range(len(shown))], pa.large_binary())
+        self._pairs(proto)
         plain = proto.normalizer_spec  # the processor gets text that is normalised already
         plain.Clear()
         plain.name, plain.add_dummy_prefix, plain.remove_extra_whitespaces, plain.escape_whitespaces = "identity", False, False, False
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self.known: dict[str, tuple] = {}
-
-    def chunks(self, normal: str) -> list[str]:
-        """Text that starts with a space mark, cut before each run of marks; each without its first mark."""
-        parts = normal.split(SPACE)[1:]
-        if "" not in parts:
-            return parts
-        out, marks = [], 0
-        for part in parts:
-            if part:
-                out.append(SPACE * marks + part)
-                marks = 0
-            else:
-                marks += 1
-        return [*out, SPACE * (marks - 1)] if marks else out
 
-    def _entry(self, chunk: str, ids: list[int]) -> tuple[str, int, str, bytes]:
-        if self.unknown in ids:
-            lengths = [len(p.surface.encode()) for p in self.processor.encode(chunk, out_type="immutable_proto").pieces]
-        else:
-            lengths = [len(self.bytes_of[i]) for i in ids]
-        return ",".join(map(str, ids)), len(ids), self._text(ids), np.array(lengths, "<i4").tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({c for c in chunks if c not in self.known})
-        for chunk, ids in zip(new, self.processor.encode([SPACE + c for c in new], num_threads=1), strict=True):
-            self.known[chunk] = self._entry(SPACE + chunk, ids)
-
-    def _text(self, ids: list[int]) -> str:
-        return b"".join(self.unknown_text.encode() if i == self.unknown else self.bytes_of[i] for i in ids).decode("utf-8", "replace").replace(SPACE, " ")
-
-    def encode(self, text: str) -> tuple[str, int, str, bytes]:
-        """Decimal ids joined by commas, their number, the decoded text, lengths of pieces in normalised bytes."""
-        if not text:
-            return "", 0, "", b""
-        normal = self.normalise(text)
-        if self.cuts and normal.startswith(SPACE):
-            chunks = self.chunks(normal)
-            try:
-                entries = [self.known[c] for c in chunks]
-            except KeyError:
-                self._learn(chunks)
-                entries = [self.known[c] for c in chunks]
+    def _pairs(self, proto) -> None:
+        """Every way to put an entry together from two; an entry's rank is its place by score."""
+        entries = {p.piece.replace(SPACE, " "): i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
+        byte_id = {self.bytes_of[i]: i for i, p in enumerate(proto.pieces) if p.type == BYTE}
+        long = sorted((x for x in entries if len(x) > 1), key=lambda x: -proto.pieces[entries[x]].score)
+        whole = all(c in entries for x in long for c in x)
+        self.own = proto.trainer_spec.model_type == BPE and {p.type for p in proto.pieces} <= {NORMAL, UNKNOWN, CONTROL, BYTE} and whole
+        if not self.own:
+            return
+        place = {score: rank for rank, score in enumerate(dict.fromkeys(proto.pieces[entries[x]].score for x in long))}
+        found = [(entries[x[:k]], entries[x[k:]], place[proto.pieces[entries[x]].score], entries[x]) for x in long for k in range(1, len(x)) if x[:k] in entries and x[k:] in entries]
+        left, right, rank, made = np.array(found, np.int64).reshape(-1, 4).T
+        self.pairs = merges.PairTable(left, right, rank.astype(np.int32), made.astype(np.int32))
+        self.character = np.full(0x110000, -1, np.int32)
+        for x, i in entries.items():
+            if len(x) == 1:
+                self.character[ord(x)] = i
+        self.byte = np.array([byte_id.get(bytes([b]), -1) for b in range(256)], np.int32)
+
+    def marked(self, text: str) -> str:
+        """Normalised text with spaces for marks."""
+        return self.normalise(text).replace(SPACE, " ")
+
+    def encode(self, values: list[str]) -> Encoded:
+        """All of several texts."""
+        marked = [self.marked(t).encode() if t else b"" for t in values]
+        sizes = np.array(list(map(len, marked)), np.int64)
+        if not sizes.sum():
+            empty = np.empty(0, "<i4")
+            return Encoded(*([x] * len(values) for x in (empty, b"", empty, b"")))
+        data = np.frombuffer(b"".join(marked), np.uint8)
+        begins = np.cumsum(sizes) - sizes
+        heads = np.zeros(len(data), bool)
+        if self.cuts:
+            space = data == 0x20
+            heads[1:] = space[1:] & ~space[:-1]
+        heads[begins[sizes > 0]] = True
+        starts = np.flatnonzero(heads)
+        edges = np.append(np.searchsorted(starts, begins), len(starts))
+        places, chunks, offsets = merges.distinct(data, starts)
+        ids, counts, lengths = self._ids(chunks, offsets)
+        of_text = pa.array(places)
+        flat, at = merges.joined(merges.ragged(ids, counts).take(of_text))
+        flat_lengths, _ = merges.joined(merges.ragged(lengths, counts).take(of_text))
+        all_ids, all_lengths = np.frombuffer(flat, "<i4"), np.frombuffer(flat_lengths, "<i4")
+        shown, digits = (self._spelt(table, ids, counts).take(of_text) for table in (self.shown, self.decimals))
+        shown, shown_at = merges.joined(shown)
+        digits, digits_at = merges.joined(digits)
+        runs = lambda cuts: list(zip(cuts[edges].tolist(), cuts[edges].tolist()[1:], strict=False))
+        decoded = [bytes(shown[a:b]) for a, b in runs(shown_at)]
+        if self.strip_first:
+            decoded = [x.removeprefix(b" ") for x in decoded]
+        id_runs = runs(at // 4)
+        return Encoded([all_ids[a:b] for a, b in id_runs], decoded, [all_lengths[a:b] for a, b in id_runs], [bytes(digits[a : max(a, b - 1)]) for a, b in runs(digits_at)])
+
+    @staticmethod
+    def _spelt(table: pa.Array, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The table's entries of each chunk's ids as one value per chunk."""
+        data, at = merges.joined(table.take(pa.array(ids)))
+        cuts = at[np.append(0, np.cumsum(counts))]
+        return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+
+    def _ids(self, chunks: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, their number per chunk, and the bytes of marked text that each stands for."""
+        n = len(offsets) - 1
+        raw = chunks.tobytes()
+        if not self.own:
+            return self._by_library([raw[a:b].decode() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)])
+        points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+        is_head = (chunks & 0xC0) != 0x80
+        position = np.cumsum(is_head)  # characters up to and with each byte
+        begins = position[offsets[:-1]] - 1
+        chunk = np.repeat(np.arange(n, dtype=np.int32), np.diff(np.append(begins, len(points))))
+        symbol = self.character[points]
+        bare = symbol < 0
+        width = np.diff(np.append(np.flatnonzero(is_head), len(chunks)))
+        fresh = np.ones(len(points), bool)
+        fresh[1:] = (chunk[1:] != chunk[:-1]) | bare[1:] | bare[:-1]
+        run = np.cumsum(fresh, dtype=np.int32) - 1
+        library = np.zeros(n, bool)
+        library[chunk[np.bincount(run)[run] > merges.LONGEST]] = True
+        if (self.byte < 0).any():
+            library[chunk[bare]] = True
+        own = ~library[chunk]
+        symbol, bare, width, fresh, chunk = symbol[own], bare[own], width[own], fresh[own], chunk[own]
+        spread = np.where(bare, width, 1)  # a bare character is as many symbols as it has bytes
+        symbols = np.repeat(symbol, spread)
+        if bare.any():
+            own_bytes = chunks[np.repeat(own, np.diff(np.append(np.flatnonzero(is_head), len(chunks))))]
+            symbols[np.repeat(bare, spread)] = self.byte[own_bytes[np.repeat(bare, width)]]
+            first = np.ones(len(symbols), bool)
+            first[np.cumsum(spread) - spread] = fresh  # the other bytes of a character begin a run each
         else:
-            entries = [self._entry(normal, self.processor.encode(normal, num_threads=1))]
-        decoded = "".join([e[2] for e in entries])
-        if self.strip_first and decoded.startswith(" "):
-            decoded = decoded[1:]
-        return ",".join([e[0] for e in entries]), sum([e[1] for e in entries]), decoded, b"".join([e[3] for e in entries])
+            first = fresh
+        heads = np.flatnonzero(first)
+        merged, parts = merges.merge(symbols, np.diff(np.append(heads, len(symbols))), self.pairs)
+        counts = np.bincount(np.repeat(chunk, spread)[heads], parts, n).astype(np.int64) if len(heads) else np.zeros(n, np.int64)
+        merged = merged.astype("<i4")
+        others = np.flatnonzero(library)
+        if not len(others):
+            return merged, counts, self.shown_size[merged]
+        foreign_ids, foreign_counts, foreign_lengths = self._by_library([raw[offsets[k] : offsets[k + 1]].decode() for k in others])
+        counts[others] = foreign_counts
+        foreign = np.repeat(library, counts)
+        ids, lengths = np.empty(counts.sum(), "<i4"), np.empty(counts.sum(), "<i4")
+        ids[foreign], lengths[foreign] = foreign_ids, foreign_lengths
+        ids[~foreign], lengths[~foreign] = merged, self.shown_size[merged]
+        return ids, counts, lengths
+
+    def _by_library(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, counts, lengths = [], [], []
+        for chunk in chunks:
+            found = self.processor.encode(chunk.replace(" ", SPACE), num_threads=1)
+            ids += found
+            counts.append(len(found))
+            if self.unknown in found:
+                surfaces = self.processor.encode(chunk.replace(" ", SPACE), out_type="immutable_proto").pieces
+                lengths += [len(p.surface.replace(SPACE, " ").encode()) for p in surfaces]
+            else:
+                lengths += [int(self.shown_size[i]) for i in found]
+        return np.array(ids, "<i4"), np.array(counts, np.int64), np.array(lengths, "<i4")
 
-    def spans(self, text: str, lengths: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def spans(self, text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and end byte in the source of each piece."""
-        edges = np.r_[0, np.cumsum(np.frombuffer(lengths, "<i4"))]
-        projected = self.normalise.aligned(text)[1][edges] if len(edges) > 1 else np.empty(1, np.int64)
+        edges = np.append(0, np.cumsum(lengths, dtype=np.int64))
+        if len(edges) == 1:
+            return edges[:0], edges[:0]
+        if self.normalise.plain and SPACE not in text:
+            projected = np.maximum(edges - self.normalise.dummy, 0)
+        else:
+            normal, align = self.normalise.aligned(text)
+            data = np.frombuffer(normal.encode(), np.uint8)
+            inside = np.zeros(len(data) + 1, bool)  # the later bytes of space marks, which a marked text lacks
+            marks = np.flatnonzero((data[:-2] == SPACE_BYTES[0]) & (data[1:-1] == SPACE_BYTES[1]) & (data[2:] == SPACE_BYTES[2]))
+            inside[marks + 1] = inside[marks + 2] = True
+            projected = align[~inside][edges]
         return projected[:-1], projected[1:]
 
 
@@ -245,30 +346,30 @@ OUTPUTS = {
 def _encode_partition(path: str, outputs: tuple[str, ...]):
     spans_wanted = {"begins", "ends", "span_bytes", "spans_crc32"} & set(outputs)
 
-    def row(encoder: PieceEncoder, text: str) -> tuple:
-        ids, n, decoded, lengths = encoder.encode(text)
-        begins, ends = encoder.spans(text, lengths) if spans_wanted else (None, None)
+    def rows(encoder: PieceEncoder, values: list[str]) -> dict:
+        done = encoder.encode(values)
+        spans = [encoder.spans(t, x) for t, x in zip(values, done.lengths, strict=True)] if spans_wanted else []
         made = {
-            "ids": lambda: [int(x) for x in ids.split(",")] if ids else [],
-            "begins": lambda: begins.astype(np.int32),
-            "ends": lambda: ends.astype(np.int32),
-            "decoded": lambda: decoded,
-            "n_tokens": lambda: n,
-            "ids_sha256": lambda: hashlib.sha256(ids.encode()).hexdigest(),
-            "decoded_sha256": lambda: hashlib.sha256(decoded.encode()).hexdigest(),
-            "span_bytes": lambda: int((ends - begins).sum()),
-            "spans_crc32": lambda: zlib.crc32(np.stack([begins, ends], 1).astype("<u4").tobytes()),
+            "ids": lambda: done.ids,
+            "begins": lambda: [a.astype(np.int32) for a, _ in spans],
+            "ends": lambda: [b.astype(np.int32) for _, b in spans],
+            "decoded": lambda: [x.decode() for x in done.decoded],
+            "n_tokens": lambda: list(map(len, done.ids)),
+            "ids_sha256": lambda: [hashlib.sha256(x).hexdigest() for x in done.decimals],
+            "decoded_sha256": lambda: [hashlib.sha256(x).hexdigest() for x in done.decoded],
+            "span_bytes": lambda: [int((b - a).sum()) for a, b in spans],
+            "spans_crc32": lambda: [zlib.crc32(np.stack([a, b], 1).astype("<u4").tobytes()) for a, b in spans],
         }
-        return tuple(made[name]() for name in outputs)
+        return {name: made[name]() for name in outputs}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(path)
         kinds = {"array<int>": pa.list_(pa.int32()), "string": pa.string(), "long": pa.int64()}
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                columns = zip(*(row(encoder, t) for t in part.column(1).to_pylist()), strict=True)
-                arrays = [pa.array(c, kinds[OUTPUTS[name]]) for name, c in zip(outputs, columns, strict=True)]
+            for low, high in merges.slices(pc.binary_length(batch.column(1)).to_pylist()):
+                part = batch.slice(low, high - low)
+                columns = rows(encoder, part.column(1).to_pylist())
+                arrays = [pa.array(c, kinds[OUTPUTS[name]]) for name, c in columns.items()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["doc_id", *outputs])
 
     return run

@@ -22,16 +22,18 @@ texts = st.lists(st.sampled_from(["The", "the ", " ", "  ", "\n", "▁", "▁▁
 @settings(deadline=None, max_examples=500)
 @given(texts)
 def test_ids_and_decoded_text_are_the_librarys(text):
-    ids, n, decoded, lengths = OWN.encode(text)
-    expected = LIBRARY.encode(text)
-    assert ids == ",".join(map(str, expected)) and n == len(expected) == len(lengths) // 4
-    assert decoded == LIBRARY.decode(expected)
+    values = [text, "x  y", "", text]
+    done = OWN.encode(values)
+    for value, ids, decoded, lengths, digits in zip(values, *done, strict=True):
+        expected = LIBRARY.encode(value)
+        assert ids.tolist() == expected and len(lengths) == len(expected)
+        assert decoded.decode() == LIBRARY.decode(expected) and digits.decode() == ",".join(map(str, expected))
 
 
 @settings(deadline=None, max_examples=200)
 @given(texts)
 def test_spans_cover_the_source(text):
-    _, _, _, lengths = OWN.encode(text)
+    lengths = OWN.encode([text]).lengths[0]
     begins, ends = OWN.spans(text, lengths)
     data = text.encode()
     assert b"".join(data[a:b] for a, b in zip(begins, ends, strict=True)) == data
@@ -62,6 +64,13 @@ def test_normaliser_follows_the_character_map(rule, squeeze):
     same()
 
 
+def test_runs_and_words_of_any_length():
+    values = ["a" * n + " " * n + "é" * n + "\n" * n for n in (1, 2, 63, 64, 65, 66, 300)] + ["the quick brown fox " * 3000, "▁" * 70, " ", "  "]
+    for value, ids, decoded in zip(values, *OWN.encode(values)[:2], strict=True):
+        expected = LIBRARY.encode(value)
+        assert ids.tolist() == expected and decoded.decode() == LIBRARY.decode(expected)
+
+
 def test_documents(spark):
     rows = [(1, "The  cat\nsat.", "x"), (2, None, "y"), (3, "", "z"), (None, "é" * 50_000, "w"), (1, "The  cat\nsat.", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
