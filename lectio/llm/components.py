@@ -11,24 +11,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.common import written
+from lectio.llm.common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     out = both.join(least, "u").where("v > u and v != m")
-    return out.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    moved = written(out.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+    discard(least)
+    return moved
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
-    moved = down.join(least, "u").where("v != m")
-    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+    moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = written(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    discard(least)
+    return out
 
 
 def _digest(edges: DataFrame) -> tuple:
+    """Number and sum of 64-bit hashes of the edges: equal for two rounds that differ with a chance of 2 ** -64."""
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)
 
@@ -43,7 +48,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = written(edges, "edges")
     before = _digest(edges)
     while before[0]:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        large = _large_star(edges)
+        small = _small_star(large)
+        discard(edges, large)
+        edges = small
         after = _digest(edges)
         if after == before:
             break

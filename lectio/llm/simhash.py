@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectio.llm.common import documents, small_or_shuffled, texts, written
+from lectio.llm.common import documents, small_or_shuffled, texts, unused, written
 from lectio.llm.components import connected_components
 
 SEED = 42
@@ -238,15 +238,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     near = written(near_duplicates(docs.select(key.alias("doc_id"), "text")), "simhash-near")
     counted = near.groupBy("doc_id", "component_id").agg(F.count("*").alias("n"))
-    gone = written(counted.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("other")).distinct(), "simhash-gone")
-    again = written(counted.where("n > 1").select(F.col("doc_id").alias("other")).distinct(), "simhash-again")
-    same = F.col("_key").eqNullSafe(F.col("other"))
-    kept = docs.withColumn("_key", key).join(small_or_shuffled(gone), same, "left_anti")
+    own, other, n = unused(docs, "key", "other", "n")
+    gone = written(counted.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(other)).distinct(), "simhash-gone")
+    again = written(counted.where("n > 1").select(F.col("doc_id").alias(other)).distinct(), "simhash-again")
+    same = F.col(own).eqNullSafe(F.col(other))
+    kept = docs.withColumn(own, key).join(small_or_shuffled(gone), same, "left_anti")
     if again.isEmpty():
         return kept.select(*docs.columns)
     repeated = kept.join(small_or_shuffled(again), same, "left_semi")
-    first = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    once = repeated.withColumn("_n", first).where("_n = 1").select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy(own).orderBy(own))
+    once = repeated.withColumn(n, first).where(F.col(n) == 1).select(*docs.columns)
     return kept.join(small_or_shuffled(again), same, "left_anti").select(*docs.columns).unionByName(once)
 
 

@@ -100,3 +100,10 @@ def test_keep_one_drops_rows_not_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str)
     assert got == sorted([(1, a), (None, b), (None, c), (7, d), (9, None)], key=str)
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "one two three four", 1, 2, 3), (2, "one two three four", 1, 2, 3), (2, "one two three four", 1, 2, 3), (5, "else altogether here now", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int, other int, n int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[3]]
