@@ -1,13 +1,19 @@
-"""Fuzzy line deduplication by MinHash, in DataFrame and SQL functions alone."""
+"""Fuzzy line deduplication by MinHash: Arrow batches for the text, DataFrame functions for the rest."""
 
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.common import documents, small_or_shuffled, texts, written
+from lectio.llm import merges
+from lectio.llm.common import documents, small_or_shuffled, texts, unused, written
 from lectio.llm.components import connected_components
 
 SIMILARITY = 0.8
@@ -20,14 +26,21 @@ MIN_SHINGLES = 4
 BANDS, ROWS = 8, 3
 #: In a bucket of at most so many lines all are compared at once, in a larger one stars come first.
 ALL_PAIRS = 16
+#: Windows whose minima are taken at once, so that they stay in a core's cache.
+BLOCK = 1 << 17
 
 _seeds = random.Random(20)
-MASKS = [_seeds.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
+MASKS = [np.uint32(_seeds.getrandbits(32)) for _ in range(BANDS * ROWS)]
+_ODD = [np.uint64(_seeds.getrandbits(64) | 1) for _ in range(8)]
 
 
-def normal_line(line: str) -> Column:
+def normal_line(line: str) -> str:
     """Lower case, runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(F.col(line)), r"\s{2,}|[\t\x0B\f\r]", " "))  # a lone space is left as it is
+    return " ".join(line.lower().split())
+
+
+def shingle_set(line: str) -> set[str]:
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
 def shingles(line: str) -> str:
@@ -35,33 +48,120 @@ def shingles(line: str) -> str:
     return f"regexp_extract_all({line}, '(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}(?!.)))', 1)"
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """One row per line that isn't blank: the row it stands in (doc_id, r1, r2), pos, line."""
-    keyed = texts(docs).select("doc_id", "text", *row_key())
-    cut = keyed.select("doc_id", "r1", "r2", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    return cut.where(F.col("raw").rlike(r"\S")).withColumn("line", normal_line("raw")).drop("raw")
-
-
 def row_key() -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("r2")]
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(k1, k2, n, bands) of each distinct line: how often it occurs, and its band hashes (null if it is too short).
+# ---------------------------------------------------------------- lines and signatures
+
+
+def window_hashes(points: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of the SHINGLE code points from each position on, by doubling the width."""
+    h = points.astype(np.uint64)
+    width = 1
+    while width < SHINGLE:
+        h = h[:-width] * _ODD[width.bit_length()] + h[width:]
+        width *= 2
+    h ^= h >> np.uint64(32)
+    h *= _ODD[0]
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
+def band_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(lines x BANDS) hashes of the bands, and which lines have them: those of MIN_SHINGLES positions or more.
 
-    Shingles are rows, hashed once each; XOR with a random mask permutes the hashes, and the least
-    under a mask is a MinHash. The minima are taken where the rows are made, so that one row per
-    distinct line and task is shuffled, whatever the number of its copies.
+    XOR with a random mask permutes the hashes of a line's shingles, and the least under a mask is a MinHash.
     """
-    rows = lines.select("k1", "k2", F.posexplode(F.expr(shingles("line"))).alias("i", "x")).select("k1", "k2", "i", F.xxhash64("x").alias("h"))
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(MASKS)]
-    found = rows.groupBy("k1", "k2").agg(F.count_if(F.col("i") == 0).alias("n"), (F.max("i") + 1).alias("size"), *least)
-    band = lambda b: F.xxhash64(F.lit(b), *[f"m{j}" for j in range(b * ROWS, (b + 1) * ROWS)])
-    return found.select("k1", "k2", "n", F.when(F.col("size") >= MIN_SHINGLES, F.array(*map(band, range(BANDS)))).alias("bands"))
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    has = sizes - SHINGLE + 1 >= MIN_SHINGLES
+    out = np.zeros((len(lines), BANDS), np.int64)
+    if not has.any():
+        return out, has
+    chosen = np.flatnonzero(has)
+    ends = np.cumsum(sizes[chosen])
+    points = np.frombuffer("".join([lines[i] for i in chosen]).encode("utf-32-le"), np.uint32)
+    valid = np.ones(len(points), bool)
+    for k in range(1, SHINGLE):
+        valid[ends - k] = False  # windows that reach into the next line
+    windows = window_hashes(points)[valid[: len(points) - SHINGLE + 1]]
+    counts = sizes[chosen] - SHINGLE + 1
+    stops = np.cumsum(counts)
+    first = 0
+    while first < len(chosen):
+        done = int(stops[first] - counts[first])
+        last = max(first + 1, int(np.searchsorted(stops, done + BLOCK)))
+        part = windows[done : stops[last - 1]]
+        starts = stops[first:last] - counts[first:last] - done
+        least = [np.minimum.reduceat(part ^ m, starts).astype(np.uint64) for m in MASKS]
+        for b in range(BANDS):
+            h = np.full(last - first, b + 1, np.uint64) * _ODD[7]
+            for m in least[b * ROWS : (b + 1) * ROWS]:
+                h = (h ^ m) * _ODD[6]
+                h ^= h >> np.uint64(29)
+            out[chosen[first:last], b] = h.view(np.int64)
+        first = last
+    return out, has
+
+
+def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per distinct line of a slice of texts: its key, text, bands and places."""
+    for batch in batches:
+        for low, high in merges.slices(pc.binary_length(batch.column(1)).to_pylist()):
+            part = batch.slice(low, high - low)
+            known: dict[str, int] = {}
+            which, row, at = [], [], []
+            for i, text in enumerate(part.column(1).to_pylist()):
+                for pos, raw in enumerate(text.split("\n")):
+                    line = normal_line(raw)
+                    if line:
+                        which.append(known.setdefault(line, len(known)))
+                        row.append(i)
+                        at.append(pos)
+            lines = list(known)
+            which = np.array(which, np.int64)
+            order = np.argsort(which, kind="stable")
+            counts = np.bincount(which, minlength=len(lines))
+            rows, pos = pa.array(np.array(row, np.int64)[order]), pa.array(np.array(at, np.int32)[order])
+            fields = [part.column(0).take(rows), pos, part.column(2).take(rows), part.column(3).take(rows)]
+            places = pa.StructArray.from_arrays(fields, ["doc_id", "pos", "r1", "r2"])
+            keys = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode()) for x in lines]), "<i8").reshape(-1, 2)
+            bands, has = band_hashes(lines)
+            edges = np.append(0, np.cumsum(np.where(has, BANDS, 0)))
+            banded = pa.ListArray.from_arrays(pa.array(edges[:-1].tolist() + [int(edges[-1])], pa.int32()), pa.array(bands[has].ravel()))
+            held = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), places)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])), pa.array(lines, pa.string()), pa.array(counts.astype(np.int64)), banded, held],
+                ["k1", "k2", "line", "n", "bands", "places"],
+            )
+
+
+def cut(docs: DataFrame) -> DataFrame:
+    """(k1, k2, line, n, bands, places) of each distinct line that isn't blank, once per slice of texts.
+
+    k1 and k2 are its 128-bit hash, bands is empty if the line is too short, places tells the row
+    (doc_id, r1, r2) and position of each of its n occurrences there.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    schema = f"k1 long, k2 long, line string, n long, bands array<long>, places array<struct<doc_id:{kind},pos:int,r1:long,r2:long>>"
+    return texts(docs).select("doc_id", "text", *row_key()).mapInArrow(_cut_batches, schema)
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """(k1, n, bands, low, high): how often each key occurs, its band hashes, the range of its lines' k2."""
+    return lines.groupBy("k1").agg(F.sum("n").alias("n"), F.first("bands").alias("bands"), F.min("k2").alias("low"), F.max("k2").alias("high"))
 
 
-def _keys(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line"))
+def told_apart(lines: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The written lines and signatures with one k1 per line: where lines share one, all but one get another."""
+    while not (shared := signed.where("low != high").select("k1", "low")).isEmpty():
+        renamed = lines.join(small_or_shuffled(written(shared, "line-shared")), "k1", "left")
+        moved = F.when(F.col("k2") != F.col("low"), F.xxhash64("k2", "k1")).otherwise(F.col("k1"))
+        lines = written(renamed.withColumn("k1", moved).select(*lines.columns), "line-cut")
+        signed = written(signatures(lines), "line-signatures")
+    return lines, signed
+
+
+# ---------------------------------------------------------------- similar lines
 
 
 def _members(signed: DataFrame) -> DataFrame:
@@ -69,7 +169,7 @@ def _members(signed: DataFrame) -> DataFrame:
 
     Buckets are found by an aggregation that keeps one row per bucket and task.
     """
-    exploded = signed.where("bands is not null").select("k1", "n", F.explode("bands").alias("band"))
+    exploded = signed.where("size(bands) > 0").select("k1", "n", F.explode("bands").alias("band"))
     buckets = exploded.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low != high")
     buckets = written(buckets.select("band"), "line-buckets")
     members = exploded.join(small_or_shuffled(buckets), "band").groupBy("band", "k1").agg(F.sum("n").alias("n"))
@@ -102,7 +202,7 @@ def _finer_stars(signed: DataFrame, large: DataFrame) -> DataFrame:
     return _ordered(dealt.join(least.hint("merge"), "cell"))
 
 
-def _unsettled(large: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
+def _unsettled(large: DataFrame, parts: DataFrame, sought: DataFrame) -> DataFrame:
     """Pairs of lines in different components, out of large buckets that hold several: none that is similar is left out.
 
     Of two sets of a similarity of SIMILARITY or more, the rarest shingles (all but SIMILARITY of each,
@@ -111,7 +211,8 @@ def _unsettled(large: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame
     named = written(large.join(parts.withColumnRenamed("node", "k1"), "k1", "left").select("band", "k1", F.coalesce("component", "k1").alias("part")), "line-named")
     several = written(named.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("band"), "line-several")
     mixed = written(named.join(small_or_shuffled(several), "band", "left_semi").select("k1", "part").distinct(), "line-mixed")
-    held = written(sets.join(small_or_shuffled(mixed), "k1").select("k1", "part", F.size("s").alias("z"), F.explode("s").alias("x")), "line-held")
+    hashed = sought.join(small_or_shuffled(mixed), "k1").select("k1", "part", F.expr(f"array_distinct(transform({shingles('line')}, x -> xxhash64(x)))").alias("s"))
+    held = written(hashed.select("k1", "part", F.size("s").alias("z"), F.explode("s").alias("x")), "line-held")
     often = written(held.groupBy("x").agg(F.count("*").alias("f")), "line-often")
     ranked = held.join(often.hint("merge"), "x").groupBy("k1", "part", "z").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("xs"))
     first = ranked.select("k1", "part", "z", F.explode(F.expr(f"slice(xs, 1, z - cast(ceil({SIMILARITY} * z - 1e-6) as int) + 1)")).alias("e"))
@@ -121,19 +222,35 @@ def _unsettled(large: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame
     return _ordered(first.join(other.hint("merge"), "x").where(close).select("k1", "other"))
 
 
-def _sets(lines: DataFrame, members: DataFrame) -> DataFrame:
-    """(k1, s): the hashed shingle set of each line of a bucket; lines of under MIN_SHINGLES shingles have none."""
+def _sought(lines: DataFrame, members: DataFrame) -> DataFrame:
+    """(k1, line): the text of each line of a bucket."""
     keys = written(members.select("k1").distinct(), "line-keys")
-    sought = lines.join(small_or_shuffled(keys), "k1", "left_semi").distinct()
-    hashed = sought.select("k1", F.expr(f"array_distinct(transform({shingles('line')}, x -> xxhash64(x)))").alias("s"))
-    return written(hashed.where(F.size("s") >= MIN_SHINGLES), "line-sets")
-
-
-def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    return written(lines.select("k1", "line").join(small_or_shuffled(keys), "k1", "left_semi").groupBy("k1").agg(F.first("line").alias("line")), "line-sought")
+
+
+def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, 1024):
+            u, v, a, b = (batch.column(k).slice(low, 1024) for k in range(4))
+            sets: dict[str, set[str]] = {}
+            close = []
+            for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+                p, q = (sets[z] if z in sets else sets.setdefault(z, shingle_set(z)) for z in (x, y))
+                small, large = (p, q) if len(p) <= len(q) else (q, p)
+                if len(small) < MIN_SHINGLES or len(small) < SIMILARITY * len(large):
+                    close.append(False)
+                    continue
+                common = len(small & large)
+                close.append(common >= SIMILARITY * (len(p) + len(q) - common))
+            keep = pa.array(close, pa.bool_())
+            yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], ["u", "v"])
+
+
+def _verified(sought: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
-    left = pairs.join(sets.withColumnsRenamed({"k1": "a", "s": "sa"}), "a")
-    both = left.join(sets.withColumnsRenamed({"k1": "b", "s": "sb"}), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.where(f"common >= {SIMILARITY} * (size(sa) + size(sb) - common)").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    left = pairs.join(sought.withColumnsRenamed({"k1": "a", "line": "la"}), "a")
+    both = left.join(sought.withColumnsRenamed({"k1": "b", "line": "lb"}), "b")
+    return both.select("a", "b", "la", "lb").mapInArrow(_similar_batches, "u long, v long")
 
 
 def _similar_parts(lines: DataFrame, signed: DataFrame) -> DataFrame:
@@ -143,14 +260,14 @@ def _similar_parts(lines: DataFrame, signed: DataFrame) -> DataFrame:
     remain in it are all compared.
     """
     members = _members(signed)
-    sets = _sets(lines, members)
-    edges = written(_verified(sets, written(_candidates(members), "line-pairs")), "line-similar")
+    sought = _sought(lines, members)
+    edges = written(_verified(sought, written(_candidates(members), "line-pairs")), "line-similar")
     large = members.where(f"m > {ALL_PAIRS}").select("band", "k1")
     if large.isEmpty():
         return written(connected_components(edges), "line-parts")
-    edges = written(edges.union(_verified(sets, written(_finer_stars(signed, large), "line-pairs"))), "line-similar")
+    edges = written(edges.union(_verified(sought, written(_finer_stars(signed, large), "line-pairs"))), "line-similar")
     parts = written(connected_components(edges), "line-parts")
-    more = written(_verified(sets, written(_unsettled(large, parts, sets), "line-pairs")), "line-similar")
+    more = written(_verified(sought, written(_unsettled(large, parts, sought), "line-pairs")), "line-similar")
     if more.isEmpty():
         return parts
     return written(connected_components(edges.union(more)), "line-parts")
@@ -161,17 +278,15 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
     Of each component of equal or similar lines the occurrence with the smallest (doc_id, pos) stays.
     """
-    lines = _keys(occurrences(docs))
-    signed = written(signatures(lines), "line-signatures")
-    often = signed.where("n > 1").select("k1", "k2", "n")
-    parts = _similar_parts(lines.select("k1", "line"), signed)
-    flagged = parts.select(F.col("node").alias("k1"), "component").union(often.join(parts, often.k1 == parts.node, "left_anti").select("k1", F.lit(None).cast("long")))
-    flagged = written(flagged.distinct(), "line-flagged")
-    places = lines.drop("line").join(small_or_shuffled(flagged), "k1")
-    places = places.select(F.coalesce("component", "k1").alias("g1"), F.when(F.col("component").isNull(), F.col("k2")).otherwise(F.lit(0)).alias("g2"), F.struct("doc_id", "pos", "r1", "r2").alias("place"))
-    places = written(places, "line-places")
-    first = written(places.groupBy("g1", "g2").agg(F.min("place").alias("first")), "line-first")
-    drops = places.join(first.hint("merge"), ["g1", "g2"]).where("place != first")
+    lines = written(cut(docs), "line-cut")
+    lines, signed = told_apart(lines, written(signatures(lines), "line-signatures"))
+    often = signed.where("n > 1").select(F.col("k1").alias("k"))
+    parts = _similar_parts(lines, signed)
+    alone = often.join(parts, often.k == parts.node, "left_anti").select(F.col("k").alias("k1"), F.col("k").alias("g"))
+    flagged = written(parts.select(F.col("node").alias("k1"), F.col("component").alias("g")).union(alone).distinct(), "line-flagged")
+    places = written(lines.select("k1", "places").join(small_or_shuffled(flagged), "k1").select("g", "places", F.array_min("places").alias("least")), "line-places")
+    first = written(places.groupBy("g").agg(F.min("least").alias("first")), "line-first")
+    drops = places.join(first.hint("merge"), "g").select("first", F.explode("places").alias("place")).where("place != first")
     return drops.groupBy("place.r1", "place.r2").agg(F.collect_set("place.pos").alias("drop"))
 
 
@@ -180,7 +295,8 @@ def dedup_lines(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
 
     Lines (cut at newlines) are compared in lower case with white space squeezed; blank lines stay.
     Similar lines are found by MinHash bands over the character shingles of every position and verified
-    by the Jaccard similarity of the sets of 64-bit shingle hashes; of each component the line in the smallest doc_id (then the smallest position) stays.
+    by the Jaccard similarity of the sets of shingles; of each component the line in the smallest doc_id
+    (then the smallest position) stays.
     A null doc_id counts as smallest. Rows that repeat a doc_id and a text are treated alike. A null
     text stays null. All other columns pass through; n_chars, if there, is the new text's length.
     Columns that are called n_lines or n_dropped are replaced.
@@ -188,11 +304,12 @@ def dedup_lines(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     The drop lists go to all tasks if at most ``broadcast_rows`` documents have one, else by a join.
     """
     drops = written(dropped_lines(docs), "line-drops")
-    keyed = docs.select("*", *(c.alias(f"_r{k}") for k, c in enumerate(row_key(), 1)))
-    joined = keyed.join(small_or_shuffled(drops.withColumnsRenamed({"r1": "_r1", "r2": "_r2", "drop": "_drop"}), broadcast_rows), ["_r1", "_r2"], "left")
-    kept = F.expr("array_join(filter(split(text, '\\n'), (line, i) -> NOT array_contains(_drop, i)), '\\n')")
-    out = joined.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
-    out = out.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept))
+    r1, r2, drop = unused(docs, "r1", "r2", "drop")
+    keyed = docs.select("*", *(c.alias(name) for c, name in zip(row_key(), (r1, r2), strict=True)))
+    joined = keyed.join(small_or_shuffled(drops.withColumnsRenamed({"r1": r1, "r2": r2, "drop": drop}), broadcast_rows), [r1, r2], "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(drop, i)), "\n")
+    out = joined.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.size(drop), F.lit(0)).cast("long"))
+    out = out.withColumn("text", F.when(F.col(drop).isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
