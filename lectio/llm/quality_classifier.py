@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.common import documents, small_or_shuffled, texts, written
+from lectio.llm.common import documents, small_or_shuffled, texts, unused, written
 
 #: Labelled rows that the classifier is fitted on at most, by order of a hash of doc_id: a bound.
 SAMPLE_ROWS = 6_000
@@ -90,9 +90,10 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Classifi
         compressor = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             rows = [features_of(t, compressor) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["doc_id", "x", "y"])
 
-    rows = sample.select("text", "y").mapInArrow(measure, "x array<double>, y int").collect()
+    measured = sample.select("text", "y", "doc_id").mapInArrow(measure, f"doc_id {dict(docs.dtypes)['doc_id']}, x array<double>, y int")
+    rows = measured.groupBy("doc_id").agg(F.min("x").alias("x"), F.max("y").alias("y")).collect()  # one row per labelled id, however often it is repeated
     y = np.array([float(r.y > 0) for r in rows])
     if not len(y) or y.min() == y.max():
         return None
@@ -124,7 +125,7 @@ def _strength(mean: Column, between: Column, noise: Column) -> Column:
 
 
 def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """Per (host, path): n, total, k (prior strength), m_host (the host's posterior); and the global mean.
+    """Per (host, path): n, total, k (prior strength), host_n, host_total, k_host, m_host (the host's posterior); and the global mean.
 
     The host's mean is shrunk to the global one, the path's to its host's, each with a prior whose
     strength follows from how far the groups spread beyond chance (method of moments). Sums of groups
@@ -135,7 +136,8 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     hosts = written(paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("total").alias("host_total"), F.sum("squares").alias("host_squares")), "quality-hosts")
     whole = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_total").alias("t"), F.sum("host_squares").alias("q")).first()
     if not whole.n:
-        return paths.select("host", "path", "n", "total", F.lit(1.0).alias("k"), F.lit(0.5).alias("m_host")), 0.5
+        nothing = F.lit(1.0)
+        return paths.select("host", "path", "n", "total", nothing.alias("k"), F.col("n").alias("host_n"), F.col("total").alias("host_total"), nothing.alias("k_host"), F.lit(0.5).alias("m_host")), 0.5
     mean = min(max(whole.t / whole.n, 1e-3), 1 - 1e-3)
 
     def moments(groups: DataFrame, n: str, total: str, squares: str, centre: Column) -> tuple:
@@ -151,14 +153,14 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     joined = written(paths.join(shrunk, "host"), "quality-sites")
     between, noise = moments(joined, "n", "total", "squares", F.col("m_host"))
     k_path = _strength(F.lit(mean), F.lit(between), F.lit(noise))
-    return joined.select("host", "path", "n", "total", k_path.alias("k"), "m_host"), mean
+    return joined.select("host", "path", "n", "total", k_path.alias("k"), "host_n", "host_total", k_host.alias("k_host"), "m_host"), mean
 
 
 def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, evidence, site_mean, score, kept (and the kept columns).
 
     evidence is the classifier's probability from the whole text; site_mean the posterior of the
-    document's path without the document itself; score joins them, the site's odds in place of the
+    document's path, the document itself taken out of its path and its host; score joins them, the site's odds in place of the
     global ones; kept is score >= THRESHOLD. host is ``source`` and path the ``lang`` under it unless
     given; null sites are one site of their own, as is the empty name. Without both labels to learn
     from all evidence is even, and every document is kept. A null text is empty; repeated rows count
@@ -171,7 +173,8 @@ def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     sites = written(sites, "quality-posteriors")
     p = 1 / (1 + F.exp(-F.col("logit")))
     joined = scored.join(small_or_shuffled(sites, 200_000), ["host", "path"])
-    alone = (F.col("k") * F.col("m_host") + F.col("total") - p) / (F.col("k") + F.col("n") - 1)
+    host_alone = (F.col("k_host") * mean + F.col("host_total") - p) / (F.col("k_host") + F.col("host_n") - 1)
+    alone = (F.col("k") * host_alone + F.col("total") - p) / (F.col("k") + F.col("n") - 1)
     site = F.least(F.greatest(alone, F.lit(1e-3)), F.lit(1 - 1e-3))
     z = F.col("logit") + F.log(site / (1 - site)) - math.log(mean / (1 - mean))
     out = joined.select("doc_id", p.alias("evidence"), site.alias("site_mean"), (1 / (1 + F.exp(-z))).alias("score"), *keep)
@@ -185,8 +188,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     alike; their list is broadcast if it is short, else joined by a shuffle.
     """
     key = F.xxhash64(F.lit(2), "doc_id", "text", "source", "lang")
-    rejected = written(score(docs.withColumn("_key", key), labels, keep=("_key",)).where("NOT kept").select("_key").distinct(), "quality-rejected")
-    return docs.withColumn("_key", key).join(small_or_shuffled(rejected), "_key", "left_anti").select(*docs.columns)
+    (name,) = unused(docs, "_row_key")
+    rejected = written(score(docs.withColumn(name, key), labels, keep=(name,)).where("NOT kept").select(name).distinct(), "quality-rejected")
+    return docs.withColumn(name, key).join(small_or_shuffled(rejected), name, "left_anti").select(*docs.columns)
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:

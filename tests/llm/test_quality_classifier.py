@@ -12,7 +12,7 @@ from lectio.llm import quality_classifier as qc
 
 
 def slow_sites(rows):
-    """{(host, path): (n, total, k, m_host)} and the mean, from (host, path, logit) rows."""
+    """{(host, path): (n, total, k, host_n, host_total, k_host, m_host)} and the mean, from (host, path, logit) rows."""
     p = {}
     for host, path, z in rows:
         p.setdefault((host, path), []).append(1 / (1 + math.exp(-z)))
@@ -30,7 +30,7 @@ def slow_sites(rows):
     k = strength([(v, mean) for v in hosts.values()])
     m = {h: (k * mean + sum(v)) / (k + len(v)) for h, v in hosts.items()}
     k_path = strength([(v, m[h]) for (h, _), v in p.items()])
-    return {g: (len(v), sum(v), k_path, m[g[0]]) for g, v in p.items()}, mean
+    return {g: (len(v), sum(v), k_path, len(hosts[g[0]]), sum(hosts[g[0]]), k, m[g[0]]) for g, v in p.items()}, mean
 
 
 def test_posteriors_match_a_plain_version(spark):
@@ -39,7 +39,7 @@ def test_posteriors_match_a_plain_version(spark):
     sites, mean = qc.site_posteriors(spark.createDataFrame(rows, "host string, path string, logit double"))
     expected, expected_mean = slow_sites(rows)
     assert mean == pytest.approx(expected_mean)
-    got = {(r.host, r.path): (r.n, r.total, r.k, r.m_host) for r in sites.collect()}
+    got = {(r.host, r.path): (r.n, r.total, r.k, r.host_n, r.host_total, r.k_host, r.m_host) for r in sites.collect()}
     assert got.keys() == expected.keys()
     for key, values in expected.items():
         assert got[key] == pytest.approx(values)
@@ -72,6 +72,23 @@ def test_documents(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
 
 
+def test_a_document_is_no_evidence_for_its_own_site(spark, monkeypatch):
+    """The only document of a host has the global mean for a site, whatever its own evidence."""
+    rows, labels = corpus()
+    docs = spark.createDataFrame([*rows, (700, rows[4][1], "xx", "lone"), (701, rows[5][1], "xx", "lone too")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in qc.score(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert abs(got[700].evidence - got[701].evidence) > 0.5
+    mean = sum(r.evidence for r in got.values()) / len(got)
+    assert got[700].site_mean == pytest.approx(mean) == pytest.approx(got[701].site_mean)
+
+
+def test_columns_of_any_name_and_long_texts(spark):
+    rows, labels = corpus(60)
+    docs = spark.createDataFrame([(*r, 7, 8) for r in rows] + [(500, "word and other " * 40_000, "en", "s", 7, 8)], "doc_id long, text string, lang string, source string, _row_key int, logit int")
+    kept = qc.keep_good(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert kept.columns == docs.columns and {(r._row_key, r.logit) for r in kept.collect()} == {(7, 8)}
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "one text", "en", "s")], "doc_id long, text string, lang string, source string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
