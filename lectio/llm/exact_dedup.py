@@ -13,11 +13,16 @@ from lectio.llm.common import small_or_shuffled, texts, written
 from lectio.llm.quotient import CountingQuotientFilter
 
 Q_BITS = 32
-#: A merge task gets one range of quotients: the top RANGE_BITS bits of the fingerprint.
-RANGE_BITS = 10
+#: A merge task gets one range of quotients with about so many fingerprints (16 bytes each).
+RANGE_ROWS = 1 << 20
 
 
-def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def range_bits(rows: int) -> int:
+    """High bits of a fingerprint that tell its range: as many ranges as give RANGE_ROWS each, four at least."""
+    return min(24, max(2, (max(0, rows - 1) // RANGE_ROWS).bit_length()))
+
+
+def _filters(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """One filter per range of quotients from the fingerprints of a partition.
 
     Batches are folded into a running filter, so memory holds the partition's distinct fingerprints.
@@ -29,7 +34,7 @@ def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if held is None or not len(held.remainders):
         return
     prints = held.fingerprints()
-    ranges = (prints >> np.uint64(64 - RANGE_BITS)).astype(np.int32)
+    ranges = (prints >> np.uint64(64 - bits)).astype(np.int32)
     cuts = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]])
     ends = np.r_[cuts[1:], len(prints)]
     parts = [CountingQuotientFilter.build(prints[a:b], held.counts[a:b], Q_BITS).to_bytes() for a, b in zip(cuts, ends, strict=True)]
@@ -47,9 +52,11 @@ def _merged(table: pa.Table) -> pa.Table:
 def repeated_fingerprints(fingerprints: DataFrame) -> DataFrame:
     """(fingerprint, n) of every fingerprint that occurs more than once in a one-column frame.
 
-    A hot fingerprint is one slot with a count in each partition's filter, whatever its share.
+    A hot fingerprint is one slot with a count in each partition's filter, whatever its share. The
+    number of ranges follows from the counted rows, so a merge task's memory doesn't grow with the input.
     """
-    filters = fingerprints.mapInArrow(_filters, "quotient_range int, filter binary")
+    bits = range_bits(fingerprints.count())
+    filters = fingerprints.mapInArrow(lambda batches: _filters(batches, bits), "quotient_range int, filter binary")
     return filters.groupBy("quotient_range").applyInArrow(_merged, "fingerprint long, n long")
 
 

@@ -29,19 +29,44 @@ class CountingQuotientFilter:
         first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
         slots = ordered[first]
         summed = np.add.reduceat(weights, first) if len(first) else weights
+        return cls._of_slots(slots, summed, q_bits)
+
+    @classmethod
+    def _of_slots(cls, slots: np.ndarray, counts: np.ndarray, q_bits: int) -> CountingQuotientFilter:
+        """slots: distinct fingerprints, ascending."""
         r_bits = np.uint64(64 - q_bits)
         quotients = slots >> r_bits
-        starts = np.flatnonzero(np.r_[True, quotients[1:] != quotients[:-1]]) if len(slots) else first
+        starts = np.flatnonzero(np.r_[True, quotients[1:] != quotients[:-1]]) if len(slots) else np.empty(0, np.int64)
         lengths = np.diff(np.r_[starts, len(slots)])
-        return cls(q_bits, quotients[starts], lengths.astype(np.uint32), slots & ((np.uint64(1) << r_bits) - np.uint64(1)), summed)
+        return cls(q_bits, quotients[starts], lengths.astype(np.uint32), slots & ((np.uint64(1) << r_bits) - np.uint64(1)), counts)
 
     def fingerprints(self) -> np.ndarray:
         """All stored fingerprints, ascending."""
         return (np.repeat(self.occupied, self.lengths) << np.uint64(64 - self.q_bits)) | self.remainders
 
     def merge(self, others: list[CountingQuotientFilter]) -> CountingQuotientFilter:
+        """Two by two, so that each slot is moved as often as the number of filters has binary digits."""
         filters = [self, *others]
-        return self.build(np.concatenate([f.fingerprints() for f in filters]), np.concatenate([f.counts for f in filters]), self.q_bits)
+        while len(filters) > 1:
+            pairs = [a._with(b) for a, b in zip(filters[::2], filters[1::2], strict=False)]
+            filters = pairs + filters[2 * len(pairs) :]
+        return filters[0]
+
+    def _with(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
+        """One pass over both: the other's remainders go to their places within this filter's runs.
+
+        Runs are in order of quotients and ascending inside, so quotient and remainder together are
+        one ascending sequence; an equal slot adds its count, any other is put in between.
+        """
+        if not len(other.remainders):
+            return self
+        own, new, counts = self.fingerprints(), other.fingerprints(), self.counts.copy()
+        at = np.searchsorted(own, new)
+        inside = at < len(own)
+        inside[inside] = own[at[inside]] == new[inside]
+        counts[at[inside]] += other.counts[inside]
+        places = at[~inside]
+        return self._of_slots(np.insert(own, places, new[~inside]), np.insert(counts, places, other.counts[~inside]), self.q_bits)
 
     def to_bytes(self) -> bytes:
         head = np.array([self.q_bits, len(self.occupied), len(self.remainders)], "<u4").tobytes()

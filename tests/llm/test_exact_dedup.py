@@ -10,7 +10,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lectio.llm.exact_dedup import exact_groups, repeated_fingerprints
+from lectio.llm.exact_dedup import RANGE_ROWS, exact_groups, range_bits, repeated_fingerprints
 from lectio.llm.quotient import CountingQuotientFilter
 
 
@@ -22,6 +22,20 @@ def test_filters_merge_without_loss(parts):
     assert dict(zip(whole.fingerprints().tolist(), whole.counts.tolist(), strict=True)) == Counter(x for p in parts for x in p)
 
 
+def test_ranges_follow_the_rows():
+    assert range_bits(0) == range_bits(RANGE_ROWS) == 2
+    for rows in (10**7, 10**9, 3 * 10**10):
+        assert RANGE_ROWS / 4 < rows / 2 ** range_bits(rows) <= 2 * RANGE_ROWS
+
+
+def test_merging_sorts_nothing_again(monkeypatch):
+    rng = np.random.default_rng(1)
+    filters = [CountingQuotientFilter.build(rng.integers(0, 5000, 3000).astype(np.uint64) << np.uint64(50)) for _ in range(5)]
+    monkeypatch.setattr(np, "argsort", None)
+    whole = filters[0].merge(filters[1:])
+    assert int(whole.counts.sum()) == 15_000 and (np.diff(whole.fingerprints().astype(object)) > 0).all()
+
+
 def test_repeated_fingerprints(spark):
     values = [5, 5, -1, -1, -1, 9, 2**62]
     got = repeated_fingerprints(spark.createDataFrame([(v,) for v in values], "f long").repartition(3)).collect()
