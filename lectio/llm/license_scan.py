@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +40,6 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 CONTAINMENT = 0.8
-#: A template of fewer distinct words must be contained whole: none, see TOLD_BY.
-WHOLE_BELOW = 0
 _NC = frozenset({"nc", "noncommercial", "commercial"})
 _SA = frozenset({"sa", "sharealike", "alike"})
 _ND = frozenset({"nd", "noderivatives", "noderivs", "derivatives", "derivs"})
@@ -85,11 +84,13 @@ def places(words: list[bytes]) -> list[tuple[str, int]]:
 
 
 class TemplateIndex:
-    """Templates as word sets in ascending order of global frequency, with a prefix index.
+    """Templates as word sets in one global order, with a prefix index.
 
-    A block that contains ``need`` of a template's n words must have one of its n - need + 1 rarest
-    (prefix filter), and have ``need`` words at all (length filter). With the first shared word at
-    position i of the order, at most n - i words can be shared (positional filter).
+    The order: words of no template first, then the templates' words by ascending document frequency.
+    A block that contains ``need`` of a template's n words must have one of its n - need + 1 first
+    (prefix filter) and ``need`` words at all (length filter). Behind the place in the block's order of
+    the first word it can share there must be ``need`` - 1 words more (positional filter): as words of
+    no template come first, these are the block's words of any template.
     """
 
     def __init__(self, frequency: dict[bytes, int], templates=TEMPLATES, containment: float = CONTAINMENT):
@@ -97,13 +98,14 @@ class TemplateIndex:
         for k, (label, wording) in enumerate(templates):
             wording = wording.encode().split()
             order = sorted(set(wording), key=lambda w: (frequency.get(w, 0), w))
-            need = len(order) if len(order) < WHOLE_BELOW else -(-int(round(containment * len(order) * 1000)) // 1000)
+            need = -(-int(round(containment * len(order) * 1000)) // 1000)
             groups, others = TOLD_BY.get(label, ((), ()))
             groups = [g for g in (frozenset(w.encode() for w in g) for g in groups) if not g.isdisjoint(order)]
             self.templates.append((label, {w: i for i, w in enumerate(order)}, len(wording), need, (groups, frozenset(w.encode() for w in others))))
             for w in order[: len(order) - need + 1]:
                 self.prefix.setdefault(w, []).append(k)
         self.rare = frozenset(self.prefix)
+        self.vocabulary = frozenset(w for t in self.templates for w in t[1])
 
     def matches(self, words: list[bytes]) -> list[tuple[str, int, int, int, float, bool]]:
         """(label, template, first word, number of words, containment, told) of each matching stretch.
@@ -119,24 +121,34 @@ class TemplateIndex:
             if w in self.prefix:
                 for k in self.prefix[w]:
                     seeds.setdefault(k, []).append(i)
+        held = np.cumsum([0, *(w in self.vocabulary for w in words)])
         found = []
         for k, at in sorted(seeds.items()):
             label, rank, length, need, telling = self.templates[k]
             if len(words) >= need:
-                found += [(label, k, first, end - first, best / len(rank), told) for first, end, best, told in self._stretches(words, at, rank, length, need, telling)]
+                near = self.near(held, np.array(at), length, need)
+                found += [(label, k, first, end - first, best / len(rank), told) for first, end, best, told in self._stretches(words, near, rank, length, need, telling)]
         return found
 
     @staticmethod
-    def _stretches(words, at, rank, length, need, telling):
-        """Slide a block over the words near the seeds, counting the distinct template words inside."""
-        last_start = max(0, len(words) - length)
-        near: list[list[int]] = []  # ranges of starts whose block holds a seed
-        for i in at:
-            low, high = max(0, min(i - length + 1, last_start)), min(i, last_start)
-            if near and low <= near[-1][1] + 1:
-                near[-1][1] = max(high, near[-1][1])
-            else:
-                near.append([low, high])
+    def near(held: np.ndarray, at: np.ndarray, length: int, need: int) -> list[tuple[int, int]]:
+        """Ranges (first, last) of the starts of blocks that hold a seed and pass the positional filter.
+
+        ``held`` counts the words of any template before each place, ``at`` has the seeds' places.
+        """
+        n = len(held) - 1
+        last = max(0, n - length)
+        change = np.zeros(last + 2, np.int64)
+        np.add.at(change, np.clip(at - length + 1, 0, last), 1)
+        np.add.at(change, np.minimum(at, last) + 1, -1)
+        starts = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+        starts = starts[held[np.minimum(starts + length, n)] - held[starts] >= need]
+        runs = np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1)
+        return [(int(r[0]), int(r[-1])) for r in runs if len(r)]
+
+    @staticmethod
+    def _stretches(words, near, rank, length, need, telling):
+        """Slide a block over each range of starts, counting the distinct template words inside."""
         groups, others = telling
         out: list[list] = []
         for low, high in near:
@@ -150,7 +162,7 @@ class TemplateIndex:
                             del inside[gone]
                     if new in rank:
                         inside[new] += 1
-                if len(inside) < need or len(rank) - min(rank[w] for w in inside) < need:
+                if len(inside) < need:
                     continue
                 end = min(start + length, len(words))
                 block = words[start:end]
@@ -185,6 +197,8 @@ def scan(docs: DataFrame) -> DataFrame:
     The first pass counts the templates' words over all documents, the second joins each document's
     blocks with the templates, which are a fixed list and go to every task. No document is shuffled.
     A null text is empty and matches nothing; repeated and null doc_ids pass; extra columns are ignored.
+    Ties can't arise: every place and stretch is listed, and overlapping stretches of one template are one.
+    An empty table gives an empty table. A very long text is scanned whole, its words held once.
     """
     index = TemplateIndex(word_frequency(docs))
     kind = dict(docs.dtypes)["doc_id"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+
 from lectio.llm import license_scan as scan
 
 
@@ -24,7 +26,7 @@ def slow_blocks(words):
         distinct = set(parts)
         for start in range(max(1, len(words) - len(parts) + 1)):
             share = len(distinct & set(words[start : start + len(parts)])) / len(distinct)
-            if share >= (1 if len(distinct) < scan.WHOLE_BELOW else scan.CONTAINMENT):
+            if share >= scan.CONTAINMENT:
                 out.add((k, start, share))
     return out
 
@@ -90,3 +92,21 @@ def test_short_notices_with_a_word_missing(spark, tmp_path):
     got = {r.doc_id: r for r in scan.op3_license_scan(spark, str(tmp_path)).collect()}
     assert {text: got[i].labels for i, text in enumerate(told)} == told
     assert abs(got[0].score - 0.9) < 1e-9 and abs(got[1].score - 8 / 9) < 1e-9 and got[8].score == 0
+
+
+def test_positional_filter_rejects_blocks_before_they_are_counted():
+    index = scan.TemplateIndex({w: 1 for w in scan.VOCABULARY})
+    held = lambda words: np.cumsum([0, *(w in index.vocabulary for w in words)])
+    wording = scan.TEMPLATES[6][1].encode().split()
+    words = [b"zzz"] * 40 + wording[:1] + [b"zzz"] * 40 + wording + [b"zzz"] * 40
+    need = index.templates[6][3]
+    ranges = index.near(held(words), np.array([40, 81]), len(wording), need)
+    assert ranges and all(81 - len(wording) < a <= b < 81 + len(wording) for a, b in ranges)  # none around the lone seed
+
+
+def test_edges(spark):
+    rows = [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (None, "MIT License"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, len(r.places), [m.label for m in r.matches]) for r in scan.scan(docs).collect()]
+    assert sorted(got, key=str) == [(1, 1, ["mit"]), (1, 1, ["mit"]), (2, 0, []), (None, 1, [])]
+    assert scan.scan(docs.limit(0)).count() == 0
