@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lectio.llm import line_dedup, packing, quality_classifier, quality_rules, simhash
-from lectio.llm.common import documents, written
+from lectio.llm.common import documents, scope, written
 
 #: The tokenizer of the last stage: a parameter.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -43,8 +43,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
+    """Apply the stages to ``documents``; what a stage wrote on its way goes when its rows are written."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scope():
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", stays=True)
     return docs
