@@ -1,4 +1,4 @@
-"""Toxicity by weak supervision: many voters, a generative label model, a linear classifier."""
+"""Toxicity by weak supervision: many voters, a generative label model, a linear classifier on its posteriors."""
 
 from __future__ import annotations
 
@@ -13,13 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.common import documents, texts
+from lectio.llm.common import documents, texts, written
 
 FOLDS = 5
-#: Labelled training rows read to propose voters and to fit the classifier, by order of a hash: a bound,
-#: which the driver's memory sets. Every document is voted on and scored.
-SAMPLE_ROWS = 6_000
-#: Features of the linear classifier at most: the units that tell the classes apart best.
+#: Labelled training documents read to propose voters and features, and documents of any kind that the
+#: classifier is trained on, by order of a hash of doc_id: bounds, which the driver's memory sets. Every
+#: document is voted on and scored.
+LABELLED_ROWS, TRAINING_ROWS = 6_000, 10_000
+#: Units among the linear classifier's features at most: those that tell the classes apart best.
 FEATURES = 2_000
 #: A unit is a feature if chance explains its share among toxic rows with a probability under 0.001.
 MIN_G2 = 10.8
@@ -27,11 +28,18 @@ MIN_G2 = 10.8
 PREFIXES = (3, 4, 5, 6, 7)
 #: A unit counts once at each of these numbers of distinct words that have it.
 LEVELS = (1, 2, 4)
-#: Voters of each kind at most (terms and prefixes proposed from labelled rows).
-PROPOSED = 48
+#: Terms and prefixes proposed as voters at most.
+PROPOSED = 160
 MIN_SUPPORT = 6
-#: Log-odds that a training row's own label adds to the voters' posterior, and the most that these weigh.
-LABEL_LOGIT, VOTES_LOGIT = 4.0, 4.0
+#: Voters that speak together more than this (correlation over all documents) are of one profile.
+JOINED = 0.12
+#: Profiles of toxic documents at most; the voters of smaller groups share the last one.
+PROFILES = 12
+#: Agreement tells nothing of a voter that never speaks with another: it is taken to be right this often, which
+#: counts as much as this share of its votes.
+LONE_PRECISION, LONE_BELIEF = 0.7, 0.2
+#: Words whose units a task remembers at most; the memory is emptied when full and goes with the task.
+REMEMBERED = 50_000
 
 #: Insults by language: fixed values, a seed lexicon.
 LEXICON = {
@@ -48,8 +56,16 @@ PATTERNS = {
     "go_die": r"\bgo (?:to hell|die|kill yourself)\b",
     "slur_frame": r"\b(?:stupid|dumb|worthless|filthy|pathetic) (?:people|little|piece|excuse)\b",
 }
+#: A pattern is looked for where one of these words occurs.
+TRIGGERS = {
+    "you_are": {"are", "is"},
+    "threat": {"kill", "hurt", "beat", "destroy"},
+    "shut_up": {"shut"},
+    "go_die": {"go"},
+    "slur_frame": {"stupid", "dumb", "worthless", "filthy", "pathetic"},
+}
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_COMPILED = {k: re.compile(v) for k, v in PATTERNS.items()}
+_COMPILED = [(TRIGGERS[k], re.compile(v)) for k, v in PATTERNS.items()]
 
 
 def held_out(doc_id) -> bool:
@@ -78,55 +94,62 @@ def levels_of(words: set[str]) -> set[tuple[str, int]]:
 # ---------------------------------------------------------------- voters
 
 
-class Voters:
-    """Each voter says toxic (1) or abstains (0): a lexicon by language, a pattern, a proposed term or prefix."""
+class UnitIndex:
+    """Numbers of (unit, level) pairs, and which of them a text's distinct words reach."""
 
-    def __init__(self, proposed: list[tuple[str, int]]):
-        self.names = [f"lexicon_{k}" for k in LEXICON] + list(PATTERNS) + ["several", "dense"] + [f"{u}#{k}" for u, k in proposed]
-        self.lexicon = [frozenset(v.split()) for v in LEXICON.values()]
-        self.any_word = frozenset().union(*self.lexicon)
-        self.proposed: dict[str, list[tuple[int, int]]] = {}
-        for i, (unit, level) in enumerate(proposed):
-            self.proposed.setdefault(unit, []).append((level, i + len(LEXICON) + len(PATTERNS) + 2))
+    def __init__(self, units: list[tuple[str, int]], first: int = 0):
+        self.levels: dict[str, list[tuple[int, int]]] = {}
+        for i, (unit, level) in enumerate(units):
+            self.levels.setdefault(unit, []).append((level, first + i))
         self.known: dict[str, tuple] = {}
 
     def _units(self, word: str) -> tuple:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 300_000:
+            if len(self.known) > REMEMBERED:
                 self.known.clear()
-            found = self.known[word] = tuple(u for u in units_of(word) if u in self.proposed)
+            found = self.known[word] = tuple(u for u in units_of(word) if u in self.levels)
         return found
 
+    def reached(self, words: set[str]) -> list[int]:
+        counts = Counter([u for w in words for u in self._units(w)])
+        return [i for u, n in counts.items() for level, i in self.levels[u] if n >= level]
+
+
+class Voters:
+    """Each voter says toxic (1) or abstains (0): a lexicon by language, a pattern, a proposed term or prefix."""
+
+    def __init__(self, proposed: list[tuple[str, int]]):
+        self.names = [f"lexicon_{k}" for k in LEXICON] + list(PATTERNS) + ["several", "dense"] + [f"{u}#{k}" for u, k in proposed]
+        self.lexicon = [frozenset(v.split()) for v in LEXICON.values()]
+        self.any_word = frozenset().union(*self.lexicon)
+        self.proposed = UnitIndex(proposed, len(LEXICON) + len(PATTERNS) + 2)
+
     def votes(self, text: str, words: set[str]) -> list[int]:
         """Indices of the voters that say toxic."""
-        found = [i for i, terms in enumerate(self.lexicon) if not terms.isdisjoint(words)]
-        lower = text.lower()
-        found += [len(self.lexicon) + i for i, p in enumerate(_COMPILED.values()) if p.search(lower)]
         strong = len(self.any_word & words)
+        found = [i for i, terms in enumerate(self.lexicon) if not terms.isdisjoint(words)] if strong else []
+        lower = None
+        for i, (trigger, pattern) in enumerate(_COMPILED):
+            if not trigger.isdisjoint(words):
+                lower = text.lower() if lower is None else lower
+                found += [len(self.lexicon) + i] * bool(pattern.search(lower))
         at = len(self.lexicon) + len(PATTERNS)
         found += [at] * (strong >= 2) + [at + 1] * (strong >= 1 and strong * 60 >= len(words))
-        counts = Counter(u for w in words for u in self._units(w))
-        return found + [i for u, n in counts.items() for level, i in self.proposed[u] if n >= level]
-
-
-def enriched(texts_of: list[str], labels: np.ndarray) -> list[tuple[float, float, tuple[str, int]]]:
-    """(G statistic, lower bound of precision, unit with level) of what stands out in toxic rows, best first."""
-    toxic: Counter = Counter()
-    for text, y in zip(texts_of, labels, strict=True):
-        if y:
-            toxic.update(levels_of(words_of(text)))
-    toxic = Counter({u: n for u, n in toxic.items() if n >= MIN_SUPPORT})
-    clean: Counter = Counter()
-    for text, y in zip(texts_of, labels, strict=True):
-        if not y:
-            clean.update(toxic.keys() & levels_of(words_of(text)))
-    positive, rows = labels.sum(), len(labels)
+        return found + self.proposed.reached(words)
+
+
+def enriched(toxic: dict, clean: dict, positive: int, rows: int) -> list[tuple[float, float, tuple[str, int]]]:
+    """(G statistic, lower bound of precision, unit with level) of what stands out in toxic rows, best first.
+
+    ``toxic`` and ``clean`` count the rows of each kind that reach a unit, out of ``positive`` of ``rows``.
+    """
     out = []
     for unit, n in toxic.items():
-        total = n + clean[unit]
+        other = clean.get(unit, 0)
+        total = n + other
         if n / total > 2 * positive / rows:
-            observed = np.array([n, clean[unit], positive - n, rows - positive - clean[unit]], float)
+            observed = np.array([n, other, positive - n, rows - positive - other], float)
             expected = np.array([total * positive, total * (rows - positive), (rows - total) * positive, (rows - total) * (rows - positive)]) / rows
             g2 = 2 * float((observed * np.log(np.where(observed > 0, observed, 1) / np.maximum(expected, 1e-9)))[observed > 0].sum())
             p = n / total
@@ -136,76 +159,113 @@ def enriched(texts_of: list[str], labels: np.ndarray) -> list[tuple[float, float
 
 def propose(found: list[tuple[float, float, tuple[str, int]]], limit: int = PROPOSED) -> list[tuple[str, int]]:
     """Voters: enriched units of a precision over one half. Of a word, its prefixes and levels the best is taken."""
-    taken: list[tuple[str, int]] = []
+    taken: dict[str, tuple[str, int]] = {}
+    heads: set[str] = set()
     for _, low, (unit, level) in found:
         stem = unit.rstrip("*")
-        if low > 0.5 and not any(stem.startswith(t.rstrip("*")) or t.rstrip("*").startswith(stem) for t, _ in taken):
-            taken.append((unit, level))
+        if low > 0.5 and stem not in heads and not any(stem[:n] in taken for n in range(1, len(stem) + 1)):
+            taken[stem] = (unit, level)
+            heads.update(stem[:n] for n in range(1, len(stem) + 1))
         if len(taken) == limit:
             break
-    return taken
+    return list(taken.values())
 
 
 # ---------------------------------------------------------------- label model
 
 
 class LabelModel:
-    """Two latent classes; each voter speaks with a rate per class; correlated voters share one weight.
-
-    Moments (how often each voter and each pair of voters speak) come from all documents. EM over
-    rows of a bounded sample, begun at the voters' mean, gives the rates; a pair is dependent if it
-    speaks together more often than the classes explain, and a voter's log-odds are divided by the
-    size of its dependency (one plus its summed excess correlations).
+    """A latent class of clean documents and one per profile of toxic ones; no label is read.
+
+    Accuracies are each voter's rate of speaking in every class. Correlations come from the moments of
+    all documents (how often each voter and each pair of voters speak): voters that speak together
+    form a profile, which is a class of its own, so that words of one language or kind are not taken
+    for independent of each other; and where a pair still speaks together more often than all classes
+    explain, both are discounted (by one plus the sum of these correlations). Rates, discounts and
+    posteriors are estimated in turns, by expectation and maximisation over the votes of a sample.
     """
 
     def __init__(self, n: int):
         self.n = n
 
-    def fit(self, votes: np.ndarray, anchors: np.ndarray, once: np.ndarray, pairs: np.ndarray, total: int, rounds: int = 30) -> LabelModel:
-        """votes: rows x n; anchors: known labels (0, 1; else nan); once, pairs: counts over ``total`` documents."""
-        known = ~np.isnan(anchors)
-        q = np.where(known, np.nan_to_num(anchors), np.minimum(votes.sum(1) / 3, 0.95))
+    def groups(self, once: np.ndarray, pairs: np.ndarray, total: int) -> tuple[np.ndarray, int]:
+        """The profile (0, 1, ...) of each voter, and the last, of lone ones: connected parts of the graph of correlations over JOINED."""
+        share = once / max(1, total)
+        spread = np.sqrt(np.outer(share * (1 - share), share * (1 - share))) + 1e-12
+        joined = (pairs / max(1, total) - np.outer(share, share)) / spread > JOINED
+        label = np.arange(self.n)
+        while True:
+            new = np.minimum(label, np.where(joined, label[None, :], self.n).min(axis=1, initial=self.n))
+            new = np.minimum(new, new[new])
+            if (new == label).all():
+                break
+            label = new
+        sizes = Counter(label.tolist())
+        large = [g for g, size in sizes.most_common() if size > 1][: PROFILES - 1]
+        number = {g: k for k, g in enumerate(large)}
+        return np.array([number.get(g, len(large)) for g in label.tolist()], int), len(large)
+
+    def fit(self, votes: np.ndarray, once: np.ndarray, pairs: np.ndarray, total: int, rounds: int = 60) -> LabelModel:
+        """votes: rows x n of 0 and 1; once, pairs: counts over ``total`` documents."""
+        profile, rest = self.groups(once, pairs, total)
+        lone = profile == rest
+        classes = rest + bool(lone.any())
+        believed = np.zeros((classes + 1, self.n))  # votes of lone voters that are taken for granted, by class
+        believed[-1, lone] = LONE_PRECISION * LONE_BELIEF * votes[:, lone].sum(0)
+        believed[0, lone] = (1 - LONE_PRECISION) * LONE_BELIEF * votes[:, lone].sum(0)
+        spoken = np.stack([votes[:, profile == k].sum(1) for k in range(classes)], 1)
+        toxic = np.where(spoken.sum(1) > 0, np.minimum(0.5 + 0.15 * spoken.sum(1), 0.95), 0.02)
+        inside = (spoken + 1e-3) / (spoken + 1e-3).sum(1, keepdims=True)
+        q = np.c_[1 - toxic, toxic[:, None] * inside]
         self.discount = np.ones(self.n)
+        before = None
         for _ in range(rounds):
-            self.prior = np.clip(q.mean(), 1e-3, 0.999)
-            self.high = (votes.T @ q + 0.5) / (q.sum() + 1)
-            self.low = (votes.T @ (1 - q) + 0.05) / ((1 - q).sum() + 1)
-            new = np.where(known, np.nan_to_num(anchors), self.posterior(votes))
-            if np.abs(new - q).max() < 1e-4:
+            mass = q.sum(0) + believed.sum(1)
+            self.prior = np.clip(mass / max(1e-9, mass.sum()), 1e-5, 1)
+            rates = (q.T @ votes + believed + 0.02) / (mass + np.r_[5.0, np.full(classes, 1.0)])[:, None]
+            self.rates = np.clip(rates, 1e-5, 1 - 1e-3)
+            explained = (self.rates.T * self.prior) @ self.rates
+            within = self.prior @ (self.rates * (1 - self.rates))  # a voter's variance inside the classes
+            excess = np.clip((pairs / max(1, total) - explained) / np.sqrt(np.outer(within, within)), 0, 1)
+            np.fill_diagonal(excess, 0)
+            self.correlation = np.where(excess > 0.1, excess, 0)
+            self.discount = 1 / (1 + self.correlation.sum(1))
+            q = self._classes(votes)
+            if before is not None and np.abs(q - before).max() < 1e-4:
                 break
-            q = new
-        share = once / max(1, total)
-        p = self.prior
-        expected = p * np.outer(self.high, self.high) + (1 - p) * np.outer(self.low, self.low)
-        spread = np.sqrt(np.outer(share * (1 - share), share * (1 - share))) + 1e-9
-        excess = np.clip((pairs / max(1, total) - expected) / spread, 0, 1)
-        np.fill_diagonal(excess, 0)
-        self.correlation = np.where(excess > 0.1, excess, 0)
-        self.discount = 1 / (1 + self.correlation.sum(1))
+            before = q
         return self
 
+    def _classes(self, votes: np.ndarray) -> np.ndarray:
+        spoke = np.log(self.rates) * self.discount
+        silent = np.log(1 - self.rates) * self.discount
+        z = np.log(self.prior) + votes @ spoke.T + (1 - votes) @ silent.T
+        z = np.exp(z - z.max(1, keepdims=True))
+        return z / z.sum(1, keepdims=True)
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        spoke = np.log(self.high / self.low) * self.discount
-        silent = np.log((1 - self.high) / (1 - self.low)) * self.discount
-        z = math.log(self.prior / (1 - self.prior)) + votes @ spoke + (1 - votes) @ silent
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        """The probability that each row is of a toxic class."""
+        return 1 - self._classes(votes)[:, 0]
+
+    @property
+    def accuracy(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each voter's rate of speaking on toxic and on clean documents."""
+        toxic = self.prior[1:] / self.prior[1:].sum()
+        return toxic @ self.rates[1:], self.rates[0]
 
 
 # ---------------------------------------------------------------- linear classifier
 
 
 class Linear:
-    """Logistic regression with an L2 penalty on the presence of units, by accelerated gradient steps."""
-
-    def __init__(self, units: list[tuple[str, int]], l2: float = 0.05, steps: int = 1500):
-        self.units, self.l2, self.steps = units, l2, steps
-        self.index = {u: i for i, u in enumerate(units)}
+    """Logistic regression with an L2 penalty on sparse 0/1 features, by accelerated gradient steps."""
 
-    def rows(self, texts_of: list[str]) -> list[list[int]]:
-        return [sorted(self.index[u] for u in self.index.keys() & levels_of(words_of(t))) for t in texts_of]
+    def __init__(self, n: int, l2: float = 0.05, steps: int = 600):
+        self.n, self.l2, self.steps = n, l2, steps
 
     def fit(self, rows: list[list[int]], targets: np.ndarray, weights: np.ndarray) -> Linear:
-        n = len(self.units)
+        """rows: the features of each; targets: probabilities."""
+        n = self.n
         at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         column = np.array([i for r in rows for i in r], np.int64)
         w, constant = np.zeros(n), 0.0
@@ -220,15 +280,64 @@ class Linear:
         self.weights, self.constant = w, float(constant)
         return self
 
+    def logits(self, rows: list[list[int]]) -> np.ndarray:
+        return np.array([self.constant + self.weights[r].sum() if r else self.constant for r in rows])
+
+
+def best_threshold(logits: np.ndarray, y: np.ndarray) -> float:
+    """The logit between two rows that mislabels fewest of them; of equals, the nearest to zero."""
+    order = np.argsort(logits, kind="stable")
+    z, y = logits[order], y[order]
+    wrong = np.append(0, np.cumsum(y)) + (1 - y).sum() - np.append(0, np.cumsum(1 - y))
+    cuts = np.r_[z[0] - 1, (z[1:] + z[:-1]) / 2, z[-1] + 1]
+    wrong[1:-1][z[1:] == z[:-1]] = len(y) + 1  # no cut between equal rows
+    best = np.flatnonzero(wrong == wrong.min())
+    return float(cuts[best[np.abs(cuts[best]).argmin()]])
+
 
 # ---------------------------------------------------------------- operator
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, column: str = "toxic", limit: int = SAMPLE_ROWS) -> list:
-    """At most ``limit`` labelled rows (text, label) outside the held-out fold, in the order of a hash of doc_id."""
+def sample(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> DataFrame:
+    """(doc_id, y, open, text): LABELLED_ROWS labelled documents (y) and TRAINING_ROWS of any kind (open), written.
+
+    Both are the first by a hash of doc_id. Labels of the held-out fold are not read. A doc_id that
+    is repeated counts once, with its least text; null doc_ids are left out.
+    """
     labelled = labels.where(~held_out_column() & F.col(column).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(column).cast("int").alias("y"))
-    chosen = labelled.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").orderBy("doc_id", "text").collect()
+    known = labelled.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
+    drawn = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS).select("doc_id", F.lit(True).alias("open"))
+    chosen = written(known.join(drawn, "doc_id", "full"), "toxic-chosen")
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id")
+    return written(rows.groupBy("doc_id", "y", "open").agg(F.min("text").alias("text")), "toxic-sample")
+
+
+def _count_batches(among: set | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per partition: rows that reach each unit (those of ``among`` only)."""
+        counts: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = levels_of(words_of(text))
+                counts.update(found if among is None else among & found)
+        names, levels = zip(*counts, strict=True) if counts else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(levels, pa.int32()), pa.array(list(counts.values()), pa.int64())], ["unit", "level", "n"])
+
+    return run
+
+
+def _counted(rows: DataFrame, among: set | None, least: int) -> dict[tuple[str, int], int]:
+    parts = rows.select("text").mapInArrow(_count_batches(among), "unit string, level int, n long")
+    return {(r.unit, r.level): r.n for r in parts.groupBy("unit", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()}
+
+
+def standing_out(rows: DataFrame) -> list[tuple[float, float, tuple[str, int]]]:
+    """:func:`enriched` over the labelled rows of a sample, counted where the rows are."""
+    positive, n = rows.agg(F.count_if(F.col("y") > 0), F.count("y")).first()
+    if not 0 < positive < n:
+        return []
+    toxic = _counted(rows.where("y > 0"), None, MIN_SUPPORT)
+    return enriched(toxic, _counted(rows.where("y <= 0"), set(toxic), 1), positive, n)
 
 
 def _vote_batches(voters: Voters):
@@ -263,76 +372,82 @@ def vote_moments(docs: DataFrame, voters: Voters) -> tuple[np.ndarray, np.ndarra
 
 
 class Scorer:
-    """A fitted classifier: per unit the weights of its levels, and the constant."""
+    """A fitted classifier: the voters' votes and the units are its features."""
 
-    def __init__(self, linear: Linear):
-        self.weights: dict[str, list[tuple[int, float]]] = {}
-        for (unit, level), w in zip(linear.units, linear.weights.tolist(), strict=True):
-            self.weights.setdefault(unit, []).append((level, w))
-        self.constant = linear.constant
-        self.known: dict[str, tuple] = {}
+    def __init__(self, voters: Voters, units: list[tuple[str, int]]):
+        self.voters, self.units, self.size = voters, UnitIndex(units, len(voters.names)), len(voters.names) + len(units)
+        self.weights, self.constant = np.zeros(self.size), 0.0
 
-    def _units(self, word: str) -> tuple:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            found = self.known[word] = tuple(u for u in units_of(word) if u in self.weights)
-        return found
+    def features(self, text: str) -> list[int]:
+        words = words_of(text)
+        return sorted(self.voters.votes(text, words) + self.units.reached(words))
 
     def score(self, text: str) -> float:
-        counts = Counter(u for w in words_of(text) for u in self._units(w))
         z = self.constant
-        for u in sorted(counts):
-            z += sum(w for level, w in self.weights[u] if counts[u] >= level)
+        for i in self.features(text):
+            z += self.weights[i]
         return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[Scorer, Voters, LabelModel] | None:
-    """Voters, their model and the classifier; None if there is no labelled row to learn from.
+def _featured(rows: DataFrame, scorer: Scorer) -> list:
+    """(y, open, features) of each row of a sample, in the order of doc_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [scorer.features(t) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int32()))], ["doc_id", "y", "open", "features"])
+
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.select("doc_id", "y", "open", "text").mapInArrow(run, f"doc_id {kind}, y int, open boolean, features array<int>").orderBy("doc_id").collect()
+
+
+def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[Scorer, LabelModel]:
+    """The classifier and the label model.
 
-    Labels are read from rows outside the held-out fold only, SAMPLE_ROWS at most. Voters are
-    proposed from them; the voters' moments are counted over every document; the classifier's targets
-    are the label model's posteriors on the sample's rows, with the label as one more piece of evidence.
+    Labels propose terms as voters and units as features, and place the threshold; they are no targets.
+    The voters' moments are counted over every document; rates and correlations follow from those and
+    from the votes of the training documents, most of them unlabelled; the classifier's targets are the
+    label model's posteriors on them and nothing else. Without labels the seed voters are all there is.
     """
-    rows = training_rows(docs, labels, column)
-    if not rows:
-        return None
-    bodies = [r.text for r in rows]
-    y = np.array([float(r.y > 0) for r in rows])
-    found = enriched(bodies, y)
-    voters = Voters(propose(found))
-    once, pairs, total = vote_moments(docs, voters)
-    votes = np.zeros((len(rows), len(voters.names)))
-    for k, text in enumerate(bodies):
-        votes[k, voters.votes(text, words_of(text))] = 1
-    anchors = np.where(np.arange(len(rows)) % 2 == 0, y, np.nan)  # every other label anchors the classes
-    model = LabelModel(len(voters.names)).fit(votes, anchors, once, pairs, total)
-    q = np.clip(model.posterior(votes), 1e-6, 1 - 1e-6)
-    evidence = np.clip(np.log(q / (1 - q)), -VOTES_LOGIT, VOTES_LOGIT) + np.where(y > 0, LABEL_LOGIT, -LABEL_LOGIT)
-    targets = 1 / (1 + np.exp(-np.clip(evidence, -30, 30)))
-    linear = Linear([unit for g2, _, unit in found[:FEATURES] if g2 >= MIN_G2])
-    linear.fit(linear.rows(bodies), targets, np.where(y > 0, max(1.0, (1 - y).sum() / max(1.0, y.sum())), 1.0))
-    return Scorer(linear), voters, model
+    rows = sample(docs, labels, column)
+    found = standing_out(rows)
+    scorer = Scorer(Voters(propose(found)), [unit for g2, _, unit in found[:FEATURES] if g2 >= MIN_G2])
+    n = len(scorer.voters.names)
+    once, pairs, total = vote_moments(docs, scorer.voters)
+    drawn = _featured(rows, scorer)
+    training = [r.features for r in drawn if r.open]
+    model = LabelModel(n)
+    if not training:
+        return scorer, model
+    votes = np.zeros((len(training), n))
+    for k, features in enumerate(training):
+        votes[k, [i for i in features if i < n]] = 1
+    targets = model.fit(votes, once, pairs, total).posterior(votes)
+    balance = min(20.0, max(1.0, (1 - targets).sum() / max(1.0, targets.sum())))
+    linear = Linear(scorer.size).fit(training, targets, 1 + targets * (balance - 1))
+    known = [r for r in drawn if r.y is not None]
+    threshold = 0.0
+    if len({r.y > 0 for r in known}) == 2:
+        threshold = best_threshold(linear.logits([r.features for r in known]), np.array([float(r.y > 0) for r in known]))
+    scorer.weights, scorer.constant = linear.weights, linear.constant - threshold
+    return scorer, model
 
 
 def score(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (score >= 0.5).
 
     Every document is scored from its whole text by the linear classifier; a null text is empty and
-    gets the constant's score. Without any labelled training row the seed lexicon alone votes: the
-    score is 0.9 if a lexicon or pattern voter speaks, else 0.1. A null doc_id hashes as the text
-    None; repeated rows are scored alike; extra columns are ignored.
+    gets the constant's score, and so does a text of any length without a feature. A score of exactly
+    0.5 counts as toxic. Without labelled training rows only the seed lexicon and patterns vote. A null
+    doc_id hashes as the text None; repeated rows are scored alike; extra columns are ignored; an empty
+    table gives an empty table.
     """
-    fitted = fit(docs, labels, column)
+    scorer, _ = fit(docs, labels, column)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fallback = Voters([])
         for batch in batches:
-            values = batch.column(1).to_pylist()
-            scores = [fitted[0].score(t) for t in values] if fitted else [0.9 if fallback.votes(t, words_of(t)) else 0.1 for t in values]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer.score(t) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
     scored = texts(docs).mapInArrow(run, f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out_column().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
