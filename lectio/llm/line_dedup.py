@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectio.llm import merges
-from lectio.llm.common import documents, small_or_shuffled, texts, unused, written
+from lectio.llm.common import discard, documents, small_or_shuffled, texts, unused, written
 from lectio.llm.components import connected_components
 
 SIMILARITY = 0.8
@@ -21,16 +21,20 @@ SIMILARITY = 0.8
 SHINGLE = 8
 #: Lines of fewer distinct shingles match exactly or not at all: one in four that differs is below SIMILARITY.
 MIN_SHINGLES = 4
-#: BANDS bands of ROWS minima find a pair of similarity s with probability 1 - (1 - s**3)**8: 0.997 at
-#: 0.8, 0.9999 at 0.9.
-BANDS, ROWS = 8, 3
-#: In a bucket of at most so many lines all are compared at once, in a larger one stars come first.
+#: (bands, rows of minima in each): b bands of r rows find a pair of similarity s with probability
+#: 1 - (1 - s**r)**b, 0.997 at 0.8 for the first. Lines of large buckets are dealt out again by the next
+#: (0.9993 at 0.8 for either), which parts lines of lower similarity better.
+LEVELS = ((8, 3), (24, 6), (64, 10))
+BANDS = LEVELS[0][0]
+#: In a bucket of at most so many lines all are compared, in a larger one stars come first.
 ALL_PAIRS = 16
+#: Pairs that are verified at once: their number, and that of their lines, fits above the bits of a shingle's hash.
+PAIRS, HASH_BITS = 512, np.uint64(54)
 #: Windows whose minima are taken at once, so that they stay in a core's cache.
 BLOCK = 1 << 17
 
 _seeds = random.Random(20)
-MASKS = [np.uint32(_seeds.getrandbits(32)) for _ in range(BANDS * ROWS)]
+FACTORS = [[np.uint32(_seeds.getrandbits(32) | 1) for _ in range(b * r)] for b, r in LEVELS]
 _ODD = [np.uint64(_seeds.getrandbits(64) | 1) for _ in range(8)]
 
 
@@ -43,11 +47,6 @@ def shingle_set(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def shingles(line: str) -> str:
-    """SQL for the array of a normalised line's shingles, repeats included."""
-    return f"regexp_extract_all({line}, '(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}(?!.)))', 1)"
-
-
 def row_key() -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("r2")]
 
@@ -55,48 +54,56 @@ def row_key() -> list[Column]:
 # ---------------------------------------------------------------- lines and signatures
 
 
-def window_hashes(points: np.ndarray) -> np.ndarray:
-    """A 32-bit hash of the SHINGLE code points from each position on, by doubling the width."""
-    h = points.astype(np.uint64)
+def windows(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the SHINGLE characters from each position of each line, and their number per line.
+
+    Positions are hashed all at once by doubling the width; those that reach into the next line go.
+    """
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    counts = np.maximum(sizes - SHINGLE + 1, 0)
+    if not counts.any():
+        return np.empty(0, np.uint64), counts
+    ends = np.cumsum(sizes)
+    h = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    valid = np.ones(len(h), bool)
+    for k in range(1, SHINGLE):
+        valid[ends[ends >= k] - k] = False
     width = 1
     while width < SHINGLE:
         h = h[:-width] * _ODD[width.bit_length()] + h[width:]
         width *= 2
+    h = h[valid[: len(h)]]
     h ^= h >> np.uint64(32)
     h *= _ODD[0]
-    return (h >> np.uint64(32)).astype(np.uint32)
+    h ^= h >> np.uint64(29)
+    h *= _ODD[5]
+    return h, counts
 
 
-def band_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(lines x BANDS) hashes of the bands, and which lines have them: those of MIN_SHINGLES positions or more.
+def band_hashes(lines: list[str], level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(lines x bands) hashes of the bands, and which lines have them: those of MIN_SHINGLES positions or more.
 
-    XOR with a random mask permutes the hashes of a line's shingles, and the least under a mask is a MinHash.
+    An odd factor permutes the 32-bit hashes of a line's shingles, and the least product is a MinHash.
     """
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    has = sizes - SHINGLE + 1 >= MIN_SHINGLES
-    out = np.zeros((len(lines), BANDS), np.int64)
-    if not has.any():
-        return out, has
+    bands, rows = LEVELS[level]
+    hashes, counts = windows(lines)
+    has = counts >= MIN_SHINGLES
+    out = np.zeros((len(lines), bands), np.int64)
     chosen = np.flatnonzero(has)
-    ends = np.cumsum(sizes[chosen])
-    points = np.frombuffer("".join([lines[i] for i in chosen]).encode("utf-32-le"), np.uint32)
-    valid = np.ones(len(points), bool)
-    for k in range(1, SHINGLE):
-        valid[ends - k] = False  # windows that reach into the next line
-    windows = window_hashes(points)[valid[: len(points) - SHINGLE + 1]]
-    counts = sizes[chosen] - SHINGLE + 1
+    part_of = np.repeat(has, counts)
+    short = (hashes[part_of] >> np.uint64(32)).astype(np.uint32)
+    counts = counts[chosen]
     stops = np.cumsum(counts)
     first = 0
     while first < len(chosen):
         done = int(stops[first] - counts[first])
         last = max(first + 1, int(np.searchsorted(stops, done + BLOCK)))
-        part = windows[done : stops[last - 1]]
+        part = short[done : stops[last - 1]]
         starts = stops[first:last] - counts[first:last] - done
-        least = [np.minimum.reduceat(part ^ m, starts).astype(np.uint64) for m in MASKS]
-        for b in range(BANDS):
-            h = np.full(last - first, b + 1, np.uint64) * _ODD[7]
-            for m in least[b * ROWS : (b + 1) * ROWS]:
-                h = (h ^ m) * _ODD[6]
+        for b in range(bands):
+            h = np.full(last - first, (level << 16) + b + 1, np.uint64) * _ODD[7]
+            for factor in FACTORS[level][b * rows : (b + 1) * rows]:
+                h = (h ^ np.minimum.reduceat(part * factor, starts).astype(np.uint64)) * _ODD[6]
                 h ^= h >> np.uint64(29)
             out[chosen[first:last], b] = h.view(np.int64)
         first = last
@@ -192,26 +199,51 @@ def _candidates(members: DataFrame) -> DataFrame:
     return _ordered(stars.union(pairs))
 
 
-def _finer_stars(signed: DataFrame, large: DataFrame) -> DataFrame:
-    """Pairs of lines of large buckets that share two bands, as stars around the smallest key of each two bands."""
-    keys = written(large.select("k1").distinct(), "line-large-keys")
-    bands = signed.join(small_or_shuffled(keys), "k1", "left_semi")
-    two = F.expr(f"flatten(transform(sequence(0, {BANDS - 2}), i -> transform(sequence(i + 1, {BANDS - 1}), j -> xxhash64(i, j, bands[i], bands[j]))))")
-    dealt = written(bands.select("k1", F.explode(two).alias("cell")), "line-cells")
-    least = written(dealt.groupBy("cell").agg(F.min("k1").alias("other"), F.max("k1").alias("high")).where("other != high").drop("high"), "line-cell-heads")
-    return _ordered(dealt.join(least.hint("merge"), "cell"))
+def _mixed(large: DataFrame, parts: DataFrame) -> DataFrame:
+    """(k1, part): lines of large buckets that hold lines of several components."""
+    named = written(large.join(parts.withColumnRenamed("node", "k1"), "k1", "left").select("band", "k1", F.coalesce("component", "k1").alias("part")), "line-named")
+    several = written(named.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("band"), "line-several")
+    return written(named.join(small_or_shuffled(several), "band", "left_semi").select("k1", "part").distinct(), "line-mixed")
+
+
+def _finer(sought: DataFrame, mixed: DataFrame, level: int) -> DataFrame:
+    """(k1, n, bands) of the mixed lines at a finer level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in merges.slices(pc.binary_length(batch.column(1)).to_pylist()):
+                bands, has = band_hashes(batch.column(1).slice(low, high - low).to_pylist(), level)
+                listed = pa.array(list(bands[has]), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low).filter(pa.array(has)), listed], ["k1", "bands"])
 
+    lines = sought.join(small_or_shuffled(mixed.select("k1")), "k1", "left_semi").select("k1", "line")
+    return written(lines.mapInArrow(run, "k1 long, bands array<long>").withColumn("n", F.lit(1).cast("long")), "line-finer")
 
-def _unsettled(large: DataFrame, parts: DataFrame, sought: DataFrame) -> DataFrame:
-    """Pairs of lines in different components, out of large buckets that hold several: none that is similar is left out.
+
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs whose lines aren't in one component yet."""
+    of = lambda key, name: parts.select(F.col("node").alias(key), F.col("component").alias(name))
+    both = pairs.join(of("a", "pa"), "a", "left").join(of("b", "pb"), "b", "left")
+    return both.where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b")
+
+
+def _hashed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low, high in merges.slices(pc.binary_length(batch.column(2)).to_pylist()):
+            part = batch.slice(low, high - low)
+            hashes, counts = windows(part.column(2).to_pylist())
+            sets = [np.sort(x) for x in np.split(hashes.view(np.int64), np.cumsum(counts)[:-1])]
+            sets = [x[np.append(True, x[1:] != x[:-1])] if len(x) else x for x in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], ["k1", "part", "s"])
+
+
+def _unsettled(mixed: DataFrame, sought: DataFrame) -> DataFrame:
+    """Pairs of mixed lines of different components: none that is similar is left out.
 
     Of two sets of a similarity of SIMILARITY or more, the rarest shingles (all but SIMILARITY of each,
     and one) share one, and the sizes differ by no more than that factor.
     """
-    named = written(large.join(parts.withColumnRenamed("node", "k1"), "k1", "left").select("band", "k1", F.coalesce("component", "k1").alias("part")), "line-named")
-    several = written(named.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("band"), "line-several")
-    mixed = written(named.join(small_or_shuffled(several), "band", "left_semi").select("k1", "part").distinct(), "line-mixed")
-    hashed = sought.join(small_or_shuffled(mixed), "k1").select("k1", "part", F.expr(f"array_distinct(transform({shingles('line')}, x -> xxhash64(x)))").alias("s"))
+    hashed = sought.join(small_or_shuffled(mixed), "k1").select("k1", "part", "line").mapInArrow(_hashed_batches, "k1 long, part long, s array<long>")
     held = written(hashed.select("k1", "part", F.size("s").alias("z"), F.explode("s").alias("x")), "line-held")
     often = written(held.groupBy("x").agg(F.count("*").alias("f")), "line-often")
     ranked = held.join(often.hint("merge"), "x").groupBy("k1", "part", "z").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("xs"))
@@ -228,21 +260,40 @@ def _sought(lines: DataFrame, members: DataFrame) -> DataFrame:
     return written(lines.select("k1", "line").join(small_or_shuffled(keys), "k1", "left_semi").groupBy("k1").agg(F.first("line").alias("line")), "line-sought")
 
 
+def close(lines: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each pair of numbers of lines has a similarity of SIMILARITY or more (of PAIRS pairs at most).
+
+    The sets of all lines are one sorted run of (line, hash of shingle); what the two lines of a pair
+    share stands twice in the sorted run of (pair, hash).
+    """
+    hashes, counts = windows(lines)
+    owner = np.repeat(np.arange(len(lines), dtype=np.uint64), counts)
+    low = np.uint64(64) - HASH_BITS
+    sets = np.sort(owner << HASH_BITS | hashes >> low)
+    sets = sets[np.append(True, sets[1:] != sets[:-1])] if len(sets) else sets
+    sizes = np.bincount((sets >> HASH_BITS).astype(np.int64), minlength=len(lines))
+    starts = np.cumsum(sizes) - sizes
+    small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+    out = (small >= MIN_SHINGLES) & (small >= SIMILARITY * large)
+    tried = np.flatnonzero(out)
+    both = np.concatenate([a[tried], b[tried]])
+    pair = np.tile(np.arange(len(tried), dtype=np.uint64), 2)
+    n = sizes[both]
+    at = np.repeat(starts[both] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    held = np.sort(np.repeat(pair, n) << HASH_BITS | (sets[at] << low) >> low)
+    twice = held[1:][held[1:] == held[:-1]]
+    common = np.bincount((twice >> HASH_BITS).astype(np.int64), minlength=len(tried))
+    out[tried] = common >= SIMILARITY * (sizes[a[tried]] + sizes[b[tried]] - common)
+    return out
+
+
 def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low in range(0, batch.num_rows, 1024):
-            u, v, a, b = (batch.column(k).slice(low, 1024) for k in range(4))
-            sets: dict[str, set[str]] = {}
-            close = []
-            for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-                p, q = (sets[z] if z in sets else sets.setdefault(z, shingle_set(z)) for z in (x, y))
-                small, large = (p, q) if len(p) <= len(q) else (q, p)
-                if len(small) < MIN_SHINGLES or len(small) < SIMILARITY * len(large):
-                    close.append(False)
-                    continue
-                common = len(small & large)
-                close.append(common >= SIMILARITY * (len(p) + len(q) - common))
-            keep = pa.array(close, pa.bool_())
+        for low in range(0, batch.num_rows, PAIRS):
+            u, v, la, lb = (batch.column(k).slice(low, PAIRS) for k in range(4))
+            known = pa.chunked_array([la, lb]).combine_chunks().dictionary_encode()
+            codes = known.indices.to_numpy()
+            keep = pa.array(close(known.dictionary.to_pylist(), codes[: len(la)], codes[len(la) :]))
             yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], ["u", "v"])
 
 
@@ -254,23 +305,29 @@ def _verified(sought: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _similar_parts(lines: DataFrame, signed: DataFrame) -> DataFrame:
-    """(node, component) of the lines that resemble another: no similar pair of a bucket is left out.
+    """(node, component) of the lines that resemble another.
 
-    Stars join most of a large bucket's lines at a linear cost; pairs across the components that then
-    remain in it are all compared.
+    All lines of a small bucket are compared. Of a large one two stars join most lines at a linear cost;
+    where it still holds several components, its lines are dealt out again by the next of LEVELS, and
+    after the last all pairs of such lines that can be similar are compared, by their rarest shingles.
     """
     members = _members(signed)
     sought = _sought(lines, members)
-    edges = written(_verified(sought, written(_candidates(members), "line-pairs")), "line-similar")
-    large = members.where(f"m > {ALL_PAIRS}").select("band", "k1")
-    if large.isEmpty():
-        return written(connected_components(edges), "line-parts")
-    edges = written(edges.union(_verified(sought, written(_finer_stars(signed, large), "line-pairs"))), "line-similar")
-    parts = written(connected_components(edges), "line-parts")
-    more = written(_verified(sought, written(_unsettled(large, parts, sought), "line-pairs")), "line-similar")
-    if more.isEmpty():
-        return parts
-    return written(connected_components(edges.union(more)), "line-parts")
+    edges = parts = None
+    for level in range(len(LEVELS)):
+        pairs = _candidates(members)
+        pairs = written(pairs if parts is None else _apart(pairs, parts), "line-pairs")
+        found = written(_verified(sought, pairs), "line-similar")
+        discard(pairs)
+        edges = found if edges is None else edges.union(found)
+        parts = written(connected_components(edges), "line-parts")
+        mixed = _mixed(members.where(f"m > {ALL_PAIRS}").select("band", "k1"), parts)
+        if mixed.isEmpty():
+            return parts
+        if level + 1 < len(LEVELS):
+            members = _members(_finer(sought, mixed, level + 1))
+    more = written(_verified(sought, written(_unsettled(mixed, sought), "line-pairs")), "line-similar")
+    return parts if more.isEmpty() else written(connected_components(edges.union(more)), "line-parts")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:

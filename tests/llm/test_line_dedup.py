@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lectio.llm import line_dedup
@@ -113,6 +114,39 @@ def test_recall_by_bands():
     assert total > 200 and found >= 0.99 * total
 
 
+def test_pairs_are_verified_as_sets_are():
+    rng = random.Random(7)
+    lines = ["", "short", "exactly8", "aaaaaaaaaaaaaaaaaaaaaaaaa", "éèê" * 9] + ["".join(rng.choice("ab ") for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    long = ["".join(rng.choice("abcd ") for _ in range(rng.randint(20, 90))) for _ in range(80)]
+    first = len(lines)
+    lines += long + [x[:-1] + "z" for x in long]
+    a, b = (np.array([rng.randrange(len(lines)) for _ in range(line_dedup.PAIRS)]) for _ in range(2))
+    a[:80], b[:80] = np.arange(first, first + 80), np.arange(first + 80, first + 160)
+    got = line_dedup.close(lines, a, b)
+    for x, y, near in zip(a, b, got, strict=True):
+        p, q = shingle_set(lines[x]), shingle_set(lines[y])
+        assert near == (min(len(p), len(q)) >= 4 and len(p & q) >= 0.8 * len(p | q))
+    assert 20 < got.sum() < len(got)
+
+
+def test_large_buckets_are_dealt_out_again(spark, monkeypatch):
+    """Lines of lower similarity that fill large buckets at the first level are told apart at the next."""
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    base = words(20)
+    rows = []
+    for i in range(120):
+        line = list(base)
+        for k in rng.sample(range(20), 3):
+            line[k] = words(1)[0]
+        rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(line)[:-1] + "#")]
+    levels = []
+    finer = line_dedup._finer
+    monkeypatch.setattr(line_dedup, "_finer", lambda s, m, level: levels.append(level) or finer(s, m, level))
+    got = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_dropped}
+    assert levels and got == {i for i, _ in slow(rows)}
+
+
 def test_columns_of_any_name(spark):
     rows = [(1, "the same line of text here\nother", 1, 2, 3, 4), (2, "the same line of text here", 1, 2, 3, 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, r1 int, r2 int, `drop` int, place int")
