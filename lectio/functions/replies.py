@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,10 +12,20 @@ from pyspark.sql import types as T
 
 from lectio.functions import text as tx
 
-# Fixed values.
+# Limits, the answer for no preference, and the patterns by which replies are read.
 RAW_CAP = 2000
 SHORT_REPLY_WORDS = 8
 TIE = "tie"
+BARE_CHOICE = r"""(?i)^[\s*_'"`.]*(1|2|tie)[\s*_'"`.!]*$"""
+OPTION = r"(?U)\b([12])\b"
+TIE_WORD = r"(?iU)\btie\b"
+#: Brackets that are skipped at once where nesting is too deep to parse.
+DEEP = 500
+OUT_OF_TOP = r"(?U)\b(\d+)\s*/\s*{high}\b"
+SCALE_MENTIONS = (r"(?iU)\bout of\s+{high}\b", r"(?iU)\b{low}\s*(?:-|to|–)\s*{high}\b(?:\s*(?:scale|range|point))?", r"(?iU)\bscale\b")
+
+
+_OPENING = re.compile(r"[\[{]")
 
 
 def _reply(c) -> Column:
@@ -22,22 +33,25 @@ def _reply(c) -> Column:
 
 
 def parse_choice(c) -> Column:
-    """P-01: 1, 2, tie, or null where the reply names none or both."""
+    """P-01: 1, 2, tie, or null where the reply names none or both.
+
+    A reply that is an answer and nothing else counts as it stands; a longer one if it names only a tie,
+    or is short and names only one option.
+    """
     reply = _reply(c)
-    bare = F.lower(F.regexp_extract(reply, r"""(?i)^[\s*_'"`.]*(1|2|tie)[\s*_'"`.!]*$""", 1))
-    options = F.array_distinct(F.regexp_extract_all(reply, F.lit(r"(?U)\b([12])\b"), F.lit(1)))
-    tie = reply.rlike(r"(?iU)\btie\b")
-    lone = (F.size(options) == 1) & ~tie & (F.size(tx.words(reply)) <= SHORT_REPLY_WORDS)
-    return F.when(bare != "", bare).when(tie & (F.size(options) == 0), TIE).when(lone, F.get(options, F.lit(0)))
+    named = F.array_distinct(F.regexp_extract_all(reply, F.lit(OPTION), F.lit(1)))
+    says_tie = reply.rlike(TIE_WORD)
+    inside = F.when(says_tie, F.when(F.size(named) == 0, TIE)).when((F.size(named) == 1) & (F.size(tx.words(reply)) <= SHORT_REPLY_WORDS), F.get(named, F.lit(0)))
+    return F.coalesce(F.nullif(F.lower(F.regexp_extract(reply, BARE_CHOICE, 1)), F.lit("")), inside)
 
 
 def parse_scale(c, low: int, high: int) -> Column:
     """P-02: the one integer within the scale, mentions of the scale itself left out; else null."""
-    reply = F.regexp_replace(_reply(c), rf"(?U)\b(\d+)\s*/\s*{high}\b", "$1")
-    for pattern in (rf"\bout of\s+{high}\b", rf"\b{low}\s*(?:-|to|–)\s*{high}\b(?:\s*(?:scale|range|point))?", r"\bscale\b"):
-        reply = F.regexp_replace(reply, f"(?iU){pattern}", " ")
-    numbers = F.transform(F.regexp_extract_all(reply, F.lit(r"-?\d+"), F.lit(0)), lambda x: x.try_cast("int"))
-    kept = F.array_distinct(F.filter(numbers, lambda x: x.between(low, high)))
+    bounds = {"low": low, "high": high}
+    reply = F.regexp_replace(_reply(c), OUT_OF_TOP.format(**bounds), "$1")
+    for pattern in SCALE_MENTIONS:
+        reply = F.regexp_replace(reply, pattern.format(**bounds), " ")
+    kept = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(reply, F.lit(r"-?\d+"), F.lit(0)), lambda x: x.try_cast("int")), lambda x: x.between(low, high)))
     return F.when(F.size(kept) == 1, F.get(kept, F.lit(0)))
 
 
@@ -69,24 +83,45 @@ def parse_rubric(c, names: list[str]) -> Column:
     return F.struct(*(value(n, 5) for n in names), value("overall", 10))
 
 
+def _closed_within(text: str, start: int, stop: int) -> tuple[str, int]:
+    """Of a stretch that parsed as JSON up to ``stop``: the longest object or array closed inside, and the first bracket within a string (else stop)."""
+    best, opened, i, quoted = "", [], start, stop
+    while i < stop:
+        if text[i] == '"':
+            i += 1
+            while i < stop and text[i] != '"':
+                if text[i] in "[{":
+                    quoted = min(quoted, i)
+                i += 2 if text[i] == "\\" else 1
+        elif text[i] in "[{":
+            opened.append(i)
+        elif text[i] in "]}" and opened:
+            best = max(best, text[opened.pop() : i + 1], key=len)
+        i += 1
+    return best, quoted
+
+
 def _largest_json(reply: str | None) -> str | None:
-    """The longest balanced object or array that parses; brackets within strings don't count."""
-    best = None
+    """The longest balanced object or array that parses; brackets within strings don't count.
+
+    Where a reading fails, every bracket still open there fails too, so only what was closed before can
+    be whole; the search goes on from the failure, or from a bracket that the failed reading took for
+    part of a string.
+    """
+    text, best, at = reply or "", "", 0
     decoder = json.JSONDecoder()
-    text = reply or ""
-    at = 0
-    while at < len(text):
-        if text[at] in "[{":
-            try:
-                _, end = decoder.raw_decode(text, at)
-                if best is None or end - at > len(best):
-                    best = text[at:end]
-                at = end
-                continue
-            except ValueError:
-                pass
-        at += 1
-    return best
+    while (opening := _OPENING.search(text, at)) is not None:
+        start = opening.start()
+        try:
+            _, at = decoder.raw_decode(text, start)
+            best = max(best, text[start:at], key=len)
+        except json.JSONDecodeError as failure:
+            inside, at = _closed_within(text, start + 1, max(failure.pos, start + 1))
+            best = max(best, inside, key=len)
+        except RecursionError:  # deeper than the parser goes: a good part of the depth further in
+            ahead = [m.start() for m, _ in zip(_OPENING.finditer(text, start), range(DEEP), strict=False)]
+            at = ahead[-1]
+    return best or None
 
 
 @F.pandas_udf(T.StringType())
@@ -95,27 +130,53 @@ def extract_json(replies: pd.Series) -> pd.Series:
     return replies.map(_largest_json)
 
 
+def _strict(reply: str) -> str | None:
+    return _ad_text(reply)
+
+
+def _balanced(reply: str) -> str | None:
+    return _ad_text(_largest_json(reply))
+
+
+def _open_string(reply: str) -> str | None:
+    _, mark, rest = reply.partition('"ad_text"')
+    rest = rest.lstrip().removeprefix(":").lstrip()
+    return rest[1:].split('",')[0].rstrip('"} \n') if mark and rest.startswith('"') and rest.strip('"} \n') else None
+
+
+def _ad_text(body: str | None) -> str | None:
+    try:
+        value = json.loads(body or "")
+    except (ValueError, RecursionError):
+        return None
+    text = value.get("ad_text") if isinstance(value, dict) else None
+    return text if isinstance(text, str) else None
+
+
+#: P-08: the readings of a reply, in the order in which they are tried.
+SALVAGE_STEPS = {"strict_object": _strict, "balanced_object": _balanced, "open_string": _open_string}
+
+
 @F.pandas_udf(T.StructType([T.StructField("how", T.StringType()), T.StructField("ad_text", T.StringType())]))
 def salvage(replies: pd.Series) -> pd.DataFrame:
     """P-08: three readings in turn: the whole reply, the largest balanced object, an unclosed text field."""
 
     def read(reply: str | None) -> tuple[str | None, str | None]:
-        for how, body in (("strict_object", reply), ("balanced_object", _largest_json(reply))):
-            try:
-                value = json.loads(body or "")
-                if isinstance(value, dict) and isinstance(value.get("ad_text"), str):
-                    return how, value["ad_text"]
-            except ValueError:
-                pass
-        head, mark, rest = (reply or "").partition('"ad_text"')
-        rest = rest.lstrip().removeprefix(":").lstrip()
-        if mark and rest.startswith('"') and rest.strip('"} \n'):
-            return "open_string", rest[1:].split('",')[0].rstrip('"} \n')
-        return None, None
+        return next(((how, text) for how, step in SALVAGE_STEPS.items() if (text := step(reply or "")) is not None), (None, None))
 
     return pd.DataFrame([read(r) for r in replies], columns=["how", "ad_text"])
 
 
+def salvaged(c, step: str) -> Column:
+    """One of SALVAGE_STEPS alone: the text it reads, else null."""
+
+    @F.pandas_udf(T.StringType())
+    def read(replies: pd.Series) -> pd.Series:
+        return replies.map(lambda r: SALVAGE_STEPS[step](r or ""))
+
+    return read(F.col(c) if isinstance(c, str) else c)
+
+
 def parse_objects(df, reply: str, schema: str):
     """P-07: one row per line of the reply that is a JSON object."""
     lines = df.withColumn("_line", F.explode(F.split(F.coalesce(F.col(reply), F.lit("")), "\n"))).where("trim(_line) LIKE '{%}'")

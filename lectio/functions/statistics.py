@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import random
-from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -95,6 +94,11 @@ def cluster_bootstrap_mean(observations: DataFrame, cluster: str, value: str, or
     return mean, float(values[low]), float(values[high])
 
 
+def unit_bootstrap_mean(observations: DataFrame, unit: str, value: str, resamples: int = 2000, seed: int = 0, level: float = 0.95, rule: str = "inclusive"):
+    """T-02: as :func:`cluster_bootstrap_mean` with every unit a cluster of its own: its values come to the driver."""
+    return cluster_bootstrap_mean(observations, unit, value, unit, resamples, seed, level, rule)
+
+
 def average_ranks(values) -> np.ndarray:
     x = np.asarray(values, float)
     return np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
@@ -158,56 +162,141 @@ def coincidences(labels: DataFrame, unit: str, rater: str, label: str) -> DataFr
     return one.select(F.col("x.l").alias("l1"), F.col("y.l").alias("l2"), weight.alias("w")).groupBy("l1", "l2").agg(F.sum("w").alias("weight")).where("weight > 0")
 
 
-def _upper_tail(k: int, n: int, p: float) -> float:
-    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(max(k, 0), n + 1))
+def binomial_table(n: int, shares: np.ndarray) -> np.ndarray:
+    """P(k of n) for each share (rows) and k (columns), from logarithms of factorials."""
+    k = np.arange(n + 1)
+    ways = np.array([math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in k])
+    p = np.clip(np.asarray(shares, float)[:, None], 1e-300, 1.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        fails = np.where(k < n, (n - k) * np.log1p(-p), 0.0)
+    return np.exp(ways + k * np.log(p) + fails)
 
 
-def detectable_agreement(n: int, alpha: float = 0.05, power: float = 0.8) -> float | None:
-    """T-12: smallest agreement that a one-sided exact test detects with the given power."""
-    critical = next((k for k in range(n + 1) if n > 0 and _upper_tail(k, n, 0.5) <= alpha), None)
-    if critical is None:
-        return None
-    low, high = 0.5, 1.0
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (low, middle) if _upper_tail(critical, n, middle) >= power else (middle, high)
-    return high
+def rejecting(n: int, alpha: float, two_sided: bool) -> np.ndarray:
+    """T-12, T-13: which outcomes k of n the exact test at one half rejects."""
+    even = binomial_table(n, np.array([0.5]))[0]
+    above = np.cumsum(even[::-1])[::-1]
+    if not two_sided:
+        return above <= alpha * (1 + 1e-12)
+    return np.minimum(1, 2 * np.minimum(above, np.cumsum(even))) <= alpha * (1 + 1e-12)
+
+
+def power_of(n: int, shares, alpha: float = 0.05, two_sided: bool = True) -> np.ndarray:
+    """The chance that the test rejects, for each true share."""
+    return binomial_table(n, np.atleast_1d(shares)) @ rejecting(n, alpha, two_sided)
+
 
+def least_detectable(n: int, alpha: float, power: float, two_sided: bool) -> float | None:
+    """The share above one half from which the power stays at the target; None if no share reaches it.
 
-@lru_cache(maxsize=256)
-def rejection_region(n: int, alpha: float = 0.05) -> tuple[int, ...]:
-    """T-13: counts at which the exact two-sided test rejects."""
-    return tuple(k for k in range(n + 1) if exact_two_sided(k, n) <= alpha)
+    The last share below the target is bracketed on ever finer grids.
+    """
+    if n <= 0 or not rejecting(n, alpha, two_sided).any():
+        return None
+    low, high = 0.5, 1.0
+    for cells in (1000, 100, 100, 100, 100, 100):
+        shares = np.linspace(low, high, cells + 1)
+        short = np.flatnonzero(power_of(n, shares, alpha, two_sided) < power)
+        if not len(short):
+            return float(low) if low > 0.5 else float(shares[1])
+        if short[-1] == cells:
+            return None
+        low, high = shares[short[-1]], shares[short[-1] + 1]
+    return float(high)
 
 
-def two_sided_power(n: int, share: float, alpha: float = 0.05) -> float:
-    return sum(math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in rejection_region(n, alpha))
+def detectable_agreement(n: int, alpha: float = 0.05, power: float = 0.8) -> float | None:
+    """T-12: smallest agreement that a one-sided exact test detects with the given power."""
+    return least_detectable(n, alpha, power, two_sided=False)
 
 
 def detectable_difference(discordant: int, shared: int, alpha: float = 0.05, power: float = 0.8) -> tuple[float | None, float | None]:
     """T-13: (share of discordant pairs, difference in points) from which power stays at the target."""
-    if discordant <= 0 or shared <= 0:
-        return None, None
-    grid = [0.5 + i / 2000 for i in range(1, 1001)]
-    below = [i for i, p in enumerate(grid) if two_sided_power(discordant, p, alpha) < power]
-    start = below[-1] + 1 if below else 0
-    if start == len(grid):
-        return None, None
-    low, high = (grid[start - 1] if start else 0.5), grid[start]
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (low, middle) if two_sided_power(discordant, middle, alpha) >= power else (middle, high)
-    return high, 100 * (2 * high - 1) * discordant / shared
+    share = least_detectable(discordant, alpha, power, two_sided=True) if shared > 0 else None
+    return (None, None) if share is None else (share, 100 * (2 * share - 1) * discordant / shared)
+
+
+# ---------------------------------------------------------------- a preference head
+
+
+def solve(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """T-16: the one solution; a matrix without one (collinear features) is refused."""
+    if np.linalg.matrix_rank(matrix) < len(matrix):
+        raise ValueError("the features are collinear, so the fit has no single answer")
+    return np.linalg.solve(matrix, vector)
+
+
+def head_rows(pairs: DataFrame, labels: DataFrame, features: list[str]) -> DataFrame:
+    """T-21, T-22, V-02: one row per pair and side chosen: chose_a, weight (raters who chose it), the features' differences.
+
+    pairs: (pair_id, group, a and b: maps); labels: (pair_id, rater, side). Ties and pairs that lack a feature are left out.
+    """
+    apart = [(F.col("a")[f] - F.col("b")[f]).alias(f) for f in features]
+    votes = labels.where(F.col("side").isin("a", "b")).groupBy("pair_id", "side").agg(F.count("*").cast("double").alias("weight"))
+    rows = pairs.select("pair_id", "group", *apart).join(votes, "pair_id").na.drop(subset=features)
+    return rows.select("pair_id", "group", (F.col("side") == "a").cast("double").alias("chose_a"), "weight", *features)
+
+
+def _newton_sums(weights: dict, features: list[str], target: str, weight: str, fold: str):
+    """Per partition and fold: the gradient and Hessian sums of the other folds' models, as one long row each."""
+    import pyarrow as pa
+
+    names = list(weights)
+    w = np.array([weights[n] for n in names])
+
+    def run(batches):
+        d = len(features) + 1
+        sums = np.zeros((len(names), d + d * d))
+        for batch in batches:
+            frame = batch.to_pandas()
+            z = np.c_[frame[features].to_numpy(float), np.ones(len(frame))]
+            y, m = frame[target].to_numpy(float), frame[weight].to_numpy(float)
+            p = 1 / (1 + np.exp(-np.clip(z @ w.T, -40, 40)))
+            use = frame[fold].to_numpy()[:, None] != np.array(names, dtype=object)[None, :]
+            sums[:, :d] += ((use * m[:, None]) * (y[:, None] - p)).T @ z
+            curve = use * m[:, None] * p * (1 - p)
+            sums[:, d:] += np.einsum("if,ij,ik->fjk", curve, z, z).reshape(len(names), -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(names)), pa.int32()), pa.array(list(sums), pa.list_(pa.float64()))], ["model", "sums"])
+
+    return run
+
+
+def fit_folds(rows: DataFrame, features: list[str], target: str, weight: str, fold: str, strength: float = 1.0, rounds: int = 25) -> dict:
+    """T-15, T-18: {fold: weights and intercept} of a ridge logistic regression on all other folds.
+
+    Newton steps on sums: a pass gives each fold's gradient and Hessian, so rows stay where they are and
+    the driver holds numbers per fold and feature. The intercept is hardly penalised.
+    """
+    rows = rows.select(fold, target, weight, *features).persist()
+    names = [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]
+    d = len(features) + 1
+    penalty = np.r_[np.full(d - 1, strength), 1e-8]
+    weights = {n: np.zeros(d) for n in names}
+    for _ in range(rounds):
+        parts = rows.mapInArrow(_newton_sums(weights, features, target, weight, fold), "model int, sums array<double>")
+        per = parts.select("model", F.posexplode("sums").alias("i", "x")).groupBy("model", "i").agg(F.sum("x").alias("x")).collect()
+        sums = np.zeros((len(names), d + d * d))
+        for r in per:
+            sums[r.model, r.i] = r.x
+        moved = 0.0
+        for k, name in enumerate(names):
+            step = solve(sums[k, d:].reshape(d, d) + np.diag(penalty), sums[k, :d] - penalty * weights[name])
+            weights[name] = weights[name] + step
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < 1e-8:
+            break
+    rows.unpersist()
+    return weights
 
 
 def logistic_weights(x: np.ndarray, weight: np.ndarray, target: np.ndarray, strength: float = 1.0) -> np.ndarray:
-    """T-15: ridge logistic regression by Newton steps; the intercept is fitted, hardly penalised, and dropped."""
+    """T-15 on arrays: ridge logistic regression by Newton steps; the intercept is fitted, hardly penalised, and dropped."""
     z = np.c_[x, np.ones(len(x))]
     penalty = np.r_[np.full(x.shape[1], strength), 1e-8]
     w = np.zeros(z.shape[1])
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        step = np.linalg.solve((z.T * (weight * p * (1 - p))) @ z + np.diag(penalty), z.T @ (weight * (target - p)) - penalty * w)
+        step = solve((z.T * (weight * p * (1 - p))) @ z + np.diag(penalty), z.T @ (weight * (target - p)) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -215,20 +304,34 @@ def logistic_weights(x: np.ndarray, weight: np.ndarray, target: np.ndarray, stre
 
 
 def out_of_fold(rows: DataFrame, features: list[str], target: str, weight: str, fold: str, strength: float = 1.0) -> DataFrame:
-    """T-17, T-18: per fold, fit on all others and predict its rows: (fold, id, margin) from ``rows`` with ``id``.
-
-    The training rows (differences of rated pairs, thousands at most) go to each fold's task once.
-    """
-    held = rows.select("id", fold, target, weight, *features).toPandas()
-
-    def predict(key, frame):
-        train = held[held[fold] != key[0]]
-        w = logistic_weights(train[features].to_numpy(float), train[weight].to_numpy(float), train[target].to_numpy(float), strength)
-        frame["margin"] = frame[features].to_numpy(float) @ w
-        return frame[["id", fold, "margin"]]
-
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(fold).applyInPandas(predict, f"id {kinds['id']}, {fold} {kinds[fold]}, margin double")
+    """T-18, T-20: (id, fold, margin): each row's margin under the model of the other folds; rows carry ``id``."""
+    weights = fit_folds(rows, features, target, weight, fold, strength)
+    if not weights:
+        return rows.select("id", fold, F.lit(None).cast("double").alias("margin"))
+    models = rows.sparkSession.createDataFrame([(n, *map(float, w[:-1])) for n, w in weights.items()], ", ".join([f"{fold} {dict(rows.dtypes)[fold]}", *(f"_w_{f} double" for f in features)]))
+    margin = sum((F.col(f) * F.col(f"_w_{f}") for f in features), F.lit(0.0))
+    return rows.join(F.broadcast(models), fold).select("id", fold, margin.alias("margin"))
+
+
+def freeze(pairs: DataFrame, labels: DataFrame, features: list[str], held_out: str, strength: float = 1.0) -> np.ndarray:
+    """T-19: weights fitted on all raters but one, so that they never saw its answers."""
+    raters = {r[0] for r in labels.select("rater").distinct().collect()}
+    if held_out not in raters or len(raters) < 2:
+        raise ValueError("the rater to hold out is unknown, or the only one")
+    rows = head_rows(pairs, labels.where(F.col("rater") != held_out), features).withColumn("_all", F.lit("all"))
+    # one model of its own fold that no row belongs to: fitted on every row
+    return fit_folds(rows.withColumn("_fold", F.lit("rows")).unionByName(rows.limit(1).withColumn("_fold", F.lit("none")).withColumn("weight", F.lit(0.0))), features, "chose_a", "weight", "_fold", strength)["none"][:-1]
+
+
+def score_frozen(weights: np.ndarray, pairs: DataFrame, labels: DataFrame, features: list[str]) -> DataFrame:
+    """T-19: agreed, disagreed, agreement with its Wilson interval of frozen weights against one rater's choices."""
+    apart = [F.col("a")[f] - F.col("b")[f] for f in features]
+    total = sum((d * float(w) for d, w in zip(apart, weights, strict=True)), F.lit(0.0))
+    judged = labels.where(F.col("side").isin("a", "b")).join(pairs, "pair_id").withColumn("m", total).where("m IS NOT NULL")
+    side = F.when(F.col("m") > 0, "a").otherwise("b")
+    n, agreed = F.count("*"), F.count_if(side == F.col("side"))
+    low, high = wilson_columns(F.col("agreed"), F.col("n"))
+    return judged.agg(agreed.alias("agreed"), n.alias("n")).select("agreed", (F.col("n") - F.col("agreed")).alias("disagreed"), F.try_divide("agreed", "n").alias("agreement"), low.alias("low"), high.alias("high"))
 
 
 def margin(weights: list[float], a: Column, b: Column) -> Column:

@@ -9,26 +9,53 @@ from lectio.functions import scoring
 from lectio.functions import text as tx
 from lectio.operators.sequence import within_lecture_novelty
 
-# Fixed values: (rule, number, types, when described, when silent, route, checks) of the rules that a check or the
-# sequence factor can reach.
+# Fixed values: (rule, number, category, types, when described, when silent, route, checks) of the published rules.
 RULES = (
-    ("cross_cutting_001", 1, "all", True, True, "mechanical", "nonredundancy_now"),
-    ("cross_cutting_002", 2, "all", True, False, "mechanical", "style_meta;style_pronoun;style_v2"),
-    ("cross_cutting_004", 4, "all", True, False, "mechanical", "term_grounding"),
-    ("cross_cutting_005", 5, "all", True, True, "mechanical", "faithfulness_nli"),
-    ("cross_cutting_006", 6, "all", True, True, "unscored", ""),
-    ("cross_cutting_007", 7, "all", True, True, "mechanical", "nonredundancy_ahead"),
-    ("length_003", 11, "all", True, False, "mechanical", "rung_reachable"),
-    ("length_004", 12, "all", True, False, "mechanical", "length_budget"),
-    ("slide_text_002", 15, "slide,reveal,transition", True, True, "penalty", "slide_copy_verbatim"),
-    ("slide_transition_001", 16, "transition", True, True, "mechanical", "transition_effect"),
-    ("figure_001", 19, "figure", True, False, "mechanical", "faithfulness_nli"),
-    ("table_001", 23, "table", True, False, "mechanical", "faithfulness_nli"),
-    ("chart_001", 26, "chart", True, False, "mechanical", "faithfulness_nli"),
-    ("math_typeset_001", 29, "math", True, False, "mechanical", "faithfulness_nli"),
-    ("deixis_005", 39, "pointing", True, False, "mechanical", "deixis_referent"),
-    ("deixis_006", 40, "pointing,ink", True, False, "mechanical", "deixis_overlay"),
-    ("slide_text_003", 44, "slide,reveal,transition", True, True, "penalty", "slide_copy_verbatim"),
+    ("cross_cutting_001", 1, "cross_cutting", "all", True, True, "mechanical", "nonredundancy_now"),
+    ("cross_cutting_002", 2, "cross_cutting", "all", True, False, "mechanical", "style_meta;style_pronoun;style_v2"),
+    ("cross_cutting_003", 3, "cross_cutting", "all", True, False, "judge", ""),
+    ("cross_cutting_004", 4, "cross_cutting", "all", True, False, "mechanical", "term_grounding"),
+    ("cross_cutting_005", 5, "cross_cutting", "all", True, True, "mechanical", "faithfulness_nli"),
+    ("cross_cutting_006", 6, "cross_cutting", "all", True, True, "unscored", ""),
+    ("cross_cutting_007", 7, "cross_cutting", "all", True, True, "mechanical", "nonredundancy_ahead"),
+    ("cross_cutting_008", 8, "cross_cutting", "all", True, True, "unscored", ""),
+    ("length_001", 9, "length", "all", True, False, "unscored", ""),
+    ("length_002", 10, "length", "all", True, False, "judge", ""),
+    ("length_003", 11, "length", "all", True, False, "mechanical", "rung_reachable"),
+    ("length_004", 12, "length", "all", True, False, "mechanical", "length_budget"),
+    ("length_005", 13, "length", "all", False, True, "unscored", ""),
+    ("slide_text_001", 14, "slide_text", "slide,reveal,transition", True, False, "judge", ""),
+    ("slide_text_002", 15, "slide_text", "slide,reveal,transition", True, True, "penalty", "slide_copy_verbatim"),
+    ("slide_transition_001", 16, "slide_transition", "transition", True, True, "mechanical", "transition_effect"),
+    ("slide_animation_001", 17, "slide_animation", "animation,reveal", True, True, "judge", ""),
+    ("slide_animation_002", 18, "slide_animation", "animation,reveal", True, False, "judge", ""),
+    ("figure_001", 19, "figure", "figure", True, False, "mechanical", "faithfulness_nli"),
+    ("figure_002", 20, "figure", "figure", True, False, "judge", ""),
+    ("figure_003", 21, "figure", "figure", True, False, "judge", ""),
+    ("figure_004", 22, "figure", "figure", True, False, "judge", ""),
+    ("table_001", 23, "table", "table", True, False, "mechanical", "faithfulness_nli"),
+    ("table_002", 24, "table", "table", True, False, "judge", ""),
+    ("table_003", 25, "table", "table", True, False, "judge", ""),
+    ("chart_001", 26, "chart", "chart", True, False, "mechanical", "faithfulness_nli"),
+    ("chart_002", 27, "chart", "chart", True, False, "judge", ""),
+    ("chart_003", 28, "chart", "chart", True, False, "judge", ""),
+    ("math_typeset_001", 29, "math_typeset", "math", True, False, "mechanical", "faithfulness_nli"),
+    ("math_typeset_002", 30, "math_typeset", "math", True, False, "judge", ""),
+    ("math_typeset_003", 31, "math_typeset", "math", True, False, "judge", ""),
+    ("code_001", 32, "code", "code", True, False, "unscored", ""),
+    ("code_002", 33, "code", "code", True, False, "unscored", ""),
+    ("code_003", 34, "code", "code", True, False, "unscored", ""),
+    ("deixis_001", 35, "deixis", "pointing", True, False, "judge", ""),
+    ("deixis_002", 36, "deixis", "pointing", True, True, "unscored", ""),
+    ("deixis_003", 37, "deixis", "pointing", True, True, "unscored", ""),
+    ("deixis_004", 38, "deixis", "pointing", True, False, "judge", ""),
+    ("deixis_005", 39, "deixis", "pointing", True, False, "mechanical", "deixis_referent"),
+    ("deixis_006", 40, "deixis", "pointing,ink", True, False, "mechanical", "deixis_overlay"),
+    ("edge_cases_001", 41, "edge_cases", "all", True, True, "judge", ""),
+    ("edge_cases_002", 42, "edge_cases", "all", True, False, "unscored", ""),
+    ("visual_content_001", 43, "cross_cutting", "all", True, True, "unscored", ""),
+    ("slide_text_003", 44, "dont_describe", "slide,reveal,transition", True, True, "penalty", "slide_copy_verbatim"),
+    ("pair_perceptibility_001", 45, "cross_cutting", "all", False, False, "unscored", ""),
 )
 # The checks that each component implements, its category, and whether a shortfall breaks the rule.
 CHECKS = {
@@ -45,8 +72,8 @@ MECHANICAL = {"style": "style_properties", "terminology": "terminology_grounding
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    """SRC-19: rule, number, types, when_described, when_silent, route, checks; a table of fixed size."""
-    raw = spark.createDataFrame(list(RULES), "rule string, number int, types string, when_described boolean, when_silent boolean, route string, checks string")
+    """SRC-19: rule, number, category, types, when_described, when_silent, route, checks; a table of fixed size."""
+    raw = spark.createDataFrame(list(RULES), "rule string, number int, category string, types string, when_described boolean, when_silent boolean, route string, checks string")
     listed = lambda c, by: F.filter(F.transform(F.split(c, by), lambda x: F.trim(x)), lambda x: x != "")
     return raw.withColumn("types", listed("types", ",")).withColumn("checks", listed("checks", ";"))
 
@@ -97,15 +124,61 @@ def score(rows: DataFrame, text: str = "ad_text", pause: str = "pause_after", re
     return scored.withColumn("overall", F.when(~unfilled, overall)).withColumn("reason", F.when(unfilled, "unfilled"))
 
 
+LOCAL = {**MECHANICAL, "faithfulness": "faithfulness_nli", "non_redundancy": "non_redundancy_embedding"}
+
+
+def stand_in_contradiction(premise: Column, text: Column) -> Column:
+    """1 where the text says "not" and the premise doesn't, else 0: a model of contradiction for tests."""
+    says = lambda c: F.array_contains(tx.token_set(c), "not")
+    return (says(text) & ~says(premise)).cast("double")
+
+
+def stand_in_similarity(a: Column, b: Column) -> Column:
+    """Overlap of token sets: a model of similarity for tests."""
+    return tx.jaccard(tx.token_set(a), tx.token_set(b))
+
+
+def score_local(scored: DataFrame, contradiction, similarity, text: str = "ad_text", said: str = "transcript_window", knee: float = 0.17) -> DataFrame:
+    """D-14, D-15, D-16: mechanically scored rows with faithfulness and non_redundancy too, and overall over all six.
+
+    ``contradiction`` and ``similarity`` take two text columns and give a column: a native expression or
+    an Arrow UDF around a model. An empty description, premise or transcript scores 1.
+    """
+    body, premise = tx.clean_description(text), tx.slide_premise("slide_ocr", "what_on_screen")
+    spoken = F.trim(F.coalesce(F.col(said), F.lit("")))
+    faithful = F.when((body == "") | (premise == ""), 1.0).otherwise(1 - contradiction(premise, body))
+    fresh = F.when((body == "") | (spoken == ""), 1.0).otherwise(scoring.credit_for_similarity(similarity(body, spoken), knee))
+    there = F.col("overall").isNotNull()
+    out = scored.withColumn("faithfulness", F.when(there, faithful)).withColumn("non_redundancy", F.when(there, fresh))
+    values = F.array_compact(F.array(*LOCAL))
+    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    return out.withColumn("overall", F.when(there, total / F.greatest(F.size(values), F.lit(1))))
+
+
+def require_factor(scored: DataFrame) -> DataFrame:
+    """Q-14: refuses rows that were scored without the sequence factor, or none that was scored."""
+    if "novelty_factor" not in scored.columns or scored.where("overall IS NOT NULL AND novelty_factor IS NOT NULL").isEmpty():
+        raise ValueError("no scored row carries the sequence factor; score the predictions as a system first")
+    return scored
+
+
+def require_components(names, mode: str) -> None:
+    """Q-12: a mode's scorer has exactly its components."""
+    promised = set({"mechanical": MECHANICAL, "local": LOCAL}[mode])
+    if set(names) != promised or len(list(names)) != len(promised):
+        raise ValueError(f"mode {mode} promises {sorted(promised)} but was given {sorted(names)}")
+
+
 def with_novelty(scored: DataFrame, lecture: str, order: list[str], text: str = "ad_text", knee: float = 0.4, by: tuple[str, ...] = ()) -> DataFrame:
     """W-03: novelty and its factor for scored rows, multiplied into overall; others are left alone.
 
-    ``by`` names further columns (a system) that keep sequences apart.
+    ``by`` names further columns (a system) that keep sequences apart. Novelty reads only the texts of
+    the rows without a ``reason``, so that the components are evaluated once, for the rows themselves.
     """
     keyed = scored.withColumn("_seq", F.concat_ws("\u0001", F.col(lecture), *by))
-    part = within_lecture_novelty(keyed.where("overall IS NOT NULL"), "_seq", order, text).withColumn("novelty_factor", scoring.novelty_factor("novelty", knee))
-    rest = keyed.where("overall IS NULL").withColumn("novelty", F.lit(None).cast("double")).withColumn("novelty_factor", F.lit(None).cast("double"))
-    return part.withColumn("overall", F.col("overall") * F.col("novelty_factor")).unionByName(rest).drop("_seq")
+    out = within_lecture_novelty(keyed, "_seq", order, text, among=F.col("reason").isNull())
+    factor = scoring.novelty_factor("novelty", knee)
+    return out.withColumn("novelty_factor", factor).withColumn("overall", F.col("overall") * F.col("novelty_factor")).drop("_seq")
 
 
 def summarise(scored: DataFrame, group: str = "type", moment: str = "moment_id") -> DataFrame:
@@ -130,23 +203,34 @@ def over_seeds(per_seed: DataFrame, system: str, seed: str) -> DataFrame:
     return per_seed.groupBy(system).agg(F.avg("score").alias("score"), F.round(F.avg("n_scored")).cast("long").alias("n_scored"), F.array_join(F.array_sort(F.collect_set(F.col(seed).cast("string"))), ",").alias("seeds"))
 
 
+def reached_rules(rules: DataFrame) -> DataFrame:
+    """J-20 for the mechanical mode: (component, rule, types, ..., broken); the sequence factor is a component too."""
+    parts = component_rules(rules).where(F.col("component").isin(*MECHANICAL.values()))
+    breach = F.create_map(*[F.lit(x) for c in MECHANICAL.values() for x in (c, BREACH[c])])
+    again = rules.where(F.col("rule").isin(*SEQUENCE_RULES)).drop("checks").withColumn("component", F.lit("sequence")).withColumn("broken", F.lit(True))
+    return parts.withColumn("broken", breach[F.col("component")]).unionByName(again)
+
+
+def unreached_rules(rules: DataFrame) -> DataFrame:
+    """A-05: the rules that no mechanical check and no sequence factor can speak for, by number."""
+    return rules.join(F.broadcast(reached_rules(rules).select("rule").distinct()), "rule", "left_anti").select("rule", "number", "category", "route")
+
+
 def broken_rules(scored: DataFrame, rules: DataFrame, key: str, kind: str = "type") -> DataFrame:
-    """D-17, D-18: (key, rule, broken): rules of a component below 1 that apply to the row's type; sequence rules where the factor is below 1."""
-    parts = F.explode(F.array(*[F.struct(F.lit(MECHANICAL[c]).alias("component"), F.lit(BREACH[MECHANICAL[c]]).alias("broken"), F.col(c).alias("value")) for c in MECHANICAL]))
-    short = scored.where("overall IS NOT NULL").select(key, kind, parts.alias("p")).select(key, kind, "p.*").where("value < 1.0")
-    by_component = short.join(F.broadcast(component_rules(rules)), "component").where(applies(F.col(kind), F.lit(True))).select(key, "rule", "broken")
-    sequence = F.broadcast(rules.where(F.col("rule").isin(*SEQUENCE_RULES)))
-    again = scored.where("novelty_factor < 1.0").select(key, kind).join(sequence, applies(F.col(kind), F.lit(True))).select(key, "rule", F.lit(True).alias("broken"))
-    return by_component.unionByName(again).distinct()
+    """D-17, D-18: (key, rule, broken, overall): rules of a component below 1 that apply to the row's type; sequence rules where the factor is below 1."""
+    values = {MECHANICAL[c]: F.col(c) for c in MECHANICAL} | {"sequence": F.col("novelty_factor")}
+    parts = F.filter(F.array(*[F.struct(F.lit(c).alias("component"), v.alias("value")) for c, v in values.items()]), lambda p: p["value"] < 1.0)
+    short = scored.where("overall IS NOT NULL").select(key, kind, "overall", F.explode(parts).alias("p")).select(key, kind, "overall", "p.component")
+    found = short.join(F.broadcast(reached_rules(rules)), "component").where(applies(F.col(kind), F.lit(True)))
+    return found.groupBy(key, "rule", "broken").agg(F.first("overall").alias("overall"))
 
 
 def rule_diagnostic(scored: DataFrame, rules: DataFrame, key: str, kind: str = "type", examples: int = 3) -> DataFrame:
     """A-05, K-07, K-09: per rule within reach of the mechanical mode: rows it applies to, broken, below full credit, lowest examples."""
-    reached = component_rules(rules).where(F.col("component").isin(*MECHANICAL.values())).select("rule").distinct().union(rules.where(F.col("rule").isin(*SEQUENCE_RULES)).select("rule")).distinct()
-    within = rules.join(F.broadcast(reached), "rule")
+    within = rules.join(F.broadcast(reached_rules(rules).select("rule").distinct()), "rule")
     kinds = scored.where("overall IS NOT NULL").groupBy(kind).agg(F.count("*").alias("n"))
     totals = within.join(F.broadcast(kinds), applies(F.col(kind), F.lit(True)), "left").groupBy("rule", "number", "route").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("applies_to"))
-    hits = broken_rules(scored, rules, key, kind).join(scored.select(key, "overall"), key)
+    hits = broken_rules(scored, rules, key, kind)
     per = hits.groupBy("rule").agg(F.count_if("broken").alias("broken_by"), F.count_if(~F.col("broken")).alias("below"))
     lowest = hits.where("broken").withColumn("_n", F.row_number().over(_by_overall(key))).where(F.col("_n") <= examples)
     named = lowest.groupBy("rule").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("overall", key))), lambda x: x[key].cast("string")), ",").alias("examples"))

@@ -1,4 +1,8 @@
-"""Seeded draws and splits (K-02 to K-06, K-10, PRJ-09, V-17). Keys are drawn, rows follow by joins."""
+"""Seeded draws and splits (K-02 to K-06, K-10, PRJ-09, V-17). Keys are drawn, rows follow by joins.
+
+Draws order keys by a hash with the seed, which needs no list of all keys in one place: a chosen
+difference from a seeded shuffle, which would draw other keys of the same distribution.
+"""
 
 from __future__ import annotations
 
@@ -78,6 +82,12 @@ def draw(keys_by_kind: dict[str, list[dict]], per_kind: dict[str, int], seed: in
     return out
 
 
+def first_per_group(keys: DataFrame, group: list[str], key: str, count: int, seed: int) -> DataFrame:
+    """The first ``count`` keys of each group in seeded order: all that K-02 and K-03 can take of it."""
+    at = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key))
+    return keys.withColumn("_n", at).where(F.col("_n") <= count).drop("_n")
+
+
 def every_nth(rows: DataFrame, key: str, order: str, step: int, limit: int) -> DataFrame:
     """K-10: every ``step``-th row of each key from the first on, ``limit`` at most."""
     at = F.row_number().over(Window.partitionBy(key).orderBy(order))

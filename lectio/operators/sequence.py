@@ -8,18 +8,63 @@ from pyspark.sql import functions as F
 from lectio.functions import text as tx
 
 
-def within_lecture_novelty(rows: DataFrame, lecture: str, order: list[str], text: str) -> DataFrame:
+#: Rows of a lecture that one task compares with as many earlier ones.
+NOVELTY_ROWS = 4096
+
+
+def _most_overlap(table):
+    """For each later row of a pair of blocks: the greatest token overlap with an earlier row of the other block."""
+    import numpy as np
+    import pyarrow as pa
+
+    at = table.column("_at").to_numpy()
+    before = table.column("_before").to_numpy()  # 0: the one block of the pair; 1: the later one; -1: the earlier one
+    sets = table.column("_set").combine_chunks()
+    codes = sets.flatten().dictionary_encode().indices.to_numpy()
+    edges = sets.offsets.to_numpy() - sets.offsets[0].as_py()
+    sizes = np.diff(edges)
+    earlier = np.flatnonzero(before <= 0)
+    row_of = np.full(len(at), -1)
+    row_of[earlier] = np.arange(len(earlier))
+    owner = np.repeat(row_of, sizes)
+    order = np.argsort(codes, kind="stable")
+    order = order[owner[order] >= 0]
+    begins = np.searchsorted(codes[order], np.arange(codes.max(initial=-1) + 2))
+    postings = owner[order]
+    place, weight = at[earlier], sizes[earlier]
+    later = np.flatnonzero(before >= 0)
+    most = np.zeros(len(later))
+    for k, i in enumerate(later.tolist()):
+        tokens = codes[edges[i] : edges[i + 1]]
+        lists = [postings[begins[t] : begins[t + 1]] for t in tokens.tolist()]
+        if lists:
+            both = np.bincount(np.concatenate(lists), minlength=len(earlier))
+            share = both / np.maximum(sizes[i] + weight - both, 1)
+            most[k] = share[place < at[i]].max(initial=0.0)
+    return pa.table({"_seq_of": table.column(0).take(pa.array(later)), "_at": at[later], "_most": most})
+
+
+def within_lecture_novelty(rows: DataFrame, lecture: str, order: list[str], text: str, among: Column | None = None) -> DataFrame:
     """W-01, J-03: ``novelty``: one less the greatest token overlap with any earlier row of the lecture; first: 1.
 
-    An inverted index in place of a product: earlier rows meet only over shared tokens, so a pair that
-    shares none (overlap 0) costs nothing; the overlap is the count of shared tokens.
+    A lecture's rows are numbered in order and cut into blocks of NOVELTY_ROWS; each block is compared
+    with itself and with every earlier block by a task of its own, over the lists of rows that hold a
+    token, and gives one number per row. So a token that every row has costs no joined rows, and a
+    lecture of any length no more memory than two blocks. Rows outside ``among`` get a null novelty
+    and count for no other row. Rows of equal order follow a hash of their text.
     """
-    keyed = rows.withColumn("_at", F.row_number().over(Window.partitionBy(lecture).orderBy(*order))).withColumn("_set", tx.token_set(text))
-    tokens = keyed.select(lecture, "_at", F.size("_set").alias("_n"), F.explode("_set").alias("_tok"))
-    later, earlier = tokens, tokens.select(F.col(lecture), F.col("_tok"), F.col("_at").alias("_at2"), F.col("_n").alias("_n2"))
-    shared = later.join(earlier, [lecture, "_tok"]).where("_at2 < _at").groupBy(lecture, "_at", "_at2", "_n", "_n2").agg(F.count("*").alias("_both"))
-    most = shared.groupBy(lecture, "_at").agg(F.max(F.col("_both") / (F.col("_n") + F.col("_n2") - F.col("_both"))).alias("_most"))
-    return keyed.join(most, [lecture, "_at"], "left").withColumn("novelty", 1 - F.coalesce("_most", F.lit(0.0))).drop("_at", "_set", "_most")
+    chosen = F.lit(True) if among is None else among
+    at = F.row_number().over(Window.partitionBy(lecture, chosen).orderBy(*order, F.xxhash64(text)))
+    keyed = rows.withColumn("_at", F.when(chosen, at))
+    block = F.floor((F.col("_at") - 1) / NOVELTY_ROWS).cast("int").alias("_block")
+    numbered = keyed.where(F.col("_at").isNotNull()).select(lecture, "_at", tx.token_set(text).alias("_set"), block)
+    ends = numbered.groupBy(lecture).agg(F.max("_block").alias("_last"))
+    own = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda b: F.struct(F.greatest(b, F.col("_block")).alias("_later"), F.least(b, F.col("_block")).alias("_earlier"), F.signum(F.col("_block") - b).cast("int").alias("_before")))
+    dealt = numbered.join(ends, lecture).select(lecture, "_at", "_set", F.explode(own).alias("_p")).select(lecture, "_at", "_set", "_p.*")
+    kind = dict(rows.dtypes)[lecture]
+    found = dealt.groupBy(lecture, "_later", "_earlier").applyInArrow(_most_overlap, f"_seq_of {kind}, _at int, _most double")
+    most = found.groupBy(F.col("_seq_of").alias(lecture), "_at").agg(F.max("_most").alias("_most"))
+    return keyed.join(most, [lecture, "_at"], "left").withColumn("novelty", 1 - F.col("_most")).drop("_at", "_most")
 
 
 def ranks(df: DataFrame, by: list[str], value: str, ordinal: str) -> DataFrame:
@@ -58,16 +103,23 @@ def keyframe_times(duration: Column, scenes: Column, interval: float = 30.0, min
 
 
 def described_so_far(rows: DataFrame, lecture: str, writer: str, order: list[str], text: str, cap: int = 40) -> DataFrame:
-    """W-09, W-10: before each row, the last ``cap`` distinct terms that the writer has described in the lecture."""
-    at = F.row_number().over(Window.partitionBy(lecture, writer).orderBy(*order))
-    keyed = rows.withColumn("_at", at)
+    """W-09, W-10: before each row, the last ``cap`` distinct terms that the writer has described in the lecture.
+
+    The first mentions of a (lecture, writer) are numbered in order; a row's list is the range of numbers
+    that ends before its own, so no row gathers more than ``cap`` terms.
+    """
+    one = Window.partitionBy(lecture, writer)
+    keyed = rows.withColumn("_at", F.row_number().over(one.orderBy(*order)))
     terms = keyed.select(lecture, writer, "_at", F.posexplode(F.transform(tx.content_terms(text, 1000), F.lower)).alias("_pos", "_term"))
     first = terms.groupBy(lecture, writer, "_term").agg(F.min(F.struct("_at", "_pos")).alias("_first"))
-    per_row = first.groupBy(lecture, writer, F.col("_first._at").alias("_at")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_first._pos", "_term"))), lambda x: x["_term"]).alias("_new"))
-    joined = keyed.join(per_row, [lecture, writer, "_at"], "left")
-    w = Window.partitionBy(lecture, writer).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.flatten(F.collect_list(F.coalesce("_new", F.array().cast("array<string>"))).over(w))
-    return joined.withColumn("described", F.slice(F.reverse(seen), 1, cap)).withColumn("described", F.reverse("described")).drop("_at", "_new")
+    numbered = first.select(lecture, writer, "_term", F.col("_first._at").alias("_said"), F.row_number().over(one.orderBy("_first")).alias("_n"))
+    new = numbered.groupBy(lecture, writer, F.col("_said").alias("_at")).agg(F.count("*").alias("_new"))
+    before = one.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    counted = keyed.join(new, [lecture, writer, "_at"], "left").withColumn("_upto", F.coalesce(F.sum("_new").over(before), F.lit(0)))
+    wanted = counted.where("_upto > 0").select(lecture, writer, "_at", F.explode(F.sequence(F.greatest(F.col("_upto") - cap + 1, F.lit(1)), F.col("_upto"))).alias("_n"))
+    listed = wanted.join(numbered.select(lecture, writer, "_n", "_term"), [lecture, writer, "_n"]).groupBy(lecture, writer, "_at").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_term"))), lambda x: x["_term"]).alias("described"))
+    empty = F.array().cast("array<string>")
+    return keyed.join(listed, [lecture, writer, "_at"], "left").withColumn("described", F.coalesce("described", empty)).drop("_at")
 
 
 def first_row_per(rows: DataFrame, key: str, ordinal: str) -> DataFrame:

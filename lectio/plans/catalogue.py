@@ -23,4 +23,4 @@ def query(sql: str | None = None):
     return add
 
 
-from lectio.plans import pair_queries, text_queries, time_queries  # noqa: E402, F401  they register themselves
+from lectio.plans import moment_queries, pair_queries, text_queries, time_queries  # noqa: E402, F401  they register themselves

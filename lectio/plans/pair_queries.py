@@ -260,7 +260,7 @@ _WRITERS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 @query(f"SELECT o_custkey, array_to_string(list_sort(list_filter({_WRITERS}, lambda w: NOT coalesce(list_contains(got, w), false))), ',') AS missing FROM (SELECT o_custkey, list(o_orderpriority) FILTER (o_orderstatus <> 'F') AS got FROM orders GROUP BY o_custkey)")
 def missing_writers(spark, sf_dir):
-    """J-22, A-23, A-24."""
+    """J-22, A-23."""
     o = table(spark, sf_dir, "orders").withColumn("error", F.when(F.col("o_orderstatus") == "F", "failed"))
     return joins.missing_writers(o, "o_custkey", "o_orderpriority", _WRITERS).withColumn("missing", F.array_join("missing", ","))
 
@@ -284,7 +284,7 @@ def merge_repairs(spark, sf_dir):
 
 @query("SELECT c_custkey, CASE WHEN o.k IS NULL THEN 'missing' END AS reason FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P') o ON c_custkey = o.k")
 def completion(spark, sf_dir):
-    """J-01, J-02."""
+    """J-02."""
     predicted = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).distinct()
     return joins.complete(table(spark, sf_dir, "customer").select("c_custkey"), predicted, "c_custkey").select("c_custkey", "reason")
 
@@ -324,7 +324,7 @@ def build_pairs(spark, sf_dir):
 @query("""SELECT p_, CASE WHEN NOT ax THEN 'wrong axis' WHEN gap > 3 THEN 'length differs' ELSE '' END AS faults FROM (SELECT a_id AS p_, a_id % 7 <> 0 AS ax, abs(x - y) AS gap FROM (
 SELECT p.a_id, len(list_filter(string_split_regex(a.text, '\\s+'), lambda w: w <> '')) AS x, len(list_filter(string_split_regex(b.text, '\\s+'), lambda w: w <> '')) AS y FROM pairs p JOIN documents a ON a.doc_id = p.a_id JOIN documents b ON b.doc_id = p.b_id))""".replace("SELECT p_,", f"WITH {PAIRS} SELECT p_ AS pair,", 1).replace("CASE WHEN NOT ax THEN 'wrong axis' WHEN gap > 3 THEN 'length differs' ELSE '' END", "concat_ws(',', CASE WHEN NOT ax THEN 'wrong axis' END, CASE WHEN gap > 3 THEN 'length differs' END)"))
 def pair_violations(spark, sf_dir):
-    """S-39, PRJ-15, D-24."""
+    """S-39."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     p = pairs(spark, sf_dir).select("a_id", "b_id")
     both = p.join(d.select(F.col("doc_id").alias("a_id"), F.col("text").alias("a")), "a_id").join(d.select(F.col("doc_id").alias("b_id"), F.col("text").alias("b")), "b_id")
@@ -344,8 +344,9 @@ def spend_estimate(spark, sf_dir):
 
 @query()
 def draw_rating_pool(spark, sf_dir):
-    """K-02, K-03: pair keys only come to the driver (the stated population of a rated pool)."""
-    keys = pairs(spark, sf_dir).select("pair_id", F.col("a_id").alias("moment_id"), F.col("source").alias("lecture"), "axis", "compliant_side").orderBy("pair_id").collect()
+    """K-02, K-03: of each (kind, axis, lecture) no more keys come to the driver than the draw can take."""
+    keys = pairs(spark, sf_dir).select("pair_id", F.col("a_id").alias("moment_id"), F.col("source").alias("lecture"), "axis", "compliant_side", (F.col("compliant_side") == "tie").alias("natural"))
+    keys = sampling.first_per_group(keys, ["natural", "axis", "lecture"], "pair_id", 40, 13).orderBy("pair_id").collect()
     kinds = {"controlled": [r.asDict() for r in keys if r.compliant_side != "tie"], "natural": [r.asDict() for r in keys if r.compliant_side == "tie"]}
     drawn = sampling.draw(kinds, {"controlled": 40, "natural": 10}, 13, {"en": 20}, 5)
     return spark.createDataFrame([(k, r["pair_id"], r["axis"], r["lecture"]) for k, rows in drawn.items() for r in rows], "kind string, pair_id string, axis string, lecture string")
@@ -353,12 +354,12 @@ def draw_rating_pool(spark, sf_dir):
 
 @query()
 def draw_head_to_head(spark, sf_dir):
-    """K-04, PRJ-18: a seeded draw of conversations, then a semi join."""
+    """K-04: a seeded draw of conversations."""
     return sampling.draw_keys(table(spark, sf_dir, "conversations"), "conv_id", 50, 17)
 
 
 @query()
 def preference_head(spark, sf_dir):
-    """T-15 to T-22, V-02: a ridge fit to a rater's choices, each source predicted by the others."""
+    """T-15, T-16, T-18, T-20: a ridge fit to a rater's choices, each source predicted by the others."""
     rows = pairs(spark, sf_dir).where("compliant_side <> 'tie'").select(F.col("a_id").alias("id"), F.col("source").alias("lecture"), (F.col("compliant_side") == "a").cast("double").alias("chose_a"), F.lit(1.0).alias("weight"), ((F.col("a_chars") - F.col("b_chars")) / 1000).alias("chars"), ((F.col("a_parts") - F.col("b_parts")) / 100).alias("parts"))
     return statistics.out_of_fold(rows, ["chars", "parts"], "chose_a", "weight", "lecture").withColumn("margin", F.round("margin", 6))

@@ -55,7 +55,7 @@ def _count(pattern: str, c: str = "u") -> str:
 _PAST = f"{_count(tx.PAST_AUXILIARY)} + len(list_filter(regexp_extract_all(u, '(?:\\bis |are |was |ere |een |ing )?{_ORDERED}', 0, 'i'), lambda x: NOT regexp_matches(x, '^(is |are |was |ere |een |ing )', 'i')))"
 _STYLE = {"second_person": _count(tx.SECOND_PERSON), "past_tense": _PAST, "passive_voice": _count(tx.PASSIVE), "evaluative": _count(tx.EVALUATIVE), "meta_reference": f"{_count(tx.META_GRAMMAR)} + {_count(tx.META_FRAMES)}"}
 _UNQUOTED = """regexp_replace(coalesce({c}, ''), '"[^"]{{0,200}}"', ' ', 'g')"""
-_STYLE_SCORE = "CASE WHEN " + _clean("ad_text") + " = '' THEN 0.0 ELSE greatest(0.0, 1 - 0.5 * (" + " + ".join(f"(({v}) > 0)::INT" for v in _STYLE.values()) + ")) END"
+_STYLE_SCORE = "(CASE WHEN " + _clean("ad_text") + " = '' THEN 0.0 ELSE greatest(0.0, 1 - 0.5 * (" + " + ".join(f"(({v}) > 0)::INT" for v in _STYLE.values()) + ")) END)::DOUBLE"
 
 
 @query(f"SELECT doc_id, len({_words('text')}) AS n_words FROM documents")
@@ -88,25 +88,29 @@ def detector_words(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(tx.content_words("text")), ",").alias("words"))
 
 
-@query(f"SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _STYLE.items())} FROM (SELECT doc_id, {_UNQUOTED.format(c='text')} AS u FROM documents WHERE lang = 'en')")
+@query(f"SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _STYLE.items())} FROM (SELECT doc_id, {_UNQUOTED.format(c='text')} AS u FROM documents)")
 def style_violations(spark, sf_dir):
     """S-28."""
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", *(v.alias(k) for k, v in tx.style_violations("text").items()))
+    return table(spark, sf_dir, "documents").select("doc_id", *(v.alias(k) for k, v in tx.style_violations("text").items()))
 
 
 @query(rf"SELECT item_id, nullif(array_to_string(list_slice(list_filter(string_split_regex(string_split_regex(string_split({_no_marks('text')}, chr(10))[1], '[.;:]| - ')[1], '\s+'), lambda x: x <> ''), 1, 12), ' '), '') AS title FROM benchmark")
 def slide_title(spark, sf_dir):
-    """S-11, X-08."""
+    """S-11."""
     return table(spark, sf_dir, "benchmark").select("item_id", tx.slide_title("text").alias("title"))
 
 
-@query("SELECT item_id, true AS whole, true AS pieces, false AS other FROM benchmark")
+_FOLD = r"lower(trim(regexp_replace({c}, '\s+', ' ', 'g')))"
+
+
+@query(f"""WITH q AS (SELECT x.item_id, x.text AS body, substr(y.text, 1, 25) AS foreign_part, substr(x.text, 10, 40) AS own FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id + 1)
+SELECT item_id, true AS whole, true AS pieces, contains({_FOLD.format(c='body')}, {_FOLD.format(c='own')}) AS own, contains({_FOLD.format(c='body')}, {_FOLD.format(c='foreign_part')}) AS other FROM q""")
 def quote_grounded(spark, sf_dir):
-    """S-12, S-13: a quote of the text itself, its ends around an ellipsis, and the same the wrong way round."""
+    """S-12, S-13: a text's own quote, its two ends around an ellipsis, a stretch from its middle, and the head of the next text."""
     b = table(spark, sf_dir, "benchmark")
+    b = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.substring("text", 1, 25).alias("next_head")), "item_id")
     ends = F.concat(F.substring("text", 1, 12), F.lit(" ... "), F.expr("right(text, 12)"))
-    wrong = F.concat(F.expr("right(text, 30)"), F.lit("…"), F.substring("text", 1, 30))
-    return b.select("item_id", tx.quote_is_grounded("text", "text").alias("whole"), tx.quote_is_grounded(ends, "text").alias("pieces"), tx.quote_is_grounded(wrong, "text").alias("other"))
+    return b.select("item_id", tx.quote_is_grounded("text", "text").alias("whole"), tx.quote_is_grounded(ends, "text").alias("pieces"), tx.quote_is_grounded(F.substring("text", 10, 40), "text").alias("own"), tx.quote_is_grounded("next_head", "text").alias("other"))
 
 
 _GAP_ID = "CASE WHEN event_type = 'error' THEN user_id || '#g' || lpad((event_id % 1000)::VARCHAR, 3, '0') ELSE user_id || '#' || lpad((event_id % 10000)::VARCHAR, 4, '0') END"
@@ -220,8 +224,8 @@ def summarise_strata(spark, sf_dir):
     return s.withColumns({c: F.round(c, 6) for c in rounded})
 
 
-_RULE_ROWS = ", ".join(f"('{r}', {n}, string_split('{t}', ','), {d}, {s}, '{route}', '{c}')" for r, n, t, d, s, route, c in compliance.RULES)
-RULES_SQL = f"rules(rule, number, types, when_described, when_silent, route, checks) AS (VALUES {_RULE_ROWS})"
+_RULE_ROWS = ", ".join(f"('{r}', {n}, '{g}', string_split('{t}', ','), {d}, {s}, '{route}', '{c}')" for r, n, g, t, d, s, route, c in compliance.RULES)
+RULES_SQL = f"rules(rule, number, category, types, when_described, when_silent, route, checks) AS (VALUES {_RULE_ROWS})"
 
 
 @query(f"""WITH {MOMENTS}, {RULES_SQL} SELECT m.moment_id, m.system, string_agg(r.rule, ',' ORDER BY r.number, r.rule) AS rules
@@ -247,11 +251,18 @@ SELECT rule, number, route, (SELECT count(*) FROM keyed k WHERE list_contains(x.
   (SELECT count(*) FROM hits h WHERE h.rule = x.rule AND broken) AS broken_by, (SELECT count(*) FROM hits h WHERE h.rule = x.rule AND NOT broken) AS below FROM reached x""")
 def rule_diagnostic(spark, sf_dir):
     """A-05, J-19, J-20, D-17, K-07."""
-    rows = _final(spark, sf_dir).withColumn("key", id_functions.description_id("moment_id", "system"))
+    rows = _final(spark, sf_dir).withColumn("key", id_functions.description_id("moment_id", "system")).select("key", "type", "overall", "novelty_factor", *compliance.MECHANICAL).persist()
     found = compliance.rule_diagnostic(rows, compliance.rule_table(spark), "key")
     return found.select("rule", "number", "route", "applies_to", "broken_by", "below")
 
 
+@query(f"""WITH {RULES_SQL}, checks(component, chk, breach) AS (VALUES {_CHECK_ROWS}) SELECT rule, number, category, route FROM rules
+WHERE rule NOT IN {compliance.SEQUENCE_RULES} AND NOT EXISTS (SELECT 1 FROM checks WHERE list_contains(string_split(rules.checks, ';'), chk))""")
+def rules_out_of_reach(spark, sf_dir):
+    """A-05: the rules that the mechanical mode can't speak for, by name."""
+    return compliance.unreached_rules(compliance.rule_table(spark))
+
+
 @query(f"WITH {MOMENTS} SELECT count(DISTINCT moment_id) AS moments, count(DISTINCT lecture) AS lectures, round(count(DISTINCT moment_id) / count(DISTINCT lecture)::DOUBLE, 2) AS moments_per_lecture FROM moments")
 def lecture_grouping(spark, sf_dir):
     """A-19, Q-06."""
@@ -278,7 +289,7 @@ def first_context_row(spark, sf_dir):
 @query("""SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q, q)), 5) AS cosine
 FROM embeddings, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)""")
 def cosine_similarity(spark, sf_dir):
-    """M-02, X-07: against one vector, which is broadcast."""
+    """M-02: against one vector, which is broadcast."""
     e = table(spark, sf_dir, "embeddings")
     one = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
     return e.crossJoin(F.broadcast(one)).select("vec_id", F.round(scoring.cosine("embedding", "q"), 5).alias("cosine"))
@@ -287,7 +298,7 @@ def cosine_similarity(spark, sf_dir):
 @query("""WITH c AS (SELECT vec_id, (vec_id % 101) / 100.0::DOUBLE AS s FROM embeddings)
 SELECT vec_id, round(CASE WHEN s <= 0.17 THEN 1.0 ELSE greatest((1 - s) / 0.83, 0.0) END, 6) AS credit, round((s - 0.7568846) / (1 - 0.7568846), 6) AS rescaled, round(2.5 * greatest(s, 0.0), 6) AS clip FROM c""")
 def similarity_credit(spark, sf_dir):
-    """S-29, S-30, M-03, D-15."""
+    """S-29, S-30, M-03."""
     s = F.col("vec_id") % 101 / 100.0
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(scoring.credit_for_similarity(s), 6).alias("credit"), F.round(scoring.rescale(s), 6).alias("rescaled"), F.round(2.5 * F.greatest(s, F.lit(0.0)), 6).alias("clip"))
 
@@ -314,7 +325,7 @@ SELECT event_id, CASE WHEN uncovered AND rung IN (1, 3) AND ceiling >= 40 THEN '
 CASE WHEN uncovered AND rung IN (1, 3) AND ceiling >= 40 THEN 40 ELSE [23, 12, 16, 12][rung] END AS low,
 CASE WHEN uncovered AND rung IN (1, 3) AND ceiling >= 40 THEN least(60, ceiling) ELSE [25, 15, 25, 15][rung] END AS high FROM w""")
 def band_for(spark, sf_dir):
-    """S-37, PRJ-14."""
+    """S-37."""
     coverage = F.when(F.col("event_id") % 3 == 0, "UNCOVERED").otherwise("covered")
     band = scoring.band_for(coverage, (F.col("event_id") % 4 + 1).cast("int"), F.col("value"))
     return table(spark, sf_dir, "events").select("event_id", band.alias("b")).select("event_id", "b.band", "b.low", "b.high")
@@ -348,7 +359,7 @@ def parse_replies(spark, sf_dir):
 
 @query("""SELECT event_id, (props->>'$.k')::INT AS k, CASE WHEN (props->>'$.k')::INT % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict, CASE WHEN (props->>'$.k')::INT % 2 = 0 THEN 'a' ELSE 'b' END AS side FROM events""")
 def parse_json_replies(spark, sf_dir):
-    """P-03, P-04, P-05, P-11, A-15: JSON within fences and prose."""
+    """P-03, P-04, P-05, P-11: JSON within fences and prose."""
     k = F.get_json_object("props", "$.k").cast("int")
     verdict = F.when(k % 2 == 0, "PASS").otherwise("FAIL")
     reply = F.concat(F.lit('```json\n{"verdict": "'), verdict, F.lit('"}\n```'))
@@ -374,7 +385,15 @@ def chrf_neighbours(spark, sf_dir):
     return both.select("item_id", F.round("forward", 6).alias("forward"), F.round(scoring.distance_between("forward", "backward"), 6).alias("distance"))
 
 
-@query()
+_SAID_TERMS = _terms(_clean("ad_text"), 1000)
+
+
+@query(f"""WITH {MOMENTS}, seq AS (SELECT *, row_number() OVER (PARTITION BY lecture, system ORDER BY t, moment_id) AS turn_no, {_SAID_TERMS} AS ts FROM moments),
+said AS (SELECT lecture, system, turn_no, lower(unnest(ts)) AS term, generate_subscripts(ts, 1) AS pos FROM seq),
+firsts AS (SELECT lecture, system, term, min((turn_no, pos)) AS f FROM said GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY lecture, system ORDER BY f) AS n FROM firsts),
+per AS (SELECT s.moment_id, s.system, list(k.term ORDER BY k.n) AS l FROM seq s JOIN numbered k ON k.lecture = s.lecture AND k.system = s.system AND k.f[1] < s.turn_no GROUP BY ALL)
+SELECT s.moment_id, s.system, coalesce(array_to_string(list_slice(l, greatest(len(l) - 39, 1), len(l)), ','), '') AS described FROM seq s LEFT JOIN per USING (moment_id, system)""")
 def described_so_far(spark, sf_dir):
     """W-09, W-10."""
     rows = sequence.described_so_far(moments(spark, sf_dir), "lecture", "system", ["t", "moment_id"], "ad_text")

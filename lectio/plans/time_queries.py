@@ -102,11 +102,11 @@ def keyframe_band(spark, sf_dir):
 
 def _frames(spark, sf_dir):
     """Documents of a source as the readings of its slides."""
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("source").alias("lecture"), F.col("doc_id").cast("double").alias("time"), "text")
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("lecture"), F.col("doc_id").cast("double").alias("time"), "text")
 
 
 _CONTENT = rf"list_filter(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z\-'']{{2,}}'), lambda x: lower(x))), lambda x: x NOT IN ({', '.join(repr(w) for w in tx.COMMON_WORDS)}))"
-_FRAME_PAIRS = f"""frames AS (SELECT source AS lecture, doc_id::DOUBLE AS time, {_CONTENT} AS words FROM documents WHERE lang = 'en'),
+_FRAME_PAIRS = f"""frames AS (SELECT source AS lecture, doc_id::DOUBLE AS time, {_CONTENT} AS words FROM documents),
 neighbours AS (SELECT *, lag(words) OVER (PARTITION BY lecture ORDER BY time) AS before FROM frames),
 fp AS (SELECT lecture, time, len(words) + len(before) AS n, CASE WHEN len(list_distinct(list_concat(words, before))) = 0 THEN 1.0 ELSE len(list_intersect(words, before)) / len(list_distinct(list_concat(words, before)))::DOUBLE END AS text_overlap,
   len(words) - len(list_intersect(words, before)) AS added_words FROM neighbours WHERE before IS NOT NULL),
@@ -126,12 +126,13 @@ def frame_channels(spark, sf_dir):
 
 
 def _doc_gaps(spark, sf_dir):
-    """A gap of seven seconds at each document whose id is a multiple of four."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 4 = 0")
-    return d.select(F.col("source").alias("lecture"), (F.col("doc_id") + 0.25).cast("double").alias("start"), (F.col("doc_id") + 7.25).cast("double").alias("end"))
+    """A gap at each document, whose length in seconds is the thousandth of its characters."""
+    d = table(spark, sf_dir, "documents")
+    start = F.col("doc_id") + 0.25
+    return d.select(F.col("source").alias("lecture"), start.cast("double").alias("start"), (start + F.col("n_chars") / 1000).cast("double").alias("end"))
 
 
-_DETECT = f"""{_FRAME_PAIRS}, dgaps AS (SELECT source AS lecture, doc_id + 0.25::DOUBLE AS start, doc_id + 7.25::DOUBLE AS "end" FROM documents WHERE doc_id % 4 = 0),
+_DETECT = f"""{_FRAME_PAIRS}, dgaps AS (SELECT source AS lecture, doc_id + 0.25::DOUBLE AS start, doc_id + 0.25 + n_chars / 1000.0 AS "end" FROM documents),
 visual AS (SELECT h.lecture, h.time AS t, h.channel, min(g.start) AS gap_start FROM hits h LEFT JOIN dgaps g ON g.lecture = h.lecture AND g.start >= h.time - 0.5 AND g.start <= h.time + 12 WHERE channel IS NOT NULL GROUP BY ALL),
 events_ AS (SELECT lecture, t, channel, gap_start, true AS visual FROM visual
   UNION ALL SELECT lecture, start, 'speech_gap', start, false FROM dgaps WHERE (lecture, round(start, 2)) NOT IN (SELECT (lecture, round(gap_start, 2)) FROM visual WHERE gap_start IS NOT NULL)),
@@ -168,13 +169,16 @@ def cursor_probe(spark, sf_dir):
     return detection.renders_cursor(probes, "lecture").withColumn("pointer_share", F.round("pointer_share", 6))
 
 
-@query()
+@query(f"""WITH {TIMELINE}, ends AS (SELECT lecture, max(t) + 1 AS duration FROM timeline GROUP BY lecture),
+marks AS (SELECT lecture, unnest(generate_series(0, floor(duration / 3000)::BIGINT)) * 3000.0::DOUBLE AS x FROM ends UNION SELECT lecture, t FROM timeline WHERE event_type = 'error'),
+lists AS (SELECT lecture, list([x] ORDER BY x) AS l FROM marks JOIN ends USING (lecture) WHERE x >= 0 AND x < duration GROUP BY lecture)
+SELECT lecture, array_to_string(list_transform(list_reduce(l, lambda kept, one: CASE WHEN one[1] - kept[len(kept)] >= 500 THEN list_concat(kept, one) ELSE kept END), lambda x: x::BIGINT::VARCHAR), ',') AS times FROM lists""")
 def keyframe_times(spark, sf_dir):
     """W-08: the scene times of each user's errors, up to the second of the user's last event."""
     events = timeline(spark, sf_dir)
     scene = F.when(F.col("event_type") == "error", F.col("t"))
     scenes = events.groupBy("lecture").agg((F.max("t") + 1).alias("duration"), F.sort_array(F.collect_list(scene)).alias("scenes"))
-    return scenes.select("lecture", F.array_join(F.transform(sequence.keyframe_times(F.col("duration"), F.col("scenes"), 3000.0, 500.0), lambda x: x.cast("string")), ",").alias("times"))
+    return scenes.select("lecture", F.array_join(F.transform(sequence.keyframe_times(F.col("duration"), F.col("scenes"), 3000.0, 500.0), lambda x: x.cast("long").cast("string")), ",").alias("times"))
 
 
 @query()

@@ -68,6 +68,144 @@ def render(template, values: dict[str, F.Column]) -> F.Column:
     return out
 
 
+# ---------------------------------------------------------------- media tools, plugged in
+
+
+def probe_media(paths: DataFrame, run: Callable[[str], dict], path: str = "path") -> DataFrame:
+    """X-01: (path, duration, audio, error) per file; ``run`` calls the tool on an executor and gives {duration, audio}."""
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for one in frame[path]:
+                try:
+                    found = run(one)
+                    rows.append((one, float(found["duration"]), bool(found["audio"]), None))
+                except Exception as failure:  # noqa: BLE001  an unreadable file is a row, not the end of the run
+                    rows.append((one, None, None, str(failure)[:500]))
+            yield pd.DataFrame(rows, columns=["path", "duration", "audio", "error"])
+
+    return paths.select(path).mapInPandas(each, "path string, duration double, audio boolean, error string")
+
+
+def cut_times(durations: DataFrame, lecture: str, seconds: float = 600.0) -> DataFrame:
+    """X-01, X-02: (lecture, chunk, start, end) of the pieces that a recording is cut into."""
+    chunks = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("duration") / seconds) - 1, F.lit(0)).cast("int"))
+    rows = durations.where("duration > 0").select(lecture, "duration", F.explode(chunks).alias("chunk"))
+    return rows.select(lecture, "chunk", (F.col("chunk") * seconds).alias("start"), F.least("duration", (F.col("chunk") + 1) * seconds).alias("end"))
+
+
+def slide_text(readings: DataFrame, lecture: str, time: str = "time", least: float = 0.0) -> DataFrame:
+    """X-04: per frame the text of a reader's boxes (text, confidence, place) in order, and their mean confidence."""
+    boxes = readings.where(F.col("confidence") >= least).groupBy(lecture, time).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda b: b["text"]), " ").alias("text"), F.avg("confidence").alias("confidence"))
+    return readings.select(lecture, time).distinct().join(boxes, [lecture, time], "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def speech_by(audio: DataFrame, detect: Callable[[str], list[tuple[float, float]]], lecture: str, path: str = "path") -> DataFrame:
+    """X-03: (lecture, start, end) of speech, as a plugged voice detector finds it in each file."""
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(key, float(a), float(b)) for key, one in zip(frame[lecture], frame[path], strict=True) for a, b in detect(one)]
+            yield pd.DataFrame(rows, columns=[lecture, "start", "end"])
+
+    return audio.select(lecture, path).mapInPandas(each, f"{lecture} {dict(audio.dtypes)[lecture]}, start double, end double")
+
+
+# ---------------------------------------------------------------- models, plugged in
+
+
+def chat_request(model: str, system: str, prompt: str, temperature: float = 0.0, images: tuple[str, ...] = ()) -> dict:
+    """X-05: the body of a chat call in the common form of messages with parts."""
+    parts = [{"type": "image_url", "image_url": {"url": u}} for u in images] + [{"type": "text", "text": prompt}]
+    return {"model": model, "temperature": temperature, "messages": [{"role": "system", "content": system}, {"role": "user", "content": parts}]}
+
+
+def native_request(model: str, system: str, prompt: str, temperature: float = 0.0, images: tuple[str, ...] = ()) -> dict:
+    """X-05: the body of a call in the form of contents and a system instruction."""
+    parts = [{"file_data": {"file_uri": u}} for u in images] + [{"text": prompt}]
+    return {"model": model, "system_instruction": {"parts": [{"text": system}]}, "contents": [{"role": "user", "parts": parts}], "generation_config": {"temperature": temperature}}
+
+
+def asker(post: Callable[[dict], str], build=chat_request, tries: int = 3, **settings) -> Callable[[list[str]], list[str]]:
+    """X-05: an ``ask`` for :func:`ask_all` over a transport; conditions of TERMINAL are not tried again."""
+
+    def ask(prompts: list[str]) -> list[str]:
+        out = []
+        for prompt in prompts:
+            for left in reversed(range(tries)):
+                try:
+                    out.append(post(build(prompt=prompt, **settings)))
+                    break
+                except Exception as failure:
+                    if not left or any(m in str(failure).lower() for m in TERMINAL):
+                        raise
+        return out
+
+    return ask
+
+
+def decode(rows: DataFrame, generate: Callable[[list[str], float], list[str]], temperatures: tuple[float, ...], read: Callable[[F.Column], F.Column], key: str = "item_id", prompt: str = "prompt") -> DataFrame:
+    """X-08: attempts in order (greedy, then sampled) until a reply can be read: (key, attempt, reply, answer)."""
+    done, todo = None, rows.select(key, prompt)
+    for attempt, temperature in enumerate(temperatures):
+        asked = ask_all(todo, lambda prompts, t=temperature: generate(prompts, t), key, prompt).withColumn("attempt", F.lit(attempt)).withColumn("answer", read(F.col("reply"))).persist()
+        last = attempt == len(temperatures) - 1
+        kept = asked if last else asked.where("answer IS NOT NULL")
+        done = kept if done is None else done.unionByName(kept)
+        todo = todo.join(asked.where("answer IS NULL").select(key), key, "left_semi")
+    return done.select(key, "attempt", "reply", "answer")
+
+
+def training_table(rows: DataFrame, method: str) -> DataFrame:
+    """X-09: what a trainer reads: conversations for sft, (prompt, chosen, rejected) for dpo; the training itself is plugged in."""
+    columns = {"sft": ["messages"], "dpo": ["prompt", "chosen", "rejected"]}
+    if method not in columns:
+        raise ValueError(f"no training method called {method}; known: {sorted(columns)}")
+    return rows.select(*columns[method]).dropna()
+
+
+def markdown(table: DataFrame, digits: int = 3, rows: int = 1000) -> str:
+    """V-20: a report's table as Markdown; reports are summaries, a larger table is refused."""
+    found = table.limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"a report has at most {rows} rows")
+    shown = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
+    lines = [table.columns, ["-"] * len(table.columns), *([shown(v) for v in r] for r in found)]
+    return "\n".join("| " + " | ".join(line) + " |" for line in lines)
+
+
+def steps_to_run(steps: dict[str, str], exists: Callable[[str], bool]) -> list[str]:
+    """V-19: the steps, in order, whose output isn't there yet."""
+    return [name for name, output in steps.items() if not exists(output)]
+
+
+def check_directives(asked, declared) -> list[str]:
+    """V-12: the focus directives asked for, which must be declared ones."""
+    unknown = [d for d in asked if d not in declared]
+    if unknown:
+        raise ValueError(f"directives that are not declared: {unknown}")
+    return list(asked)
+
+
+def write_lecture(moments: DataFrame, lecture: str, order: str, ask: Callable[[dict, list[str]], dict], schema: str, cap: int = 40) -> DataFrame:
+    """V-09: a lecture's moments in order, each asked with what was described before it; one task per lecture, whose memory is the last ``cap`` texts.
+
+    ``ask`` gets a moment's fields and those texts and gives a row of ``schema``, with ad_text.
+    """
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        said: list[str] = []
+        out = []
+        for row in frame.sort_values(order).to_dict("records"):
+            answer = ask(row, said)
+            out.append(answer)
+            said = [*said, answer["ad_text"]][-cap:] if answer.get("ad_text") else said
+        return pd.DataFrame(out)
+
+    return moments.groupBy(lecture).applyInPandas(fold, schema)
+
+
 def spend(calls: DataFrame, prices: DataFrame, shapes: DataFrame) -> DataFrame:
     """A-27 to A-29, X-05: dollars per stage and model: calls times tokens times price; the measured shape where there is one."""
     shape = lambda c: F.coalesce(F.col(f"measured_{c}"), F.col(f"assumed_{c}"))

@@ -25,8 +25,11 @@ def event_counts(events: DataFrame, at: str, kind: str, width: str = "1 hour", l
     return events.withWatermark(at, late).groupBy(F.window(at, width), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), kind, "n")
 
 
-def streaming_novelty(rows: DataFrame, lecture: str, order: str, text: str, kept: int = 200) -> DataFrame:
-    """W-01 on a stream: per lecture the token sets of the last ``kept`` rows are state; rows of a batch go in order."""
+def streaming_novelty(rows: DataFrame, lecture: str, order: str, text: str, kept: int | None = None) -> DataFrame:
+    """W-01 on a stream: per lecture the token sets of its rows so far are state; rows of a batch go in order.
+
+    ``kept`` bounds the state where only the last so many rows are to count; by default all do, as in the batch form.
+    """
     import re
 
     def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -37,7 +40,7 @@ def streaming_novelty(rows: DataFrame, lecture: str, order: str, text: str, kept
             now = frozenset(re.findall("[a-z0-9]+", (body or "").lower()))
             most = max((len(now & e) / len(now | e) for e in earlier if now and e), default=0.0)
             out.append((str(key[0]), float(t), 1 - most))
-            earlier = [*earlier, now][-kept:]
+            earlier = [*earlier, now] if kept is None else [*earlier, now][-kept:]
         state.update(([" ".join(sorted(s)) for s in earlier],))
         yield pd.DataFrame(out, columns=["lecture", "at", "novelty"])
 

@@ -57,7 +57,7 @@ def test_cluster_bootstrap_is_the_pooled_resample(spark):
 def test_power():
     assert st.detectable_agreement(0) is None and 0.5 < st.detectable_agreement(100) < 0.65
     share, points = st.detectable_difference(40, 200)
-    assert st.two_sided_power(40, share) >= 0.8 and abs(points - 100 * (2 * share - 1) * 40 / 200) < 1e-9
+    assert st.power_of(40, share)[0] >= 0.8 > st.power_of(40, share - 1e-6)[0] and abs(points - 100 * (2 * share - 1) * 40 / 200) < 1e-9
 
 
 def test_ridge_fit_finds_the_signs():
