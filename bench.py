@@ -16,7 +16,8 @@ HEADLINE = (
     "word_count", "content_terms", "token_set_jaccard", "style_violations", "compliance_mechanical", "novelty", "score_systems",
     "summarise_strata", "rule_diagnostic", "speech_gaps", "next_gap_asof", "transcript_window_next_event", "nearest_frame",
     "detect_moments", "cascade", "coverage_accuracy", "two_order_outcome", "rater_cells", "krippendorff_alpha", "spearman",
-    "cluster_bootstrap", "resume_anti_join", "merge_repairs", "cosine_similarity",
+    "cluster_bootstrap", "resume_anti_join", "merge_repairs", "cosine_similarity", "described_so_far", "writer_contexts",
+    "batch_faults", "probe_frames", "compliance_local",
 )
 
 
