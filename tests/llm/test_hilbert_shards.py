@@ -48,3 +48,18 @@ def test_few_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a", "s", "en"), (2, "b", "s", "en")], "doc_id long, text string, source string, lang string")
     assert sorted((r.shard, r.slot) for r in hs.shard_documents(docs).collect()) == [(0, 0), (1, 0)]
     assert hs.shard_documents(docs.limit(0)).count() == 0
+
+
+def test_ranges_of_shards_let_readers_skip_most_of_them(spark):
+    """Of eight shards a reader of one source, language and size needs few; shards by hash would need all."""
+    rows = [(i, "x" * (10 + i * 37 % 3000), f"s{i % 12}", ["en", "de", "fr", "es"][i * 7 % 4]) for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    codes = list(hs.document_codes())
+    sharded = hs.shard_documents(docs).collect()
+    ranges = {}
+    for r in sharded:
+        for c in codes:
+            low, high = ranges.get((r.shard, c), (r[c], r[c]))
+            ranges[r.shard, c] = min(low, r[c]), max(high, r[c])
+    needed = [sum(all(ranges[s, c][0] <= r[c] <= ranges[s, c][1] for c in codes) for s in range(8)) for r in sharded[::20]]
+    assert sum(needed) / len(needed) < 4 and min(needed) >= 1
