@@ -127,6 +127,10 @@ class Voters:
 
     def votes(self, text: str, words: set[str]) -> list[int]:
         """Indices of the voters that say toxic."""
+        return self.seed_votes(text, words) + self.proposed.reached(words)
+
+    def seed_votes(self, text: str, words: set[str]) -> list[int]:
+        """Those of the lexicon and the patterns alone."""
         strong = len(self.any_word & words)
         found = [i for i, terms in enumerate(self.lexicon) if not terms.isdisjoint(words)] if strong else []
         lower = None
@@ -136,7 +140,7 @@ class Voters:
                 found += [len(self.lexicon) + i] * bool(pattern.search(lower))
         at = len(self.lexicon) + len(PATTERNS)
         found += [at] * (strong >= 2) + [at + 1] * (strong >= 1 and strong * 60 >= len(words))
-        return found + self.proposed.reached(words)
+        return found
 
 
 def enriched(toxic: dict, clean: dict, positive: int, rows: int) -> list[tuple[float, float, tuple[str, int]]]:
@@ -213,6 +217,8 @@ class LabelModel:
         believed = np.zeros((classes + 1, self.n))  # votes of lone voters that are taken for granted, by class
         believed[-1, lone] = LONE_PRECISION * LONE_BELIEF * votes[:, lone].sum(0)
         believed[0, lone] = (1 - LONE_PRECISION) * LONE_BELIEF * votes[:, lone].sum(0)
+        believed[profile + 1, np.arange(self.n)] += LONE_PRECISION  # and one vote of each voter, which matters in few rows only
+        believed[0] += 1 - LONE_PRECISION
         spoken = np.stack([votes[:, profile == k].sum(1) for k in range(classes)], 1)
         toxic = np.where(spoken.sum(1) > 0, np.minimum(0.5 + 0.15 * spoken.sum(1), 0.95), 0.02)
         inside = (spoken + 1e-3) / (spoken + 1e-3).sum(1, keepdims=True)
@@ -221,8 +227,9 @@ class LabelModel:
         before = None
         for _ in range(rounds):
             mass = q.sum(0) + believed.sum(1)
-            self.prior = np.clip(mass / max(1e-9, mass.sum()), 1e-5, 1)
-            rates = (q.T @ votes + believed + 0.02) / (mass + np.r_[5.0, np.full(classes, 1.0)])[:, None]
+            silent = np.r_[5.0, np.zeros(classes)]  # clean documents that no voter speaks on, so that few rows don't all turn toxic
+            self.prior = np.clip((mass + silent) / (mass + silent).sum(), 1e-5, 1)
+            rates = (q.T @ votes + believed + 0.02) / (mass + np.maximum(silent, 1.0))[:, None]
             self.rates = np.clip(rates, 1e-5, 1 - 1e-3)
             explained = (self.rates.T * self.prior) @ self.rates
             within = self.prior @ (self.rates * (1 - self.rates))  # a voter's variance inside the classes
@@ -376,11 +383,13 @@ class Scorer:
 
     def __init__(self, voters: Voters, units: list[tuple[str, int]]):
         self.voters, self.units, self.size = voters, UnitIndex(units, len(voters.names)), len(voters.names) + len(units)
+        for unit, levels in voters.proposed.levels.items():  # one look at a text's units for voters and features
+            self.units.levels.setdefault(unit, []).extend(levels)
         self.weights, self.constant = np.zeros(self.size), 0.0
 
     def features(self, text: str) -> list[int]:
         words = words_of(text)
-        return sorted(self.voters.votes(text, words) + self.units.reached(words))
+        return sorted(self.voters.seed_votes(text, words) + self.units.reached(words))
 
     def score(self, text: str) -> float:
         z = self.constant
