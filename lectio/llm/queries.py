@@ -10,6 +10,7 @@ from lectio.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from lectio.llm.hilbert_shards import op7_hilbert_sharding
 from lectio.llm.license_scan import op3_license_scan
 from lectio.llm.line_dedup import op5_line_dedup
+from lectio.llm.minhash import op11_minhash_near_dedup
 from lectio.llm.packing import op4_packing
 from lectio.llm.pieces import op9_sentencepiece
 from lectio.llm.quality_classifier import op8_quality_classifier
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_minhash_near_dedup": op11_minhash_near_dedup,
 }
 
 SQL: dict[str, str] = {
