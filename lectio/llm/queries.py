@@ -15,6 +15,8 @@ from lectio.llm.packing import op4_packing
 from lectio.llm.pieces import op9_sentencepiece
 from lectio.llm.quality_classifier import op8_quality_classifier
 from lectio.llm.quality_rules import op6_quality_rules
+from lectio.llm.resampling import OP12_SQL, op12_importance_resampling
+from lectio.llm.rolling import OP13_SQL, op13_rolling_features
 from lectio.llm.simhash import op2_simhash_near_dedup
 from lectio.llm.toxicity import op1_toxicity
 
@@ -30,8 +32,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_minhash_near_dedup": op11_minhash_near_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_rolling_features": op13_rolling_features,
 }
 
 SQL: dict[str, str] = {
     "op10_exact_dedup": OP10_SQL,
+    "op12_importance_resampling": OP12_SQL,
+    "op13_rolling_features": OP13_SQL,
 }
