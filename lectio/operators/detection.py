@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectio.functions import ids
 from lectio.functions import text as tx
+from lectio.operators import scan
 from lectio.operators.joins import as_of_forward
 
 
 def frame_pairs(frames: DataFrame, lecture: str) -> DataFrame:
     """W-04: consecutive slide readings with text_overlap (1 if both are empty) and added_words."""
-    w = Window.partitionBy(lecture).orderBy("time")
-    both = frames.withColumn("words", tx.content_words("text")).withColumn("before", F.lag("words").over(w)).withColumn("apart", F.col("time") - F.lag("time").over(w))
-    both = both.where("before IS NOT NULL")
+    read = frames.withColumn("words", tx.content_words("text"))
+    both = scan.scan(read, [lecture], ["time"], before=scan.lag("words"), apart=scan.lag("time")).where("before IS NOT NULL").withColumn("apart", F.col("time") - F.col("apart"))
     return both.withColumn("text_overlap", tx.jaccard(F.col("words"), F.col("before"), 1.0)).withColumn("added_words", F.size(F.array_except("words", "before")))
 
 
@@ -37,8 +37,8 @@ def detect(frames: DataFrame, gaps: DataFrame, lecture: str, horizon: float = 12
     free = gaps.withColumn("g", F.round("start", 2)).join(claimed, [lecture, "g"], "left_anti")
     silent = free.select(lecture, F.col("start").alias("t"), F.lit("speech_gap").alias("channel"), F.col("start").alias("gap_start"), F.col("end").alias("gap_end"), F.round(F.col("end") - F.col("start"), 2).alias("gap_after"), F.lit(False).alias("visual"))
     events = visual.unionByName(silent, allowMissingColumns=True)
-    number = F.row_number().over(Window.partitionBy(lecture).orderBy("t", "channel"))
-    return events.withColumn("number", number).withColumn("id", ids.moment_id(F.col(lecture).cast("string"), F.col("number"), ~F.col("visual")))
+    cuts = scan.bounds(frames, [lecture, "time"], int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return scan.scan(events, [lecture], ["t", "channel"], cuts=cuts, number=scan.number()).withColumn("id", ids.moment_id(F.col(lecture).cast("string"), F.col("number"), ~F.col("visual")))
 
 
 def channel_summary(events: DataFrame, channels: tuple[str, ...] = ("slide_turnover", "added_words", "pixel_motion", "speech_gap")) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectio.operators import scan
+
 
 def range_join(points: DataFrame, spans: DataFrame, key: list[str], t: str, low: Column, high: Column, width: float, how: str = "inner", closed: bool = True) -> DataFrame:
     """Points joined with the spans of the same key that hold their time ``t`` (J-06, J-09).
@@ -61,17 +63,12 @@ def keyframe_band(moments: DataFrame, frames: DataFrame, key: str, moment: list[
 def nearest(left: DataFrame, right: DataFrame, key: str, left_id: list[str], t: str, right_t: str, value: str, max_skew: float | None = None) -> DataFrame:
     """J-07, J-08: the value nearest in time, the earlier on a tie; null beyond ``max_skew``.
 
-    Both sides are laid on one time line per key; the neighbours before and after come from two window
-    functions, so the cost is a sort.
+    Both sides are laid on one time line per key; the neighbours before and after come from a segmented
+    scan, so the cost is a sort and a hot key is spread.
     """
-    from pyspark.sql import Window
-
     line = left.select(key, *left_id, F.col(t).cast("double").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("struct<rt:double,v:string>").alias("_r"))
     line = line.unionByName(right.select(key, F.col(right_t).cast("double").alias("_at"), F.lit(0).alias("_side"), F.struct(F.col(right_t).cast("double").alias("rt"), F.col(value).cast("string").alias("v")).alias("_r")), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_at", "_side")
-    before = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_r", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    both = line.withColumn("_b", before).withColumn("_a", after).where("_side = 1")
+    both = scan.scan(line, [key], ["_at", "_side"], _b=scan.last("_r"), _a=scan.following("_r")).where("_side = 1")
     closer = F.when(F.col("_b").isNull(), F.col("_a")).when(F.col("_a").isNull(), F.col("_b")).when(F.col("_at") - F.col("_b.rt") <= F.col("_a.rt") - F.col("_at"), F.col("_b")).otherwise(F.col("_a"))
     picked = both.withColumn("_p", closer)
     near = F.col("_p.v") if max_skew is None else F.when(F.abs(F.col("_p.rt") - F.col("_at")) <= max_skew, F.col("_p.v"))

@@ -385,19 +385,24 @@ def chrf_neighbours(spark, sf_dir):
     return both.select("item_id", F.round("forward", 6).alias("forward"), F.round(scoring.distance_between("forward", "backward"), 6).alias("distance"))
 
 
-_SAID_TERMS = _terms(_clean("ad_text"), 1000)
+_NAMED = f"list_filter({_terms('ad_text', 40)}, lambda x: length(x) >= 4 AND lower(x) NOT IN ({', '.join(repr(w) for w in sequence.STRUCTURAL)}))"
+_SHOWN = f"list_transform({_terms('slide_ocr', 80)}, lambda x: lower(x))"
 
 
-@query(f"""WITH {MOMENTS}, seq AS (SELECT *, row_number() OVER (PARTITION BY lecture, system ORDER BY t, moment_id) AS turn_no, {_SAID_TERMS} AS ts FROM moments),
-said AS (SELECT lecture, system, turn_no, lower(unnest(ts)) AS term, generate_subscripts(ts, 1) AS pos FROM seq),
-firsts AS (SELECT lecture, system, term, min((turn_no, pos)) AS f FROM said GROUP BY ALL),
+@query(f"""WITH {MOMENTS}, seq AS (SELECT *, row_number() OVER (PARTITION BY lecture, system ORDER BY t, moment_id) AS turn_no, {_NAMED} AS named, {_SHOWN} AS shown FROM moments),
+kept AS (SELECT *, CASE WHEN turn % 4 = 3 THEN [] WHEN coalesce(slide_ocr, '') = '' THEN named ELSE list_filter(named, lambda x: list_contains(shown, lower(x))) END AS ts FROM seq),
+said AS (SELECT lecture, system, turn_no, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM kept),
+firsts AS (SELECT lecture, system, arg_min(term, (turn_no, pos)) AS term, min((turn_no, pos)) AS f FROM said GROUP BY lecture, system, lower(term)),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY lecture, system ORDER BY f) AS n FROM firsts),
-per AS (SELECT s.moment_id, s.system, list(k.term ORDER BY k.n) AS l FROM seq s JOIN numbered k ON k.lecture = s.lecture AND k.system = s.system AND k.f[1] < s.turn_no GROUP BY ALL)
-SELECT s.moment_id, s.system, coalesce(array_to_string(list_slice(l, greatest(len(l) - 39, 1), len(l)), ','), '') AS described FROM seq s LEFT JOIN per USING (moment_id, system)""")
+per AS (SELECT s.moment_id, s.system, list(k.term ORDER BY k.n) FILTER (k.f[1] < s.turn_no) AS l, list(k.term ORDER BY k.n) FILTER (k.f[1] = s.turn_no) AS new, count(*) AS so_far
+  FROM seq s JOIN numbered k ON k.lecture = s.lecture AND k.system = s.system AND k.f[1] <= s.turn_no GROUP BY ALL)
+SELECT s.moment_id, s.system, CASE WHEN len(l) > 0 THEN array_to_string(list_slice(l, greatest(len(l) - 39, 1), len(l)), '; ') ELSE '{sequence.NOTHING_DESCRIBED}' END AS described,
+  coalesce(array_to_string(new, ','), '') AS new_elements, coalesce(so_far, 0)::INT AS elements_so_far FROM seq s LEFT JOIN per USING (moment_id, system)""")
 def described_so_far(spark, sf_dir):
-    """W-09, W-10."""
-    rows = sequence.described_so_far(moments(spark, sf_dir), "lecture", "system", ["t", "moment_id"], "ad_text")
-    return rows.select("moment_id", "system", F.array_join("described", ",").alias("described"))
+    """W-09, W-10: the turn before is the slide, every fourth turn is passed over."""
+    rows = moments(spark, sf_dir).withColumn("emit", F.col("turn") % 4 != 3)
+    found = sequence.described_so_far(rows, "lecture", "system", ["t", "moment_id"], "ad_text", "slide_ocr", "emit")
+    return found.select("moment_id", "system", sequence.described_text().alias("described"), F.array_join("new_elements", ",").alias("new_elements"), "elements_so_far")
 
 
 @query()
