@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectio.llm.common import BROADCAST_ROWS, documents, texts, written
+from lectio.llm.common import documents, texts, written
 
 #: Words are runs of digits, letters a to z and whatever isn't ASCII, after A-Z became a-z: a table for bytes.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -22,6 +22,8 @@ MIN_WORDS = 20
 #: The share of the documents of MIN_WORDS words or more that is drawn: SHARE / OF.
 SHARE, OF = 10, 100
 SEED = 2024
+#: Features whose gains are broadcast, the most frequent ones; those of all others are joined in a shuffle.
+OFTEN = 100_000
 
 
 
@@ -106,7 +108,7 @@ def gumbel(doc_id: Column, seed: int = SEED) -> Column:
     return F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0))).cast("long")
 
 
-def weighted(docs: DataFrame, target: DataFrame, low: int = LOW, high: int = HIGH, buckets: int = BUCKETS, seed: int = SEED, limit: int = BROADCAST_ROWS) -> DataFrame:
+def weighted(docs: DataFrame, target: DataFrame, low: int = LOW, high: int = HIGH, buckets: int = BUCKETS, seed: int = SEED, limit: int = OFTEN) -> DataFrame:
     """(doc_id, h1, h2, copies, n_words, n_features, weight, score) of each distinct row; copies counts its repetitions.
 
     A row stays one row until its features are counted; a document's features become rows only where they
@@ -127,7 +129,7 @@ def weighted(docs: DataFrame, target: DataFrame, low: int = LOW, high: int = HIG
     return out.withColumn("score", F.col("weight") + gumbel(F.col("doc_id"), seed))
 
 
-def resample(docs: DataFrame, target: DataFrame, low: int = LOW, high: int = HIGH, buckets: int = BUCKETS, share: tuple[int, int] = (SHARE, OF), min_words: int = MIN_WORDS, seed: int = SEED, limit: int = BROADCAST_ROWS) -> DataFrame:
+def resample(docs: DataFrame, target: DataFrame, low: int = LOW, high: int = HIGH, buckets: int = BUCKETS, share: tuple[int, int] = (SHARE, OF), min_words: int = MIN_WORDS, seed: int = SEED, limit: int = OFTEN) -> DataFrame:
     """One row per document: doc_id, n_features, n_words, weight, score, rank (null: not drawn).
 
     Of the documents of ``min_words`` words or more the highest scores are drawn, ``share`` of them, ties to
