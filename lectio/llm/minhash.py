@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -197,9 +198,16 @@ def _first_of_part(table: pa.Table, starts: np.ndarray) -> np.ndarray:
 
 
 def _stars(table: pa.Table, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+    """Stars at the smallest node for what the rows' labels join, over all groups of a table that share a node."""
     moved = np.flatnonzero(before != after)
     node = table.column("node").combine_chunks()
-    return pa.RecordBatch.from_arrays([node.take(pa.array(moved)), node.take(pa.array(after[moved]))], ["u", "v"])
+    ends = pa.chunked_array([node.take(pa.array(moved)), node.take(pa.array(after[moved]))]).combine_chunks()
+    names = ends.unique()
+    names = names.take(pc.sort_indices(names))
+    codes = pc.index_in(ends, names).to_numpy(zero_copy_only=False).astype(np.int64)
+    root = _spread(np.arange(len(names)), codes[: len(moved)], codes[len(moved) :])
+    points = np.flatnonzero(root != np.arange(len(names)))
+    return pa.RecordBatch.from_arrays([names.take(pa.array(points)), names.take(pa.array(root[points]))], ["u", "v"])
 
 
 def candidate_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,8 +269,8 @@ def exact_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _stars(table, labels, _spread(labels, np.concatenate(i), np.concatenate(j)))
 
 
-def linked_in_groups(members: DataFrame, weight: Column, compare: Callable, label: str) -> DataFrame:
-    """(u, v): edges that connect the nodes of each group as all links between its nodes would.
+def joined_in_groups(members: DataFrame, weight: Column, compare: Callable, label: str) -> DataFrame:
+    """(node, component): the components that the links within all groups make; nodes without a link are absent.
 
     ``members`` has group, node and one more column, and is written. A group of one block has all its pairs
     compared in a task. A larger one is dealt into blocks, each with the group's ANCHORS too; after
@@ -287,26 +295,28 @@ def linked_in_groups(members: DataFrame, weight: Column, compare: Callable, labe
     inside = rows.withColumn("block", F.pmod(spread, "blocks"))
     large = sums.where("blocks > 1")
     if large.isEmpty():
-        return compared(inside)
+        return written(connected_components(compared(inside)), f"{label}-parts")
     held = written(rows.where("blocks > 1"), f"{label}-large")
     anchor = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks") * (BLOCK_ROWS // ANCHORS)) == 0
     copies = held.where(anchor).withColumn("own", F.pmod(spread, "blocks"))
     copies = copies.select(*rows.columns, F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: b != F.col("own"))).alias("block"))
     first = compared(inside.unionByName(copies))
-    parts = written(connected_components(first).withColumnRenamed("component", "part"), f"{label}-parts")
-    named = written(held.drop("part", "asks").join(parts.hint("merge"), "node", "left").withColumn("part", F.coalesce("part", "node")), f"{label}-named")
-    counted = named.groupBy("group", "part", "blocks").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
-    main = written(counted.groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("main")), f"{label}-main")
-    rest = counted.join(main.hint("merge"), "group").where("part != main").groupBy("group", "main").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_ROWS), F.ceil(F.sum("w") / BLOCK_HASHES)).alias("askers"))
-    rest = written(rest, f"{label}-rest")
+    parts = written(connected_components(first), f"{label}-parts")
+    named = held.drop("part", "asks").join(parts.withColumnsRenamed({"node": "of", "component": "part"}).hint("merge"), F.col("node") == F.col("of"), "left").drop("of")
+    named = written(named.withColumn("part", F.coalesce("part", "node")), f"{label}-named")
+    counted = named.groupBy("group", "part").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
+    all_of = counted.groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.max("n").alias("most"))
+    few = F.greatest(F.ceil((F.col("n") - F.col("most")) / BLOCK_ROWS), F.ceil(F.col("w") / BLOCK_HASHES * (1 - F.col("most") / F.col("n"))), F.lit(1)).cast("long")
+    rest = written(all_of.where("most < n").select("group", "main", few.alias("askers")), f"{label}-rest")
     if rest.isEmpty():
-        return first
+        return parts
     again = named.join(small_or_shuffled(rest), "group")
     asker = F.col("part") != F.col("main")
     own, of = F.pmod(spread, "blocks"), F.pmod(F.xxhash64("node", F.lit(2)), "askers")
     asking = again.where(asker).withColumn("asks", F.lit(True)).select("*", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: b * F.col("askers") + of)).alias("block"))
     asked = again.withColumn("asks", F.lit(False)).select("*", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("askers") - 1), lambda c: own * F.col("askers") + c)).alias("block"))
-    return first.union(compared(asking.unionByName(asked)))
+    known = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return written(connected_components(known.union(compared(asking.unionByName(asked)))), f"{label}-parts")
 
 
 # ---------------------------------------------------------------- documents
@@ -342,11 +352,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     classes = written(classes, "minhash-classes")
     banded = classes.select(F.explode("bands").alias("group"), "node")
     shared = written(banded.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"), "minhash-buckets")
-    met = written(banded.join(small_or_shuffled(shared), "group"), "minhash-met")
+    met = banded.join(small_or_shuffled(shared), "group")
     members = written(met.join(classes.select("node", "signature").hint("merge"), "node").select("group", "node", "signature"), "minhash-members")
-    stars = linked_in_groups(members, F.lit(0), candidate_stars, "minhash")
-    families = written(connected_components(stars), "minhash-families")
-    discard(met, members)
+    families = joined_in_groups(members, F.lit(0), candidate_stars, "minhash")
+    discard(members)
     sought = families.join(classes.select("node", "first_id").hint("merge"), "node")
     sought = written(sought.select("node", "component", F.col("first_id").alias("rep")), "minhash-sought")
     ids = written(sought.select("rep").distinct(), "minhash-ids")
@@ -354,8 +363,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     sets = near.mapInArrow(lambda batches: _set_batches(batches, width), "node binary, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
     grouped = sets.join(sought.select("node", F.xxhash64("component").alias("group")).hint("merge"), "node").select("group", "node", "hashes")
     grouped = written(grouped, "minhash-sets")
-    links = linked_in_groups(grouped, F.octet_length("hashes") / 8, exact_stars, "minhash-exact")
-    parts = written(connected_components(links), "minhash-parts")
+    parts = joined_in_groups(grouped, F.octet_length("hashes") / 8, exact_stars, "minhash-exact")
     discard(grouped)
     named = parts.join(classes.select("node", "first_id").hint("merge"), "node")
     least = written(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "minhash-least")
