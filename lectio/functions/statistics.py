@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectio.operators import scan
+
 
 def exact_two_sided(k: int, n: int) -> float:
     """T-08: exact two-sided binomial p of k in n at one half."""
@@ -94,9 +96,116 @@ def cluster_bootstrap_mean(observations: DataFrame, cluster: str, value: str, or
     return mean, float(values[low]), float(values[high])
 
 
-def unit_bootstrap_mean(observations: DataFrame, unit: str, value: str, resamples: int = 2000, seed: int = 0, level: float = 0.95, rule: str = "inclusive"):
-    """T-02: as :func:`cluster_bootstrap_mean` with every unit a cluster of its own: its values come to the driver."""
-    return cluster_bootstrap_mean(observations, unit, value, unit, resamples, seed, level, rule)
+#: Units that one task draws from.
+BUCKET_UNITS = 65_536
+
+
+def _path_draws(sizes: np.ndarray, bucket: int, resamples: int, seed: int) -> np.ndarray:
+    """How many of each resample's draws fall on a bucket: a binomial split at each node of a binary tree over the buckets.
+
+    A node's generator is seeded with its range, so that tasks that share a node draw alike; together the
+    buckets' draws are multinomial.
+    """
+    before = np.r_[0, np.cumsum(sizes)]
+    low, high = 0, len(sizes)
+    draws = np.full(resamples, before[-1], np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        whole, left = before[high] - before[low], before[middle] - before[low]
+        own = np.random.default_rng([seed, low, high]).binomial(draws, left / whole if whole else 0.0)
+        draws, low, high = (own, low, middle) if bucket < middle else (draws - own, middle, high)
+    return draws
+
+
+def resampled_sums(values: np.ndarray, draws: np.ndarray, seed: int, bucket: int) -> np.ndarray:
+    """Per resample the sum of so many of a bucket's values, drawn with replacement."""
+    rng = np.random.default_rng([seed, bucket])
+    return np.array([values[rng.integers(0, len(values), int(k))].sum() if k else 0.0 for k in draws])
+
+
+def unit_bootstrap_mean(observations: DataFrame, unit: str, value: str, resamples: int = 2000, seed: int = 0, level: float = 0.95, rule: str = "inclusive", bucket_units: int = BUCKET_UNITS):
+    """T-02: (mean, low, high) of the pooled mean, resampling units; no interval for fewer than two.
+
+    Units are dealt into buckets by a hash. Every bucket finds its share of each resample's draws by itself and
+    gives a sum per resample, so the driver holds a number per resample and the size of each bucket. A unit
+    is one row; rows without a value don't count.
+    """
+    known = observations.where(F.col(value).isNotNull()).select(F.xxhash64(unit).alias("_u"), F.col(value).cast("double").alias("_x"))
+    n = known.count()
+    if not n:
+        return None, None, None
+    buckets = -(-n // bucket_units)
+    dealt = known.withColumn("_b", F.pmod("_u", F.lit(buckets)).cast("int"))
+    sums = {r._b: (r.n, r.s) for r in dealt.groupBy("_b").agg(F.count("*").alias("n"), F.sum("_x").alias("s")).collect()}
+    mean = sum(s for _, s in sums.values()) / n
+    if n < 2:
+        return mean, None, None
+    sizes = np.array([sums.get(b, (0, 0.0))[0] for b in range(buckets)], np.int64)
+
+    def run(table):
+        import pyarrow as pa
+
+        b = table.column("_b")[0].as_py()
+        values = table.sort_by([("_u", "ascending"), ("_x", "ascending")]).column("_x").to_numpy()
+        drawn = resampled_sums(values, _path_draws(sizes, b, resamples, seed), seed, b)
+        return pa.table({"r": pa.array(range(resamples), pa.int32()), "s": pa.array(drawn)})
+
+    parts = dealt.groupBy("_b").applyInArrow(run, "r int, s double").groupBy("r").agg(F.sum("s").alias("s"))
+    values = np.sort([r.s / n for r in parts.collect()])
+    low, high = percentile_positions(resamples, level, rule)
+    return mean, float(values[low]), float(values[high])
+
+
+#: Bins that a group's range is cut into at each pass; a range of at most so many rows is sorted out by its distinct values.
+BINS, SETTLED = 256, 4096
+
+
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, tuple[int, int]]) -> DataFrame:
+    """(by, name, quantile): for each named share (p, q) the value number ceil(n * p / q), at least the first, of a group's n.
+
+    Selection by refinement: each pass counts a group's values in BINS bins of the range that is still
+    open, with a partial sum where the rows are, and goes on in the bin that holds the rank, until it
+    holds SETTLED rows at most or a single value. So a group's values never meet in one task, whatever their number.
+    """
+    names = [f"_k{i}" for i in range(len(by))]
+    known = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*(F.col(c).alias(k) for c, k in zip(by, names, strict=True)), F.col(value).cast("double").alias("_x"))
+    ends = known.groupBy(*names).agg(F.count("*").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    rank = lambda p, q: F.greatest(F.expr(f"(_n * {p}L + {q - 1}L) div {q}L"), F.lit(1))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), rank(p, q).alias("_rank")) for name, (p, q) in shares.items()]))
+    state = ends.select(*names, "_n", "_low", "_high", wanted.alias("_w")).select(*names, "_n", "_low", "_high", "_w.*")
+    keys = [*names, "_name"]
+    spark = rows.sparkSession
+    local = lambda df: spark.createDataFrame(df.collect(), df.schema) if df.limit(10_001).count() <= 10_000 else df  # noqa: E731  a row per group and name
+    state = local(state)
+    same = lambda prefix: [F.col(k).eqNullSafe(F.col(prefix + k)) for k in names]
+    renamed = lambda df, *more: df.select(*(F.col(k).alias("s" + k) for k in names), *more)
+    for _ in range(8):  # 256 ** 8 bins tell all doubles of a range apart
+        if state.where(f"_n > {SETTLED} AND _low < _high").isEmpty():
+            break
+        opened = renamed(state.where(f"_n > {SETTLED} AND _low < _high"), "_name", "_n", "_low", "_high", "_rank")
+        width = (F.col("_high") - F.col("_low")) / BINS
+        spot = F.least(F.floor((F.col("_x") - F.col("_low")) / width), F.lit(BINS - 1))
+        met = known.join(opened, same("s")).where("_x >= _low AND _x <= _high")
+        bins = met.groupBy(*keys, "_rank", spot.alias("_bin")).agg(F.count("*").alias("_m"), F.min("_x").alias("_a"), F.max("_x").alias("_b"))
+        listed = bins.groupBy(*keys, "_rank").agg(F.sort_array(F.collect_list(F.struct("_bin", "_m", "_a", "_b"))).alias("_bs"))
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("struct<_m:bigint,_a:double,_b:double,before:bigint>").alias("hit"))
+        step = lambda s, b: F.when(s["hit"].isNotNull(), s).otherwise(F.struct((s["seen"] + b["_m"]).alias("seen"), F.when(s["seen"] + b["_m"] >= F.col("_rank"), F.struct(b["_m"].alias("_m"), b["_a"].alias("_a"), b["_b"].alias("_b"), s["seen"].alias("before"))).alias("hit")))
+        chosen = listed.select(*keys, "_rank", F.aggregate("_bs", start, step)["hit"].alias("h"))
+        narrowed = chosen.select(*names, F.col("h._m").alias("_n"), F.col("h._a").alias("_low"), F.col("h._b").alias("_high"), "_name", (F.col("_rank") - F.col("h.before")).alias("_rank"))
+        state = local(state.where(f"NOT (_n > {SETTLED} AND _low < _high)").unionByName(narrowed))
+    single = state.where("_low = _high").select(*keys, F.col("_low").alias("quantile"))
+    rest = renamed(state.where("_low < _high"), "_name", "_low", "_high", "_rank")
+    counts = known.join(rest, same("s")).where("_x >= _low AND _x <= _high").groupBy(*keys, "_rank", "_x").agg(F.count("*").alias("_m"))
+    upto = F.sum("_m").over(Window.partitionBy(*keys).orderBy("_x"))
+    found = counts.withColumn("_upto", upto).where("_upto >= _rank").groupBy(*keys).agg(F.min("_x").alias("quantile"))
+    return single.unionByName(found).select(*(F.col(k).alias(c) for c, k in zip(by, names, strict=True)), F.col("_name").alias("name"), "quantile")
+
+
+def medians(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """A-02: (by, median) of each group with a value, the mean of the two middle ones."""
+    lower = exact_quantiles(rows, by, value, {"low": (1, 2)})
+    mirrored = exact_quantiles(rows.withColumn(value, -F.col(value)), by, value, {"low": (1, 2)}).withColumn("quantile", -F.col("quantile"))
+    return lower.unionByName(mirrored).groupBy(*by).agg(F.avg("quantile").alias("median"))
 
 
 def average_ranks(values) -> np.ndarray:
@@ -123,14 +232,29 @@ def spearman_with_interval(a, b, resamples: int = 2000, seed: int = 0, level: fl
     return whole, values[low], values[high]
 
 
+def value_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, rank): the average rank of each value in its group, less the group's mean rank.
+
+    Ranks come from counts per value and a segmented scan of their sums, so that a group of any size is spread.
+    """
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    before = scan.scan(counts, by, [value], _before=scan.sum_before("_n"))
+    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    same = [F.col(c).eqNullSafe(F.col("t_" + c)) for c in by]
+    joined = before.join(totals.withColumnsRenamed({c: "t_" + c for c in by}), same)
+    return joined.select(*by, value, (F.coalesce("_before", F.lit(0)) + (F.col("_n") + 1) / 2 - (F.col("_all") + 1) / 2).alias("rank"))
+
+
 def spearman_frame(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    """T-05 within groups, as ranks and a correlation."""
-    out = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    for c in (a, b):
-        w = Window.partitionBy(*by).orderBy(c)
-        same = Window.partitionBy(*by, c)
-        out = out.withColumn(f"_r_{c}", F.rank().over(w) + (F.count("*").over(same) - 1) / 2)
-    return out.groupBy(*by).agg(F.corr(f"_r_{a}", f"_r_{b}").alias("rho"), F.count("*").alias("n"))
+    """T-05 within groups: rho and n; rows without one of the values are left out, rho is null where a side is constant."""
+    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).alias("_a"), F.col(b).alias("_b"))
+    cells = known.groupBy(*by, "_a", "_b").agg(F.count("*").alias("_n"))
+    for side in ("_a", "_b"):
+        ranked = value_ranks(known, by, side).withColumnsRenamed({c: f"r_{c}" for c in [*by, side]} | {"rank": f"_rank{side}"})
+        cells = cells.join(ranked, [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in [*by, side]]).drop(*(f"r_{c}" for c in [*by, side]))
+    n, x, y = F.col("_n"), F.col("_rank_a"), F.col("_rank_b")
+    spread = F.sqrt(F.sum(n * x * x) * F.sum(n * y * y))
+    return cells.groupBy(*by).agg(F.try_divide(F.sum(n * x * y), spread).alias("rho"), F.sum("_n").alias("n"))
 
 
 def krippendorff(pairs: dict[tuple, float]) -> float:

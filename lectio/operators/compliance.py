@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectio.functions import scoring
+from lectio.functions import scoring, statistics
 from lectio.functions import text as tx
 from lectio.operators.sequence import within_lecture_novelty
 
@@ -181,16 +181,28 @@ def with_novelty(scored: DataFrame, lecture: str, order: list[str], text: str =
     return out.withColumn("novelty_factor", factor).withColumn("overall", F.col("overall") * F.col("novelty_factor")).drop("_seq")
 
 
-def summarise(scored: DataFrame, group: str = "type", moment: str = "moment_id") -> DataFrame:
-    """A-02, A-03: one row per group and one for all (group null): counts, mean, median, and per component the same."""
-    own = []
-    for c in MECHANICAL:
-        n = F.count_if(F.col("overall").isNotNull() & F.col(c).isNotNull())
-        value = F.when(F.col("overall").isNotNull(), F.col(c))
-        own += [n.alias(f"{c}_n"), F.avg(value).alias(f"{c}_mean"), F.median(value).alias(f"{c}_median"), F.count_if(value >= 1.0).alias(f"{c}_compliant")]
+def summarise(scored: DataFrame, group: str = "type", moment: str = "moment_id", parts: dict[str, str] | None = None) -> DataFrame:
+    """A-02, A-03: one row per group and one for all (group null): counts, mean, median, and per component the same.
+
+    Per component: rows it applied to, rows it was left out of, mean, median, rows of full credit and their share. Counts
+    and means come from one pass by grouping sets, medians by refinement, so that no group's values meet in one task.
+    """
+    parts = MECHANICAL if parts is None else parts
+    there = F.col("overall").isNotNull()
     named = scored.withColumn("stratum", F.coalesce(F.nullif(F.col(group), F.lit("")), F.lit("unknown")))
-    measures = [F.count("*").alias("n_total"), F.count("overall").alias("n_scored"), F.count_if(F.col("reason") == "unfilled").alias("n_unfilled"), F.count_if(F.col("reason") == "missing").alias("n_missing"), F.count_distinct(moment).alias("n_moments"), F.avg("overall").alias("mean"), F.median("overall").alias("median"), *own]
-    return named.rollup("stratum").agg(*measures)
+    own = []
+    for c in parts:
+        value = F.when(there, F.col(c))
+        own += [F.count(value).alias(f"{c}_n"), F.count_if(there & F.col(c).isNull()).alias(f"{c}_abstained"), F.avg(value).alias(f"{c}_mean"), F.count_if(value >= 1.0).alias(f"{c}_compliant")]
+    measures = [F.count("*").alias("n_total"), F.count("overall").alias("n_scored"), F.count_if(F.col("reason") == "unfilled").alias("n_unfilled"), F.count_if(F.col("reason") == "missing").alias("n_missing"), F.count_distinct(moment).alias("n_moments"), F.avg("overall").alias("mean"), *own]
+    sums = named.groupingSets([[F.col("stratum")], []], F.col("stratum")).agg(*measures)
+    shares = sums.withColumns({f"{c}_share": F.try_divide(f"{c}_compliant", f"{c}_n") for c in parts})
+    entries = F.array(*[F.struct(F.lit(name).alias("_name"), v.alias("_value")) for name, v in (("median", F.col("overall")), *((f"{c}_median", F.when(there, F.col(c))) for c in parts))])
+    long = named.select("stratum", F.explode(entries).alias("_e")).select(F.explode(F.array(F.col("stratum"), F.lit(None).cast("string"))).alias("stratum"), "_e.*")
+    medians = statistics.medians(long, ["stratum", "_name"], "_value").groupBy("stratum").pivot("_name", ["median", *(f"{c}_median" for c in parts)]).agg(F.first("median"))
+    joined = shares.join(medians.withColumnRenamed("stratum", "_s"), F.col("stratum").eqNullSafe(F.col("_s")), "left").drop("_s")
+    order = ["stratum", "n_total", "n_scored", "n_unfilled", "n_missing", "n_moments", "mean", "median"]
+    return joined.select(*order, *(f"{c}_{x}" for c in parts for x in ("n", "abstained", "mean", "median", "compliant", "share")))
 
 
 def system_scores(scored: DataFrame, by: list[str]) -> DataFrame:

@@ -38,10 +38,19 @@ def verdicts_against(decisions: DataFrame, known: DataFrame) -> DataFrame:
     return decisions.join(sides, "pair_id").withColumn("right", F.col("decision") == F.col("compliant_side"))
 
 
-def measure(verdicts: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """A-08, A-09: pairs, decided, right, coverage, accuracy, and accuracy with undecided pairs as failures."""
-    right, decided, n = F.count_if("right"), F.count("right"), F.count("*")
-    return verdicts.groupBy(*(by or [])).agg(n.alias("pairs"), decided.alias("decided"), right.alias("n_right"), F.try_divide(decided, n).alias("coverage"), F.try_divide(right, decided).alias("accuracy"), F.try_divide(right, n).alias("accuracy_all"))
+def measure(verdicts: DataFrame, by: list[str] | None = None, stage: str = "by") -> DataFrame:
+    """A-08, A-09: pairs, decided, ties (undecided), right, coverage, accuracy, accuracy with undecided pairs as failures, and decided_by.
+
+    decided_by maps each stage that decided a pair to how many it did; counts per stage are summed first,
+    so a group's map has as many entries as there are stages.
+    """
+    keys = list(by or [])
+    per = verdicts.withColumn("_stage", F.when(F.col("right").isNotNull(), F.col(stage))).groupBy(*keys, "_stage").agg(F.count("*").alias("_n"), F.count("right").alias("_d"), F.count_if("right").alias("_r"))
+    entry = F.when(F.col("_stage").isNotNull() & (F.col("_d") > 0), F.struct("_stage", "_d"))
+    n, decided, right = F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_d"), F.lit(0)), F.coalesce(F.sum("_r"), F.lit(0))
+    sums = per.groupBy(*keys).agg(n.alias("pairs"), decided.alias("decided"), right.alias("n_right"), F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("decided_by"))
+    share = lambda x, y: F.try_divide(x, y)
+    return sums.select(*keys, "pairs", "decided", (F.col("pairs") - F.col("decided")).alias("ties"), "n_right", share("decided", "pairs").alias("coverage"), share("n_right", "decided").alias("accuracy"), share("n_right", "pairs").alias("accuracy_all"), "decided_by")
 
 
 def outcomes(answers: DataFrame, rule: str = "agree_or_undecided") -> DataFrame:
@@ -74,6 +83,26 @@ def rater_cells(labels: DataFrame, scores: DataFrame, by: list[str] | None = Non
     return joined.groupBy("rater", "scorer", *(by or [])).agg(agreed.alias("agreed"), disagreed.alias("disagreed"), F.count_if(tied()).alias("metric_ties"), F.try_divide(agreed, agreed + disagreed).alias("agreement"))
 
 
+ORDER_SENSITIVE = "order_sensitive"
+
+
+def rater_report(labels: DataFrame, scores: DataFrame, pairs: DataFrame, group: str = "axis", stratum: str = "stratum") -> DataFrame:
+    """A-13: the cells of every rater and scorer: over all pairs, by group, and over the order-sensitive pairs, which are in no other cell.
+
+    One pass by grouping sets: a row has its part (overall, by_group, order_sensitive), its group where the part
+    has groups (natural where a pair has none), n, agreed, metric_ties and agreement. A cell without any choice has no row.
+    """
+    known = pairs.select("pair_id", F.coalesce(F.nullif(F.col(group), F.lit("")), F.lit("natural")).alias("group"), F.coalesce(F.col(stratum) == ORDER_SENSITIVE, F.lit(False)).alias("sensitive"))
+    joined = labels.where(F.col("side").isin(*SIDES)).select("rater", "pair_id", "side").join(scores, "pair_id").join(known, "pair_id").withColumn("found", preferred())
+    agreed, disagreed = F.count_if(F.col("found") == F.col("side")), F.count_if(F.col("found") != F.col("side"))
+    columns = [F.col(c) for c in ("rater", "scorer", "sensitive", "group")]
+    cells = joined.groupingSets([columns[:3], columns], *columns).agg(F.grouping("group").alias("whole"), agreed.alias("agreed"), disagreed.alias("disagreed"), F.count_if(tied()).alias("metric_ties"))
+    part = F.when(F.col("sensitive"), F.lit(ORDER_SENSITIVE)).when(F.col("whole") == 1, "overall").otherwise("by_group")
+    wanted = cells.where(~F.col("sensitive") | (F.col("whole") == 1))
+    n = F.col("agreed") + F.col("disagreed")
+    return wanted.select("rater", "scorer", part.alias("part"), "group", n.alias("n"), "agreed", "metric_ties", F.try_divide("agreed", n).alias("agreement"))
+
+
 def unanimous(labels: DataFrame, n_raters: int) -> DataFrame:
     """A-20, A-21: pairs that every rater labelled, all the same side and none a tie."""
     per = labels.groupBy("pair_id").agg(F.count_distinct("rater").alias("raters"), F.min("side").alias("low"), F.max("side").alias("high"))

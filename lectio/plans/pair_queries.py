@@ -39,12 +39,15 @@ def _verdicts(spark, sf_dir, scorer=None):
     return decisions.verdicts_against(found, pairs(spark, sf_dir).select("pair_id", "axis", "compliant_side"))
 
 
-@query(f"""WITH {_BASE}, {_VERDICTS} SELECT axis, count(*) AS pairs, count("right") AS decided, count(*) FILTER ("right") AS n_right, round(count("right") / count(*)::DOUBLE, 6) AS coverage,
-round(count(*) FILTER ("right") / nullif(count("right"), 0)::DOUBLE, 6) AS accuracy, round(count(*) FILTER ("right") / count(*)::DOUBLE, 6) AS accuracy_all FROM verdicts GROUP BY axis""")
+@query(f"""WITH {_BASE}, {_VERDICTS}, stages AS (SELECT axis, string_agg("by" || '=' || n, ',' ORDER BY "by") AS decided_by FROM (SELECT axis, "by", count("right") AS n FROM verdicts WHERE "right" IS NOT NULL GROUP BY ALL) GROUP BY axis),
+m AS (SELECT axis, count(*) AS pairs, count("right") AS decided, count(*) FILTER ("right" IS NULL) AS ties, count(*) FILTER ("right") AS n_right, round(count("right") / count(*)::DOUBLE, 6) AS coverage,
+round(count(*) FILTER ("right") / nullif(count("right"), 0)::DOUBLE, 6) AS accuracy, round(count(*) FILTER ("right") / count(*)::DOUBLE, 6) AS accuracy_all FROM verdicts GROUP BY axis)
+SELECT m.*, coalesce(decided_by, '') AS decided_by FROM m LEFT JOIN stages USING (axis)""")
 def coverage_accuracy(spark, sf_dir):
     """D-02, D-04, A-08, A-09, PRJ-06."""
     found = decisions.measure(_verdicts(spark, sf_dir), ["axis"])
-    return found.withColumns({c: F.round(c, 6) for c in ("coverage", "accuracy", "accuracy_all")})
+    stages = F.array_join(F.transform(F.map_entries("decided_by"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return found.withColumns({c: F.round(c, 6) for c in ("coverage", "accuracy", "accuracy_all")} | {"decided_by": stages})
 
 
 _OUTCOMES = f"""{JUDGEMENTS}, o AS (SELECT moment_id, max(choice) FILTER ("order" = 0) AS first, max(choice) FILTER ("order" = 1) AS second FROM judgements GROUP BY moment_id),
@@ -90,6 +93,24 @@ def rater_cells(spark, sf_dir):
     return decisions.rater_cells(raters(spark, sf_dir), scores, ["axis"]).withColumn("agreement", F.round("agreement", 6))
 
 
+_STRATA = "pairs_ AS (SELECT pair_id, CASE WHEN a_id % 7 = 0 THEN 'order_sensitive' WHEN a_id % 7 < 4 THEN 'natural' END AS stratum, CASE WHEN a_id % 11 = 0 THEN '' ELSE axis END AS axis FROM pairs)"
+
+
+@query(f"""WITH {_BASE}, {_STRATA}, joined AS (SELECT rater, scorer, coalesce(stratum = 'order_sensitive', false) AS sensitive, coalesce(nullif(p.axis, ''), 'natural') AS "group", r.side, {_SIDE} AS found, a = b AS tied
+  FROM raters r JOIN scores s USING (pair_id) JOIN pairs_ p USING (pair_id) WHERE r.side <> 'tie'),
+cells AS (SELECT rater, scorer, sensitive, "group", grouping("group") AS whole, count(*) FILTER (found = side) AS agreed, count(*) FILTER (found <> side) AS disagreed, count(*) FILTER (tied) AS metric_ties
+  FROM joined GROUP BY GROUPING SETS ((rater, scorer, sensitive), (rater, scorer, sensitive, "group")))
+SELECT rater, scorer, CASE WHEN sensitive THEN 'order_sensitive' WHEN whole = 1 THEN 'overall' ELSE 'by_group' END AS part, "group", agreed + disagreed AS n, agreed, metric_ties, round(agreed / nullif(agreed + disagreed, 0)::DOUBLE, 6) AS agreement
+FROM cells WHERE NOT sensitive OR whole = 1""")
+def rater_report(spark, sf_dir):
+    """A-13: pairs of every seventh id are the order-sensitive ones; every eleventh has no group."""
+    p = pairs(spark, sf_dir)
+    stratum = F.when(F.col("a_id") % 7 == 0, decisions.ORDER_SENSITIVE).when(F.col("a_id") % 7 < 4, "natural")
+    known = p.select("pair_id", stratum.alias("stratum"), F.when(F.col("a_id") % 11 == 0, "").otherwise(F.col("axis")).alias("axis"))
+    scores = side_scores(spark, sf_dir).select("pair_id", "scorer", "a", "b")
+    return decisions.rater_report(raters(spark, sf_dir), scores, known).withColumn("agreement", F.round("agreement", 6))
+
+
 @query(f"""WITH {_BASE}, units AS (SELECT *, count(*) OVER (PARTITION BY pair_id) AS m FROM raters)
 SELECT x.side AS l1, y.side AS l2, round(sum(1.0 / (x.m - 1)), 6) AS weight FROM units x JOIN units y ON x.pair_id = y.pair_id AND x.rater <> y.rater GROUP BY ALL""")
 def krippendorff_coincidences(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectio.functions import overlap, replies, scoring, times
+from lectio.functions import overlap, replies, scoring, statistics, times
 from lectio.functions import ids as id_functions
 from lectio.functions import text as tx
 from lectio.operators import compliance, integrity, sampling, sequence
@@ -200,27 +200,47 @@ def over_seeds(spark, sf_dir):
 _KNEES = (0.2, 0.3, 0.4, 0.5, 0.6)
 
 
+def _by_knee(final, system: str):
+    """Mean score of each system under each knee of the novelty factor."""
+    base = F.when(F.col("novelty_factor") == 0, 0.0).otherwise(F.try_divide("overall", "novelty_factor"))
+    each = final.withColumn("base", base).withColumn("knee", F.explode(F.array(*map(F.lit, _KNEES))))
+    return each.groupBy("knee", system).agg(F.round(F.avg(F.col("base") * F.least(F.lit(1.0), F.col("novelty") / F.col("knee"))), 6).alias("score"))
+
+
 @query(f"""WITH {NOVEL}, k AS (SELECT unnest([{', '.join(map(str, _KNEES))}])::DOUBLE AS knee),
 means AS (SELECT knee, system, round(avg(base * least(1.0, novelty / knee)), 6) AS score FROM final, k GROUP BY ALL)
 SELECT knee, system, score, row_number() OVER (PARTITION BY knee ORDER BY score DESC, system) AS position FROM means""")
 def rank_stability(spark, sf_dir):
-    """W-12, W-13, W-15: novelty once, the factor per knee."""
-    scored = _final(spark, sf_dir).withColumn("base", F.try_divide("overall", "novelty_factor"))
-    base = F.when(F.col("novelty_factor") == 0, 0.0).otherwise(F.col("base"))
-    knees = F.explode(F.array(*map(F.lit, _KNEES)))
-    per = scored.withColumn("knee", knees).groupBy("knee", "system").agg(F.round(F.avg(base * F.least(F.lit(1.0), F.col("novelty") / F.col("knee"))), 6).alias("score"))
-    return sequence.ranks(per, ["knee"], "score", "system")
+    """W-12, W-13: novelty once, the factor per knee."""
+    return sequence.ranks(_by_knee(_final(spark, sf_dir), "system"), ["knee"], "score", "system")
+
+
+@query(f"""WITH {NOVEL}, k AS (SELECT unnest([{', '.join(map(str, _KNEES))}])::DOUBLE AS knee), own AS (SELECT *, system || '-' || conv_id % 9 AS many FROM final),
+means AS (SELECT knee, many, round(avg(base * least(1.0, novelty / knee)), 6) AS score FROM own, k GROUP BY ALL),
+met AS (SELECT b.knee, a.score AS x, b.score AS y FROM means a JOIN means b USING (many) WHERE a.knee = {_KNEES[0]} AND b.knee <> {_KNEES[0]}),
+r AS (SELECT knee, rank() OVER (PARTITION BY knee ORDER BY x) + (count(*) OVER (PARTITION BY knee, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY knee ORDER BY y) + (count(*) OVER (PARTITION BY knee, y) - 1) / 2.0 AS ry FROM met)
+SELECT knee, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r GROUP BY knee""")
+def stability_against_first(spark, sf_dir):
+    """W-15, T-05: how far the order of the systems (a role in a ninth of the conversations) under each knee goes with that under the first."""
+    many = _final(spark, sf_dir).withColumn("many", F.concat_ws("-", "system", F.col("conv_id") % 9))
+    per = _by_knee(many, "many")
+    first = per.where(F.col("knee") == _KNEES[0]).select("many", F.col("score").alias("x"))
+    both = per.where(F.col("knee") != _KNEES[0]).join(first, "many")
+    return statistics.spearman_frame(both, "x", "score", ["knee"]).withColumn("rho", F.round("rho", 6))
 
 
-_BLOCK = ", ".join(f"count({c}) AS {c}_n, round(avg({c}), 6) AS {c}_mean, round(quantile_cont({c}, 0.5), 6) AS {c}_median, count(*) FILTER ({c} >= 1.0) AS {c}_compliant" for c in compliance.MECHANICAL)
+_BLOCK = ", ".join(
+    f"count({c}) AS {c}_n, count(*) - count({c}) AS {c}_abstained, round(avg({c}), 6) AS {c}_mean, round(quantile_cont({c}, 0.5), 6) AS {c}_median, count(*) FILTER ({c} >= 1.0) AS {c}_compliant, round(count(*) FILTER ({c} >= 1.0) / nullif(count({c}), 0)::DOUBLE, 6) AS {c}_share"
+    for c in compliance.MECHANICAL
+)
 
 
 @query(f"""WITH {SCORED} SELECT type AS stratum, count(*) AS n_total, count(overall) AS n_scored, 0::BIGINT AS n_unfilled, 0::BIGINT AS n_missing,
-count(DISTINCT moment_id) AS n_moments, round(avg(overall), 6) AS mean, round(quantile_cont(overall, 0.5), 6) AS median, {_BLOCK} FROM scored GROUP BY ROLLUP (type)""")
+count(DISTINCT moment_id) AS n_moments, round(avg(overall), 6) AS mean, round(quantile_cont(overall, 0.5), 6) AS median, {_BLOCK} FROM scored GROUP BY GROUPING SETS ((type), ())""")
 def summarise_strata(spark, sf_dir):
     """A-02, A-03."""
     s = compliance.summarise(_scored(spark, sf_dir))
-    rounded = [c for c in s.columns if c.endswith(("mean", "median"))]
+    rounded = [c for c in s.columns if c.endswith(("mean", "median", "share"))]
     return s.withColumns({c: F.round(c, 6) for c in rounded})
 
 

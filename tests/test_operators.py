@@ -11,7 +11,6 @@ from lectio.functions import text as tx
 from lectio.operators import compliance, decisions, integrity, joins, sampling, sequence
 from lectio.registry import PARTS
 from lectio.sources import external, files, lectures
-from lectio.streaming import live
 
 
 def test_silences(spark):
@@ -134,14 +133,3 @@ def test_registry():
     assert callable(part)
     with pytest.raises(ValueError):
         PARTS.create("sequence factor", {"name": "novelty_knee", "params": {"knie": 1}})
-
-
-def test_streams(spark, tmp_path):
-    rows = spark.createDataFrame([("l", 1.0, "a b"), ("l", 2.0, "a b"), ("m", 1.0, "c")], "lecture string, at double, text string")
-    rows.coalesce(1).write.json(f"{tmp_path}/in")
-    stream = spark.readStream.schema(rows.schema).json(f"{tmp_path}/in")
-    found = live.streaming_novelty(stream, "lecture", "at", "text")
-    q = live.append_answers(found, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
-    q.awaitTermination(60)
-    got = {(r.lecture, r["at"]): r.novelty for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert got == {("l", 1.0): 1.0, ("l", 2.0): 0.0, ("m", 1.0): 1.0}
