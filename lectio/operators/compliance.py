@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectio.functions import scoring, statistics
@@ -215,43 +215,89 @@ def over_seeds(per_seed: DataFrame, system: str, seed: str) -> DataFrame:
     return per_seed.groupBy(system).agg(F.avg("score").alias("score"), F.round(F.avg("n_scored")).cast("long").alias("n_scored"), F.array_join(F.array_sort(F.collect_set(F.col(seed).cast("string"))), ",").alias("seeds"))
 
 
-def reached_rules(rules: DataFrame) -> DataFrame:
-    """J-20 for the mechanical mode: (component, rule, types, ..., broken); the sequence factor is a component too."""
-    parts = component_rules(rules).where(F.col("component").isin(*MECHANICAL.values()))
-    breach = F.create_map(*[F.lit(x) for c in MECHANICAL.values() for x in (c, BREACH[c])])
+def reached_rules(rules: DataFrame, parts: dict[str, str] = MECHANICAL) -> DataFrame:
+    """J-20: (component, rule, number, types, ..., broken) of the components of a mode, MECHANICAL or LOCAL; the sequence factor is one too."""
+    own = component_rules(rules).where(F.col("component").isin(*parts.values()))
+    breach = F.create_map(*[F.lit(x) for c in parts.values() for x in (c, BREACH[c])])
     again = rules.where(F.col("rule").isin(*SEQUENCE_RULES)).drop("checks").withColumn("component", F.lit("sequence")).withColumn("broken", F.lit(True))
-    return parts.withColumn("broken", breach[F.col("component")]).unionByName(again)
+    return own.withColumn("broken", breach[F.col("component")]).unionByName(again)
 
 
-def unreached_rules(rules: DataFrame) -> DataFrame:
-    """A-05: the rules that no mechanical check and no sequence factor can speak for, by number."""
-    return rules.join(F.broadcast(reached_rules(rules).select("rule").distinct()), "rule", "left_anti").select("rule", "number", "category", "route")
+def unreached_rules(rules: DataFrame, parts: dict[str, str] = MECHANICAL) -> DataFrame:
+    """A-05: the rules that no check of the mode and no sequence factor can speak for, by number."""
+    return rules.join(F.broadcast(reached_rules(rules, parts).select("rule").distinct()), "rule", "left_anti").select("rule", "number", "category", "route")
 
 
-def broken_rules(scored: DataFrame, rules: DataFrame, key: str, kind: str = "type") -> DataFrame:
+def with_lists(scored: DataFrame, rules: DataFrame, parts: dict[str, str] = MECHANICAL, kind: str = "type") -> DataFrame:
+    """D-09, D-17, U-05: ``abstained`` (categories without a value), ``broken`` and ``short`` (rules of components below full credit) of scored rows.
+
+    Rules come in the order of the categories, then of their numbers, each at its first place, those of the sequence
+    factor last. A component whose shortfall is no breach names its rules in ``short``. A row without a score
+    abstains on every category and names no rule. The rule table has a fixed size: it becomes a constant of the plan.
+    """
+    found: dict[str, list[tuple[str, list[str]]]] = {}
+    for r in reached_rules(rules, parts).where("when_described").orderBy("number", "rule").limit(1000).collect():
+        found.setdefault(r.component, []).append((r.rule, list(r.types)))
+
+    def named(component: str) -> Column:
+        each = [F.struct(F.lit(rule).alias("rule"), F.array(*map(F.lit, types)).alias("types")) for rule, types in found.get(component, [])]
+        if not each:
+            return F.array().cast("array<string>")
+        own = F.filter(F.array(*each), lambda x: F.array_contains(x["types"], "all") | F.coalesce(F.array_contains(x["types"], F.col(kind)), F.lit(False)))
+        return F.transform(own, lambda x: x["rule"])
+
+    there, none = F.col("overall").isNotNull(), F.array().cast("array<string>")
+    listed = lambda breach: [F.when(there & (F.col(c) < 1.0), named(parts[c])).otherwise(none) for c in scoring.CATEGORIES if c in parts and BREACH[parts[c]] == breach]
+    repeats = F.when(there & (F.col("novelty_factor") < 1.0), F.array(*map(F.lit, SEQUENCE_RULES))).otherwise(none) if "novelty_factor" in scored.columns else none
+    abstained = F.array_compact(F.array(*[F.when(~there | (F.col(c).isNull() if c in parts else F.lit(True)), F.lit(c)) for c in scoring.CATEGORIES]))
+    joined = lambda lists: F.array_distinct(F.concat(none, *lists))
+    return scored.withColumns({"abstained": abstained, "broken": joined([*listed(True), repeats]), "short": joined(listed(False))})
+
+
+def score_predictions(predictions: DataFrame, contexts: DataFrame, rules: DataFrame, key: str, lecture: str, order: list[str], local: tuple | None = None, knee: float | None = 0.4, by: tuple[str, ...] = ()) -> DataFrame:
+    """D-18, J-01, J-02: one row per context: every prediction scored with its lists, and the contexts that none reached.
+
+    A prediction without a context, or a second one, fails the query. ``local`` gives the models of
+    :func:`score_local` and with them the local mode; ``knee`` None leaves the sequence factor out. A row that isn't scored
+    says why: unfilled or missing.
+    """
+    from lectio.operators.moments import with_context
+
+    parts = LOCAL if local else MECHANICAL
+    rows = score(with_context(predictions, contexts, key))
+    if local:
+        rows = score_local(rows, *local)
+    if knee is not None:
+        rows = with_novelty(rows, lecture, order, knee=knee, by=by)
+    missing = contexts.join(predictions.select(key), key, "left_anti").withColumn("reason", F.lit("missing"))
+    return with_lists(rows.unionByName(missing, allowMissingColumns=True), rules, parts)
+
+
+def broken_rules(scored: DataFrame, rules: DataFrame, key: str, kind: str = "type", parts: dict[str, str] = MECHANICAL) -> DataFrame:
     """D-17, D-18: (key, rule, broken, overall): rules of a component below 1 that apply to the row's type; sequence rules where the factor is below 1."""
-    values = {MECHANICAL[c]: F.col(c) for c in MECHANICAL} | {"sequence": F.col("novelty_factor")}
-    parts = F.filter(F.array(*[F.struct(F.lit(c).alias("component"), v.alias("value")) for c, v in values.items()]), lambda p: p["value"] < 1.0)
-    short = scored.where("overall IS NOT NULL").select(key, kind, "overall", F.explode(parts).alias("p")).select(key, kind, "overall", "p.component")
-    found = short.join(F.broadcast(reached_rules(rules)), "component").where(applies(F.col(kind), F.lit(True)))
+    values = {parts[c]: F.col(c) for c in parts} | {"sequence": F.col("novelty_factor")}
+    lower = F.filter(F.array(*[F.struct(F.lit(c).alias("component"), v.alias("value")) for c, v in values.items()]), lambda p: p["value"] < 1.0)
+    short = scored.where("overall IS NOT NULL").select(key, kind, "overall", F.explode(lower).alias("p")).select(key, kind, "overall", "p.component")
+    found = short.join(F.broadcast(reached_rules(rules, parts)), "component").where(applies(F.col(kind), F.lit(True)))
     return found.groupBy(key, "rule", "broken").agg(F.first("overall").alias("overall"))
 
 
-def rule_diagnostic(scored: DataFrame, rules: DataFrame, key: str, kind: str = "type", examples: int = 3) -> DataFrame:
-    """A-05, K-07, K-09: per rule within reach of the mechanical mode: rows it applies to, broken, below full credit, lowest examples."""
-    within = rules.join(F.broadcast(reached_rules(rules).select("rule").distinct()), "rule")
+def rule_diagnostic(scored: DataFrame, rules: DataFrame, key: str, kind: str = "type", examples: int = 3, parts: dict[str, str] = MECHANICAL) -> DataFrame:
+    """A-05, K-07, K-09: per rule within reach of the mode: rows it applies to, broken, below full credit, lowest examples.
+
+    The lowest examples are kept by a running minimum in each task before they meet, so that a rule which
+    every row breaks gathers no rows.
+    """
+    within = rules.join(F.broadcast(reached_rules(rules, parts).select("rule").distinct()), "rule")
     kinds = scored.where("overall IS NOT NULL").groupBy(kind).agg(F.count("*").alias("n"))
     totals = within.join(F.broadcast(kinds), applies(F.col(kind), F.lit(True)), "left").groupBy("rule", "number", "route").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("applies_to"))
-    hits = broken_rules(scored, rules, key, kind)
+    hits = broken_rules(scored, rules, key, kind, parts)
     per = hits.groupBy("rule").agg(F.count_if("broken").alias("broken_by"), F.count_if(~F.col("broken")).alias("below"))
-    lowest = hits.where("broken").withColumn("_n", F.row_number().over(_by_overall(key))).where(F.col("_n") <= examples)
+    lowest = hits.where("broken").withColumn("_part", F.pmod(F.xxhash64(key), F.lit(256)))
+    for group in (["rule", "_part"], ["rule"]):
+        first = Window.partitionBy(*group).orderBy("overall", key)
+        lowest = lowest.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= examples)
     named = lowest.groupBy("rule").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("overall", key))), lambda x: x[key].cast("string")), ",").alias("examples"))
     out = totals.join(per, "rule", "left").join(named, "rule", "left").fillna(0, ["broken_by", "below"])
     share = lambda c: F.try_divide(F.col(c), F.col("applies_to"))
     return out.withColumn("share_broken", share("broken_by")).withColumn("share_below", share("below")).withColumn("graded", (F.col("below") > 0) & (F.col("broken_by") == 0))
-
-
-def _by_overall(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy("rule").orderBy("overall", key)

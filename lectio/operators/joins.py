@@ -12,21 +12,16 @@ from pyspark.sql import functions as F
 from lectio.operators import scan
 
 
-def range_join(points: DataFrame, spans: DataFrame, key: list[str], t: str, low: Column, high: Column, width: float, how: str = "inner", closed: bool = True) -> DataFrame:
+def range_join(points: DataFrame, spans: DataFrame, key: list[str], t: str, low: Column, high: Column, width: float, closed: bool = True) -> DataFrame:
     """Points joined with the spans of the same key that hold their time ``t`` (J-06, J-09).
 
-    ``low`` and ``high`` are columns of ``spans``; ``width`` is about the spans' length. With how
-    "left", spans without a point stay.
+    ``low`` and ``high`` are columns of ``spans``; ``width`` is about the spans' length.
     """
     bucket = lambda c: F.floor(c / width).cast("long")
     left = spans.withColumn("_low", low).withColumn("_high", high).withColumn("_b", F.explode(F.sequence(bucket(F.col("_low")), F.greatest(bucket(F.col("_low")), bucket(F.col("_high"))))))
     right = points.withColumn("_b", bucket(F.col(t))).withColumnRenamed(t, "_t")
     inside = (F.col("_t") >= F.col("_low")) & ((F.col("_t") <= F.col("_high")) if closed else (F.col("_t") < F.col("_high")))
     found = left.join(right, [*key, "_b"]).where(inside).withColumnRenamed("_t", t).drop("_b")
-    if how == "left":
-        ids = spans.columns
-        kept = found.select(*ids, *[c for c in points.columns if c not in key])
-        return spans.join(kept, ids, "left")
     return found.drop("_low", "_high")
 
 

@@ -13,11 +13,11 @@ from lectio.operators import joins
 
 # Fixed values.
 POINTING = "pointing"
-MOMENT_TYPES = ("figure", "table", "chart", "math", "code", "slide", "reveal", "transition", "animation", "pointing", "ink")
 REJECT = "reject"
-NOTHING_YET = "(none yet)"
 COVERAGE = ("COVERED", "PARTIAL", "UNCOVERED")
 RUNGS = (1, 2, 3, 4)
+#: A prompt that offers fewer labels did not compose.
+LEAST_OFFERED = 5
 #: Axis: the moment types that it needs; none: any type.
 AXES = {"style": (), "terminology": (), "length": (), "deixis": (POINTING,), "faithfulness": (), "non_redundancy": ()}
 
@@ -59,14 +59,19 @@ def axes_for(kind, names: tuple[str, ...] = tuple(AXES)) -> Column:
 # ---------------------------------------------------------------- joins
 
 
+def failing(rows: DataFrame, fault: Column) -> DataFrame:
+    """The rows; one with a fault (a text) fails the query. The check is a filter, so that no choice of columns prunes it."""
+    return rows.where(F.when(fault.isNull(), F.lit(True)).otherwise(F.raise_error(fault).cast("boolean")))
+
+
 def with_context(predictions: DataFrame, contexts: DataFrame, key: str) -> DataFrame:
-    """J-01: each prediction with its context; one without a context, or a second one, fails the query."""
-    n = F.count("*").over(Window.partitionBy(key))
-    named = F.concat(F.lit(f"{key} "), F.col(key).cast("string"))
-    joined = predictions.withColumn("_n", n).join(contexts.withColumn("_there", F.lit(True)), key, "left")
-    fault = F.when(F.col("_n") > 1, F.concat(named, F.lit(" is predicted more than once"))).when(F.col("_there").isNull(), F.concat(named, F.lit(" has no context")))
-    checked = F.when(fault.isNull(), F.col(key)).otherwise(F.raise_error(fault).cast(dict(predictions.dtypes)[key]))
-    return joined.withColumn(key, checked).drop("_n", "_there")
+    """J-01: each prediction with its context; one without a context, a second one, or a second context fails the query."""
+    once = Window.partitionBy(key)
+    known = contexts.withColumn("_m", F.count("*").over(once))
+    joined = predictions.withColumn("_n", F.count("*").over(once)).join(known, key, "left")
+    named = F.concat(F.lit(f"{key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    fault = F.when(F.col("_n") > 1, F.concat(named, F.lit(" is predicted more than once"))).when(F.col("_m").isNull(), F.concat(named, F.lit(" has no context"))).when(F.col("_m") > 1, F.concat(named, F.lit(" has more than one context")))
+    return failing(joined, fault).drop("_n", "_m")
 
 
 def image_at(frames: DataFrame, images: DataFrame, lecture: str, time: str = "time", image: str = "path") -> DataFrame:
@@ -126,9 +131,9 @@ def request_lines(candidates: DataFrame, batch: str, order: str) -> DataFrame:
 
 
 def offered_types(prompt) -> Column:
-    """V-10: the labels that a prompt offers, read back from the lines under its TYPES heading."""
+    """V-10: the labels that a prompt offers, read back from the lines under TYPES: two blanks, the label, two blanks or more, up to an empty line."""
     block = F.regexp_extract(_col(prompt), r"(?m)^TYPES[^\n]*\n((?:[^\n]*\S[^\n]*(?:\n|\z))*)", 1)
-    return F.array_distinct(F.regexp_extract_all(block, F.lit(r"(?m)^\s*-?\s*([a-z_]+)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(block, F.lit(r"(?m)^\s{2}([a-z_]+)\s{2,}"), F.lit(1)))
 
 
 def batch_faults(wanted: DataFrame, got: DataFrame, batch: str = "batch", key: str = "id") -> DataFrame:
@@ -142,9 +147,11 @@ def batch_faults(wanted: DataFrame, got: DataFrame, batch: str = "batch", key: s
 
 
 def vocabulary_faults(got: DataFrame, offered: Column, batch: str = "batch", label: str = "type") -> DataFrame:
-    """D-22: (batch, labels) that were returned and not offered, in order."""
-    outside = got.where(~F.coalesce(F.array_contains(offered, F.col(label)), F.lit(False)))
-    return outside.groupBy(batch).agg(F.array_join(F.array_sort(F.collect_set(label)), ",").alias("labels"))
+    """D-22: (batch, fault, labels): few where the prompt offers under LEAST_OFFERED labels, else outside with the labels not offered, in order."""
+    few = F.size(offered) < LEAST_OFFERED
+    outside = F.when(~few & ~F.coalesce(F.array_contains(offered, F.col(label)), F.lit(False)), F.coalesce(F.col(label).cast("string"), F.lit("None")))
+    per = got.groupBy(batch).agg(F.max(few).alias("_few"), F.array_join(F.array_sort(F.collect_set(outside)), ",").alias("labels"))
+    return per.where("_few OR labels != ''").select(batch, F.when(F.col("_few"), "few").otherwise("outside").alias("fault"), "labels")
 
 
 def to_moments(answers: DataFrame, candidates: DataFrame, key: str = "id") -> DataFrame:
@@ -152,13 +159,57 @@ def to_moments(answers: DataFrame, candidates: DataFrame, key: str = "id") -> Da
 
     A label outside the closed set fails the query; rejected candidates are left out.
     """
-    known = F.col("type").isin(*MOMENT_TYPES, REJECT)
-    wrong = F.raise_error(F.concat(F.col(key), F.lit(": a label outside the closed set"))).cast("string")
+    known = F.coalesce(F.col("type").isin(*scoring.MOMENT_TYPES, REJECT), F.lit(False))
+    checked = failing(answers, F.when(~known, F.concat(F.col(key).cast("string"), F.lit(": label "), F.coalesce(F.col("type"), F.lit("")), F.lit(" is outside the closed set"))))
     stated = times.minutes_to_seconds("stated")
-    joined = answers.withColumn("type", F.when(known, F.col("type")).otherwise(wrong)).where(F.col("type") != REJECT).join(candidates, key)
+    joined = checked.where(~F.col("type").eqNullSafe(REJECT)).join(candidates, key)
     return joined.select(key, "lecture", F.when(stated >= 0, stated).otherwise(F.col("t")).cast("double").alias("t"), "type", F.trim(F.coalesce("what_on_screen", F.lit(""))).alias("what_on_screen"))
 
 
+# ---------------------------------------------------------------- prompt contracts
+
+
+def input_faults(rows: DataFrame, key: str, inputs: dict[str, dict]) -> DataFrame:
+    """D-24: (key, faults): the inputs of a call that break its contract; rows without a fault are left out.
+
+    ``inputs`` names the inputs: {"non_empty": bool, "allowed": tuple of texts}. A column that isn't there is missing in every row.
+    """
+    found = []
+    for name, spec in inputs.items():
+        if name not in rows.columns:
+            found.append(F.lit(f"{name}: missing"))
+            continue
+        body = F.trim(F.coalesce(F.col(name).cast("string"), F.lit("")))
+        if spec.get("non_empty", False):
+            found.append(F.when(body == "", F.lit(f"{name}: empty")))
+        if spec.get("allowed"):
+            found.append(F.when((body != "") & ~body.isin(*spec["allowed"]), F.concat(F.lit(f"{name}: "), body, F.lit(" isn't allowed"))))
+    return rows.select(key, F.array_compact(F.array(*found)).alias("faults")).where(F.size("faults") > 0)
+
+
+def output_faults(rows: DataFrame, key: str, reply: str, required: tuple[str, ...] = (), quotes: dict[str, str] | None = None, closed: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """D-24: (key, faults): how a parsed reply (a map of texts) breaks its contract, in the contract's order; rows without a fault are left out.
+
+    ``quotes``: reply field: the column of which it must be a verbatim span; ``closed``: reply field: what it may be.
+    """
+    value = lambda name: F.col(reply)[name]
+    found = [F.when(~F.map_contains_key(reply, name), F.lit(f"missing {name}")) for name in required]
+    for name, source in (quotes or {}).items():
+        there = F.coalesce(value(name), F.lit("")) != ""
+        grounded = F.coalesce(tx.quote_is_grounded(value(name), source), F.lit(False))
+        found.append(F.when(there & ~grounded, F.lit(f"{name} is no span of {source}")))
+    for name, allowed in (closed or {}).items():
+        found.append(F.when(value(name).isNotNull() & ~value(name).isin(*allowed), F.concat(F.lit(f"{name} outside its set: "), value(name))))
+    return rows.select(key, F.array_compact(F.array(*found)).alias("faults")).where(F.size("faults") > 0)
+
+
+def times_of(rows: DataFrame, moment: str, ordinal: str, time: str = "time", t: str = "t") -> DataFrame:
+    """V-03: (moment, seconds) from the first row of each moment; 0 where its time can't be read."""
+    first = rows.where(F.coalesce(F.col(moment), F.lit("")) != "").groupBy(moment).agg(F.min_by(F.coalesce(F.col(time).cast("string"), F.col(t).cast("string")), ordinal).alias("_t"))
+    seconds = times.as_seconds("_t")
+    return first.select(moment, F.when(seconds >= 0, seconds).otherwise(0.0).cast("double").alias("seconds"))
+
+
 # ---------------------------------------------------------------- contexts and rows
 
 

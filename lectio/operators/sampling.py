@@ -12,6 +12,8 @@ from collections import Counter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectio.operators.moments import failing
+
 
 def draw_keys(rows: DataFrame, key: str, count: int, seed: int) -> DataFrame:
     """K-04: ``count`` distinct keys, reproducible whatever the order of rows; refuses if there are fewer."""
@@ -96,6 +98,5 @@ def every_nth(rows: DataFrame, key: str, order: str, step: int, limit: int) -> D
 
 def side_of(rows: DataFrame, manifest: DataFrame, lecture: str) -> DataFrame:
     """PRJ-09: each row's side of the split; a row of an unknown lecture fails the query."""
-    joined = rows.join(F.broadcast(manifest.select(F.col("lecture_id").alias(lecture), "split")), lecture, "left")
-    unknown = F.raise_error(F.concat(F.lit("no split is known for lecture "), F.col(lecture).cast("string")))
-    return joined.withColumn("split", F.when(F.col("split").isNull(), unknown).otherwise(F.col("split")))
+    joined = rows.join(manifest.select(F.col("lecture_id").alias(lecture), "split"), lecture, "left")
+    return failing(joined, F.when(F.col("split").isNull(), F.concat(F.lit("no split is known for lecture "), F.coalesce(F.col(lecture).cast("string"), F.lit("null")))))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectio.functions import statistics
+from lectio.functions import scoring, statistics
 from lectio.operators import compliance, moments, probes, sequence, standard
 from lectio.plans.catalogue import query
 from lectio.plans.relations import GAPS, MOMENTS, PAIRS, RATERS, TIMELINE, gaps, pairs, raters, table, timeline
 from lectio.plans.relations import moments as moment_rows
-from lectio.plans.text_queries import SCORED, _jaccard, _tokens, _words
+from lectio.plans.text_queries import _FOLD, RULES_SQL, SCORED, _jaccard, _tokens, _words
 
-_TYPES = ", ".join(f"'{t}'" for t in moments.MOMENT_TYPES)
+_TYPES = ", ".join(f"'{t}'" for t in scoring.MOMENT_TYPES)
 
 
 @query(f"""WITH {MOMENTS}, p AS (SELECT lecture, bool_or(renders_cursor) AS draws FROM moments GROUP BY lecture)
@@ -20,7 +20,7 @@ def allowed_types(spark, sf_dir):
     """PRJ-12, J-21: the labels of each lecture, by whether its facts say that a pointer is drawn."""
     rows = moment_rows(spark, sf_dir).select("lecture", "renders_cursor")
     facts = moments.with_facts(rows.select("lecture").distinct(), rows, key="lecture", fact="renders_cursor")
-    offered = moments.allowed_types(F.array(*map(F.lit, moments.MOMENT_TYPES)), F.coalesce("renders_cursor", F.lit(False)))
+    offered = moments.allowed_types(F.array(*map(F.lit, scoring.MOMENT_TYPES)), F.coalesce("renders_cursor", F.lit(False)))
     return facts.select("lecture", F.array_join(offered, ",").alias("types"))
 
 
@@ -97,26 +97,47 @@ def batch_faults(spark, sf_dir):
     return moments.batch_faults(*_answered(spark, sf_dir))
 
 
-@query(f"""WITH {_WANTED} SELECT lecture || '/' || b AS batch, string_agg(DISTINCT type, ',' ORDER BY type) AS labels FROM got WHERE type NOT IN ('slide', 'figure', 'reject') GROUP BY lecture, b""")
+_OFFER = "Choose one.\nTYPES - use exactly one:\n  slide    the slide itself\n  figure   a figure\n  chart    a chart\n  table    a table\n  reject   none of these\n poem    one blank only\n\n  song    after the list"
+_FEW = "TYPES\n  slide   a slide\n  figure  a figure\n"
+
+
+@query(f"""WITH {_WANTED} SELECT lecture || '/' || b AS batch, CASE WHEN lecture % 10 = 3 THEN 'few' ELSE 'outside' END AS fault, CASE WHEN lecture % 10 = 3 THEN '' ELSE string_agg(DISTINCT type, ',' ORDER BY type) FILTER (type = 'poem') END AS labels
+FROM got GROUP BY lecture, b HAVING lecture % 10 = 3 OR count(*) FILTER (type = 'poem') > 0""")
 def vocabulary_faults(spark, sf_dir):
-    """D-22, V-10: labels that the prompt, read back, doesn't offer."""
-    prompt = F.lit("Choose one.\nTYPES\n- slide\n- figure\n- reject\n\n- poem")
-    return moments.vocabulary_faults(_answered(spark, sf_dir)[1], moments.offered_types(prompt))
+    """D-22, V-10: labels that the prompt, read back, doesn't offer; every tenth lecture's prompt offers too few."""
+    got = _answered(spark, sf_dir)[1]
+    few = F.substring_index("batch", "/", 1).cast("long") % 10 == 3
+    return moments.vocabulary_faults(got, moments.offered_types(F.when(few, _FEW).otherwise(_OFFER)))
 
 
 @query("""SELECT 'e' || event_id AS id, user_id::VARCHAR AS lecture, CASE WHEN event_id % 3 = 0 THEN value ELSE ((event_id * 7) % 3600)::DOUBLE END AS t,
-CASE event_id % 4 WHEN 0 THEN 'slide' WHEN 1 THEN 'figure' ELSE 'chart' END AS type, event_type AS what_on_screen FROM events WHERE event_id % 4 <> 3""")
+CASE event_id % 5 WHEN 0 THEN 'slide' WHEN 1 THEN 'figure' WHEN 2 THEN 'other' ELSE 'chart' END AS type, event_type AS what_on_screen FROM events WHERE event_id % 5 <> 4""")
 def answers_to_moments(spark, sf_dir):
     """D-23: the stated minutes and seconds where they can be read, else the candidate's time."""
     e = table(spark, sf_dir, "events").select(F.concat(F.lit("e"), "event_id").alias("id"), "event_id", "user_id", "value", "event_type")
     s = (F.col("event_id") * 7) % 3600
     stated = F.when(F.col("event_id") % 3 == 0, "soon").otherwise(F.format_string("%02d:%02d", F.floor(s / 60), s % 60))
-    k = F.col("event_id") % 4
-    label = F.when(k == 0, "slide").when(k == 1, "figure").when(k == 2, "chart").otherwise("reject")
+    k = F.col("event_id") % 5
+    label = F.when(k == 0, "slide").when(k == 1, "figure").when(k == 2, "other").when(k == 3, "chart").otherwise("reject")
     answers = e.select("id", label.alias("type"), stated.alias("stated"), F.concat(F.lit(" "), "event_type").alias("what_on_screen"))
     return moments.to_moments(answers, e.select("id", F.col("user_id").cast("string").alias("lecture"), F.col("value").alias("t")))
 
 
+@query(f"""WITH {MOMENTS} SELECT moment_id, system, array_to_string(list_filter([CASE WHEN turn % 6 = 5 THEN 'missing rung' END,
+  CASE WHEN turn % 3 = 1 AND length(quote) > 0 AND NOT contains({_FOLD.format(c='ad_text')}, {_FOLD.format(c='quote')}) THEN 'quote is no span of ad_text' END,
+  CASE WHEN turn % 7 = 6 THEN 'coverage outside its set: MAYBE' END], lambda x: x IS NOT NULL), ',') AS faults
+FROM (SELECT *, CASE WHEN turn % 3 = 1 THEN coalesce(substr(slide_ocr, 1, 30), '') ELSE '' END AS quote FROM moments) WHERE faults <> ''""")
+def contract_faults(spark, sf_dir):
+    """D-24: replies that quote the slide where the text is asked for, lack a field, or leave a closed set."""
+    m = moment_rows(spark, sf_dir).withColumn("key", F.struct("moment_id", "system"))
+    quote = F.when(F.col("turn") % 3 == 1, F.coalesce(F.substring("slide_ocr", 1, 30), F.lit(""))).otherwise("")
+    coverage = F.when(F.col("turn") % 7 == 6, "MAYBE").otherwise("COVERED")
+    fields = F.create_map(F.lit("coverage"), coverage, F.lit("quote"), quote)
+    reply = F.when(F.col("turn") % 6 == 5, fields).otherwise(F.map_concat(fields, F.create_map(F.lit("rung"), F.lit("1"))))
+    found = moments.output_faults(m.withColumn("reply", reply), "key", "reply", ("coverage", "rung"), {"quote": "ad_text"}, {"coverage": moments.COVERAGE})
+    return found.select("key.*", F.array_join("faults", ",").alias("faults"))
+
+
 _AT = "v AS (SELECT lecture, event_id, t FROM timeline WHERE event_type = 'view')"
 
 
@@ -202,6 +223,38 @@ def compliance_local(spark, sf_dir):
     return scored.select("moment_id", "system", "faithfulness", F.round("non_redundancy", 6).alias("non_redundancy"), F.round("overall", 6).alias("overall"))
 
 
+_RULED = f"""{RULES_SQL}, chk(component, chk, breach) AS (VALUES {', '.join(f"('{k}', '{c}', {compliance.BREACH[compliance.LOCAL[k]]})" for k in compliance.LOCAL for c in compliance.CHECKS[compliance.LOCAL[k]])}),
+ruled AS (SELECT DISTINCT c.component, c.breach, r.rule, r.number, r.types FROM rules r JOIN chk c ON list_contains(string_split(r.checks, ';'), c.chk) WHERE r.when_described),
+asked AS (SELECT *, turn % 7 = 6 AS lost, CASE WHEN turn % 5 = 4 THEN ' None ' ELSE ad_text END AS said FROM moments WHERE system = 'user')"""
+_LONG6 = " UNION ALL ".join(f"SELECT moment_id, type, {k} AS place, '{c}' AS component, {c} AS value FROM six" for k, c in enumerate(scoring.CATEGORIES))
+
+
+@query(f"""WITH {_LOCAL}, {_RULED}, six AS (SELECT c.moment_id, c.type, style, terminology, length, deixis, faithfulness, fresh AS non_redundancy FROM credit c JOIN asked a USING (moment_id, system) WHERE NOT lost AND turn % 5 <> 4),
+long AS ({_LONG6}), low AS (SELECT DISTINCT ON (l.moment_id, w.rule, w.breach) l.moment_id, w.rule, w.breach, l.place, w.number FROM long l JOIN ruled w USING (component) WHERE l.value < 1.0 AND (list_contains(w.types, 'all') OR list_contains(w.types, l.type)) ORDER BY l.place),
+lists AS (SELECT moment_id, string_agg(rule, ',' ORDER BY place, number, rule) FILTER (breach) AS broken, string_agg(rule, ',' ORDER BY place, number, rule) FILTER (NOT breach) AS short FROM low GROUP BY moment_id)
+SELECT a.moment_id, CASE WHEN lost THEN 'missing' WHEN a.turn % 5 = 4 THEN 'unfilled' END AS reason, CASE WHEN s.moment_id IS NULL THEN '{','.join(scoring.CATEGORIES)}' WHEN s.deixis IS NULL THEN 'deixis' ELSE '' END AS abstained,
+coalesce(l.broken, '') AS broken, coalesce(l.short, '') AS short FROM asked a LEFT JOIN six s USING (moment_id) LEFT JOIN lists l USING (moment_id)""")
+def scored_rows(spark, sf_dir):
+    """D-09, D-17, D-18, J-02, D-16: the user's turns as one system in local mode: some lost, some unfilled; each row with what it abstained on, broke and fell short of."""
+    m = moment_rows(spark, sf_dir).where("system = 'user'")
+    predictions = m.where("turn % 7 != 6").select("moment_id", F.when(F.col("turn") % 5 == 4, " None ").otherwise(F.col("ad_text")).alias("ad_text"))
+    found = compliance.score_predictions(predictions, m.drop("ad_text"), compliance.rule_table(spark), "moment_id", "lecture", ["t", "moment_id"], (compliance.stand_in_contradiction, compliance.stand_in_similarity), knee=None)
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return found.select("moment_id", "reason", joined("abstained"), joined("broken"), joined("short"))
+
+
+@query(f"""WITH {_LOCAL}, {_RULED}, six AS (SELECT moment_id || '::' || system AS moment_id, type, style, terminology, length, deixis, faithfulness, fresh AS non_redundancy FROM credit),
+long AS ({_LONG6}), hits AS (SELECT DISTINCT l.moment_id, w.rule, w.breach FROM long l JOIN ruled w USING (component) WHERE l.value < 1.0 AND (list_contains(w.types, 'all') OR list_contains(w.types, l.type)))
+SELECT rule, (SELECT count(*) FROM six k WHERE list_contains(x.types, 'all') OR list_contains(x.types, k.type)) AS applies_to,
+  (SELECT count(*) FROM hits h WHERE h.rule = x.rule AND breach) AS broken_by, (SELECT count(*) FROM hits h WHERE h.rule = x.rule AND NOT breach) AS below FROM (SELECT DISTINCT rule, types FROM ruled) x""")
+def local_diagnostic(spark, sf_dir):
+    """A-05 in local mode, which reaches seven rules more."""
+    scored = compliance.score_local(compliance.score(moment_rows(spark, sf_dir)), compliance.stand_in_contradiction, compliance.stand_in_similarity)
+    keyed = scored.withColumn("key", F.concat_ws("::", "moment_id", "system")).withColumn("novelty_factor", F.lit(1.0))
+    found = compliance.rule_diagnostic(keyed.select("key", "type", "overall", "novelty_factor", *compliance.LOCAL), compliance.rule_table(spark), "key", parts=compliance.LOCAL)
+    return found.where(~F.col("rule").isin(*compliance.SEQUENCE_RULES)).select("rule", "applies_to", "broken_by", "below")
+
+
 @query(f"""WITH {PAIRS}, {RATERS}, v AS (SELECT pair_id, side, count(*) AS weight FROM raters WHERE side <> 'tie' GROUP BY ALL)
 SELECT pair_id, source AS "group", (side = 'a')::INT::DOUBLE AS chose_a, weight::DOUBLE AS weight, (a_chars - b_chars)::DOUBLE AS chars, (a_parts - b_parts)::DOUBLE AS parts FROM v JOIN pairs USING (pair_id)""")
 def head_training_rows(spark, sf_dir):

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from lectio.operators.joins import resume
 
-#: Markers of conditions after which asking again is no use.
-TERMINAL = ("invalid api key", "insufficient_quota", "billing", "permission denied", "not found")
+#: Conditions after which asking again is no use, with the forms in which client libraries report them.
+TERMINAL = {
+    "OUT OF CREDIT": ("Error code: 402", "Insufficient credits", "insufficient_quota"),
+    "AUTHENTICATION REJECTED": ("Error code: 401", "invalid_api_key", "Error code: 403"),
+    "QUOTA EXHAUSTED": ("Error code: 429", "RESOURCE_EXHAUSTED", "exceeded your current quota"),
+}
 
 
 def ask_all(requests: DataFrame, ask: Callable[[list[str]], list[str]], key: str = "item_id", prompt: str = "prompt") -> DataFrame:
@@ -43,10 +47,14 @@ def run_summary(answers: DataFrame) -> DataFrame:
     return answers.agg(F.count("*").alias("asked"), F.count_if(~failed & F.col("answer").isNotNull()).alias("answered"), F.count_if(~failed & F.col("answer").isNull()).alias("unread"), F.count_if(failed).alias("failed"))
 
 
-def is_terminal(error) -> F.Column:
-    """V-11."""
-    c = F.lower(F.coalesce(F.col(error) if isinstance(error, str) else error, F.lit("")))
-    return F.exists(F.array(*map(F.lit, TERMINAL)), lambda m: F.contains(c, m))
+def terminal_condition(error) -> F.Column:
+    """V-11: the name of the condition that an error reports, in the order of TERMINAL; null where asking again may help."""
+    c = F.coalesce(F.col(error) if isinstance(error, str) else error, F.lit(""))
+    return F.coalesce(*[F.when(F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(c, m)), F.lit(name)) for name, markers in TERMINAL.items()])
+
+
+def _is_terminal(message: str) -> bool:
+    return any(marker in message for markers in TERMINAL.values() for marker in markers)
 
 
 def shift_chunks(words: DataFrame, chunk: str = "chunk", seconds: float = 600.0) -> DataFrame:
@@ -138,7 +146,7 @@ def asker(post: Callable[[dict], str], build=chat_request, tries: int = 3, **set
                     out.append(post(build(prompt=prompt, **settings)))
                     break
                 except Exception as failure:
-                    if not left or any(m in str(failure).lower() for m in TERMINAL):
+                    if not left or _is_terminal(str(failure)):
                         raise
         return out
 

@@ -40,8 +40,6 @@ def test_batches(spark):
     wanted = spark.createDataFrame([(b, i) for b in "wxyz" for i in range(3)], "batch string, id int")
     got = spark.createDataFrame([("w", 0), ("w", 1), ("w", 2), ("x", 0), ("x", 0), ("x", 1), ("y", 0), ("y", 1), ("y", 7)], "batch string, id int")
     assert {r.batch: r.fault for r in moments.batch_faults(wanted, got).collect()} == {"w": None, "x": "repeated", "y": "missing", "z": "count"}
-    prompt = "Pick\nTYPES (one)\n- slide: a slide\n- figure\n\n- no\n"
-    assert spark.range(1).select(moments.offered_types(F.lit(prompt)).alias("o")).first().o == ["slide", "figure"]
     rows = spark.createDataFrame([("b", 2, "e2", "gap", "x"), ("b", 1, "e1", "slide", None)], "batch string, n int, id string, channel string, transcript string")
     text = moments.request_lines(rows, "batch", "n").first().request
     assert text.split("\n")[1:3] == ["- id: e1 | detector channel: slide | transcript: ", "- id: e2 | detector channel: gap | transcript: x"] and text.endswith("exactly 2 JSON objects, one per candidate, in this order.")
@@ -113,16 +111,6 @@ def test_novelty_by_blocks_equals_a_loop(spark, monkeypatch):
         assert got[lecture, t] == (pytest.approx(expected) if used else None)
 
 
-def test_described_so_far_keeps_the_last_terms(spark):
-    rows = [("l", "w", float(k), f"Cell{k} Nucleus Membrane{k % 3}") for k in range(6)]
-    frame = spark.createDataFrame(rows, "lecture string, writer string, t double, text string")
-    got = [r.described for r in sequence.described_so_far(frame, "lecture", "writer", ["t"], "text", cap=4).orderBy("t").collect()]
-    said: list[str] = []
-    for k, terms in enumerate(got):
-        assert terms == said[-4:]
-        said += [w for w in (f"cell{k}", "nucleus", f"membrane{k % 3}") if w not in said]
-
-
 def test_heads(spark):
     rng = random.Random(3)
     pairs, labels = [], []
@@ -198,7 +186,7 @@ def test_interfaces(spark):
 
     def fails(body):
         calls.append(body)
-        raise RuntimeError("Invalid API key")
+        raise RuntimeError("Error code: 401 - invalid_api_key")
 
     calls.clear()
     with pytest.raises(RuntimeError):
@@ -218,3 +206,89 @@ def test_first_per_group_bounds_what_is_drawn(spark):
     keys = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 3).alias("g"))
     got = sampling.first_per_group(keys, ["g"], "k", 5, 1)
     assert got.count() == 15 and {tuple(r) for r in got.collect()} == {tuple(r) for r in sampling.first_per_group(keys.repartition(7), ["g"], "k", 5, 1).collect()}
+
+
+def test_offered_types_are_read_back_from_the_two_blank_layout(spark):
+    prompt = "Choose.\nTYPES - use exactly one:\n  slide    the slide\n  figure  a figure\n song  one blank less\n  poem one blank after\n\n  chart   after the list"
+    assert spark.range(1).select(moments.offered_types(F.lit(prompt)).alias("o")).first().o == ["slide", "figure"]
+
+
+def test_a_prompt_that_offers_too_few_is_refused(spark):
+    got = spark.createDataFrame([("x", "slide"), ("x", "poem"), ("y", "slide"), ("z", None)], "batch string, type string")
+    offered = lambda n: F.array(*map(F.lit, ("slide", "figure", "chart", "table", "reject")[:n]))
+    assert {r.batch: (r.fault, r.labels) for r in moments.vocabulary_faults(got, offered(5)).collect()} == {"x": ("outside", "poem"), "z": ("outside", "None")}
+    assert {r.batch: r.fault for r in moments.vocabulary_faults(got, offered(4)).collect()} == {"x": "few", "y": "few", "z": "few"}
+
+def test_strict_checks_are_not_pruned_away(spark):
+    frame = lambda keys, column: spark.createDataFrame([(k, 1) for k in keys], f"key string, {column} int")
+    for predicted, known in (("ab", "a"), ("aa", "a"), ("a", "aa")):
+        joined = moments.with_context(frame(predicted, "v"), frame(known, "c"), "key")
+        for read in (lambda: joined.count(), lambda: joined.select("v").collect(), lambda: joined.select("v", "c").collect()):
+            with pytest.raises(Exception, match="context|predicted"):
+                read()
+    manifest = spark.createDataFrame([("a", "train")], "lecture_id string, split string")
+    sided = sampling.side_of(frame("ab", "v"), manifest, "key")
+    for read in (sided.count, sided.select("v").collect):
+        with pytest.raises(Exception, match="no split"):
+            read()
+
+
+def test_answers_with_other_pass_and_unknown_labels_fail(spark):
+    candidates = spark.createDataFrame([(k, "l", 5.0) for k in "abc"], "id string, lecture string, t double")
+    answers = lambda *labels: spark.createDataFrame([(k, label, "01:10", "x ") for k, label in zip("abc", labels, strict=False)], "id string, type string, stated string, what_on_screen string")
+    found = moments.to_moments(answers("other", "reject", "slide"), candidates)
+    assert {(r.id, r.type, r.t) for r in found.collect()} == {("a", "other", 70.0), ("c", "slide", 70.0)}
+    for label in ("poem", None):
+        with pytest.raises(Exception, match="closed set"):
+            moments.to_moments(answers("slide", label), candidates).select("lecture").collect()
+
+
+def test_contracts(spark):
+    rows = spark.createDataFrame([("a", "", "fig", {"q": "one two", "c": "X"}), ("b", "x", "poem", {"q": "two ... four", "c": "A", "r": "1"}), ("c", "x", None, {"q": "", "r": ""})], "key string, said string, kind string, reply map<string,string>")
+    found = moments.input_faults(rows, "key", {"said": {"non_empty": True}, "kind": {"allowed": ("fig",)}, "gone": {}})
+    assert {r.key: r.faults for r in found.collect()} == {"a": ["said: empty", "gone: missing"], "b": ["kind: poem isn't allowed", "gone: missing"], "c": ["gone: missing"]}
+    out = moments.output_faults(rows.withColumn("said", F.lit("One  two three\nfour")), "key", "reply", ("r",), {"q": "said"}, {"c": ("A",)})
+    assert {r.key: r.faults for r in out.collect()} == {"a": ["missing r", "c outside its set: X"]}
+
+
+def test_times_come_from_the_first_row(spark):
+    rows = spark.createDataFrame([("m", 2, "00:00:09", None), ("m", 1, None, "7.5"), ("n", 1, "soon", "3"), ("", 1, "5", "5")], "m string, o int, time string, t string")
+    assert {r.m: r.seconds for r in moments.times_of(rows, "m", "o").collect()} == {"m": 7.5, "n": 0.0}
+
+
+def test_terminal_conditions_by_name(spark):
+    errors = {"Error code: 402 - pay": "OUT OF CREDIT", "x insufficient_quota": "OUT OF CREDIT", "Error code: 403": "AUTHENTICATION REJECTED", "invalid_api_key": "AUTHENTICATION REJECTED", "429 RESOURCE_EXHAUSTED": "QUOTA EXHAUSTED", "moment 401#0402 not found": None, "billing": None, None: None}
+    rows = spark.createDataFrame([(e,) for e in errors], "e string")
+    assert {r.e: r.c for r in rows.select("e", external.terminal_condition("e").alias("c")).collect()} == errors
+    asked = []
+    ask = external.asker(lambda body: asked.append(1) or (_ for _ in ()).throw(RuntimeError("Error code: 401")), model="m", system="s", tries=3)
+    with pytest.raises(RuntimeError):
+        ask(["x"])
+    assert len(asked) == 1
+
+
+def test_lists_of_scored_rows(spark):
+    kind = "moment_id string, ad_text string, type string, slide_ocr string, what_on_screen string, pause_after double, renders_cursor boolean, lecture string, t double, transcript_window string"
+    rows = [("m1", "None", "slide", "Cells", None, 3.0, None, "l", 1.0, ""), ("m2", "You can see cells divide", "slide", "Atoms", None, 3.0, False, "l", 2.0, ""), ("m3", "You can see cells divide", "figure", "cells divide", None, 3.0, True, "l", 3.0, ""), ("m4", "x", "slide", "", None, 3.0, None, "l", 4.0, "")]
+    whole = spark.createDataFrame(rows, kind)
+    found = compliance.score_predictions(whole.where("moment_id != 'm4'").select("moment_id", "ad_text"), whole.drop("ad_text"), compliance.rule_table(spark), "moment_id", "lecture", ["t"])
+    got = {r.moment_id: r for r in found.collect()}
+    everything = list(compliance.scoring.CATEGORIES)
+    assert (got["m1"].reason, got["m1"].abstained, got["m1"].broken) == ("unfilled", everything, [])
+    assert (got["m4"].reason, got["m4"].abstained, got["m4"].short) == ("missing", everything, [])
+    assert got["m2"].abstained == ["deixis", "faithfulness", "non_redundancy"] and got["m3"].abstained == ["faithfulness", "non_redundancy"]
+    rule_checks = {r[0]: r[7].split(";") for r in compliance.RULES}
+    style = [r for r, checks in rule_checks.items() if set(checks) & set(compliance.CHECKS["style_properties"])]
+    assert set(got["m2"].broken) & set(style) and set(got["m2"].broken) <= set(rule_checks)
+    assert got["m2"].short and not set(got["m2"].short) & set(style)
+    assert got["m3"].broken[-2:] == list(compliance.SEQUENCE_RULES) and not set(got["m2"].broken) & set(compliance.SEQUENCE_RULES)
+
+
+def test_described_so_far_keeps_the_last_terms(spark):
+    rows = [("l", "w", float(k), f"Cell{k} Nucleus Membrane{k % 3}") for k in range(6)]
+    frame = spark.createDataFrame(rows, "lecture string, writer string, t double, text string")
+    got = [r.described for r in sequence.described_so_far(frame, "lecture", "writer", ["t"], "text", window=4).orderBy("t").collect()]
+    said: list[str] = []
+    for k, terms in enumerate(got):
+        assert terms == said[-4:]
+        said += [w for w in (f"Cell{k}", "Nucleus", f"Membrane{k % 3}") if w not in said]
