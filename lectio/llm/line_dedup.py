@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectio.llm import merges
-from lectio.llm.common import discard, documents, small_or_shuffled, texts, unused, written
+from lectio.llm.blocks import first_of_part, joined_in_groups, joined_labels, spread_labels, stars_of, whole_groups
+from lectio.llm.common import documents, small_or_shuffled, texts, unused, written
 from lectio.llm.components import connected_components
 
 SIMILARITY = 0.8
@@ -21,12 +22,9 @@ SIMILARITY = 0.8
 SHINGLE = 8
 #: Lines of fewer distinct shingles match exactly or not at all: one in four that differs is below SIMILARITY.
 MIN_SHINGLES = 4
-#: (bands, rows of minima in each): b bands of r rows find a pair of similarity s with probability
-#: 1 - (1 - s**r)**b, 0.997 at 0.8 for the first. Lines of large buckets are dealt out again by the next
-#: (0.9993 at 0.8 for either), which parts lines of lower similarity better.
-LEVELS = ((8, 3), (24, 6), (64, 10))
-BANDS = LEVELS[0][0]
-#: In a bucket of at most so many lines all are compared, in a larger one stars come first.
+#: Bands, and minima in each: a pair of similarity s shares none with probability (1 - s**3)**8, 0.003 at 0.8.
+BANDS, ROWS = 8, 3
+#: In a bucket of at most so many lines all pairs are verified at once; in a larger one two stars come first, then blocks.
 ALL_PAIRS = 16
 #: Pairs that are verified at once: their number, and that of their lines, fits above the bits of a shingle's hash.
 PAIRS, HASH_BITS = 512, np.uint64(54)
@@ -34,7 +32,8 @@ PAIRS, HASH_BITS = 512, np.uint64(54)
 BLOCK = 1 << 17
 
 _seeds = random.Random(20)
-FACTORS = [[np.uint32(_seeds.getrandbits(32) | 1) for _ in range(b * r)] for b, r in LEVELS]
+FACTORS = [np.uint32(_seeds.getrandbits(32) | 1) for _ in range(BANDS * ROWS)]
+_seeds = random.Random(21)
 _ODD = [np.uint64(_seeds.getrandbits(64) | 1) for _ in range(8)]
 
 
@@ -80,15 +79,14 @@ def windows(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, counts
 
 
-def band_hashes(lines: list[str], level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def band_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(lines x bands) hashes of the bands, and which lines have them: those of MIN_SHINGLES positions or more.
 
     An odd factor permutes the 32-bit hashes of a line's shingles, and the least product is a MinHash.
     """
-    bands, rows = LEVELS[level]
     hashes, counts = windows(lines)
     has = counts >= MIN_SHINGLES
-    out = np.zeros((len(lines), bands), np.int64)
+    out = np.zeros((len(lines), BANDS), np.int64)
     chosen = np.flatnonzero(has)
     part_of = np.repeat(has, counts)
     short = (hashes[part_of] >> np.uint64(32)).astype(np.uint32)
@@ -100,9 +98,9 @@ def band_hashes(lines: list[str], level: int = 0) -> tuple[np.ndarray, np.ndarra
         last = max(first + 1, int(np.searchsorted(stops, done + BLOCK)))
         part = short[done : stops[last - 1]]
         starts = stops[first:last] - counts[first:last] - done
-        for b in range(bands):
-            h = np.full(last - first, (level << 16) + b + 1, np.uint64) * _ODD[7]
-            for factor in FACTORS[level][b * rows : (b + 1) * rows]:
+        for b in range(BANDS):
+            h = np.full(last - first, b + 1, np.uint64) * _ODD[7]
+            for factor in FACTORS[b * ROWS : (b + 1) * ROWS]:
                 h = (h ^ np.minimum.reduceat(part * factor, starts).astype(np.uint64)) * _ODD[6]
                 h ^= h >> np.uint64(29)
             out[chosen[first:last], b] = h.view(np.int64)
@@ -199,59 +197,44 @@ def _candidates(members: DataFrame) -> DataFrame:
     return _ordered(stars.union(pairs))
 
 
-def _mixed(large: DataFrame, parts: DataFrame) -> DataFrame:
-    """(k1, part): lines of large buckets that hold lines of several components."""
+def _mixed(large: DataFrame, parts: DataFrame, sought: DataFrame) -> DataFrame:
+    """(group, node, part, line): the large buckets that hold lines of several components."""
     named = written(large.join(parts.withColumnRenamed("node", "k1"), "k1", "left").select("band", "k1", F.coalesce("component", "k1").alias("part")), "line-named")
     several = written(named.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("band"), "line-several")
-    return written(named.join(small_or_shuffled(several), "band", "left_semi").select("k1", "part").distinct(), "line-mixed")
-
-
-def _finer(sought: DataFrame, mixed: DataFrame, level: int) -> DataFrame:
-    """(k1, n, bands) of the mixed lines at a finer level."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high in merges.slices(pc.binary_length(batch.column(1)).to_pylist()):
-                bands, has = band_hashes(batch.column(1).slice(low, high - low).to_pylist(), level)
-                listed = pa.array(list(bands[has]), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low).filter(pa.array(has)), listed], ["k1", "bands"])
-
-    lines = sought.join(small_or_shuffled(mixed.select("k1")), "k1", "left_semi").select("k1", "line")
-    return written(lines.mapInArrow(run, "k1 long, bands array<long>").withColumn("n", F.lit(1).cast("long")), "line-finer")
-
-
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs whose lines aren't in one component yet."""
-    of = lambda key, name: parts.select(F.col("node").alias(key), F.col("component").alias(name))
-    both = pairs.join(of("a", "pa"), "a", "left").join(of("b", "pb"), "b", "left")
-    return both.where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b")
-
-
-def _hashed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low, high in merges.slices(pc.binary_length(batch.column(2)).to_pylist()):
-            part = batch.slice(low, high - low)
-            hashes, counts = windows(part.column(2).to_pylist())
-            sets = [np.sort(x) for x in np.split(hashes.view(np.int64), np.cumsum(counts)[:-1])]
-            sets = [x[np.append(True, x[1:] != x[:-1])] if len(x) else x for x in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], ["k1", "part", "s"])
-
-
-def _unsettled(mixed: DataFrame, sought: DataFrame) -> DataFrame:
-    """Pairs of mixed lines of different components: none that is similar is left out.
-
-    Of two sets of a similarity of SIMILARITY or more, the rarest shingles (all but SIMILARITY of each,
-    and one) share one, and the sizes differ by no more than that factor.
-    """
-    hashed = sought.join(small_or_shuffled(mixed), "k1").select("k1", "part", "line").mapInArrow(_hashed_batches, "k1 long, part long, s array<long>")
-    held = written(hashed.select("k1", "part", F.size("s").alias("z"), F.explode("s").alias("x")), "line-held")
-    often = written(held.groupBy("x").agg(F.count("*").alias("f")), "line-often")
-    ranked = held.join(often.hint("merge"), "x").groupBy("k1", "part", "z").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("xs"))
-    first = ranked.select("k1", "part", "z", F.explode(F.expr(f"slice(xs, 1, z - cast(ceil({SIMILARITY} * z - 1e-6) as int) + 1)")).alias("e"))
-    first = written(first.select("k1", "part", "z", F.col("e.x").alias("x")), "line-rarest")
-    other = first.select(F.col("k1").alias("other"), F.col("part").alias("part2"), F.col("z").alias("z2"), "x")
-    close = (F.col("k1") < F.col("other")) & (F.col("part") != F.col("part2")) & (F.least("z", "z2") + 1e-6 >= SIMILARITY * F.greatest("z", "z2"))
-    return _ordered(first.join(other.hint("merge"), "x").where(close).select("k1", "other"))
+    rows = named.join(small_or_shuffled(several), "band", "left_semi").join(sought.hint("merge"), "k1")
+    return written(rows.select(F.col("band").alias("group"), F.col("k1").alias("node"), "part", "line"), "line-mixed")
+
+
+def line_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, block, node, part, asks, line): a star for each part of a block that links of whole sets join."""
+    for table, starts in whole_groups(batches):
+        hashes, counts = windows(table.column("line").to_pylist())
+        ends = np.cumsum(counts)
+        asks = table.column("asks").to_numpy()
+        labels = first_of_part(table, starts)
+        i, j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            own = labels[a:b].copy()
+            row_of = np.repeat(np.arange(b - a), counts[a:b])
+            values = hashes[ends[a] - counts[a] : ends[b - 1]]
+            distinct, codes = np.unique(values, return_inverse=True)
+            sets = np.unique(row_of.astype(np.int64) * len(distinct) + codes)
+            row_of, codes = np.divmod(sets, max(1, len(distinct)))
+            size = np.bincount(row_of, minlength=b - a)
+            begin = np.cumsum(size) - size
+            order = np.argsort(codes, kind="stable")
+            holders, first = row_of[order], np.searchsorted(codes[order], np.arange(len(distinct) + 1))
+            for row in np.flatnonzero(asks[a:b] & (size >= MIN_SHINGLES)):
+                if (own == own[row]).all():
+                    continue
+                mine = codes[begin[row] : begin[row] + size[row]]
+                common = np.bincount(np.concatenate([holders[first[c] : first[c + 1]] for c in mine.tolist()]), minlength=b - a)
+                near = np.flatnonzero((own != own[row]) & (size >= MIN_SHINGLES) & (common >= SIMILARITY * (size + size[row] - common)))
+                if len(near):
+                    i.append(np.full(len(near), a + row))
+                    j.append(a + near)
+                    own = joined_labels(own, row, near)
+        yield stars_of(table, labels, spread_labels(labels, np.concatenate(i), np.concatenate(j)))
 
 
 def _sought(lines: DataFrame, members: DataFrame) -> DataFrame:
@@ -307,27 +290,19 @@ def _verified(sought: DataFrame, pairs: DataFrame) -> DataFrame:
 def _similar_parts(lines: DataFrame, signed: DataFrame) -> DataFrame:
     """(node, component) of the lines that resemble another.
 
-    All lines of a small bucket are compared. Of a large one two stars join most lines at a linear cost;
-    where it still holds several components, its lines are dealt out again by the next of LEVELS, and
-    after the last all pairs of such lines that can be similar are compared, by their rarest shingles.
+    All lines of a small bucket are compared. Of a large one two stars join most lines at a linear cost; where
+    it still holds several components, its lines are compared in blocks, those outside its largest part with all others.
     """
     members = _members(signed)
     sought = _sought(lines, members)
-    edges = parts = None
-    for level in range(len(LEVELS)):
-        pairs = _candidates(members)
-        pairs = written(pairs if parts is None else _apart(pairs, parts), "line-pairs")
-        found = written(_verified(sought, pairs), "line-similar")
-        discard(pairs)
-        edges = found if edges is None else edges.union(found)
-        parts = written(connected_components(edges), "line-parts")
-        mixed = _mixed(members.where(f"m > {ALL_PAIRS}").select("band", "k1"), parts)
-        if mixed.isEmpty():
-            return parts
-        if level + 1 < len(LEVELS):
-            members = _members(_finer(sought, mixed, level + 1))
-    more = written(_verified(sought, written(_unsettled(mixed, sought), "line-pairs")), "line-similar")
-    return parts if more.isEmpty() else written(connected_components(edges.union(more)), "line-parts")
+    edges = written(_verified(sought, written(_candidates(members), "line-pairs")), "line-similar")
+    parts = written(connected_components(edges), "line-parts")
+    mixed = _mixed(members.where(f"m > {ALL_PAIRS}").select("band", "k1"), parts, sought)
+    if mixed.isEmpty():
+        return parts
+    more = joined_in_groups(mixed, "line", F.char_length("line"), line_stars, "line-blocks")
+    known = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return written(connected_components(known.union(more.select(F.col("node").alias("u"), F.col("component").alias("v")))), "line-parts")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -347,8 +322,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return drops.groupBy("place.r1", "place.r2").agg(F.collect_set("place.pos").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
-    """``docs`` with fuzzy duplicate lines taken out of text, and n_lines, n_dropped.
+def dedup_lines(docs: DataFrame, broadcast_rows: int = 200_000, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with fuzzy duplicate lines taken out of text, and ``counts``: columns with the number of lines and of those dropped.
 
     Lines (cut at newlines) are compared in lower case with white space squeezed; blank lines stay.
     Similar lines are found by MinHash bands over the character shingles of every position and verified
@@ -356,7 +331,7 @@ def dedup_lines(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     (then the smallest position) stays.
     A null doc_id counts as smallest. Rows that repeat a doc_id and a text are treated alike. A null
     text stays null. All other columns pass through; n_chars, if there, is the new text's length.
-    Columns that are called n_lines or n_dropped are replaced.
+    Columns that are called as ``counts`` are replaced.
 
     The drop lists go to all tasks if at most ``broadcast_rows`` documents have one, else by a join.
     """
@@ -365,11 +340,11 @@ def dedup_lines(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     keyed = docs.select("*", *(c.alias(name) for c, name in zip(row_key(), (r1, r2), strict=True)))
     joined = keyed.join(small_or_shuffled(drops.withColumnsRenamed({"r1": r1, "r2": r2, "drop": drop}), broadcast_rows), [r1, r2], "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(drop, i)), "\n")
-    out = joined.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.size(drop), F.lit(0)).cast("long"))
+    out = joined.withColumn(counts[0], F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")).withColumn(counts[1], F.coalesce(F.size(drop), F.lit(0)).cast("long"))
     out = out.withColumn("text", F.when(F.col(drop).isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    return out.select(*[c for c in docs.columns if c not in counts], *counts)
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -8,17 +8,16 @@ from __future__ import annotations
 import functools
 import math
 import random
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectio.llm.blocks import first_of_part, joined_in_groups, joined_labels, spread_labels, stars_of, whole_groups
 from lectio.llm.common import discard, documents, small_or_shuffled, texts, written
-from lectio.llm.components import connected_components
 
 SHINGLE = 2
 #: Two sets are linked if PARTS * intersection >= SIMILAR * union.
@@ -29,10 +28,6 @@ BANDS, ROWS = 32, 5
 HASHES, BATCH = 256, 32
 #: After each batch a pair goes whose similarity is high enough with a probability below MISS, given what agreed.
 MISS = 1e-5
-#: A block of a bucket or of a family of candidates holds so many rows, or so many hashes of shingles, at most.
-BLOCK_ROWS, BLOCK_HASHES = 1024, 2_000_000
-#: Rows of a large group that stand in each of its blocks, so that what resembles them is joined across blocks.
-ANCHORS = 16
 #: Shingles whose minima are taken at once, so that they stay in a core's cache.
 SPAN = 1 << 16
 
@@ -151,63 +146,7 @@ def _survivors(signed: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.nda
     return i, j
 
 
-# ---------------------------------------------------------------- blocks of rows
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups (equal first two columns) of sorted rows, with the groups' first rows and the end."""
-    held = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if held is None else pa.concat_tables([held, table])
-        g, b = (table.column(k).to_numpy() for k in range(2))
-        starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (b[1:] != b[:-1])])
-        held = table.slice(int(starts[-1]))
-        if len(starts) > 1:
-            yield table.slice(0, int(starts[-1])), starts
-    if held is not None and len(held):
-        yield held, np.array([0, len(held)])
-
-
-def _spread(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Least label of each row's component, if ``labels`` are numbers of rows and the pairs are links."""
-    while True:
-        new = labels.copy()
-        np.minimum.at(new, i, labels[j])
-        np.minimum.at(new, j, labels[i])
-        np.minimum.at(new, labels, new)
-        new = new[new]
-        if (new == labels).all():
-            return labels
-        labels = new
-
-
-def _joined(labels: np.ndarray, row: int, near: np.ndarray) -> np.ndarray:
-    """The labels when a row's and those of the rows near it are one."""
-    if not len(near):
-        return labels
-    return np.where(np.isin(labels, np.append(labels[near], labels[row])), labels[row], labels)
-
-
-def _first_of_part(table: pa.Table, starts: np.ndarray) -> np.ndarray:
-    """For each row the first row of its group that is in the same part."""
-    part = table.column("part").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    _, first, back = np.unique(group << 32 | part, return_index=True, return_inverse=True)
-    return first[back]
-
-
-def _stars(table: pa.Table, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
-    """Stars at the smallest node for what the rows' labels join, over all groups of a table that share a node."""
-    moved = np.flatnonzero(before != after)
-    node = table.column("node").combine_chunks()
-    ends = pa.chunked_array([node.take(pa.array(moved)), node.take(pa.array(after[moved]))]).combine_chunks()
-    names = ends.unique()
-    names = names.take(pc.sort_indices(names))
-    codes = pc.index_in(ends, names).to_numpy(zero_copy_only=False).astype(np.int64)
-    root = _spread(np.arange(len(names)), codes[: len(moved)], codes[len(moved) :])
-    points = np.flatnonzero(root != np.arange(len(names)))
-    return pa.RecordBatch.from_arrays([names.take(pa.array(points)), names.take(pa.array(root[points]))], ["u", "v"])
+# ---------------------------------------------------------------- what a block's pairs join
 
 
 def candidate_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +154,10 @@ def candidate_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     Pairs of a row that asks and any other row of its block are compared, unless they are in one part.
     """
-    for table, starts in _whole_groups(batches):
+    for table, starts in whole_groups(batches):
         signed = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(table), HASHES)
         asks = table.column("asks").to_numpy()
-        labels = _first_of_part(table, starts)
+        labels = first_of_part(table, starts)
         sizes = np.diff(starts)
         small = np.repeat(sizes <= 16, sizes)
         group = np.repeat(np.arange(len(sizes)), sizes)
@@ -233,18 +172,18 @@ def candidate_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 others = np.flatnonzero(own != own[row]) + a
                 pairs = _survivors(signed, np.full(len(others), a + row), others)
                 found.append(pairs)
-                own = _joined(own, row, pairs[1] - a)
+                own = joined_labels(own, row, pairs[1] - a)
         i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-        yield _stars(table, labels, _spread(labels, i, j))
+        yield stars_of(table, labels, spread_labels(labels, i, j))
 
 
 def exact_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (family, block, node, part, asks, hashes): a star for each part of a block that links of whole sets join."""
-    for table, starts in _whole_groups(batches):
+    for table, starts in whole_groups(batches):
         raw = table.column("hashes").to_pylist()
         sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 8
         asks = table.column("asks").to_numpy()
-        labels = _first_of_part(table, starts)
+        labels = first_of_part(table, starts)
         ends = np.cumsum(sizes)
         i, j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for a, b in zip(starts[:-1], starts[1:], strict=True):
@@ -265,58 +204,8 @@ def exact_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(near):
                     i.append(np.full(len(near), a + row))
                     j.append(a + near)
-                    own = _joined(own, row, near)
-        yield _stars(table, labels, _spread(labels, np.concatenate(i), np.concatenate(j)))
-
-
-def joined_in_groups(members: DataFrame, weight: Column, compare: Callable, label: str) -> DataFrame:
-    """(node, component): the components that the links within all groups make; nodes without a link are absent.
-
-    ``members`` has group, node and one more column, and is written. A group of one block has all its pairs
-    compared in a task. A larger one is dealt into blocks, each with the group's ANCHORS too; after
-    that only rows outside its largest part ask, each meeting every block of the group, so a family
-    that holds together costs a linear number of rows, whatever its size.
-    """
-    payload = members.columns[-1]
-    spark = members.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = "u binary, v binary"
-    spread = F.xxhash64("node")
-
-    def compared(rows: DataFrame) -> DataFrame:
-        rows = rows.select("group", "block", "node", "part", "asks", payload)
-        dealt = rows.repartition(tasks, "group", "block").sortWithinPartitions("group", "block", "node")
-        return written(dealt.mapInArrow(compare, schema), f"{label}-stars")
-
-    sums = members.groupBy("group").agg(F.count("*").alias("n"), F.sum(weight).alias("w")).where("n > 1")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("w") / BLOCK_HASHES), F.lit(1)).cast("long")
-    sums = written(sums.select("group", blocks.alias("blocks")), f"{label}-sums")
-    rows = members.join(small_or_shuffled(sums), "group").withColumn("part", F.col("node")).withColumn("asks", F.lit(True))
-    inside = rows.withColumn("block", F.pmod(spread, "blocks"))
-    large = sums.where("blocks > 1")
-    if large.isEmpty():
-        return written(connected_components(compared(inside)), f"{label}-parts")
-    held = written(rows.where("blocks > 1"), f"{label}-large")
-    anchor = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks") * (BLOCK_ROWS // ANCHORS)) == 0
-    copies = held.where(anchor).withColumn("own", F.pmod(spread, "blocks"))
-    copies = copies.select(*rows.columns, F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: b != F.col("own"))).alias("block"))
-    first = compared(inside.unionByName(copies))
-    parts = written(connected_components(first), f"{label}-parts")
-    named = held.drop("part", "asks").join(parts.withColumnsRenamed({"node": "of", "component": "part"}).hint("merge"), F.col("node") == F.col("of"), "left").drop("of")
-    named = written(named.withColumn("part", F.coalesce("part", "node")), f"{label}-named")
-    counted = named.groupBy("group", "part").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
-    all_of = counted.groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.max("n").alias("most"))
-    few = F.greatest(F.ceil((F.col("n") - F.col("most")) / BLOCK_ROWS), F.ceil(F.col("w") / BLOCK_HASHES * (1 - F.col("most") / F.col("n"))), F.lit(1)).cast("long")
-    rest = written(all_of.where("most < n").select("group", "main", few.alias("askers")), f"{label}-rest")
-    if rest.isEmpty():
-        return parts
-    again = named.join(small_or_shuffled(rest), "group")
-    asker = F.col("part") != F.col("main")
-    own, of = F.pmod(spread, "blocks"), F.pmod(F.xxhash64("node", F.lit(2)), "askers")
-    asking = again.where(asker).withColumn("asks", F.lit(True)).select("*", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: b * F.col("askers") + of)).alias("block"))
-    asked = again.withColumn("asks", F.lit(False)).select("*", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("askers") - 1), lambda c: own * F.col("askers") + c)).alias("block"))
-    known = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    return written(connected_components(known.union(compared(asking.unionByName(asked)))), f"{label}-parts")
+                    own = joined_labels(own, row, near)
+        yield stars_of(table, labels, spread_labels(labels, np.concatenate(i), np.concatenate(j)))
 
 
 # ---------------------------------------------------------------- documents
@@ -354,7 +243,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     shared = written(banded.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"), "minhash-buckets")
     met = banded.join(small_or_shuffled(shared), "group")
     members = written(met.join(classes.select("node", "signature").hint("merge"), "node").select("group", "node", "signature"), "minhash-members")
-    families = joined_in_groups(members, F.lit(0), candidate_stars, "minhash")
+    families = joined_in_groups(members.withColumn("part", F.col("node")), "signature", F.lit(0), candidate_stars, "minhash")
     discard(members)
     sought = families.join(classes.select("node", "first_id").hint("merge"), "node")
     sought = written(sought.select("node", "component", F.col("first_id").alias("rep")), "minhash-sought")
@@ -363,7 +252,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     sets = near.mapInArrow(lambda batches: _set_batches(batches, width), "node binary, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
     grouped = sets.join(sought.select("node", F.xxhash64("component").alias("group")).hint("merge"), "node").select("group", "node", "hashes")
     grouped = written(grouped, "minhash-sets")
-    parts = joined_in_groups(grouped, F.octet_length("hashes") / 8, exact_stars, "minhash-exact")
+    parts = joined_in_groups(grouped.withColumn("part", F.col("node")), "hashes", F.octet_length("hashes") / 8, exact_stars, "minhash-exact")
     discard(grouped)
     named = parts.join(classes.select("node", "first_id").hint("merge"), "node")
     least = written(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "minhash-least")

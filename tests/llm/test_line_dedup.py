@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from lectio.llm import line_dedup
+from lectio.llm import blocks, line_dedup
 
 
 def normal(line):
@@ -129,8 +129,8 @@ def test_pairs_are_verified_as_sets_are():
     assert 20 < got.sum() < len(got)
 
 
-def test_large_buckets_are_dealt_out_again(spark, monkeypatch):
-    """Lines of lower similarity that fill large buckets at the first level are told apart at the next."""
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    """Lines of lower similarity that fill large buckets are told apart, those outside a bucket's largest part included."""
     rng = random.Random(11)
     words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
     base = words(20)
@@ -140,11 +140,12 @@ def test_large_buckets_are_dealt_out_again(spark, monkeypatch):
         for k in rng.sample(range(20), 3):
             line[k] = words(1)[0]
         rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(line)[:-1] + "#")]
-    levels = []
-    finer = line_dedup._finer
-    monkeypatch.setattr(line_dedup, "_finer", lambda s, m, level: levels.append(level) or finer(s, m, level))
-    got = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_dropped}
-    assert levels and got == {i for i, _ in slow(rows)}
+    expected = {i for i, _ in slow(rows)}
+    for block, anchors in ((1024, 16), (8, 2)):
+        monkeypatch.setattr(blocks, "BLOCK_ROWS", block)
+        monkeypatch.setattr(blocks, "ANCHORS", anchors)
+        got = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_dropped}
+        assert got == expected
 
 
 def test_columns_of_any_name(spark):
