@@ -185,11 +185,12 @@ class Packer:
 
     def add(self, piece: Piece) -> None:
         doc, start, ids, total = piece
-        while len(ids) >= 4 * self.length:
-            self.emit([(doc, start, ids[: 4 * self.length], total)])
-            start, ids = start + self.length, ids[4 * self.length :]
-        if ids:
-            self.place((doc, start, ids, total))
+        size, view = 4 * self.length, memoryview(ids)  # a slice of a view copies nothing
+        whole = len(ids) // size * size
+        for at in range(0, whole, size):
+            self.emit([(doc, start + at // 4, bytes(view[at : at + size]), total)])
+        if whole < len(ids):
+            self.place((doc, start + whole // 4, bytes(view[whole:]), total))
 
     def place(self, piece: Piece) -> None:
         need = len(piece[2]) // 4
@@ -224,12 +225,13 @@ class Packer:
         room = self.length
         for _, key in self.open:
             for doc, start, ids, total in self.held[key]:
-                while len(ids) >= 4 * room:
-                    self.emit([*window, (doc, start, ids[: 4 * room], total)])
-                    start, ids, window, room = start + room, ids[4 * room :], [], self.length
-                if ids:
-                    window.append((doc, start, ids, total))
-                    room -= len(ids) // 4
+                at, view = 0, memoryview(ids)
+                while len(ids) - at >= 4 * room:
+                    self.emit([*window, (doc, start + at // 4, bytes(view[at : at + 4 * room]), total)])
+                    at, window, room = at + 4 * room, [], self.length
+                if at < len(ids):
+                    window.append((doc, start + at // 4, bytes(view[at:]), total))
+                    room -= (len(ids) - at) // 4
         self.open, self.held = [], {}
         return window
 
