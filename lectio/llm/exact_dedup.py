@@ -25,12 +25,16 @@ def range_bits(rows: int) -> int:
 def _filters(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """One filter per range of quotients from the fingerprints of a partition.
 
-    Batches are folded into a running filter, so memory holds the partition's distinct fingerprints.
+    A batch's filter is merged with the last one as soon as that isn't more than twice as large, so that a
+    slot is moved a logarithmic number of times; memory holds the partition's distinct fingerprints.
     """
-    held: CountingQuotientFilter | None = None
+    stack: list[CountingQuotientFilter] = []
     for batch in batches:
-        new = CountingQuotientFilter.build(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), q_bits=Q_BITS)
-        held = new if held is None else held.merge([new])
+        stack.append(CountingQuotientFilter.build(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), q_bits=Q_BITS))
+        while len(stack) > 1 and len(stack[-2].remainders) <= 2 * len(stack[-1].remainders):
+            last = stack.pop()
+            stack[-1] = stack[-1].merge([last])
+    held = stack[0].merge(stack[:0:-1]) if stack else None
     if held is None or not len(held.remainders):
         return
     prints = held.fingerprints()
