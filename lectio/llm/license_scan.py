@@ -25,6 +25,8 @@ TEMPLATES = (
     ("cc-by", "licensed under cc by 4 0"),
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nc-sa", "licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0"),
     ("cc-by-nd", "licensed under cc by nd 4 0"),
     ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
@@ -51,6 +53,7 @@ TOLD_BY: dict[str, tuple] = {
     "apache": (({"apache"},), ()),
     "cc-by": (_CC, _NC | _SA | _ND),
     "cc-by-nc": ((*_CC, _NC), _SA | _ND),
+    "cc-by-nc-sa": ((*_CC, _NC, _SA), _ND),
     "cc-by-nd": ((*_CC, _ND), _NC | _SA),
     "cc-by-sa": ((*_CC, _SA), _NC | _ND),
     "epl": (({"eclipse"},), ()),
@@ -88,13 +91,15 @@ class TemplateIndex:
 
     The order: words of no template first, then the templates' words by ascending document frequency.
     A block that contains ``need`` of a template's n words must have one of its n - need + 1 first
-    (prefix filter) and ``need`` words at all (length filter). Behind the place in the block's order of
-    the first word it can share there must be ``need`` - 1 words more (positional filter): as words of
-    no template come first, these are the block's words of any template.
+    (prefix filter) and ``need`` words at all (length filter). If a word is the first that the two share, all
+    others come after it in both orders: n less its place in the template's order, and the number of the block's words
+    from its place in the global order on, must both be ``need`` or more (positional filter).
     """
 
     def __init__(self, frequency: dict[bytes, int], templates=TEMPLATES, containment: float = CONTAINMENT):
         self.templates, self.prefix = [], {}
+        words = {w for _, wording in templates for w in wording.encode().split()}
+        self.place = {w: k for k, w in enumerate(sorted(words, key=lambda w: (frequency.get(w, 0), w)))}
         for k, (label, wording) in enumerate(templates):
             wording = wording.encode().split()
             order = sorted(set(wording), key=lambda w: (frequency.get(w, 0), w))
@@ -105,7 +110,6 @@ class TemplateIndex:
             for w in order[: len(order) - need + 1]:
                 self.prefix.setdefault(w, []).append(k)
         self.rare = frozenset(self.prefix)
-        self.vocabulary = frozenset(w for t in self.templates for w in t[1])
 
     def matches(self, words: list[bytes]) -> list[tuple[str, int, int, int, float, bool]]:
         """(label, template, first word, number of words, containment, told) of each matching stretch.
@@ -116,33 +120,37 @@ class TemplateIndex:
         """
         if self.rare.isdisjoint(words):
             return []
-        seeds: dict[int, list[int]] = {}
+        seeds: dict[int, dict[bytes, list[int]]] = {}
         for i, w in enumerate(words):
             if w in self.prefix:
                 for k in self.prefix[w]:
-                    seeds.setdefault(k, []).append(i)
-        held = np.cumsum([0, *(w in self.vocabulary for w in words)])
+                    seeds.setdefault(k, {}).setdefault(w, []).append(i)
+        order = np.array([self.place.get(w, -1) for w in words])
+        held = {w: np.r_[0, np.cumsum(order >= self.place[w])] for w in {w for of in seeds.values() for w in of}}
         found = []
         for k, at in sorted(seeds.items()):
             label, rank, length, need, telling = self.templates[k]
             if len(words) >= need:
-                near = self.near(held, np.array(at), length, need)
+                near = self.near([(held[w], np.array(i)) for w, i in at.items()], length, need)
                 found += [(label, k, first, end - first, best / len(rank), told) for first, end, best, told in self._stretches(words, near, rank, length, need, telling)]
         return found
 
     @staticmethod
-    def near(held: np.ndarray, at: np.ndarray, length: int, need: int) -> list[tuple[int, int]]:
-        """Ranges (first, last) of the starts of blocks that hold a seed and pass the positional filter.
+    def near(seeds: list[tuple[np.ndarray, np.ndarray]], length: int, need: int) -> list[tuple[int, int]]:
+        """Ranges (first, last) of the starts of blocks that hold a seed and pass the positional filter for it.
 
-        ``held`` counts the words of any template before each place, ``at`` has the seeds' places.
+        A seed word comes with the number of words from its place in the order on, before each word of the text, and its own places.
         """
-        n = len(held) - 1
+        n = len(seeds[0][0]) - 1
         last = max(0, n - length)
-        change = np.zeros(last + 2, np.int64)
-        np.add.at(change, np.clip(at - length + 1, 0, last), 1)
-        np.add.at(change, np.minimum(at, last) + 1, -1)
-        starts = np.flatnonzero(np.cumsum(change[:-1]) > 0)
-        starts = starts[held[np.minimum(starts + length, n)] - held[starts] >= need]
+        passes = np.zeros(last + 1, bool)
+        for held, at in seeds:
+            change = np.zeros(last + 2, np.int64)
+            np.add.at(change, np.clip(at - length + 1, 0, last), 1)
+            np.add.at(change, np.minimum(at, last) + 1, -1)
+            starts = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+            passes[starts[held[np.minimum(starts + length, n)] - held[starts] >= need]] = True
+        starts = np.flatnonzero(passes)
         runs = np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1)
         return [(int(r[0]), int(r[-1])) for r in runs if len(r)]
 
@@ -219,8 +227,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:
-    found = scan(documents(spark, sf_dir)).withColumn("matches", F.filter("matches", lambda m: m["told"]))
-    base, more = F.col("places.label"), F.col("matches.label")
+    found = scan(documents(spark, sf_dir))
+    base, more = F.col("places.label"), F.filter("matches", lambda m: m["told"])["label"]
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return found.select(
         "doc_id",
