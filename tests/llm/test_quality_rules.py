@@ -45,6 +45,13 @@ def test_bands():
     assert not kept(" ".join(f"item {i % 7} again" for i in range(400)))
     assert not kept(prose(300) + " ".join(["spam ham"] * 9000))
     assert not kept("") and not kept("few words only")
+    for share in (2, 3, 5):  # a half, a third, a fifth of encoded bytes inside plain prose
+        plain = prose(5000)
+        junk = base64.b64encode(rng.randbytes(len(plain) * 3 // (4 * (share - 1)))).decode()
+        lines = "\n".join(junk[k : k + 76] for k in range(0, len(junk), 76))
+        assert not kept(f"{plain[:9000]}\n{lines}\n{plain[9000:]}")
+    for size in (4097, 6143, 6144, 8193, 12_289):
+        assert kept(prose(size)[: size - 1] + "."), "a short last chunk is judged with the one before"
 
 
 def test_documents(spark):

@@ -117,7 +117,10 @@ def test_op6(spark, rows, sf_dir):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), again, len(covered), failed)
         data = text.encode()
         inside = lambda part: (lambda low, high: low <= len(compressor.compress(part)) / len(part) <= high)(*next(b[1:] for b in quality_rules.BANDS if len(part) <= b[0]))
-        chunks = [data[k : k + 4096] for k in range(0, len(data), 4096)] if len(data) > 4096 else []
+        chunks = [data[k : k + 4096] for k in range(0, len(data), 4096)]
+        if len(chunks) > 1 and len(chunks[-1]) < 2048:
+            chunks[-2:] = [chunks[-2] + chunks[-1]]
+        chunks = chunks if len(chunks) > 1 else []
         assert r.kept == (not failed and inside(data) and sum(not inside(c) for c in chunks) <= quality_rules.BAD_CHUNKS * len(chunks))
 
 
