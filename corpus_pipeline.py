@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lectio.llm import line_dedup, packing, quality_classifier, quality_rules, simhash
-from lectio.llm.common import documents, scope, written
+from lectio.llm.common import documents, scope, unused, written
 
 #: The tokenizer of the last stage: a parameter.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -24,7 +24,7 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less the lines that others hold already."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    return line_dedup.dedup_lines(docs, counts=tuple(unused(docs, "n_lines", "n_dropped"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
