@@ -9,6 +9,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ MIN_WORDS = 20
 #: The share of the documents of MIN_WORDS words or more that is drawn: SHARE / OF.
 SHARE, OF = 10, 100
 SEED = 2024
-#: Features whose gains are broadcast, the most frequent ones; those of all others are joined in a shuffle.
-OFTEN = 100_000
+#: Features whose gains are broadcast, the most frequent ones, so that no word is hot in the shuffle in which all others meet theirs.
+OFTEN = 1000
 
 
 
@@ -37,26 +38,27 @@ def features_of(data: bytes, low: int = LOW, high: int = HIGH) -> tuple[int, Cou
 
 
 def _counted_batches(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[pa.RecordBatch]:
+    row = TaskContext.get().partitionId() << 33
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            counted = [features_of(x, low, high) for x in part.column(3).cast(pa.binary()).to_pylist()]
+            counted = [features_of(x, low, high) for x in part.column(1).cast(pa.binary()).to_pylist()]
             ends = [0]
             for _, c in counted:
                 ends.append(ends[-1] + len(c))
             names = pa.array([x for _, c in counted for x in c], pa.binary()).cast(pa.string())
-            numbers = pa.array([x for _, c in counted for x in c.values()], pa.int64())
-            pairs = pa.StructArray.from_arrays([names, numbers], ["feature", "n"])
-            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), pa.array([n for n, _ in counted], pa.int64()), listed], ["doc_id", "h1", "h2", "n_words", "features"])
+            numbers = pa.array([x for _, c in counted for x in c.values()], pa.int32())
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([names, numbers], ["feature", "n"]))
+            columns = [pa.array(range(row, row + len(part)), pa.int64()), part.column(0), pa.array([n for n, _ in counted], pa.int64()), pa.array([c.total() for _, c in counted], pa.int64()), listed]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_words", "n_features", "features"])
+            row += len(part)
 
 
 def counted_features(docs: DataFrame, low: int = LOW, high: int = HIGH) -> DataFrame:
-    """(doc_id, h1, h2, n_words, features): a row's distinct features with their counts; h1 and h2 are 128 bits of the text."""
+    """(row, doc_id, n_words, n_features, features): each row's distinct features with their counts, and a number that is its own once this is written."""
     kind = dict(docs.dtypes)["doc_id"]
-    keyed = texts(docs).select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
-    schema = f"doc_id {kind}, h1 long, h2 long, n_words long, features array<struct<feature:string,n:long>>"
-    return keyed.mapInArrow(lambda batches: _counted_batches(batches, low, high), schema)
+    schema = f"row long, doc_id {kind}, n_words long, n_features long, features array<struct<feature:string,n:int>>"
+    return texts(docs).mapInArrow(lambda batches: _counted_batches(batches, low, high), schema)
 
 
 def dictionary(counted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -79,26 +81,27 @@ def gains(source: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataF
     return s.join(F.broadcast(t), "bucket", "left").select("bucket", F.floor(1000 * F.log(ratio)).cast("long").alias("gain"))
 
 
-def _with_gain(rows: DataFrame, gained: DataFrame, limit: int) -> DataFrame:
-    """The rows with the gain of their feature (null: none).
+def _weights(counted: DataFrame, words: DataFrame, gained: DataFrame, often: int) -> DataFrame:
+    """(row, total): the summed gains of each row's features.
 
-    At most ``limit`` features are broadcast, the most frequent ones; rows of rarer features, if there
-    are any, meet theirs in a shuffle, in which no word is hot.
+    The ``often`` most frequent features (by octaves of their counts) bring their gains by a broadcast; all others meet theirs in a
+    shuffle of (feature, row, n), the only one in which a document's features are rows.
     """
-    if gained.count() <= limit:
-        return rows.join(F.broadcast(gained.select("feature", "gain")), "feature", "left")
     octave = F.floor(F.log2("n")).cast("int")
-    sizes = sorted(gained.groupBy(octave.alias("o")).count().collect(), reverse=True)
-    least, held = 63, 0
+    sizes = sorted(words.groupBy(octave.alias("o")).count().collect(), reverse=True)
+    least, held = 64, 0
     for o, size in sizes:
         held += size
-        if held > limit:
+        if held > often:
             break
         least = o
-    often = gained.where(octave >= least).select("feature", "gain")
-    found = rows.join(F.broadcast(often), "feature", "left")
-    rare = found.where("gain IS NULL AND feature IS NOT NULL").drop("gain").join(gained.where(octave < least).select("feature", "gain").hint("merge"), "feature")
-    return found.where("gain IS NOT NULL OR feature IS NULL").unionByName(rare)
+    priced = words.withColumn("o", octave).join(F.broadcast(gained), "bucket").select("feature", "gain", "o")
+    rows = counted.select("row", F.explode("features").alias("f")).select("row", "f.feature", "f.n")
+    met = rows.join(F.broadcast(priced.where(F.col("o") >= least).select("feature", "gain")), "feature", "left")
+    rare = met.where("gain IS NULL").drop("gain").join(priced.where(F.col("o") < least).select("feature", "gain").hint("merge"), "feature")
+    worth = F.sum(F.col("n") * F.col("gain")).alias("total")
+    both = met.where("gain IS NOT NULL").groupBy("row").agg(worth).unionByName(rare.groupBy("row").agg(worth))
+    return both.groupBy("row").agg(F.sum("total").alias("total"))
 
 
 def gumbel(doc_id: Column, seed: int = SEED) -> Column:
@@ -108,28 +111,21 @@ def gumbel(doc_id: Column, seed: int = SEED) -> Column:
     return F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0))).cast("long")
 
 
-def weighted(docs: DataFrame, target: DataFrame, low: int = LOW, high: int = HIGH, buckets: int = BUCKETS, seed: int = SEED, limit: int = OFTEN) -> DataFrame:
-    """(doc_id, h1, h2, copies, n_words, n_features, weight, score) of each distinct row; copies counts its repetitions.
+def weighted(docs: DataFrame, target: DataFrame, low: int = LOW, high: int = HIGH, buckets: int = BUCKETS, seed: int = SEED, often: int = OFTEN) -> DataFrame:
+    """(row, doc_id, n_words, n_features, weight, score) of each row; ``row`` tells rows apart.
 
-    A row stays one row until its features are counted; a document's features become rows only where they
-    meet their gains, and are summed there before anything is shuffled.
+    A row stays one row until its features are counted, and the dictionary is summed where they are before it is shuffled.
     """
     counted = written(counted_features(docs, low, high), "resampling-counts")
     words = written(dictionary(counted, buckets), "resampling-words")
     wanted = written(dictionary(counted_features(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), low, high), buckets), "resampling-target")
-    gained = written(words.join(F.broadcast(gains(words, wanted, buckets)), "bucket").select("feature", "n", "gain"), "resampling-gains")
-    rows = counted.select("doc_id", "h1", "h2", "n_words", F.posexplode_outer("features").alias("at", "f"))
-    rows = rows.select("doc_id", "h1", "h2", "n_words", F.coalesce("at", F.lit(0)).alias("at"), "f.feature", F.coalesce("f.n", F.lit(0)).alias("n"))
-    back = _with_gain(rows, gained, limit)
-    sums = back.groupBy("doc_id", "h1", "h2").agg(
-        F.count(F.when(F.col("at") == 0, 1)).alias("copies"), F.max("n_words").alias("n_words"), F.sum("n").alias("all_n"), F.coalesce(F.sum(F.col("n") * F.col("gain")), F.lit(0)).alias("total")
-    )
-    weight = F.when(F.col("all_n") > 0, F.expr("(total - pmod(total, all_n)) div all_n")).otherwise(F.lit(0)).cast("long")
-    out = sums.select("doc_id", "h1", "h2", "copies", "n_words", F.expr("all_n div copies").alias("n_features"), weight.alias("weight"))
-    return out.withColumn("score", F.col("weight") + gumbel(F.col("doc_id"), seed))
-
-
-def resample(docs: DataFrame, target: DataFrame, low: int = LOW, high: int = HIGH, buckets: int = BUCKETS, share: tuple[int, int] = (SHARE, OF), min_words: int = MIN_WORDS, seed: int = SEED, limit: int = OFTEN) -> DataFrame:
+    totals = _weights(counted, words, gains(words, wanted, buckets), often)
+    known = counted.drop("features").join(totals, "row", "left").withColumn("total", F.coalesce("total", F.lit(0)).cast("long"))
+    weight = F.when(F.col("n_features") > 0, F.expr("(total - pmod(total, n_features)) div n_features")).otherwise(F.lit(0)).cast("long")
+    return known.withColumn("weight", weight).withColumn("score", F.col("weight") + gumbel(F.col("doc_id"), seed)).drop("total")
+
+
+def resample(docs: DataFrame, target: DataFrame, low: int = LOW, high: int = HIGH, buckets: int = BUCKETS, share: tuple[int, int] = (SHARE, OF), min_words: int = MIN_WORDS, seed: int = SEED, often: int = OFTEN) -> DataFrame:
     """One row per document: doc_id, n_features, n_words, weight, score, rank (null: not drawn).
 
     Of the documents of ``min_words`` words or more the highest scores are drawn, ``share`` of them, ties to
@@ -141,20 +137,17 @@ def resample(docs: DataFrame, target: DataFrame, low: int = LOW, high: int = HIG
     Ranks come from the number of documents of each score, of which there are some tens of thousands
     whatever the input (gains and draws are bounded logarithms), and from an order within one score.
     """
-    scored = written(weighted(docs, target, low, high, buckets, seed, limit), "resampling-scores")
+    scored = written(weighted(docs, target, low, high, buckets, seed, often), "resampling-scores")
     fit = F.col("n_words") >= min_words
-    quota = (scored.where(fit).agg(F.sum("copies")).first()[0] or 0) * share[0] // share[1]
-    sizes = scored.where(fit).groupBy("score").agg(F.sum("copies").alias("m"))
+    quota = scored.where(fit).count() * share[0] // share[1]
+    sizes = scored.where(fit).groupBy("score").agg(F.count("*").alias("m"))
     above = F.coalesce(F.sum("m").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     drawn = written(sizes.select(F.col("score").alias("s"), above.alias("above")).where(F.col("above") < quota), "resampling-drawn")
     joined = scored.join(F.broadcast(drawn), fit & (F.col("score") == F.col("s")), "left")
-    order = Window.partitionBy("score").orderBy("doc_id", "h1", "h2")
-    before = F.coalesce(F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = joined.where("above IS NOT NULL").withColumn("before", F.col("above") + before)
-    rest = joined.where("above IS NULL").withColumn("before", F.lit(None).cast("long"))
-    both = placed.unionByName(rest).select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
-    rank = F.col("before") + F.col("copy")
-    return both.select("doc_id", "n_features", "n_words", "weight", "score", F.when(rank <= quota, rank).alias("rank"))
+    place = F.col("above") + F.row_number().over(Window.partitionBy("score").orderBy("doc_id", "row"))
+    placed = joined.where("above IS NOT NULL").withColumn("rank", F.when(place <= quota, place))
+    rest = joined.where("above IS NULL").withColumn("rank", F.lit(None).cast("long"))
+    return placed.unionByName(rest).select("doc_id", "n_features", "n_words", "weight", "score", "rank")
 
 
 def op12_importance_resampling(spark, sf_dir: str) -> DataFrame:

@@ -49,13 +49,13 @@ def corpus(seed, n=90):
     return [" ".join(rng.choice(words[:: 1 + i % 3]) for _ in range(rng.randint(0, 60))).replace("a ", "A, ").replace("b ", "b-") for i in range(n)]
 
 
-@pytest.mark.parametrize(("low", "high", "buckets", "limit"), [(1, 1, 10_000, 100_000), (1, 2, 97, 100_000), (2, 3, 1000, 20), (1, 1, 10_000, 5)])
-def test_equals_the_slow_version(spark, low, high, buckets, limit):
+@pytest.mark.parametrize(("low", "high", "buckets", "often"), [(1, 1, 10_000, 100_000), (1, 2, 97, 1000), (2, 3, 1000, 20), (1, 1, 10_000, 0)])
+def test_equals_the_slow_version(spark, low, high, buckets, often):
     """One and several words; every feature broadcast, and only the most frequent ones."""
     docs, target = list(enumerate(corpus(1))), list(enumerate(corpus(2, 20)))
     docs += [(200, None), (201, ""), (202, "!?"), (203, "word " * 30_000)]
     frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = resampling.resample(frame(docs), frame(target), low, high, buckets, (30, 100), 15, 7, limit)
+    got = resampling.resample(frame(docs), frame(target), low, high, buckets, (30, 100), 15, 7, often)
     assert sorted(map(tuple, got.select("doc_id", "n_features", "n_words", "weight", "score", "rank").collect()), key=str) == slow(docs, target, low, high, buckets, (30, 100), 15, 7)
 
 
