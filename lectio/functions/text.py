@@ -172,10 +172,28 @@ def _position(piece: Column, source: Column, start: Column) -> Column:
     return F.call_function("locate", piece, source, start)
 
 
+#: Words of which a text that matches a pattern has at least one: no pattern is tried on a text that has none.
+_GRADED = ("beautiful", "elegant", "impressive", "interesting", "nice", "striking", "wonderful", "excellent", "amazing", "clever", "neat", "helpful", "useful", "important")
+_NEEDED = {
+    SECOND_PERSON: ("you", "your", "yours", "yourself"),
+    PAST_AUXILIARY: ("was", "were", "had", "did"),
+    NARRATIVE_PAST: tuple(NARRATIVE_PAST[NARRATIVE_PAST.rindex("(") + 1 : NARRATIVE_PAST.rindex(")")].split("|")),
+    PASSIVE: ("is", "are", "was", "were", "being", "been"),
+    EVALUATIVE: (*_GRADED, *(w + "ly" for w in _GRADED), "lovely", "remarkable", "remarkably", "great", "clear", "clearly", "well", "easy", "hard"),
+    META_GRAMMAR: ("slide", "image", "figure", "screen", "visual", "diagram", "picture", "photo", "graphic", "animation", "chart", "video", "frame"),
+    META_FRAMES: ("here", "see", "observe", "notice", "visible", "image", "picture", "visual", "presenter", "slide"),
+}
+
+
 def style_violations(c) -> dict[str, Column]:
-    """S-28: matches per property, outside quoted spans."""
+    """S-28: matches per property, outside quoted spans.
+
+    A text's words are split once; a pattern runs only on a text with a word that it needs. Letters that a
+    case-blind pattern takes for ASCII ones (long s, Kelvin sign, i with and without its dot) are folded first.
+    """
     unquoted = F.regexp_replace(_text(c), '"[^"]{0,200}"', " ")
-    count = lambda p: F.regexp_count(unquoted, F.lit(f"(?iU){p}"))
+    said = F.split(F.lower(F.translate(unquoted, "\u017f\u212a\u0131\u0130", "skii")), r"(?U)\W+")
+    count = lambda p: F.when(F.arrays_overlap(said, F.array(*map(F.lit, _NEEDED[p]))), F.regexp_count(unquoted, F.lit(f"(?iU){p}"))).otherwise(0)
     return {name: sum((count(p) for p in patterns[1:]), count(patterns[0])) for name, patterns in STYLE.items()}
 
 

@@ -264,34 +264,3 @@ def first_row_per(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
 def batches(rows: DataFrame, lecture: str, order: list[str], size: int) -> DataFrame:
     """D-21: ``batch`` number within the lecture, at most ``size`` rows each."""
     return scan.scan(rows, [lecture], order, batch=scan.number()).withColumn("batch", F.floor((F.col("batch") - 1) / size).cast("int"))
-
-
-def pixel_motion(rows: DataFrame, lecture: str, threshold: float = 0.02, idle: float = 30.0) -> DataFrame:
-    """W-07: a recurrence over each lecture's frames: the reference picture is the last this channel read.
-
-    Rows have time, claimed (an earlier channel matched the pair), apart (seconds) and picture (bytes).
-    A claimed pair isn't read; a pair as far apart as the idle interval is declined, and the reference
-    forgotten. Returns the rows with ``motion``: the difference where it reaches the threshold.
-    """
-    import numpy as np
-
-    def fold(frame):
-        frame = frame.sort_values("time")
-        last, out = None, []
-        for claimed, apart, picture in zip(frame["claimed"], frame["apart"], frame["picture"], strict=True):
-            hit = None
-            if not claimed:
-                if apart >= idle:
-                    last = None
-                else:
-                    now = np.frombuffer(picture, np.uint8).astype(float)
-                    if last is not None and len(last) == len(now):
-                        moved = float(np.abs(now - last).mean() / 255)
-                        hit = moved if moved >= threshold else None
-                    last = now
-            out.append(hit)
-        frame["motion"] = out
-        return frame
-
-    schema = ", ".join(f"{c} {k}" for c, k in rows.dtypes) + ", motion double"
-    return rows.groupBy(lecture).applyInPandas(fold, schema)

@@ -229,7 +229,7 @@ asked AS (SELECT *, turn % 7 = 6 AS lost, CASE WHEN turn % 5 = 4 THEN ' None ' E
 _LONG6 = " UNION ALL ".join(f"SELECT moment_id, type, {k} AS place, '{c}' AS component, {c} AS value FROM six" for k, c in enumerate(scoring.CATEGORIES))
 
 
-@query(f"""WITH {_LOCAL}, {_RULED}, six AS (SELECT c.moment_id, c.type, style, terminology, length, deixis, faithfulness, fresh AS non_redundancy FROM credit c JOIN asked a USING (moment_id, system) WHERE NOT lost AND turn % 5 <> 4),
+@query(f"""WITH {_LOCAL}, {_RULED}, six AS (SELECT c.moment_id, c.type, style, terminology, length, deixis, faithfulness, fresh AS non_redundancy FROM credit c JOIN asked a USING (moment_id, system) WHERE NOT lost AND a.turn % 5 <> 4),
 long AS ({_LONG6}), low AS (SELECT DISTINCT ON (l.moment_id, w.rule, w.breach) l.moment_id, w.rule, w.breach, l.place, w.number FROM long l JOIN ruled w USING (component) WHERE l.value < 1.0 AND (list_contains(w.types, 'all') OR list_contains(w.types, l.type)) ORDER BY l.place),
 lists AS (SELECT moment_id, string_agg(rule, ',' ORDER BY place, number, rule) FILTER (breach) AS broken, string_agg(rule, ',' ORDER BY place, number, rule) FILTER (NOT breach) AS short FROM low GROUP BY moment_id)
 SELECT a.moment_id, CASE WHEN lost THEN 'missing' WHEN a.turn % 5 = 4 THEN 'unfilled' END AS reason, CASE WHEN s.moment_id IS NULL THEN '{','.join(scoring.CATEGORIES)}' WHEN s.deixis IS NULL THEN 'deixis' ELSE '' END AS abstained,

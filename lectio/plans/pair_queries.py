@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from lectio.functions import overlap, scoring, statistics
 from lectio.functions import text as tx
-from lectio.operators import decisions, integrity, joins, sampling
+from lectio.operators import compliance, decisions, integrity, joins, sampling, suite
 from lectio.plans.catalogue import query
-from lectio.plans.relations import JUDGEMENTS, PAIRS, RATERS, SCORES, judgements, pairs, raters, side_scores, table
+from lectio.plans.relations import JUDGEMENTS, PAIRS, RATERS, SCORES, judgements, moments, pairs, raters, side_scores, table
+from lectio.plans.text_queries import NOVEL
 from lectio.sources import external, files, lectures
 
 _SIDE = "CASE WHEN a > b THEN 'a' WHEN b > a THEN 'b' END"
@@ -384,3 +385,46 @@ def preference_head(spark, sf_dir):
     """T-15, T-16, T-18, T-20: a ridge fit to a rater's choices, each source predicted by the others."""
     rows = pairs(spark, sf_dir).where("compliant_side <> 'tie'").select(F.col("a_id").alias("id"), F.col("source").alias("lecture"), (F.col("compliant_side") == "a").cast("double").alias("chose_a"), F.lit(1.0).alias("weight"), ((F.col("a_chars") - F.col("b_chars")) / 1000).alias("chars"), ((F.col("a_parts") - F.col("b_parts")) / 100).alias("parts"))
     return statistics.out_of_fold(rows, ["chars", "parts"], "chose_a", "weight", "lecture").withColumn("margin", F.round("margin", 6))
+
+
+@query(f"""WITH {NOVEL}, {_BASE}, {_VERDICTS}, {_OUTCOMES}, {_STRATA}, cells AS (SELECT rater, scorer, sensitive, "group", grouping("group") AS whole, count(*) FILTER (found = side) AS agreed, count(found) AS n
+  FROM (SELECT rater, scorer, coalesce(stratum = 'order_sensitive', false) AS sensitive, coalesce(nullif(p.axis, ''), 'natural') AS "group", r.side, {_SIDE} AS found FROM raters r JOIN scores s USING (pair_id) JOIN pairs_ p USING (pair_id) WHERE r.side <> 'tie')
+  GROUP BY GROUPING SETS ((rater, scorer, sensitive), (rater, scorer, sensitive, "group")))
+SELECT 'systems' AS stage, system AS name, round(avg(overall), 6) AS value, count(overall) AS n FROM final GROUP BY system
+UNION ALL SELECT 'reference_writers', 'w-' || system, round(avg(overall), 6), count(overall) FROM final GROUP BY system
+UNION ALL SELECT 'summary', coalesce(type, 'all'), round(avg(overall), 6), count(overall) FROM final GROUP BY GROUPING SETS ((type), ())
+UNION ALL SELECT 'pair_validity', axis, round(count(*) FILTER ("right") / nullif(count("right"), 0)::DOUBLE, 6), count("right") FROM verdicts GROUP BY axis
+UNION ALL SELECT 'rater_agreement', concat_ws('/', rater, scorer, CASE WHEN sensitive THEN 'order_sensitive' WHEN whole = 1 THEN 'overall' ELSE 'by_group' END, "group"), round(agreed / nullif(n, 0)::DOUBLE, 6), n FROM cells WHERE NOT sensitive OR whole = 1
+UNION ALL SELECT 'win_rate', 'a', round(count(*) FILTER (outcome = 'a') / count(*) FILTER (outcome IN ('a', 'b'))::DOUBLE, 6), count(*) FILTER (outcome IN ('a', 'b')) FROM outcomes
+UNION ALL SELECT 'left out', 'localisation', NULL, NULL""")
+def evaluate(spark, sf_dir):
+    """The suite (the command evaluate, and reference-writer-compliance with it): one scored relation, written once, under the tables that the inputs allow."""
+    m = moments(spark, sf_dir)
+    known = pairs(spark, sf_dir)
+    stratum = F.when(F.col("a_id") % 7 == 0, decisions.ORDER_SENSITIVE).when(F.col("a_id") % 7 < 4, "natural")
+    axis = F.when(F.col("a_id") % 11 == 0, "").otherwise(F.col("axis"))
+    scores = side_scores(spark, sf_dir)
+    said = m.select("moment_id", "system", "ad_text")
+    found = suite.evaluate(
+        {
+            "predictions": said,
+            "moments": m.drop("system", "ad_text"),
+            "references": said.withColumn("system", F.concat(F.lit("w-"), "system")),
+            "outcomes": decisions.outcomes(judgements(spark, sf_dir)),
+            "decisions": decisions.cascade(scores, ["chars", "words", "parity"]),
+            "pairs": known.select("pair_id", "axis", "compliant_side"),
+        },
+        compliance.rule_table(spark),
+    )
+    report = decisions.rater_report(raters(spark, sf_dir), scores.select("pair_id", "scorer", "a", "b"), known.select("pair_id", axis.alias("axis"), stratum.alias("stratum")))
+    rows = lambda stage, df, name, value, n: df.select(F.lit(stage).alias("stage"), name.alias("name"), F.round(value, 6).alias("value"), n.cast("long").alias("n"))
+    tables = found.tables
+    out = rows("systems", tables["systems"], F.col("system"), F.col("score"), F.col("n_scored"))
+    out = out.unionByName(rows("reference_writers", tables["reference_writers"], F.col("system"), F.col("score"), F.col("n_scored")))
+    out = out.unionByName(rows("summary", tables["summary"], F.coalesce("stratum", F.lit("all")), F.col("mean"), F.col("n_scored")))
+    out = out.unionByName(rows("pair_validity", tables["pair_validity"], F.col("axis"), F.col("accuracy"), F.col("decided")))
+    out = out.unionByName(rows("rater_agreement", report, F.concat_ws("/", "rater", "scorer", "part", "group"), F.col("agreement"), F.col("n")))
+    won = tables["win_rate"]
+    out = out.unionByName(rows("win_rate", won, F.lit("a"), F.col("win_rate"), F.col("won") + F.col("lost")))
+    gone = [("left out", name, None, None) for name in sorted(found.left_out) if name == "localisation"]
+    return out.unionByName(spark.createDataFrame(gone, "stage string, name string, value double, n long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectio.functions import text as tx
-from lectio.operators import detection, joins, sequence
+from lectio.operators import channels, detection, joins, sequence
 from lectio.plans.catalogue import query
 from lectio.plans.relations import GAPS, TIMELINE, VIEWS, gaps, table, timeline, views
 
@@ -181,8 +181,14 @@ def keyframe_times(spark, sf_dir):
     return scenes.select("lecture", F.array_join(F.transform(sequence.keyframe_times(F.col("duration"), F.col("scenes"), 3000.0, 500.0), lambda x: x.cast("long").cast("string")), ",").alias("times"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TIMELINE}, shown AS (SELECT lecture, event_type = 'error' AS claimed, value AS apart, (event_id * 37) % 256 AS grey, row_number() OVER (PARTITION BY lecture ORDER BY t, event_id) AS n FROM timeline),
+walk AS (SELECT lecture, n, CASE WHEN NOT claimed AND apart < 90 THEN grey END AS last, NULL::DOUBLE AS motion FROM shown WHERE n = 1
+  UNION ALL SELECT s.lecture, s.n, CASE WHEN s.claimed THEN w.last WHEN s.apart >= 90 THEN NULL ELSE s.grey END,
+    CASE WHEN NOT s.claimed AND s.apart < 90 AND abs(s.grey - w.last) / 255.0 >= 0.02 THEN abs(s.grey - w.last) / 255.0::DOUBLE END FROM walk w JOIN shown s ON s.lecture = w.lecture AND s.n = w.n + 1)
+SELECT lecture, count(motion) AS hits, round(avg(motion), 6) AS mean FROM walk GROUP BY lecture""")
 def pixel_motion(spark, sf_dir):
-    """W-07: a picture of four bytes per event."""
-    rows = timeline(spark, sf_dir).select("lecture", F.col("t").alias("time"), (F.col("event_type") == "error").alias("claimed"), F.col("value").alias("apart"), F.unhex(F.substring(F.hex(F.xxhash64("event_id")), 1, 8)).alias("picture"))
-    return sequence.pixel_motion(rows, "lecture", idle=90.0).groupBy("lecture").agg(F.count("motion").alias("hits"), F.round(F.avg("motion"), 6).alias("mean"))
+    """W-07: a picture of four bytes of one grey value per event."""
+    line = timeline(spark, sf_dir)
+    grey = F.lpad(F.hex(F.col("event_id") * 37 % 256), 2, "0")
+    rows = line.select("lecture", F.struct("t", "event_id").alias("time"), (F.col("event_type") == "error").alias("claimed"), F.col("value").alias("apart"), F.unhex(F.repeat(grey, 4)).alias("picture"))
+    return channels.pixel_motion(rows, "lecture", idle=90.0).groupBy("lecture").agg(F.count("motion").alias("hits"), F.round(F.avg("motion"), 6).alias("mean"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectio.functions import overlap, replies, scoring, statistics
 from lectio.functions import text as tx
-from lectio.operators import compliance, decisions, detection, joins, moments, sampling, sequence
+from lectio.operators import channels, compliance, decisions, detection, joins, moments, sampling, sequence
 from lectio.sources import external, lectures
 
 
@@ -65,7 +65,7 @@ for _family, _parts in {
     "dataset source": {"hub": lectures.Catalogue, "local_dir": lectures.Catalogue},
     "decoding attempt": {"greedy": _attempts(0.0), "sampled": _attempts(0.0, 0.7)},
     "description system": {"adapter": external.decode, "zero_shot": external.decode, "slide_title": tx.slide_title, "reference_writer": moments.own_moments},
-    "frame channel": {"pixel_motion": sequence.pixel_motion, "slide_turnover": _visual("slide_turnover"), "added_words": _visual("added_words")},
+    "frame channel": {"pixel_motion": channels.pixel_motion, "slide_turnover": _visual("slide_turnover"), "added_words": _visual("added_words")},
     "gap channel": {"speech_gap": sequence.usable_gaps},
     "input arm": {"multimodal": lambda *c: moments.package_text(*c, False), "text_only": lambda *c: moments.package_text(*c, True)},
     "interval estimator": {"cluster_bootstrap": statistics.cluster_bootstrap_mean, "bootstrap": statistics.unit_bootstrap_mean},

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lectio.operators.integrity import require_unique
 
@@ -23,6 +24,20 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def read_open(spark: SparkSession, path: str, schema: str, rest: str = "rest") -> DataFrame:
+    """SRC-01, PRJ-01: lines of JSON as the columns of ``schema``, and ``rest``: a map of all other fields as VARIANT values, so that nothing is dropped.
+
+    A field that doesn't fit its declared type is null there. A line that is no object fails the query; blank lines are left out.
+    """
+    declared = StructType.fromDDL(schema)
+    lines = spark.read.text(path).where("trim(value) != ''")
+    fields = F.from_json("value", "map<string, variant>", {"mode": "FAILFAST"})
+    found = lines.select(fields.alias("_m"))
+    typed = [F.try_variant_get(F.col("_m")[f.name], "$", f.dataType.simpleString()).alias(f.name) for f in declared]
+    names = F.array(*[F.lit(f.name) for f in declared])
+    return found.select(*typed, F.map_filter("_m", lambda k, v: ~F.array_contains(names, k)).alias(rest))
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """SRC-02: header, all strings, quotes doubled, line breaks within quotes."""
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)

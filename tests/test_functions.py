@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +109,15 @@ def test_json_replies(value):
     assert value(replies.parse_verdict(F.lit('```json\n{"verdict": "pass"}\n```'))) == "PASS"
     assert value(replies.salvage(F.lit('{"ad_text": "half a'))).how == "open_string"
     assert tuple(value(replies.parse_rubric(F.lit("style: 4/5\noverall: 9\nstyle: 3"), ["style"]))) == (3, 9)
+
+
+def test_style_counts_equal_the_bare_patterns(spark):
+    """The words that a pattern needs leave no match out, in any case and with letters that case folding joins."""
+    rng = random.Random(6)
+    pieces = "You your YOURSELF was Were had it appeared is shown are quickly drawn being listed been erased beautiful Beautifully lovely clear elegant well-made easy to read hard to see the slide shows this image now depicts what appears here as we can see one can notice is visible on the slide an image of the presenter this slide , . - ' \" _ your_s iſ waſ K ı hıd ſlide".split(" ")
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(400)] + ["an image of", "Is visible on the screen", "what is displayed here", "here you see", "WE CAN OBSERVE", "the ſlide ſhows", "had", "a_was", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    bare = {name: sum(F.regexp_count(F.regexp_replace(F.coalesce("t", F.lit("")), '"[^"]{0,200}"', " "), F.lit(f"(?iU){p}")) for p in patterns) for name, patterns in tx.STYLE.items()}
+    got = rows.select("t", *(v.alias(k) for k, v in tx.style_violations("t").items()), *(v.alias(f"bare_{k}") for k, v in bare.items())).collect()
+    assert all(r[k] == r[f"bare_{k}"] for r in got for k in bare)
+    assert all(any(r[k] for r in got) for k in bare)
