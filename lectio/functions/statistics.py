@@ -437,14 +437,39 @@ def out_of_fold(rows: DataFrame, features: list[str], target: str, weight: str,
     return rows.join(F.broadcast(models), fold).select("id", fold, margin.alias("margin"))
 
 
+def fit_whole(rows: DataFrame, features: list[str], strength: float = 1.0) -> np.ndarray:
+    """T-15: the weights of a ridge logistic regression on all rows of :func:`head_rows`, without the intercept."""
+    # the model of a fold of its own that no row with a weight belongs to
+    other = rows.limit(1).withColumns({"_fold": F.lit("none"), "weight": F.lit(0.0)})
+    return fit_folds(rows.withColumn("_fold", F.lit("rows")).unionByName(other), features, "chose_a", "weight", "_fold", strength)["none"][:-1]
+
+
+def sign_stable(pairs: DataFrame, labels: DataFrame, features: list[str], keep: tuple[str, ...] = (), raters: int = 1000) -> tuple[list[str], list[str]]:
+    """T-17: the features that every rater pulls the same way, and those that they don't, both in the given order.
+
+    A model is fitted to each rater's own choices; weights of zero have no sign, a rater without a usable choice says
+    nothing. Features in ``keep`` stay whatever their signs. At most ``raters`` raters are compared, more are refused.
+    """
+    names = [r[0] for r in labels.select("rater").distinct().orderBy("rater").limit(raters + 1).collect()]
+    if len(names) > raters:
+        raise ValueError(f"more than {raters} raters")
+    signs: dict[str, set[float]] = {f: set() for f in features}
+    for name in names:
+        rows = head_rows(pairs, labels.where(F.col("rater") == name), features)
+        if not rows.isEmpty():
+            for feature, weight in zip(features, fit_whole(rows, features), strict=True):
+                if weight:
+                    signs[feature].add(math.copysign(1.0, weight))
+    stable = [f for f in features if len(signs[f]) < 2 or f in keep]
+    return stable, [f for f in features if f not in stable]
+
+
 def freeze(pairs: DataFrame, labels: DataFrame, features: list[str], held_out: str, strength: float = 1.0) -> np.ndarray:
     """T-19: weights fitted on all raters but one, so that they never saw its answers."""
     raters = {r[0] for r in labels.select("rater").distinct().collect()}
     if held_out not in raters or len(raters) < 2:
         raise ValueError("the rater to hold out is unknown, or the only one")
-    rows = head_rows(pairs, labels.where(F.col("rater") != held_out), features).withColumn("_all", F.lit("all"))
-    # one model of its own fold that no row belongs to: fitted on every row
-    return fit_folds(rows.withColumn("_fold", F.lit("rows")).unionByName(rows.limit(1).withColumn("_fold", F.lit("none")).withColumn("weight", F.lit(0.0))), features, "chose_a", "weight", "_fold", strength)["none"][:-1]
+    return fit_whole(head_rows(pairs, labels.where(F.col("rater") != held_out), features), features, strength)
 
 
 def score_frozen(weights: np.ndarray, pairs: DataFrame, labels: DataFrame, features: list[str]) -> DataFrame:

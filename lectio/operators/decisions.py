@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectio.operators.moments import failing
+
 SIDES = ("a", "b")
 TIE = "tie"
 
@@ -150,8 +152,11 @@ def paired_difference(first: DataFrame, second: DataFrame, key: list[str], value
     return first.select(*key, F.col(value).alias("_x")).join(second.select(*key, F.col(value).alias("_y")), key).select(*key, (F.col("_x") - F.col("_y")).alias("difference"))
 
 
-def candidate_pairs(candidates: DataFrame, moment: str, ordinal: str, text: str, writer: str) -> DataFrame:
-    """J-04: unordered pairs of one moment's candidates. A moment has a handful (the writers); not for open groups."""
+def candidate_pairs(candidates: DataFrame, moment: str, ordinal: str, text: str, writer: str, most: int = 64) -> DataFrame:
+    """J-04: unordered pairs of one moment's candidates, of which there are a handful (the writers); a moment with more than ``most`` fails the query."""
+    numbered = candidates.withColumn("_n", F.count("*").over(Window.partitionBy(moment)))
+    fault = F.when(F.col("_n") > most, F.concat(F.lit("moment "), F.col(moment).cast("string"), F.lit(f" has more than {most} candidates")))
+    candidates = failing(numbered, fault)
     one = candidates.groupBy(moment).agg(F.sort_array(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(text).alias("t"), F.col(writer).alias("w")))).alias("cs"))
     pairs = F.expr("flatten(transform(cs, (x, i) -> transform(slice(cs, i + 2, size(cs)), y -> struct(x AS first, y AS second))))")
     return one.select(moment, F.explode(pairs).alias("p")).select(moment, F.col("p.first.t").alias("a"), F.col("p.second.t").alias("b"), F.col("p.first.w").alias("a_writer"), F.col("p.second.w").alias("b_writer"), F.col("p.first.o").alias("a_ordinal"), F.col("p.second.o").alias("b_ordinal"))

@@ -282,19 +282,29 @@ _BOOK = [{"id": r[0], "tag": "DOC" if r[1] % 2 else "PROV", "route": r[6], "text
 _BOOK_ROWS = ", ".join(f"('{b['id']}', '{b['tag']}', '{b['route']}', {b['reviewed']})" for b in _BOOK)
 
 
-@query(f"WITH b(rule, tag, route, reviewed) AS (VALUES {_BOOK_ROWS}) SELECT count(*) AS rules, " + ", ".join(f"count(*) FILTER (route = '{r}') AS {r}" for r in standard.ROUTES) + ", count(*) FILTER (reviewed) AS reviewed, 0::BIGINT AS faults FROM b")
+@query(f"""WITH {MOMENTS}, {RULES_SQL}, b(rule, tag, route, reviewed) AS (VALUES {_BOOK_ROWS}), n AS (SELECT b.route, count(*) AS rows_it_applies_to FROM moments m JOIN rules r ON (list_contains(r.types, 'all') OR list_contains(r.types, m.type)) AND r.when_described JOIN b USING (rule) GROUP BY b.route)
+SELECT route, count(*) AS rules, count(*) FILTER (reviewed) AS reviewed, coalesce(max(rows_it_applies_to), 0) AS rows_it_applies_to, 0::BIGINT AS faults FROM b LEFT JOIN n USING (route) GROUP BY route""")
 def standard_summary(spark, sf_dir):
-    """SRC-20, A-32, Q-09, Q-10, V-16: the book of all rules against the table."""
-    return standard.summary(compliance.rule_table(spark), standard.rule_book(spark, _BOOK))
-
-
-_BROKEN = [{"id": "figure_001", "tag": "DOC", "route": "judge", "text": "ok"}, {"id": "figure_002", "tag": "OLD", "route": "judge", "text": " "}, {"id": "table_001", "tag": "PROV", "route": "vote", "text": "as figure_009 and figure_001 to 003"}, {"id": "figure_001", "tag": "DOC", "route": "judge", "text": "again"}]
-
-
-@query("""SELECT * FROM (VALUES ('figure_001', 'defined more than once'), ('figure_002', 'unknown tag'), ('figure_002', 'no text'), ('table_001', 'unknown route'), ('table_001', 'cites figure_003'), ('table_001', 'cites figure_009')) t(rule, fault)""")
+    """SRC-20, A-32, Q-09, Q-10, V-16: the book of all rules by route, the moments that its rules apply to, and its faults against the table."""
+    rules, book = compliance.rule_table(spark), standard.rule_book(spark, _BOOK)
+    applied = compliance.applicable_rules(moment_rows(spark, sf_dir).withColumn("described", F.lit(True)), rules).select(F.explode("rules").alias("rule"))
+    per = applied.groupBy("rule").agg(F.count("*").alias("n")).join(F.broadcast(book.select("rule", "route")), "rule").groupBy("route").agg(F.sum("n").alias("rows_it_applies_to"))
+    by_route = book.groupBy("route").agg(F.count("*").alias("rules"), F.count_if("reviewed").alias("reviewed"))
+    faults = standard.summary(rules, book).select("faults")
+    return by_route.join(per, "route", "left").fillna(0, ["rows_it_applies_to"]).join(F.broadcast(faults))
+
+
+@query("""WITH b AS (SELECT printf('figure_%03d', doc_id % 900) AS rule, CASE doc_id % 7 WHEN 0 THEN 'OLD' WHEN 1 THEN 'PROV' ELSE 'DOC' END AS tag, CASE WHEN doc_id % 5 = 0 THEN 'vote' ELSE 'judge' END AS route, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE lang || ' as ' || cited || ' says' END AS body, cited, doc_id
+  FROM (SELECT *, printf('figure_%03d', (doc_id * 7) % 999) AS cited FROM documents))
+SELECT rule, 'defined more than once' AS fault FROM b GROUP BY rule HAVING count(*) > 1 UNION ALL SELECT rule, 'unknown tag' FROM b WHERE tag = 'OLD' UNION ALL SELECT rule, 'unknown route' FROM b WHERE route = 'vote'
+UNION ALL SELECT rule, 'no text' FROM b WHERE trim(coalesce(body, '')) = '' UNION ALL SELECT rule, 'cites ' || cited FROM b WHERE trim(coalesce(body, '')) <> '' AND cited NOT IN (SELECT rule FROM b)""")
 def book_faults(spark, sf_dir):
-    """Q-10 on a book with one fault of each kind."""
-    return standard.book_faults(standard.rule_book(spark, _BROKEN))
+    """Q-10: documents as the entries of a book, with faults of each kind."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 7
+    tag = F.when(k == 0, "OLD").when(k == 1, "PROV").otherwise("DOC")
+    body = F.when(F.col("doc_id") % 11 == 0, " ").otherwise(F.concat("lang", F.lit(" as "), F.format_string("figure_%03d", F.col("doc_id") * 7 % 999), F.lit(" says")))
+    return standard.book_faults(d.select(F.format_string("figure_%03d", F.col("doc_id") % 900).alias("rule"), tag.alias("tag"), F.when(F.col("doc_id") % 5 == 0, "vote").otherwise("judge").alias("route"), body.alias("text")))
 
 
 @query(f"WITH {MOMENTS} SELECT moment_id, system, array_to_string(list_distinct_in_order, ',') AS rules FROM (SELECT moment_id, system, CASE WHEN turn % 2 = 0 THEN ['slide_text_003', 'cross_cutting_006'] ELSE ['length_004', 'cross_cutting_006', 'slide_text_003'] END AS list_distinct_in_order FROM moments)")
@@ -305,10 +315,13 @@ def rules_in_order(spark, sf_dir):
     return moment_rows(spark, sf_dir).select("moment_id", "system", F.array_join(moments.rules_in_order(broken, again), ",").alias("rules"))
 
 
-@query("SELECT (row_number() OVER (ORDER BY a, b, c) - 1)::INT AS cell, a AS arm, b AS method, c::VARCHAR AS seed FROM (SELECT unnest(['multimodal', 'text_only']) AS a), (SELECT unnest(['dpo', 'sft']) AS b), (SELECT unnest([1, 2, 3]) AS c)")
+@query("""SELECT (row_number() OVER (ORDER BY a, b, c) - 1)::INT AS cell, a AS arm, b AS method, c::VARCHAR AS seed, (SELECT count(*) FROM conversations WHERE conv_id % 3 = c - 1) AS n_rows
+FROM (SELECT unnest(['multimodal', 'text_only']) AS a), (SELECT unnest(['dpo', 'sft']) AS b), (SELECT unnest([1, 2, 3]) AS c)""")
 def training_grid(spark, sf_dir):
-    """D-28: the cells of a grid of settings."""
-    return moments.grid(spark, {"arm": ["multimodal", "text_only"], "method": ["dpo", "sft"], "seed": [1, 2, 3]})
+    """D-28: the cells of a grid of settings, with the rows that each seed's third of the conversations trains on."""
+    cells = moments.grid(spark, {"arm": ["multimodal", "text_only"], "method": ["dpo", "sft"], "seed": [1, 2, 3]})
+    rows = table(spark, sf_dir, "conversations").groupBy((F.col("conv_id") % 3 + 1).cast("string").alias("seed")).agg(F.count("*").alias("n_rows"))
+    return cells.join(F.broadcast(rows), "seed", "left").fillna(0, ["n_rows"])
 
 
 @query(f"""WITH {MOMENTS} SELECT system, count(*) AS n FROM moments WHERE moment_id IN (SELECT moment_id FROM moments WHERE system = 'user' AND len({_words('ad_text')}) > 30) GROUP BY system""")

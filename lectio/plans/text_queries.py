@@ -276,11 +276,14 @@ def rule_diagnostic(spark, sf_dir):
     return found.select("rule", "number", "route", "applies_to", "broken_by", "below")
 
 
-@query(f"""WITH {RULES_SQL}, checks(component, chk, breach) AS (VALUES {_CHECK_ROWS}) SELECT rule, number, category, route FROM rules
-WHERE rule NOT IN {compliance.SEQUENCE_RULES} AND NOT EXISTS (SELECT 1 FROM checks WHERE list_contains(string_split(rules.checks, ';'), chk))""")
+@query(f"""WITH {MOMENTS}, {RULES_SQL}, checks(component, chk, breach) AS (VALUES {_CHECK_ROWS}) SELECT rule, number, category, route, (SELECT count(*) FROM moments m WHERE (list_contains(r.types, 'all') OR list_contains(r.types, m.type)) AND r.when_described) AS applies_to
+FROM rules r WHERE rule NOT IN {compliance.SEQUENCE_RULES} AND NOT EXISTS (SELECT 1 FROM checks WHERE list_contains(string_split(r.checks, ';'), chk))""")
 def rules_out_of_reach(spark, sf_dir):
-    """A-05: the rules that the mechanical mode can't speak for, by name."""
-    return compliance.unreached_rules(compliance.rule_table(spark))
+    """A-05: the rules that the mechanical mode can't speak for, by name, and the moments that they apply to."""
+    rules = compliance.rule_table(spark)
+    applied = compliance.applicable_rules(moments(spark, sf_dir).withColumn("described", F.lit(True)), rules).select(F.explode("rules").alias("rule"))
+    counts = applied.groupBy("rule").agg(F.count("*").alias("applies_to"))
+    return compliance.unreached_rules(rules).join(F.broadcast(counts), "rule", "left").fillna(0, ["applies_to"])
 
 
 @query(f"WITH {MOMENTS} SELECT count(DISTINCT moment_id) AS moments, count(DISTINCT lecture) AS lectures, round(count(DISTINCT moment_id) / count(DISTINCT lecture)::DOUBLE, 2) AS moments_per_lecture FROM moments")
