@@ -24,7 +24,7 @@ MIN_WORDS = 20
 SHARE, OF = 10, 100
 SEED = 2024
 #: Features whose gains are broadcast, the most frequent ones, so that no word is hot in the shuffle in which all others meet theirs.
-OFTEN = 1000
+OFTEN = 20_000
 
 
 
