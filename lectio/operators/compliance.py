@@ -91,7 +91,7 @@ def applicable_rules(rows: DataFrame, rules: DataFrame, kind: str = "type", desc
     pairs = rows.select(kind, described).distinct()
     found = pairs.join(F.broadcast(rules), applies(F.col(kind), F.col(described))).groupBy(kind, described).agg(F.transform(F.sort_array(F.collect_list(F.struct("number", "rule"))), lambda x: x["rule"]).alias("rules"))
     same = F.col(f"r.{kind}").eqNullSafe(F.col(f"f.{kind}")) & F.col(f"r.{described}").eqNullSafe(F.col(f"f.{described}"))
-    return rows.alias("r").join(F.broadcast(found).alias("f"), same, "left").select("r.*", F.coalesce("f.rules", F.array().cast("array<string>")).alias("rules"))
+    return rows.alias("r").join(found.alias("f"), same, "left").select("r.*", F.coalesce("f.rules", F.array().cast("array<string>")).alias("rules"))
 
 
 def component_rules(rules: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from lectio.operators import compliance, integrity, sampling, sequence
 from lectio.plans.catalogue import query
 from lectio.plans.relations import MOMENTS, moments, table
 from lectio.sources.lectures import FieldMap
+from lectio.sources.shared import written_once
 
 _STOP = ", ".join(f"'{s}'" for s in tx.STOP_TERMS)
 _SENTINEL = "|".join(s.replace("(", r"\(").replace(")", r"\)") for s in sorted(tx.SENTINELS, key=len, reverse=True))
@@ -271,7 +272,8 @@ SELECT rule, number, route, (SELECT count(*) FROM keyed k WHERE list_contains(x.
   (SELECT count(*) FROM hits h WHERE h.rule = x.rule AND broken) AS broken_by, (SELECT count(*) FROM hits h WHERE h.rule = x.rule AND NOT broken) AS below FROM reached x""")
 def rule_diagnostic(spark, sf_dir):
     """A-05, J-19, J-20, D-17, K-07."""
-    rows = _final(spark, sf_dir).withColumn("key", id_functions.description_id("moment_id", "system")).select("key", "type", "overall", "novelty_factor", *compliance.MECHANICAL).persist()
+    rows = _final(spark, sf_dir).withColumn("key", id_functions.description_id("moment_id", "system")).select("key", "type", "overall", "novelty_factor", *compliance.MECHANICAL)
+    rows = written_once(rows, "scored")
     found = compliance.rule_diagnostic(rows, compliance.rule_table(spark), "key")
     return found.select("rule", "number", "route", "applies_to", "broken_by", "below")
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectio.operators.joins import resume
+from lectio.sources.shared import written_once
 
 #: Conditions after which asking again is no use, with the forms in which client libraries report them.
 TERMINAL = {
@@ -154,10 +155,14 @@ def asker(post: Callable[[dict], str], build=chat_request, tries: int = 3, **set
 
 
 def decode(rows: DataFrame, generate: Callable[[list[str], float], list[str]], temperatures: tuple[float, ...], read: Callable[[F.Column], F.Column], key: str = "item_id", prompt: str = "prompt") -> DataFrame:
-    """X-08: attempts in order (greedy, then sampled) until a reply can be read: (key, attempt, reply, answer)."""
+    """X-08: attempts in order (greedy, then sampled) until a reply can be read: (key, attempt, reply, answer).
+
+    Each attempt's replies are written before they are read, so that no lost executor asks a model again.
+    """
     done, todo = None, rows.select(key, prompt)
     for attempt, temperature in enumerate(temperatures):
-        asked = ask_all(todo, lambda prompts, t=temperature: generate(prompts, t), key, prompt).withColumn("attempt", F.lit(attempt)).withColumn("answer", read(F.col("reply"))).persist()
+        asked = ask_all(todo, lambda prompts, t=temperature: generate(prompts, t), key, prompt).withColumn("attempt", F.lit(attempt))
+        asked = written_once(asked, "attempt").withColumn("answer", read(F.col("reply")))
         last = attempt == len(temperatures) - 1
         kept = asked if last else asked.where("answer IS NOT NULL")
         done = kept if done is None else done.unionByName(kept)
@@ -217,7 +222,7 @@ def write_lecture(moments: DataFrame, lecture: str, order: str, ask: Callable[[d
 def spend(calls: DataFrame, prices: DataFrame, shapes: DataFrame) -> DataFrame:
     """A-27 to A-29, X-05: dollars per stage and model: calls times tokens times price; the measured shape where there is one."""
     shape = lambda c: F.coalesce(F.col(f"measured_{c}"), F.col(f"assumed_{c}"))
-    joined = calls.join(F.broadcast(prices), "model").join(F.broadcast(shapes), ["stage", "model"], "left")
+    joined = calls.join(prices, "model").join(shapes, ["stage", "model"], "left")
     per_call = (shape("input") * F.col("input_price") + shape("output") * F.col("output_price")) / 1e6
     rows = joined.withColumn("per_call", per_call).withColumn("dollars", F.col("calls") * F.col("per_call")).withColumn("measured", F.col("measured_input").isNotNull())
     return rows.groupBy("stage").agg(F.sum("calls").alias("calls"), F.sum("dollars").alias("dollars"), F.bool_and("measured").alias("all_measured"))
