@@ -64,7 +64,7 @@ def by_knee(scored: DataFrame, system: str = "system", knees: tuple[float, ...]
 
 def stability(scored: DataFrame, system: str = "system", knees: tuple[float, ...] = KNEES) -> DataFrame:
     """W-15: (knee, n, rho) of each knee's order of the systems against the first knee's."""
-    per = by_knee(scored, system, knees)
+    per = written_once(by_knee(scored, system, knees), "knees")
     first = per.where(F.col("knee") == knees[0]).select(system, F.col("score").alias("x"))
     return statistics.spearman_frame(per.where(F.col("knee") != knees[0]).join(first, system), "x", "score", ["knee"])
 

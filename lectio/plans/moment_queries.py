@@ -10,6 +10,7 @@ from lectio.plans.catalogue import query
 from lectio.plans.relations import GAPS, MOMENTS, PAIRS, RATERS, TIMELINE, gaps, pairs, raters, table, timeline
 from lectio.plans.relations import moments as moment_rows
 from lectio.plans.text_queries import _FOLD, RULES_SQL, SCORED, _jaccard, _tokens, _words
+from lectio.sources.shared import written_once
 
 _TYPES = ", ".join(f"'{t}'" for t in scoring.MOMENT_TYPES)
 
@@ -251,7 +252,8 @@ def local_diagnostic(spark, sf_dir):
     """A-05 in local mode, which reaches seven rules more."""
     scored = compliance.score_local(compliance.score(moment_rows(spark, sf_dir)), compliance.stand_in_contradiction, compliance.stand_in_similarity)
     keyed = scored.withColumn("key", F.concat_ws("::", "moment_id", "system")).withColumn("novelty_factor", F.lit(1.0))
-    found = compliance.rule_diagnostic(keyed.select("key", "type", "overall", "novelty_factor", *compliance.LOCAL), compliance.rule_table(spark), "key", parts=compliance.LOCAL)
+    rows = written_once(keyed.select("key", "type", "overall", "novelty_factor", *compliance.LOCAL), "scored")
+    found = compliance.rule_diagnostic(rows, compliance.rule_table(spark), "key", parts=compliance.LOCAL)
     return found.where(~F.col("rule").isin(*compliance.SEQUENCE_RULES)).select("rule", "applies_to", "broken_by", "below")
 
 

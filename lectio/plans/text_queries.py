@@ -224,7 +224,7 @@ SELECT knee, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r GROUP BY knee""
 def stability_against_first(spark, sf_dir):
     """W-15, T-05: how far the order of the systems (a role in a ninth of the conversations) under each knee goes with that under the first."""
     many = _final(spark, sf_dir).withColumn("many", F.concat_ws("-", "system", F.col("conv_id") % 9))
-    per = _by_knee(many, "many")
+    per = written_once(_by_knee(many, "many"), "knees")
     first = per.where(F.col("knee") == _KNEES[0]).select("many", F.col("score").alias("x"))
     both = per.where(F.col("knee") != _KNEES[0]).join(first, "many")
     return statistics.spearman_frame(both, "x", "score", ["knee"]).withColumn("rho", F.round("rho", 6))
