@@ -158,6 +158,8 @@ def unit_bootstrap_mean(observations: DataFrame, unit: str, value: str, resample
 
 #: Bins that a group's range is cut into at each pass; a range of at most so many rows is sorted out by its distinct values.
 BINS, SETTLED = 256, 4096
+#: As a share: the upper of the two middle values (the lower one is 1 / 2), the only one of an odd number.
+UPPER = (-1, 2)
 
 
 def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, tuple[int, int]]) -> DataFrame:
@@ -170,7 +172,7 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str
     names = [f"_k{i}" for i in range(len(by))]
     known = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*(F.col(c).alias(k) for c, k in zip(by, names, strict=True)), F.col(value).cast("double").alias("_x"))
     ends = known.groupBy(*names).agg(F.count("*").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
-    rank = lambda p, q: F.greatest(F.expr(f"(_n * {p}L + {q - 1}L) div {q}L"), F.lit(1))
+    rank = lambda p, q: F.greatest(F.expr("_n div 2 + 1" if (p, q) == UPPER else f"(_n * {p}L + {q - 1}L) div {q}L"), F.lit(1))
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), rank(p, q).alias("_rank")) for name, (p, q) in shares.items()]))
     state = ends.select(*names, "_n", "_low", "_high", wanted.alias("_w")).select(*names, "_n", "_low", "_high", "_w.*")
     keys = [*names, "_name"]
@@ -203,9 +205,8 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str
 
 def medians(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """A-02: (by, median) of each group with a value, the mean of the two middle ones."""
-    lower = exact_quantiles(rows, by, value, {"low": (1, 2)})
-    mirrored = exact_quantiles(rows.withColumn(value, -F.col(value)), by, value, {"low": (1, 2)}).withColumn("quantile", -F.col("quantile"))
-    return lower.unionByName(mirrored).groupBy(*by).agg(F.avg("quantile").alias("median"))
+    middle = exact_quantiles(rows, by, value, {"low": (1, 2), "high": UPPER})
+    return middle.groupBy(*by).agg(F.avg("quantile").alias("median"))
 
 
 def average_ranks(values) -> np.ndarray:
