@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 from statistics import NormalDist
@@ -13,12 +14,48 @@ from pyspark.sql import functions as F
 from lectio.operators import scan
 
 
+def _stirling_error(k: np.ndarray) -> np.ndarray:
+    """log(k!) less Stirling's formula, for k of 1 and more."""
+    near = np.array([math.lgamma(i + 1) - (0.5 * math.log(2 * math.pi * i) + i * math.log(i) - i) for i in range(1, 16)])
+    far = np.maximum(k, 16.0)
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * far**2)) / far**2) / far**2) / far
+    return np.where(k < 16, near[np.clip(k, 1, 15).astype(int) - 1], series)
+
+
+def binomial_pmf(k, n: int, p: float) -> np.ndarray:
+    """P(k of n) for each k, in the saddle-point form, which keeps its digits for any n."""
+    k = np.asarray(k, float)
+    if p <= 0 or p >= 1 or n == 0:
+        return (k == (n if p >= 1 else 0)).astype(float)
+
+    def deviance(x, mean):
+        d = (x - mean) / mean
+        return mean * ((1 + d) * np.log1p(d) - d)
+
+    if n == 1:
+        return np.where(k == 1, p, 1 - p)
+    j = np.clip(k, 1, n - 1)
+    inner = _stirling_error(np.array([n]))[0] - _stirling_error(j) - _stirling_error(n - j) - deviance(j, n * p) - deviance(n - j, n * (1 - p)) + 0.5 * np.log(n / (2 * math.pi * j * (n - j)))
+    return np.exp(np.where(k == 0, n * math.log1p(-p), np.where(k == n, n * math.log(p), inner)))
+
+
+def binomial_reach(n: int, p: float, nats: float = 70.0) -> int:
+    """How far from the mean outcomes have a chance of exp(-nats) in all at most (Bernstein's bound): about the root of n."""
+    return math.ceil(nats / 3 + math.sqrt((nats / 3) ** 2 + 2 * nats * n * p * (1 - p))) + 1
+
+
 def exact_two_sided(k: int, n: int) -> float:
-    """T-08: exact two-sided binomial p of k in n at one half."""
+    """T-08: exact two-sided binomial p of k in n at one half.
+
+    Of many trials the tail is summed from its greatest term down, as far as terms count: about the root of n of them.
+    """
     if n == 0:
         return 1.0
     tail = min(k, n - k)
-    return min(1.0, 2 * sum(math.comb(n, i) for i in range(tail + 1)) / 2**n)
+    if n <= 1000:
+        return min(1.0, 2 * sum(math.comb(n, i) for i in range(tail + 1)) / 2**n)
+    i = np.arange(min(tail, binomial_reach(n, 0.5)))
+    return min(1.0, float(2 * binomial_pmf(tail, n, 0.5) * (1 + np.cumprod((tail - i) / (n - tail + 1 + i)).sum())))
 
 
 def mcnemar(only_first: int, only_second: int) -> float:
@@ -287,46 +324,45 @@ def coincidences(labels: DataFrame, unit: str, rater: str, label: str) -> DataFr
     return one.select(F.col("x.l").alias("l1"), F.col("y.l").alias("l2"), weight.alias("w")).groupBy("l1", "l2").agg(F.sum("w").alias("weight")).where("weight > 0")
 
 
-def binomial_table(n: int, shares: np.ndarray) -> np.ndarray:
-    """P(k of n) for each share (rows) and k (columns), from logarithms of factorials."""
-    k = np.arange(n + 1)
-    ways = np.array([math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in k])
-    p = np.clip(np.asarray(shares, float)[:, None], 1e-300, 1.0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        fails = np.where(k < n, (n - k) * np.log1p(-p), 0.0)
-    return np.exp(ways + k * np.log(p) + fails)
-
+def critical(n: int, alpha: float, two_sided: bool) -> int | None:
+    """T-12, T-13: the least number of successes that the exact test at one half rejects above; None if there is none.
 
-def rejecting(n: int, alpha: float, two_sided: bool) -> np.ndarray:
-    """T-12, T-13: which outcomes k of n the exact test at one half rejects."""
-    even = binomial_table(n, np.array([0.5]))[0]
-    above = np.cumsum(even[::-1])[::-1]
-    if not two_sided:
-        return above <= alpha * (1 + 1e-12)
-    return np.minimum(1, 2 * np.minimum(above, np.cumsum(even))) <= alpha * (1 + 1e-12)
+    The two-sided test rejects as few successes as failures.
+    """
+    k = np.arange(n // 2 + 1, min(n, n // 2 + binomial_reach(n, 0.5, 70 - math.log(alpha))) + 1)
+    above = np.cumsum(binomial_pmf(k, n, 0.5)[::-1])[::-1]
+    hits = np.flatnonzero((2 if two_sided else 1) * above <= alpha * (1 + 1e-12))
+    return int(k[hits[0]]) if len(hits) else None
 
 
 def power_of(n: int, shares, alpha: float = 0.05, two_sided: bool = True) -> np.ndarray:
     """The chance that the test rejects, for each true share."""
-    return binomial_table(n, np.atleast_1d(shares)) @ rejecting(n, alpha, two_sided)
+    least = critical(n, alpha, two_sided)
+
+    def chance(p: float) -> float:
+        reach = binomial_reach(n, p)
+        k = np.arange(max(0, int(n * p) - reach), min(n, int(n * p) + reach) + 1)
+        return float(binomial_pmf(k[(k >= least) | (two_sided & (k <= n - least))], n, p).sum())
+
+    return np.array([0.0 if least is None else chance(p) for p in np.atleast_1d(np.asarray(shares, float)).tolist()])
 
 
 def least_detectable(n: int, alpha: float, power: float, two_sided: bool) -> float | None:
     """The share above one half from which the power stays at the target; None if no share reaches it.
 
-    The last share below the target is bracketed on ever finer grids.
+    The power grows with the share, so the first share at the target is searched for on ever finer grids.
     """
-    if n <= 0 or not rejecting(n, alpha, two_sided).any():
+    if n <= 0 or critical(n, alpha, two_sided) is None:
         return None
     low, high = 0.5, 1.0
     for cells in (1000, 100, 100, 100, 100, 100):
         shares = np.linspace(low, high, cells + 1)
-        short = np.flatnonzero(power_of(n, shares, alpha, two_sided) < power)
-        if not len(short):
+        first = bisect.bisect_left(range(cells + 1), True, key=lambda i: bool(power_of(n, shares[i], alpha, two_sided)[0] >= power))
+        if first == 0:
             return float(low) if low > 0.5 else float(shares[1])
-        if short[-1] == cells:
+        if first > cells:
             return None
-        low, high = shares[short[-1]], shares[short[-1] + 1]
+        low, high = shares[first - 1], shares[first]
     return float(high)
 
 

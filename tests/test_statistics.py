@@ -60,6 +60,19 @@ def test_power():
     assert st.power_of(40, share)[0] >= 0.8 > st.power_of(40, share - 1e-6)[0] and abs(points - 100 * (2 * share - 1) * 40 / 200) < 1e-9
 
 
+def test_exact_tests_and_power_of_many_trials():
+    n = 20_000
+    tail = sum(math.comb(n, i) for i in range(101))
+    assert st.exact_two_sided(100, n) == pytest.approx(2 * tail / 2**n, abs=0)
+    term, total = math.comb(1200, 560), 0
+    for i in range(560, -1, -1):
+        total, term = total + term, term * i // (1200 - i + 1)
+    assert st.exact_two_sided(560, 1200) == pytest.approx(2 * total / 2**1200, rel=1e-11)
+    share, points = st.detectable_difference(5_000_000, 20_000_000)
+    assert 0.5 < share < 0.501 and abs(st.power_of(5_000_000, share)[0] - 0.8) < 1e-6 and points == pytest.approx(50 * (share - 0.5))
+    assert st.exact_two_sided(2_497_000, 5_000_000) == pytest.approx(math.erfc(2999.5 / math.sqrt(2_500_000)), rel=1e-3)
+
+
 def test_ridge_fit_finds_the_signs():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 2))
