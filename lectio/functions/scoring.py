@@ -150,15 +150,16 @@ def picture_difference(a, b) -> Column:
 
 def style_score(c, cost: float = 0.5) -> Column:
     """D-10: one less ``cost`` per violated property, 0 at least; a blank description scores 0."""
-    violated = sum((F.when(n > 0, 1).otherwise(0) for n in tx.style_violations(c).values()), F.lit(0))
-    return F.when(tx.clean_description(c) == "", 0.0).otherwise(F.greatest(1 - cost * violated, F.lit(0.0)))
+    violated = lambda found: sum((F.when(found[name] > 0, 1).otherwise(0) for name in tx.STYLE), F.lit(0))
+    return F.when(tx.clean_description(c) == "", 0.0).otherwise(tx.bound(tx.style_counts(c), lambda found: F.greatest(1 - cost * violated(found), F.lit(0.0))))
 
 
 def terminology_score(c, premise, cap: int = 40) -> Column:
     """D-11: share of content terms that the premise holds as substrings; 1 if there are none."""
     terms = tx.content_terms(tx.clean_description(c), cap)
-    found = F.size(F.filter(terms, lambda t: F.contains(F.lower(_col(premise)), F.lower(t))))
-    return F.when(F.size(terms) == 0, 1.0).otherwise(found / F.greatest(F.size(terms), F.lit(1)))
+    found = lambda b: F.size(F.filter(b["terms"], lambda t: F.contains(b["lower"], F.lower(t))))
+    both = F.struct(terms.alias("terms"), F.lower(_col(premise)).alias("lower"))
+    return tx.bound(both, lambda b: F.when(F.size(b["terms"]) == 0, 1.0).otherwise(found(b) / F.greatest(F.size(b["terms"]), F.lit(1))))
 
 
 def length_score(c, pause, words_per_minute: float = WORDS_PER_MINUTE, lag_cap: float = LAG_CAP_SECONDS) -> Column:
@@ -172,17 +173,22 @@ def deixis_score(c, premise, window: int = 6, cap: int = 60) -> Column:
 
     Each pointing word is marked; the k-th remainder is what follows the k-th mark.
     """
-    clean = tx.clean_description(c)
-    lower = F.lower(_col(premise))
     mark = "\u0001"
-    marked = F.regexp_replace(clean, f"(?iU)({POINTING_WORD})", f"$1{mark}")
-    rests = F.slice(F.split(marked, mark), 2, 1 << 30)
-    n = F.size(rests)
-    suffix = F.transform(rests, lambda x, i: F.array_join(F.slice(rests, i + 1, n), ""))
-    resolved = F.size(F.filter(suffix, lambda x: F.exists(tx.content_terms(tx.following_terms(x, window), window), lambda t: F.contains(lower, F.lower(t)))))
-    acts = F.exists(F.array(*map(F.lit, POINTING_ACT)), lambda p: F.contains(F.lower(clean), p))
-    plain = (clean == "") | (n == 0) | (F.size(tx.content_terms(lower, cap)) == 0)
-    return F.when(clean == "", 1.0).when(acts, 0.0).when(plain, 1.0).otherwise(resolved / F.greatest(n, F.lit(1)))
+
+    def resolved(b: Column) -> Column:
+        n = F.size(b["rests"])
+        suffix = F.transform(b["rests"], lambda x, i: F.array_join(F.slice(b["rests"], i + 1, n), ""))
+        named = F.size(F.filter(suffix, lambda x: F.exists(tx.content_terms(tx.following_terms(x, window), window), lambda t: F.contains(b["lower"], F.lower(t)))))
+        plain = (n == 0) | (F.size(tx.content_terms(b["lower"], cap)) == 0)
+        return F.when(plain, 1.0).otherwise(named / F.greatest(n, F.lit(1)))
+
+    def scored(clean: Column) -> Column:
+        acts = F.exists(F.array(*map(F.lit, POINTING_ACT)), lambda p: F.contains(F.lower(clean), p))
+        marked = F.regexp_replace(clean, f"(?iU)({POINTING_WORD})", f"$1{mark}")
+        both = F.struct(F.slice(F.split(marked, mark), 2, 1 << 30).alias("rests"), F.lower(_col(premise)).alias("lower"))
+        return F.when(clean == "", 1.0).when(acts, 0.0).otherwise(tx.bound(both, resolved))
+
+    return tx.bound(tx.clean_description(c), scored)
 
 
 def novelty_factor(novelty, knee: float = 0.4) -> Column:

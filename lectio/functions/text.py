@@ -70,8 +70,17 @@ def _text(c) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once a row, however often it is named, also within a function over an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: What \s matches in a pattern with (?U).
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def clean_description(c) -> Column:
@@ -191,10 +200,21 @@ def style_violations(c) -> dict[str, Column]:
     A text's words are split once; a pattern runs only on a text with a word that it needs. Letters that a
     case-blind pattern takes for ASCII ones (long s, Kelvin sign, i with and without its dot) are folded first.
     """
+    found = style_counts(c)
+    return {name: found[name] for name in STYLE}
+
+
+def style_counts(c) -> Column:
+    """S-28 as one value: a struct of the matches per property, from one look for all needed words."""
     unquoted = F.regexp_replace(_text(c), '"[^"]{0,200}"', " ")
     said = F.split(F.lower(F.translate(unquoted, "\u017f\u212a\u0131\u0130", "skii")), r"(?U)\W+")
-    count = lambda p: F.when(F.arrays_overlap(said, F.array(*map(F.lit, _NEEDED[p]))), F.regexp_count(unquoted, F.lit(f"(?iU){p}"))).otherwise(0)
-    return {name: sum((count(p) for p in patterns[1:]), count(patterns[0])) for name, patterns in STYLE.items()}
+    any_needed = F.array(*map(F.lit, sorted({w for words in _NEEDED.values() for w in words})))
+
+    def counted(b: Column) -> Column:
+        count = lambda p: F.when(F.arrays_overlap(b["said"], F.array(*map(F.lit, _NEEDED[p]))), F.regexp_count(b["text"], F.lit(f"(?iU){p}"))).otherwise(0)
+        return F.struct(*(sum((count(p) for p in patterns[1:]), count(patterns[0])).alias(name) for name, patterns in STYLE.items()))
+
+    return bound(F.struct(unquoted.alias("text"), F.array_intersect(said, any_needed).alias("said")), counted)
 
 
 def is_unfilled(c) -> Column:

@@ -190,7 +190,8 @@ def summarise(scored: DataFrame, group: str = "type", moment: str = "moment_id",
     """
     parts = MECHANICAL if parts is None else parts
     there = F.col("overall").isNotNull()
-    named = scored.withColumn("stratum", F.coalesce(F.nullif(F.col(group), F.lit("")), F.lit("unknown")))
+    stratum = F.coalesce(F.nullif(F.col(group), F.lit("")), F.lit("unknown"))
+    named = written_once(scored.select(stratum.alias("stratum"), "reason", "overall", moment, *parts), "summary-rows")  # counts and medians read the scores again
     own = []
     for c in parts:
         value = F.when(there, F.col(c))
@@ -200,7 +201,6 @@ def summarise(scored: DataFrame, group: str = "type", moment: str = "moment_id",
     shares = sums.withColumns({f"{c}_share": F.try_divide(f"{c}_compliant", f"{c}_n") for c in parts})
     entries = F.array(*[F.struct(F.lit(name).alias("_name"), v.alias("_value")) for name, v in (("median", F.col("overall")), *((f"{c}_median", F.when(there, F.col(c))) for c in parts))])
     long = named.select("stratum", F.explode(entries).alias("_e")).select(F.explode(F.array(F.col("stratum"), F.lit(None).cast("string"))).alias("stratum"), "_e.*")
-    long = written_once(long, "summary-values")  # each pass reads the values again
     medians = statistics.medians(long, ["stratum", "_name"], "_value").groupBy("stratum").pivot("_name", ["median", *(f"{c}_median" for c in parts)]).agg(F.first("median"))
     joined = shares.join(medians.withColumnRenamed("stratum", "_s"), F.col("stratum").eqNullSafe(F.col("_s")), "left").drop("_s")
     order = ["stratum", "n_total", "n_scored", "n_unfilled", "n_missing", "n_moments", "mean", "median"]

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from lectio.functions import text as tx
 from lectio.operators import scan
+from lectio.sources.shared import written_once
 
 
+#: Rows of a lecture that are compared where they lie, as an array.
+NOVELTY_SHORT = 32
 #: Rows of a lecture that one task compares with as many earlier ones.
 NOVELTY_ROWS = 4096
 #: A token that more rows of a long lecture hold is a frequent one.
@@ -105,6 +108,14 @@ def _numbered(rows: DataFrame, keys: list[str], order: list[str], text: str, nam
     return scan.scan(rows.withColumn("_tie", F.xxhash64(text)), keys, [*order, "_tie"], **{name: scan.number()}).drop("_tie")
 
 
+def _in_arrays(numbered: DataFrame, lecture: str) -> DataFrame:
+    """(lecture, _at, _most) of rows (lecture, _at, _set) of short lectures: each one's rows are an array, compared by native functions."""
+    both = lambda x, y: tx.bound(F.size(F.array_intersect(x["_set"], y["_set"])), lambda n: n / F.greatest(F.size(x["_set"]) + F.size(y["_set"]) - n, F.lit(1)))
+    best = lambda x: F.aggregate("_rs", F.lit(0.0), lambda most, y: F.when(y["_at"] < x["_at"], F.greatest(most, both(x, y))).otherwise(most))
+    listed = numbered.groupBy(lecture).agg(F.collect_list(F.struct("_at", "_set")).alias("_rs"))
+    return listed.select(lecture, F.explode(F.transform("_rs", lambda x: F.struct(x["_at"].alias("_at"), best(x).alias("_most")))).alias("_m")).select(lecture, "_m.*")
+
+
 def _in_blocks(numbered: DataFrame, lecture: str, kind: str) -> DataFrame:
     """(lecture, _at, _most) of rows (lecture, _at, _set): every row against all earlier ones, a pair of blocks in a task."""
     block = F.floor((F.col("_at") - 1) / NOVELTY_ROWS).cast("int").alias("_block")
@@ -156,11 +167,11 @@ def _by_index(numbered: DataFrame, lecture: str, kind: str, rare: int) -> DataFr
     return by_rare.unionByName(by_often).unionByName(nothing).groupBy(*key).agg(F.max("_most").alias("_most"))
 
 
-def within_lecture_novelty(rows: DataFrame, lecture: str, order: list[str], text: str, among: Column | None = None, block: int = NOVELTY_ROWS, rare: int = NOVELTY_RARE) -> DataFrame:
+def within_lecture_novelty(rows: DataFrame, lecture: str, order: list[str], text: str, among: Column | None = None, block: int = NOVELTY_ROWS, rare: int = NOVELTY_RARE, short: int = NOVELTY_SHORT) -> DataFrame:
     """W-01, J-03: ``novelty``: one less the greatest token overlap with any earlier row of the lecture; first: 1.
 
-    A lecture of at most ``block`` rows is compared in one task, over the lists of rows that hold a token. A
-    longer one goes by an index of rare tokens and by classes of rows that are alike in the frequent ones, so
+    A lecture of at most ``short`` rows is compared as an array, one of at most ``block`` rows in one task, over the lists of
+    rows that hold a token. A longer one goes by an index of rare tokens and by classes of rows that are alike in the frequent ones, so
     that a token which every row has makes no pairs. Rows outside ``among`` get a null novelty and count for no
     other row. Rows of equal order follow a hash of their text.
     """
@@ -169,11 +180,15 @@ def within_lecture_novelty(rows: DataFrame, lecture: str, order: list[str], text
     keyed = _numbered(rows.withColumn("_in", chosen), [lecture, "_in"], order, text, "_at").withColumn("_at", F.when(F.col("_in"), F.col("_at"))).drop("_in")
     numbered = keyed.where(F.col("_at").isNotNull()).select(lecture, "_at", tx.token_set(text).alias("_set"))
     sizes = numbered.groupBy(lecture).agg(F.max("_at").alias("_size"))
-    long = sizes.where(F.col("_size") > block).select(lecture)
-    if long.isEmpty():
-        most = _in_blocks(numbered, lecture, kind)
-    else:
-        most = _in_blocks(numbered.join(long, lecture, "left_anti"), lecture, kind).unionByName(_by_index(numbered.join(long, lecture, "left_semi"), lecture, kind, rare))
+    sized = written_once(numbered.join(sizes, lecture), "token-sets")
+    longest = sized.agg(F.max("_size")).first()[0] or 0
+    columns = lambda condition: sized.where(condition).select(lecture, "_at", "_set")
+    few = min(short, block)
+    most = _in_arrays(columns(F.col("_size") <= few), lecture)
+    if longest > few:
+        most = most.unionByName(_in_blocks(columns((F.col("_size") > few) & (F.col("_size") <= block)), lecture, kind))
+    if longest > block:
+        most = most.unionByName(_by_index(columns(F.col("_size") > block), lecture, kind, rare))
     return keyed.join(most, [lecture, "_at"], "left").withColumn("novelty", 1 - F.col("_most")).drop("_at", "_most")
 
 

@@ -9,7 +9,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from lectio.functions import statistics
+from lectio.functions import text as tx
 from lectio.operators import decisions, sequence
 
 
@@ -144,3 +147,23 @@ def test_a_moment_with_too_many_candidates_is_refused(spark):
     assert decisions.candidate_pairs(rows, "moment", "ordinal", "text", "writer").count() == 10
     with pytest.raises(Exception, match="more than 4 candidates"):
         decisions.candidate_pairs(rows, "moment", "ordinal", "text", "writer", most=4).collect()
+
+
+def test_novelty_of_short_lectures_is_compared_as_arrays(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "", "eps"]
+    rows = [(f"l{k}", float(t), " ".join(rng.choices(words, k=rng.randrange(4)))) for k in range(12) for t in range(1 + 3 * k)]
+    frame = spark.createDataFrame(rows, "lecture string, t double, text string")
+    found = lambda **how: {(r.lecture, r.t): r.novelty for r in sequence.within_lecture_novelty(frame, "lecture", ["t"], "text", **how).collect()}
+    in_tasks = found(short=0)
+    monkeypatch.setattr(sequence, "_most_overlap", None)
+    assert found(short=40) == in_tasks and len(in_tasks) == len(rows)
+
+
+def test_style_of_a_text_is_counted_once_and_white_space_is_unicode(spark):
+    rows = [("\u2003\x0b The slide shows you a clear image, which was neat. \u00a0\n",), ('"you were" is quoted',), ("",), (None,), ("\u200bNone",), ("\u3000None\x85",)]
+    frame = spark.createDataFrame(rows, "s string")
+    old = F.regexp_replace(F.coalesce("s", F.lit("")), r"(?U)^\s+|\s+$", "")
+    got = frame.select(F.struct(*(v.alias(k) for k, v in tx.style_violations("s").items())).alias("v"), tx.clean_description("s").alias("clean"), old.alias("old"), tx.is_unfilled("s").alias("gone")).collect()
+    assert got[0].v.second_person == 1 and got[0].v.meta_reference > 0 and got[1].v.second_person == got[1].v.past_tense == 0
+    assert all(r.clean == r.old for r in got) and [r.gone for r in got] == [False, False, True, True, False, True]
