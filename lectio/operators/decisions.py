@@ -152,16 +152,32 @@ def paired_difference(first: DataFrame, second: DataFrame, key: list[str], value
     return first.select(*key, F.col(value).alias("_x")).join(second.select(*key, F.col(value).alias("_y")), key).select(*key, (F.col("_x") - F.col("_y")).alias("difference"))
 
 
-def candidate_pairs(candidates: DataFrame, moment: str, ordinal: str, text: str, writer: str, most: int = 64) -> DataFrame:
-    """J-04: unordered pairs of one moment's candidates, of which there are a handful (the writers); a moment with more than ``most`` fails the query."""
+def _candidates(candidates: DataFrame, moment: str, ordinal: str, text: str, writer: str, most: int) -> DataFrame:
+    """(moment, cs): a moment's candidates (o, t, w) in order; one with more than ``most`` fails the query."""
     numbered = candidates.withColumn("_n", F.count("*").over(Window.partitionBy(moment)))
     fault = F.when(F.col("_n") > most, F.concat(F.lit("moment "), F.col(moment).cast("string"), F.lit(f" has more than {most} candidates")))
-    candidates = failing(numbered, fault)
-    one = candidates.groupBy(moment).agg(F.sort_array(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(text).alias("t"), F.col(writer).alias("w")))).alias("cs"))
+    known = failing(numbered, fault)
+    return known.groupBy(moment).agg(F.sort_array(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(text).alias("t"), F.col(writer).alias("w")))).alias("cs"))
+
+
+def candidate_pairs(candidates: DataFrame, moment: str, ordinal: str, text: str, writer: str, most: int = 64) -> DataFrame:
+    """J-04: unordered pairs of one moment's candidates, of which there are a handful (the writers); a moment with more than ``most`` fails the query."""
+    one = _candidates(candidates, moment, ordinal, text, writer, most)
     pairs = F.expr("flatten(transform(cs, (x, i) -> transform(slice(cs, i + 2, size(cs)), y -> struct(x AS first, y AS second))))")
     return one.select(moment, F.explode(pairs).alias("p")).select(moment, F.col("p.first.t").alias("a"), F.col("p.second.t").alias("b"), F.col("p.first.w").alias("a_writer"), F.col("p.second.w").alias("b_writer"), F.col("p.first.o").alias("a_ordinal"), F.col("p.second.o").alias("b_ordinal"))
 
 
+def compared_pairs(candidates: DataFrame, moment: str, ordinal: str, text: str, writer: str, compare, most: int = 64) -> DataFrame:
+    """J-04 with what ``compare`` says of each pair.
+
+    ``compare`` takes the array of a moment's texts and gives an array of structs with i < j, the places of a pair, and further fields.
+    """
+    one = _candidates(candidates, moment, ordinal, text, writer, most).where(F.size("cs") > 1)
+    met = one.withColumn("_x", compare(F.col("cs.t"))).select(moment, "cs", F.explode("_x").alias("_x")).select(moment, F.col("cs")[F.col("_x.i")].alias("f"), F.col("cs")[F.col("_x.j")].alias("s"), "_x.*").drop("i", "j")
+    more = [c for c in met.columns if c not in (moment, "f", "s")]
+    return met.select(moment, F.col("f.t").alias("a"), F.col("s.t").alias("b"), F.col("f.w").alias("a_writer"), F.col("s.w").alias("b_writer"), F.col("f.o").alias("a_ordinal"), F.col("s.o").alias("b_ordinal"), *more)
+
+
 def spread_pairs(pairs: DataFrame, moment: str, cap: int = 4, per_description: int = 2, minimum: float = 12.0) -> DataFrame:
     """K-01: per moment the pairs across writers first, then the furthest apart, within the caps (a recurrence)."""
 

@@ -86,6 +86,18 @@ def test_build_pairs_ranks_by_chrf(spark, tmp_path):
     assert got == expected and len(got) > 3
 
 
+def test_pairs_of_a_moment_are_compared_at_once(spark):
+    from lectio.functions.overlap import chrf_within
+    from lectio.operators import decisions
+
+    texts = ["the slope of a curve", None, "", "a curve has a slope", "the slope of a curve", "x"]
+    rows = spark.createDataFrame([("m", k, t, "ab"[k % 2]) for k, t in enumerate(texts)] + [("alone", 0, "one", "a")], "moment string, o int, t string, w string")
+    got = {(r.a_ordinal, r.b_ordinal): r for r in decisions.compared_pairs(rows, "moment", "o", "t", "w", chrf_within).collect()}
+    assert sorted(got) == list(itertools.combinations(range(6), 2))
+    for (i, j), r in got.items():
+        assert (r.a, r.b, r.forward, r.backward) == (texts[i], texts[j], chrf_score(texts[i], texts[j]), chrf_score(texts[j], texts[i]))
+
+
 def test_pair_violations_of_equal_and_empty_sides(spark, tmp_path):
     texts = ["one two three"] * 2 + ["", "one two three four"] + ["", "one"] + [None, "one two three four five"] + ["a b c d e f", "a"] + ["same", "same"] + [" ", ""] + ["x", "x y z w v"]
     rows = [(i + 1, text, "en", "s", len(text or "")) for i, text in enumerate(texts)]
