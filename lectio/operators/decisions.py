@@ -179,16 +179,14 @@ def compared_pairs(candidates: DataFrame, moment: str, ordinal: str, text: str,
 
 
 def spread_pairs(pairs: DataFrame, moment: str, cap: int = 4, per_description: int = 2, minimum: float = 12.0) -> DataFrame:
-    """K-01: per moment the pairs across writers first, then the furthest apart, within the caps (a recurrence)."""
-
-    def keep(frame):
-        frame = frame[frame["distance"] >= minimum].assign(_same=frame["a_writer"] == frame["b_writer"]).sort_values(["_same", "distance", "a_ordinal", "b_ordinal"], ascending=[True, False, True, True])
-        used: dict = {}
-        chosen = []
-        for i, (a, b) in enumerate(zip(frame["a"], frame["b"], strict=True)):
-            if len(chosen) < cap and used.get(a, 0) < per_description and used.get(b, 0) < per_description:
-                used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
-                chosen.append(i)
-        return frame.drop(columns="_same").iloc[chosen]
-
-    return pairs.groupBy(moment).applyInPandas(keep, pairs.schema)
+    """K-01: per moment the pairs across writers first, then the furthest apart, within the caps (a recurrence over the pairs in order)."""
+    same = F.coalesce(F.col("a_writer") == F.col("b_writer"), F.lit(False))
+    ranked = F.struct(same.alias("_same"), (-F.col("distance")).alias("_near"), "a_ordinal", "b_ordinal", F.struct(*pairs.columns).alias("_p"))
+    listed = pairs.where(F.col("distance") >= minimum).groupBy(moment).agg(F.transform(F.sort_array(F.collect_list(ranked)), lambda x: x["_p"]).alias("_ps"))
+
+    def keep(kept, x):
+        uses = lambda text: F.size(F.filter(kept, lambda k: k["a"].eqNullSafe(text) | k["b"].eqNullSafe(text)))
+        free = (F.size(kept) < cap) & (uses(x["a"]) < per_description) & (uses(x["b"]) < per_description)
+        return F.when(free, F.concat(kept, F.array(x))).otherwise(kept)
+
+    return listed.select(F.explode(F.aggregate("_ps", F.slice("_ps", 1, 0), keep)).alias("_p")).select("_p.*")
