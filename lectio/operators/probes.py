@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 CELL = 16
 HOT = 25.0
 LAYOUT_SHARE = 0.60
+#: Pairs of pictures that are unpacked at a time.
+PICTURES = 256
 
 
 def cell_deltas(first: bytes, second: bytes, width: int, cell: int = CELL) -> np.ndarray:
@@ -38,7 +40,7 @@ def frame_deltas(frames: DataFrame, lecture: str, time: str, picture: str, width
     kinds = dict(frames.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, PICTURES) for whole in batches for k in range(0, whole.num_rows, PICTURES)):
             found = [cell_deltas(a, b, width, cell).ravel() for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], [lecture, time, "deltas"])
 
