@@ -104,7 +104,8 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], parts: int | None =
     schema = StructType([rows.schema[c] for c in columns])
     source = {name: step.value if isinstance(step.value, str) else f"_v_{name}" for name, step in wanted.items()}
     named = rows.withColumns({f"_v_{name}": step.value for name, step in wanted.items() if isinstance(step.value, Column)})
-    dealt = named.withColumn("_seg", segment_of(columns, schema, cuts) if cuts else F.lit(0)).repartitionById(max(1, len(cuts) + 1), "_seg")
+    placed = named.withColumn("_seg", segment_of(columns, schema, cuts) if cuts else F.lit(0))
+    dealt = placed.repartitionById(max(1, len(cuts) + 1), "_seg")
     here = Window.partitionBy("_seg", *keys).orderBy(*order)
     before = here.rowsBetween(Window.unboundedPreceding, -1)
     local = {
@@ -146,7 +147,7 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], parts: int | None =
     cut_keys = list(dict.fromkeys(c[: len(keys)] for c in cuts))
     cut_groups = spark.createDataFrame(cut_keys, StructType([rows.schema[k] for k in keys])).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
     same = lambda prefix: [F.col(k).eqNullSafe(F.col(f"{prefix}{i}")) for i, k in enumerate(keys)]
-    sums = dealt.join(F.broadcast(cut_groups), same("_k"), "left_semi").groupBy("_seg", *keys).agg(*(total[step.kind](source[name]).alias(f"_t_{name}") for name, step in wanted.items()))
+    sums = placed.join(F.broadcast(cut_groups), same("_k"), "left_semi").groupBy("_seg", *keys).agg(*(total[step.kind](source[name]).alias(f"_t_{name}") for name, step in wanted.items()))
     carried = sums.select(F.col("_seg").alias("_s"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(carry[step.kind](f"_t_{name}").alias(f"_c_{name}") for name, step in wanted.items()))
     both = out.join(F.broadcast(carried), [F.col("_seg") == F.col("_s"), *same("_k")], "left")
     joined = {
