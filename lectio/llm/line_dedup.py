@@ -1,4 +1,7 @@
-"""Fuzzy line deduplication by MinHash: Arrow batches for the text, DataFrame functions for the rest."""
+"""Fuzzy line deduplication by MinHash, in DataFrame functions.
+
+``cut`` to ``close`` and ``line_stars`` are the same in numpy on Arrow batches: no query calls them, tests compare with them.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectio.llm import merges
-from lectio.llm.blocks import first_of_part, joined_in_groups, joined_labels, spread_labels, stars_of, whole_groups
+from lectio.llm.blocks import first_of_part, joined_labels, spread_labels, stars_of, whole_groups
 from lectio.llm.common import documents, small_or_shuffled, texts, unused, written
 from lectio.llm.components import connected_components
 
@@ -24,6 +27,21 @@ SHINGLE = 8
 MIN_SHINGLES = 4
 #: Bands, and minima in each: a pair of similarity s shares none with probability (1 - s**3)**8, 0.003 at 0.8.
 BANDS, ROWS = 8, 3
+#: A line goes by its shingles that begin with one of the first characters if these are FEWEST distinct ones or more and begin at
+#: one position in SPARSE or more, else of the second, else by those of every position; one of fewer than FEWEST + MORE, or at
+#: fewer than one in DENSER positions, goes by the next kind too.
+SAMPLED, FEWEST, MORE, SPARSE, DENSER = ("aou27", "aeiou02579"), 24, 6, 16, 12
+#: A sketch is the least hashes of a line's shingles. Its keys are three neighbours, from each place in a sketch of fewer than
+#: DENSE hashes, one in two in one of fewer than twice as many, else one in four: a pair of similarity s shares none of the last
+#: with a probability of about (1 - s**3 / 4)**42, 0.003 at 0.8. (That of the shingles that a line goes by varies about s.)
+SKETCH, DENSE = 44, 16
+#: White space but a newline, as ``str.split`` has it; characters among which all of it is, for a quick look.
+WHITE = r"[\t\x0b-\x0d\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+UNEVEN = r"[\x00-\x09\x0b-\x1f\x80-\xa0\u1680-\u3000]"
+#: Of two lines of similarity 0.8 about eight in nine of the sampled shingles are common; a pair with less than one in HOPELESS goes.
+HOPELESS = 4
+#: Lines of a large bucket that one task compares with others at once.
+BLOCK_LINES = 256
 #: In a bucket of at most so many lines all pairs are verified at once; in a larger one two stars come first, then blocks.
 ALL_PAIRS = 16
 #: Pairs that are verified at once: their number, and that of their lines, fits above the bits of a shingle's hash.
@@ -151,9 +169,62 @@ def cut(docs: DataFrame) -> DataFrame:
     return texts(docs).select("doc_id", "text", *row_key()).mapInArrow(_cut_batches, schema)
 
 
+def every(line: Column) -> Column:
+    """Hashes of the SHINGLE characters from each position, repeats included: of 4 bytes a character, so that none has to be searched for."""
+    starts = F.sequence(F.lit(1), 4 * (F.char_length(line) - SHINGLE) + 1, F.lit(4))
+    hashes = lambda b: F.transform(starts, lambda at: F.xxhash64(F.substring(b, at, 4 * SHINGLE)))
+    bound = F.get(F.transform(F.array(F.encode(line, "UTF-32")), hashes), F.lit(0))
+    return F.when(F.char_length(line) >= SHINGLE, bound).otherwise(F.array().cast("array<long>"))
+
+
+def beginning(line: Column, first: str) -> Column:
+    """Hashes of the SHINGLE characters from each position of one of the characters ``first``, repeats included."""
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=([{first}].{{{SHINGLE - 1}}}))"), F.lit(1))
+    return F.transform(found, lambda x: F.xxhash64(x))
+
+
+def _keys(sketch: Column) -> Column:
+    """Hashes of three neighbours in the sketch; of two as well where a line of five shingles may share no three with one of four."""
+    n = F.size(sketch)
+    at = lambda i: F.get(sketch, i)
+    key = lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2))
+    skipped = F.when(n < DENSE, 0).when(n < 2 * DENSE, 1).otherwise(3)
+    three = F.transform(F.filter(F.sequence(F.lit(0), n - 3), lambda i: at(i).bitwiseAND(skipped) == 0), key)
+    two = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.xxhash64(at(i), at(i + 1)))
+    return F.when(n < MIN_SHINGLES, F.array().cast("array<long>")).when(n > MIN_SHINGLES + 1, three).otherwise(F.concat(two, three))
+
+
+def sketched(lines: DataFrame) -> DataFrame:
+    """``lines`` with s0, s1, s2: the sketches by each kind of shingles, empty where another kind tells enough."""
+    none = F.array().cast("array<long>")
+    sketch = lambda c: F.slice(F.sort_array(c), 1, SKETCH)
+    length, more = F.char_length("line"), F.lit(True)
+    for kind, first in zip(("s0", "s1"), SAMPLED, strict=True):
+        lines = lines.withColumn("more", more).withColumn("found", F.when(F.col("more"), beginning(F.col("line"), first)))
+        lines = lines.withColumn("held", F.array_distinct("found"))
+        n, at = F.size("held"), F.size("found")
+        lines = lines.withColumn(kind, F.when((n >= FEWEST) & (SPARSE * at >= length), sketch(F.col("held"))).otherwise(none))
+        more = F.col("more") & ((n < FEWEST + MORE) | (DENSER * at < length))
+    return lines.withColumn("more", more).withColumn("s2", F.when(F.col("more"), sketch(F.array_distinct(every(F.col("line"))))).otherwise(none))
+
+
+def _even(low: Column) -> Column:
+    return F.when(low.contains("  ") | low.rlike(UNEVEN), F.regexp_replace(low, WHITE, " ")).otherwise(low)
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """(k1, k2, n, bands, places) of each line that isn't blank: a row for an occurrence, so n is 1. Other columns as of :func:`cut`."""
+    low = texts(docs).select("doc_id", *row_key(), F.lower("text").alias("low"))
+    even = low.withColumn("low", _even(F.col("low")))
+    raw = even.select("doc_id", "r1", "r2", F.posexplode(F.split("low", "\n")).alias("pos", "raw"))
+    lines = raw.select(F.trim("raw").alias("line"), F.array(F.struct("doc_id", "pos", "r1", "r2")).alias("places")).where("line != ''")
+    keyed = sketched(lines).select("line", "places", F.array_distinct(F.concat(*(_keys(F.col(kind)) for kind in ("s0", "s1", "s2")))).alias("bands"))
+    return keyed.select(F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), F.lit(1).cast("long").alias("n"), "bands", "places")
+
+
 def signatures(lines: DataFrame) -> DataFrame:
-    """(k1, n, bands, low, high): how often each key occurs, its band hashes, the range of its lines' k2."""
-    return lines.groupBy("k1").agg(F.sum("n").alias("n"), F.first("bands").alias("bands"), F.min("k2").alias("low"), F.max("k2").alias("high"))
+    """(k1, n, low, high): how often each key occurs, the range of its lines' k2."""
+    return lines.groupBy("k1").agg(F.sum("n").alias("n"), F.min("k2").alias("low"), F.max("k2").alias("high"))
 
 
 def told_apart(lines: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -169,19 +240,27 @@ def told_apart(lines: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFram
 # ---------------------------------------------------------------- similar lines
 
 
-def _members(signed: DataFrame) -> DataFrame:
-    """(band, k1, m, low, top): the lines of each bucket of two or more, with its size, smallest key and most frequent line.
+def _members(lines: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (k1, other) of the buckets of two or three lines, and (band, k1, m, low, top): the lines of each larger bucket.
 
-    Buckets are found by an aggregation that keeps one row per bucket and task.
+    m is the bucket's size, low its smallest key and top its most frequent line. The third key of three is what the exclusive or
+    of all leaves beside the smallest and the greatest. A line that occurs often is in a bucket once.
     """
-    exploded = signed.where("size(bands) > 0").select("k1", "n", F.explode("bands").alias("band"))
-    buckets = exploded.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low != high")
-    buckets = written(buckets.select("band"), "line-buckets")
-    members = exploded.join(small_or_shuffled(buckets), "band").groupBy("band", "k1").agg(F.sum("n").alias("n"))
-    members = written(members, "line-members")
-    heads = members.groupBy("band").agg(F.count("*").alias("m"), F.min("k1").alias("low"), F.max(F.struct("n", "k1")).alias("top"))
-    heads = written(heads.select("band", "m", "low", F.col("top.k1").alias("top")), "line-heads")
-    return written(members.join(heads.hint("merge"), "band").select("band", "k1", "m", "low", "top"), "line-dealt")
+    often = small_or_shuffled(written(signed.where("n > 1").select("k1", "n"), "line-often"))
+    repeated = lines.select("k1", "bands").join(often, "k1").groupBy("k1").agg(F.first("bands").alias("bands"), F.first("n").alias("n"))
+    repeated = written(repeated, "line-repeated")
+    once = lines.select("k1", "bands").join(often, "k1", "left_anti").withColumn("n", F.lit(1).cast("long"))
+    exploded = once.unionByName(repeated).select("k1", "n", F.explode("bands").alias("band"))
+    buckets = exploded.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.bit_xor("k1").alias("odd"), F.count("*").alias("m")).where("low != high")
+    buckets = written(buckets, "line-buckets")
+    third = F.col("odd").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))
+    few = [buckets.where("m <= 3").select(F.col("low").alias("k1"), F.col("high").alias("other"))]
+    few += [buckets.where("m = 3").select(F.col(end).alias("k1"), third.alias("other")) for end in ("low", "high")]
+    large = written(buckets.where("m > 3").select("band", "m", "low"), "line-large")
+    members = written(exploded.join(small_or_shuffled(large), "band").select("band", "k1", "n", "m", "low"), "line-members")
+    heads = members.where(f"m > {ALL_PAIRS}").groupBy("band").agg(F.max(F.struct("n", "k1")).alias("top"))
+    heads = written(heads.select("band", F.col("top.k1").alias("top")), "line-heads")
+    return few[0].union(few[1]).union(few[2]), members.join(small_or_shuffled(heads), "band", "left").select("band", "k1", "m", "low", "top")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -189,20 +268,36 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return both.select(F.least("k1", "other").alias("a"), F.greatest("k1", "other").alias("b")).distinct()
 
 
-def _candidates(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of keys a < b: all of a bucket of at most ALL_PAIRS lines, two stars of a larger one."""
+def _candidates(few: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys a < b: ``few``, all of a bucket of at most ALL_PAIRS lines, two stars of a larger one."""
     stars = members.where(f"m > {ALL_PAIRS}").select("k1", F.explode(F.array("low", "top")).alias("other"))
     lists = members.where(f"m <= {ALL_PAIRS}").groupBy("band").agg(F.sort_array(F.collect_list("k1")).alias("ks"))
     pairs = lists.select(F.explode(F.expr("flatten(transform(ks, (a, i) -> transform(slice(ks, i + 2, size(ks)), b -> struct(a AS k1, b AS other))))")).alias("p")).select("p.*")
-    return _ordered(stars.union(pairs))
+    return _ordered(few.union(stars).union(pairs))
 
 
-def _mixed(large: DataFrame, parts: DataFrame, sought: DataFrame) -> DataFrame:
-    """(group, node, part, line): the large buckets that hold lines of several components."""
-    named = written(large.join(parts.withColumnRenamed("node", "k1"), "k1", "left").select("band", "k1", F.coalesce("component", "k1").alias("part")), "line-named")
+def _mixed(large: DataFrame, parts: DataFrame) -> DataFrame:
+    """(group, node, part): the large buckets that hold lines of several components."""
+    named = written(large.join(parts.withColumnRenamed("node", "k1").hint("merge"), "k1", "left").select("band", "k1", F.coalesce("component", "k1").alias("part")), "line-named")
     several = written(named.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("band"), "line-several")
-    rows = named.join(small_or_shuffled(several), "band", "left_semi").join(sought.hint("merge"), "k1")
-    return written(rows.select(F.col("band").alias("group"), F.col("k1").alias("node"), "part", "line"), "line-mixed")
+    rows = named.join(small_or_shuffled(several), "band", "left_semi")
+    return written(rows.select(F.col("band").alias("group"), F.col("k1").alias("node"), "part"), "line-mixed")
+
+
+def _apart(mixed: DataFrame, sought: DataFrame) -> DataFrame:
+    """Pairs (a, b) of all lines of a group in different parts, but those whose numbers of shingles are too far apart.
+
+    One of the two is outside the group's largest part; it meets the group in blocks of about BLOCK_LINES, each in a task.
+    """
+    counted = written(mixed.groupBy("group", "part").agg(F.count("*").alias("n")), "line-counted")
+    main = counted.groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.ceil(F.sum("n") / BLOCK_LINES).alias("blocks"))
+    main = written(main, "line-main")
+    sized = written(mixed.join(sought.select(F.col("k1").alias("node"), "size").hint("merge"), "node"), "line-sized")
+    rows = sized.join(small_or_shuffled(main), "group")
+    all_of = rows.select("group", F.pmod(F.xxhash64("node"), "blocks").alias("block"), F.col("node").alias("k1"), F.col("part").alias("p"), F.col("size").alias("s"), (F.col("part") != F.col("main")).alias("asks"))
+    asking = rows.where("part != main").select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("node").alias("other"), "part", "size")
+    near = "p != part AND (NOT asks OR k1 < other) AND 5 * least(s, size) >= 4 * greatest(s, size)"
+    return _ordered(all_of.join(asking.hint("merge"), ["group", "block"]).where(near))
 
 
 def line_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,10 +332,16 @@ def line_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars_of(table, labels, spread_labels(labels, np.concatenate(i), np.concatenate(j)))
 
 
-def _sought(lines: DataFrame, members: DataFrame) -> DataFrame:
-    """(k1, line): the text of each line of a bucket."""
-    keys = written(members.select("k1").distinct(), "line-keys")
-    return written(lines.select("k1", "line").join(small_or_shuffled(keys), "k1", "left_semi").groupBy("k1").agg(F.first("line").alias("line")), "line-sought")
+def _sought(docs: DataFrame, lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """(k1, line, size, some): the text of each line of the written ``keys``, cut again at one of its places, with its number
+    of distinct shingles and the hashes of those that begin with one of the first characters of SAMPLED."""
+    one = lines.join(small_or_shuffled(keys), "k1", "left_semi").groupBy("k1").agg(F.min(F.get("places", F.lit(0))).alias("place"))
+    rows = written(one.groupBy("place.r1", "place.r2").agg(F.collect_list(F.struct("k1", "place.pos")).alias("held")), "line-held")
+    found = texts(docs).select(*row_key(), "text").join(small_or_shuffled(rows), ["r1", "r2"]).select(F.split("text", "\n").alias("raw"), "held")
+    found = found.select(F.explode(F.transform("held", lambda x: F.struct(x.k1.alias("k1"), F.get("raw", x.pos).alias("raw")))).alias("x"))
+    found = found.select("x.k1", F.trim(_even(F.lower("x.raw"))).alias("line")).groupBy("k1").agg(F.first("line").alias("line"))
+    sized = found.withColumn("size", F.size(F.array_distinct(every(F.col("line")))))
+    return written(sized.withColumn("some", F.array_distinct(beginning(F.col("line"), SAMPLED[0]))), "line-sought")
 
 
 def close(lines: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -281,28 +382,41 @@ def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _verified(sought: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
-    left = pairs.join(sought.withColumnsRenamed({"k1": "a", "line": "la"}), "a")
-    both = left.join(sought.withColumnsRenamed({"k1": "b", "line": "lb"}), "b")
-    return both.select("a", "b", "la", "lb").mapInArrow(_similar_batches, "u long, v long")
+    """(u, v): the pairs whose shingle sets have a Jaccard similarity of SIMILARITY or more.
 
-
-def _similar_parts(lines: DataFrame, signed: DataFrame) -> DataFrame:
+    Of sets of x and y that share c it is c / (x + y - c), so 0.8 means 9 c = 4 (x + y). Pairs that share less than one in
+    HOPELESS of the sampled shingles aren't looked at any further.
+    """
+    sizes = sought.select("k1", "size", "some")
+    fit = pairs.join(sizes.withColumnsRenamed({"k1": "a", "size": "x", "some": "p"}), "a").join(sizes.withColumnsRenamed({"k1": "b", "size": "y", "some": "q"}), "b")
+    fit = fit.where(f"least(x, y) >= {MIN_SHINGLES} AND 5 * least(x, y) >= 4 * greatest(x, y)")
+    fewest = F.least(F.size("p"), F.size("q"))
+    fit = written(fit.where((fewest < FEWEST) | (HOPELESS * F.size(F.array_intersect("p", "q")) >= fewest)).select("a", "b", "x", "y"), "line-fit")
+    texts_of = sought.select("k1", "line")
+    both = fit.join(texts_of.withColumnsRenamed({"k1": "a", "line": "la"}), "a").join(texts_of.withColumnsRenamed({"k1": "b", "line": "lb"}), "b")
+    common = F.size(F.array_intersect(every(F.col("la")), every(F.col("lb"))))
+    return both.where(9 * common >= 4 * (F.col("x") + F.col("y"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _similar_parts(docs: DataFrame, lines: DataFrame, signed: DataFrame) -> DataFrame:
     """(node, component) of the lines that resemble another.
 
     All lines of a small bucket are compared. Of a large one two stars join most lines at a linear cost; where
-    it still holds several components, its lines are compared in blocks, those outside its largest part with all others.
+    it still holds several components, its lines outside its largest one are compared with all others.
     """
-    members = _members(signed)
-    sought = _sought(lines, members)
-    edges = written(_verified(sought, written(_candidates(members), "line-pairs")), "line-similar")
+    few, members = _members(lines, signed)
+    pairs = written(_candidates(few, members), "line-pairs")
+    large = written(members.where(f"m > {ALL_PAIRS}").select("band", "k1"), "line-crowded")
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("k1")).union(large.select("k1")).distinct()
+    sought = _sought(docs, lines, written(keys, "line-keys"))
+    edges = written(_verified(sought, pairs), "line-similar")
     parts = written(connected_components(edges), "line-parts")
-    mixed = _mixed(members.where(f"m > {ALL_PAIRS}").select("band", "k1"), parts, sought)
+    mixed = _mixed(large, parts)
     if mixed.isEmpty():
         return parts
-    more = joined_in_groups(mixed, "line", F.char_length("line"), line_stars, "line-blocks")
+    more = _verified(sought, written(_apart(mixed, sought), "line-apart"))
     known = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    return written(connected_components(known.union(more.select(F.col("node").alias("u"), F.col("component").alias("v")))), "line-parts")
+    return written(connected_components(written(known.union(more), "line-joined")), "line-parts")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -310,10 +424,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
     Of each component of equal or similar lines the occurrence with the smallest (doc_id, pos) stays.
     """
-    lines = written(cut(docs), "line-cut")
+    lines = written(placed(docs), "line-cut")
     lines, signed = told_apart(lines, written(signatures(lines), "line-signatures"))
     often = signed.where("n > 1").select(F.col("k1").alias("k"))
-    parts = _similar_parts(lines, signed)
+    parts = _similar_parts(docs, lines, signed)
     alone = often.join(parts, often.k == parts.node, "left_anti").select(F.col("k").alias("k1"), F.col("k").alias("g"))
     flagged = written(parts.select(F.col("node").alias("k1"), F.col("component").alias("g")).union(alone).distinct(), "line-flagged")
     places = written(lines.select("k1", "places").join(small_or_shuffled(flagged), "k1").select("g", "places", F.array_min("places").alias("least")), "line-places")
