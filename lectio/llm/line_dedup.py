@@ -40,6 +40,8 @@ WHITE = r"[\t\x0b-\x0d\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u2
 UNEVEN = r"[\x00-\x09\x0b-\x1f\x80-\xa0\u1680-\u3000]"
 #: Of two lines of similarity 0.8 about eight in nine of the sampled shingles are common; a pair with less than one in HOPELESS goes.
 HOPELESS = 4
+#: The sets of lines of which each is in so many pairs go to all tasks, if they hold so many hashes (of 8 bytes) at most.
+REPEATED, HELD = 4, 6_000_000
 #: Lines of a large bucket that one task compares with others at once.
 BLOCK_LINES = 256
 #: In a bucket of at most so many lines all pairs are verified at once; in a larger one two stars come first, then blocks.
@@ -381,20 +383,33 @@ def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], ["u", "v"])
 
 
+def _fit(sought: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b), with the sizes x and y of their sets, whose sizes and sampled shingles don't rule out that they are similar."""
+    sizes = sought.select("k1", "size", "some")
+    fit = pairs.join(sizes.withColumnsRenamed({"k1": "a", "size": "x", "some": "p"}), "a").join(sizes.withColumnsRenamed({"k1": "b", "size": "y", "some": "q"}), "b")
+    fit = fit.where(f"least(x, y) >= {MIN_SHINGLES} AND 5 * least(x, y) >= 4 * greatest(x, y)")
+    fewest = F.least(F.size("p"), F.size("q"))
+    return written(fit.where((fewest < FEWEST) | (HOPELESS * F.size(F.array_intersect("p", "q")) >= fewest)).select("a", "b", "x", "y"), "line-fit")
+
+
 def _verified(sought: DataFrame, pairs: DataFrame) -> DataFrame:
     """(u, v): the pairs whose shingle sets have a Jaccard similarity of SIMILARITY or more.
 
     Of sets of x and y that share c it is c / (x + y - c), so 0.8 means 9 c = 4 (x + y). Pairs that share less than one in
-    HOPELESS of the sampled shingles aren't looked at any further.
+    HOPELESS of the sampled shingles aren't looked at any further. Where there are many pairs of few lines, as of one large
+    bucket, the lines' sets are made once and go to all tasks; else each pair makes its two from the texts.
     """
-    sizes = sought.select("k1", "size", "some")
-    fit = pairs.join(sizes.withColumnsRenamed({"k1": "a", "size": "x", "some": "p"}), "a").join(sizes.withColumnsRenamed({"k1": "b", "size": "y", "some": "q"}), "b")
-    fit = fit.where(f"least(x, y) >= {MIN_SHINGLES} AND 5 * least(x, y) >= 4 * greatest(x, y)")
-    fewest = F.least(F.size("p"), F.size("q"))
-    fit = written(fit.where((fewest < FEWEST) | (HOPELESS * F.size(F.array_intersect("p", "q")) >= fewest)).select("a", "b", "x", "y"), "line-fit")
-    texts_of = sought.select("k1", "line")
-    both = fit.join(texts_of.withColumnsRenamed({"k1": "a", "line": "la"}), "a").join(texts_of.withColumnsRenamed({"k1": "b", "line": "lb"}), "b")
-    common = F.size(F.array_intersect(every(F.col("la")), every(F.col("lb"))))
+    fit = _fit(sought, pairs)
+    keys = written(fit.select(F.explode(F.array("a", "b")).alias("k1")).distinct(), "line-met")
+    met = written(sought.join(small_or_shuffled(keys), "k1", "left_semi"), "line-met")
+    if fit.count() > met.count() * REPEATED and (met.agg(F.sum("size")).first()[0] or 0) <= HELD:
+        sets = F.broadcast(written(met.select("k1", F.array_distinct(every(F.col("line"))).alias("set")), "line-sets"))
+        both = fit.join(sets.withColumnsRenamed({"k1": "a", "set": "p"}), "a").join(sets.withColumnsRenamed({"k1": "b", "set": "q"}), "b")
+        common = F.size(F.array_intersect("p", "q"))
+    else:
+        lines = met.select("k1", "line")
+        both = fit.join(lines.withColumnsRenamed({"k1": "a", "line": "la"}), "a").join(lines.withColumnsRenamed({"k1": "b", "line": "lb"}), "b")
+        common = F.size(F.array_intersect(every(F.col("la")), every(F.col("lb"))))
     return both.where(9 * common >= 4 * (F.col("x") + F.col("y"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
