@@ -190,3 +190,68 @@ def test_shingles_start_at_every_character(spark):
     gone = slow(rows)
     assert {i for i, _ in gone if i < 100} == {4, 8, 11, 12}
     assert got == {i: "\n".join(x for pos, x in enumerate(t.split("\n")) if (i, pos) not in gone) for i, t in rows}
+
+
+def test_no_step_runs_python(spark, monkeypatch):
+    """Every table on the way is DataFrame functions; lines of one bucket that are apart are verified too, from texts and from sets made once."""
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    base = words(20)
+    rows = []
+    for i in range(60):
+        line = list(base)
+        for k in rng.sample(range(20), 3):
+            line[k] = words(1)[0]
+        rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(line)[:-1] + "#")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plans, labels = [], []
+
+    def recorded(df, label, stays=False, write=line_dedup.written):
+        plans.append(df._jdf.queryExecution().toString())
+        labels.append(label)
+        return write(df, label, stays)
+
+    monkeypatch.setattr(line_dedup, "written", recorded)
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", 16)
+    for repeated, held in ((0, 1 << 30), (1 << 30, 0)):
+        monkeypatch.setattr(line_dedup, "REPEATED", repeated)
+        monkeypatch.setattr(line_dedup, "HELD", held)
+        labels.clear()
+        got = {r.doc_id for r in line_dedup.dedup_lines(docs).collect() if r.n_dropped}
+        assert got == {i for i, _ in slow(rows)}
+        assert "line-apart" in labels and ("line-sets" in labels) == (held > 0)
+    assert not [p for p in plans if re.search("Python|Pandas|Arrow", p)]
+
+
+def test_every_position_of_any_text(spark):
+    lines = ["", "short", "exactly8", "a" * 30, "éèê" * 9, "\U0001f600 emoji \U0001f601\U0001f602 \U0001f600 emoji \U0001f601", "漢字かな交じり文の一行です。", "x1 " * 500]
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    first = "".join(line_dedup.SAMPLED[1])
+    sizes = {r.i: (r.n, r.m) for r in rows.selectExpr("i", "line").select("i", line_dedup.F.size(line_dedup.F.array_distinct(line_dedup.every(line_dedup.F.col("line")))).alias("n"), line_dedup.F.size(line_dedup.F.array_distinct(line_dedup.beginning(line_dedup.F.col("line"), first))).alias("m")).collect()}
+    for i, line in enumerate(lines):
+        full = {s for s in shingle_set(line) if len(s) == line_dedup.SHINGLE}
+        assert sizes[i] == (len(full), sum(s[0] in first for s in full))
+
+
+def test_similar_lines_share_a_key(spark):
+    """Lines of any length and kind of characters, at similarities of 0.8 and more, and a line with its own repetition."""
+    rng = random.Random(3)
+    pairs = []
+    while len(pairs) < 1500:
+        alphabet = rng.choice(["abcdefghijklmnopqrstuvwxyz     ", "0123456789abcdef ", "etaoin shrdlu ", "漢字仮名交文一行表示試験用"])
+        line = "".join(rng.choice(alphabet) for _ in range(rng.randint(12, 600))).strip() or "x"
+        other = line
+        for _ in range(rng.randint(1, 1 + len(line) // 70)):
+            k = rng.randrange(len(other))
+            other = other[:k] + "#" * rng.randrange(3) + other[k + rng.randrange(3) :]
+        a, b = shingle_set(line), shingle_set(other)
+        if line != other and min(len(a), len(b)) >= 4 and len(a & b) >= 0.8 * len(a | b):
+            pairs.append((line, other))
+    pairs += [(x, " ".join([x] * 10)) for x, _ in pairs if len(x) > 150][:100]
+    rows = [(2 * i + k, " ".join(line.split())) for i, pair in enumerate(pairs) for k, line in enumerate(pair)]
+    placed = line_dedup.placed(spark.createDataFrame(rows, "doc_id long, text string"))
+    keys = {r.i: set(r.bands) for r in placed.selectExpr("places[0].doc_id AS i", "bands").collect()}
+    assert all(len(k) <= 2 * line_dedup.SKETCH for k in keys.values())
+    lost = [pair for i, pair in enumerate(pairs) if not keys[2 * i] & keys[2 * i + 1]]
+    print("lost", len(lost), "of", len(pairs), [len(a) for a, _ in lost])
+    assert len(lost) <= 0.005 * len(pairs)
