@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,12 +54,20 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def _handed_up(table: DataFrame) -> DataFrame:
+    """Leave a table that the innermost scope wrote to the one around it, if there is one."""
+    _open_scopes[-1] = [x for x in _open_scopes[-1] if x is not table]
+    if len(_open_scopes) > 1:
+        _open_scopes[-2].append(table)
+    return table
+
+
 @contextmanager
-def scope() -> Iterator[None]:
-    """Discard at the end what was written inside: for callers that have stored the result."""
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Discard at the end what was written inside, but the tables that the function it gives was called with."""
     _open_scopes.append([])
     try:
-        yield
+        yield _handed_up
     finally:
         discard(*_open_scopes.pop())
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lectio.llm import merges
 from lectio.llm.blocks import first_of_part, joined_labels, spread_labels, stars_of, whole_groups
-from lectio.llm.common import documents, small_or_shuffled, texts, unused, written
+from lectio.llm.common import documents, scope, small_or_shuffled, texts, unused, written
 from lectio.llm.components import connected_components
 
 SIMILARITY = 0.8
@@ -38,13 +38,11 @@ SKETCH, DENSE = 44, 16
 #: White space but a newline, as ``str.split`` has it; characters among which all of it is, for a quick look.
 WHITE = r"[\t\x0b-\x0d\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 UNEVEN = r"[\x00-\x09\x0b-\x1f\x80-\xa0\u1680-\u3000]"
-#: Of two lines of similarity 0.8 about eight in nine of the sampled shingles are common; a pair with less than one in HOPELESS goes.
-HOPELESS = 4
 #: The sets of lines of which each is in so many pairs go to all tasks, if they hold so many hashes (of 8 bytes) at most.
 REPEATED, HELD = 4, 6_000_000
-#: Lines of a large bucket that one task compares with others at once.
-BLOCK_LINES = 256
-#: In a bucket of at most so many lines all pairs are verified at once; in a larger one two stars come first, then blocks.
+#: Lines of a family, about, whose shingles are counted, to tell which of them are rare there.
+BLOCK_LINES = 512
+#: In a bucket of at most so many lines all pairs are verified at once; in a larger one two stars come first, then rare shingles.
 ALL_PAIRS = 16
 #: Pairs that are verified at once: their number, and that of their lines, fits above the bits of a shingle's hash.
 PAIRS, HASH_BITS = 512, np.uint64(54)
@@ -190,8 +188,9 @@ def _keys(sketch: Column) -> Column:
     n = F.size(sketch)
     at = lambda i: F.get(sketch, i)
     key = lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2))
-    skipped = F.when(n < DENSE, 0).when(n < 2 * DENSE, 1).otherwise(3)
-    three = F.transform(F.filter(F.sequence(F.lit(0), n - 3), lambda i: at(i).bitwiseAND(skipped) == 0), key)
+    all_of = F.sequence(F.lit(0), n - 3)
+    some = lambda skipped: F.filter(all_of, lambda i: at(i).bitwiseAND(skipped) == 0)
+    three = F.transform(F.when(n < DENSE, all_of).when(n < 2 * DENSE, some(F.lit(1))).otherwise(some(F.lit(3))), key)
     two = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.xxhash64(at(i), at(i + 1)))
     return F.when(n < MIN_SHINGLES, F.array().cast("array<long>")).when(n > MIN_SHINGLES + 1, three).otherwise(F.concat(two, three))
 
@@ -286,20 +285,47 @@ def _mixed(large: DataFrame, parts: DataFrame) -> DataFrame:
     return written(rows.select(F.col("band").alias("group"), F.col("k1").alias("node"), "part"), "line-mixed")
 
 
+def _families(mixed: DataFrame) -> DataFrame:
+    """(group, node, part): the lines of all buckets that have the same largest part, once; that part names the group."""
+    counted = mixed.groupBy("group", "part").agg(F.count("*").alias("n"))
+    main = written(counted.groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("main")), "line-main")
+    return mixed.join(small_or_shuffled(main), "group").select(F.col("main").alias("group"), "node", "part").distinct()
+
+
+def _common(lines: DataFrame) -> DataFrame:
+    """(group, common): the shingles that two or more of about BLOCK_LINES lines of a group have, the most frequent last.
+
+    They only say in which order shingles are looked at: any order gives the same pairs, that of their frequency the fewest tries.
+    """
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = written(lines.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_LINES).alias("nth")), "line-families")
+    some = lines.join(small_or_shuffled(sizes), "group").where(F.pmod(F.xxhash64("node", F.lit(2)), "nth") == 0)
+    held = some.select("group", "line").repartition(tasks, "group").select("group", F.explode(F.array_distinct(every(F.col("line")))).alias("shingle"))
+    counted = held.groupBy("group", "shingle").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = counted.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("common"))
+    return written(ordered.select("group", F.col("common.shingle").alias("common")), "line-common")
+
+
 def _apart(mixed: DataFrame, sought: DataFrame) -> DataFrame:
-    """Pairs (a, b) of all lines of a group in different parts, but those whose numbers of shingles are too far apart.
+    """Pairs (a, b) of lines of different parts, one of them outside the group's largest, that may be similar.
 
-    One of the two is outside the group's largest part; it meets the group in blocks of about BLOCK_LINES, each in a task.
+    Two sets of x and y shingles that share c or more, in whatever order, have one in common among the first x - c + 1 of the one
+    and y - c + 1 of the other. Rare shingles come first here, and similar lines share 4 (x + y) / 9 or more: lines that share what
+    all lines of their family have, and no rare shingle, never meet. No pair of a similarity of SIMILARITY or more is lost.
     """
-    counted = written(mixed.groupBy("group", "part").agg(F.count("*").alias("n")), "line-counted")
-    main = counted.groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.ceil(F.sum("n") / BLOCK_LINES).alias("blocks"))
-    main = written(main, "line-main")
-    sized = written(mixed.join(sought.select(F.col("k1").alias("node"), "size").hint("merge"), "node"), "line-sized")
-    rows = sized.join(small_or_shuffled(main), "group")
-    all_of = rows.select("group", F.pmod(F.xxhash64("node"), "blocks").alias("block"), F.col("node").alias("k1"), F.col("part").alias("p"), F.col("size").alias("s"), (F.col("part") != F.col("main")).alias("asks"))
-    asking = rows.where("part != main").select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("node").alias("other"), "part", "size")
-    near = "p != part AND (NOT asks OR k1 < other) AND 5 * least(s, size) >= 4 * greatest(s, size)"
-    return _ordered(all_of.join(asking.hint("merge"), ["group", "block"]).where(near))
+    texts_of = sought.where(f"size >= {MIN_SHINGLES}").select(F.col("k1").alias("node"), "size", "line")
+    lines = written(written(_families(mixed), "line-family").join(texts_of.hint("merge"), "node"), "line-sized")
+    rows = lines.join(_common(lines).hint("merge"), "group", "left").select("group", "node", "part", "size", "common", F.array_distinct(every(F.col("line"))).alias("set"))
+    rare, frequent = F.array_except("set", F.coalesce("common", F.array().cast("array<long>"))), F.array_intersect("common", "set")
+    first = F.slice(F.concat(F.sort_array(rare), F.coalesce(frequent, F.array().cast("array<long>"))), 1, F.col("size") - F.expr("(4 * size + 4) div 5").cast("int") + 1)
+    rows = rows.select("group", "node", "part", "size", F.posexplode(first).alias("at", "shingle"))
+    rows = written(rows.select(F.xxhash64("group", "shingle").alias("key"), F.col("node").alias("k1"), F.col("part").alias("p"), F.col("size").alias("s"), "at", (F.col("part") != F.col("group")).alias("asks")), "line-rare")
+    several = written(rows.groupBy("key").agg(F.min("p").alias("low"), F.max("p").alias("high")).where("low != high").select("key"), "line-several")
+    rows = written(rows.join(small_or_shuffled(several), "key", "left_semi"), "line-rare")
+    asking = rows.where("asks").select("key", F.col("k1").alias("other"), F.col("p").alias("q"), F.col("s").alias("z"), F.col("at").alias("to"))
+    share = "(4 * (s + z) + 8) div 9"
+    near = f"p != q AND (NOT asks OR k1 < other) AND at <= s - {share} AND to <= z - {share}"
+    return _ordered(rows.hint("merge").join(asking, "key").where(near))
 
 
 def line_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,15 +361,13 @@ def line_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sought(docs: DataFrame, lines: DataFrame, keys: DataFrame) -> DataFrame:
-    """(k1, line, size, some): the text of each line of the written ``keys``, cut again at one of its places, with its number
-    of distinct shingles and the hashes of those that begin with one of the first characters of SAMPLED."""
+    """(k1, line, size): the text of each line of the written ``keys``, cut again at one of its places, and its number of distinct shingles."""
     one = lines.join(small_or_shuffled(keys), "k1", "left_semi").groupBy("k1").agg(F.min(F.get("places", F.lit(0))).alias("place"))
     rows = written(one.groupBy("place.r1", "place.r2").agg(F.collect_list(F.struct("k1", "place.pos")).alias("held")), "line-held")
     found = texts(docs).select(*row_key(), "text").join(small_or_shuffled(rows), ["r1", "r2"]).select(F.split("text", "\n").alias("raw"), "held")
     found = found.select(F.explode(F.transform("held", lambda x: F.struct(x.k1.alias("k1"), F.get("raw", x.pos).alias("raw")))).alias("x"))
     found = found.select("x.k1", F.trim(_even(F.lower("x.raw"))).alias("line")).groupBy("k1").agg(F.first("line").alias("line"))
-    sized = found.withColumn("size", F.size(F.array_distinct(every(F.col("line")))))
-    return written(sized.withColumn("some", F.array_distinct(beginning(F.col("line"), SAMPLED[0]))), "line-sought")
+    return written(found.withColumn("size", F.size(F.array_distinct(every(F.col("line"))))), "line-sought")
 
 
 def close(lines: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -384,30 +408,29 @@ def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _fit(sought: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b), with the sizes x and y of their sets, whose sizes and sampled shingles don't rule out that they are similar."""
-    sizes = sought.select("k1", "size", "some")
-    fit = pairs.join(sizes.withColumnsRenamed({"k1": "a", "size": "x", "some": "p"}), "a").join(sizes.withColumnsRenamed({"k1": "b", "size": "y", "some": "q"}), "b")
-    fit = fit.where(f"least(x, y) >= {MIN_SHINGLES} AND 5 * least(x, y) >= 4 * greatest(x, y)")
-    fewest = F.least(F.size("p"), F.size("q"))
-    return written(fit.where((fewest < FEWEST) | (HOPELESS * F.size(F.array_intersect("p", "q")) >= fewest)).select("a", "b", "x", "y"), "line-fit")
+    """The pairs (a, b), with the sizes x and y of their sets, whose sizes don't rule out that they are similar."""
+    sizes = sought.select("k1", "size")
+    fit = pairs.join(sizes.withColumnsRenamed({"k1": "a", "size": "x"}), "a").join(sizes.withColumnsRenamed({"k1": "b", "size": "y"}), "b")
+    return written(fit.where(f"least(x, y) >= {MIN_SHINGLES} AND 5 * least(x, y) >= 4 * greatest(x, y)").select("a", "b", "x", "y"), "line-fit")
 
 
 def _verified(sought: DataFrame, pairs: DataFrame) -> DataFrame:
     """(u, v): the pairs whose shingle sets have a Jaccard similarity of SIMILARITY or more.
 
-    Of sets of x and y that share c it is c / (x + y - c), so 0.8 means 9 c = 4 (x + y). Pairs that share less than one in
-    HOPELESS of the sampled shingles aren't looked at any further. Where there are many pairs of few lines, as of one large
+    Of sets of x and y that share c it is c / (x + y - c), so 0.8 means 9 c = 4 (x + y). Where there are many pairs of few lines, as of one large
     bucket, the lines' sets are made once and go to all tasks; else each pair makes its two from the texts.
     """
     fit = _fit(sought, pairs)
     keys = written(fit.select(F.explode(F.array("a", "b")).alias("k1")).distinct(), "line-met")
-    met = written(sought.join(small_or_shuffled(keys), "k1", "left_semi"), "line-met")
-    if fit.count() > met.count() * REPEATED and (met.agg(F.sum("size")).first()[0] or 0) <= HELD:
+    met, held = sought.join(small_or_shuffled(keys), "k1", "left_semi"), None
+    if fit.count() > keys.count() * REPEATED:
+        held = met.agg(F.sum("size")).first()[0]
+    if held is not None and held <= HELD:
         sets = F.broadcast(written(met.select("k1", F.array_distinct(every(F.col("line"))).alias("set")), "line-sets"))
         both = fit.join(sets.withColumnsRenamed({"k1": "a", "set": "p"}), "a").join(sets.withColumnsRenamed({"k1": "b", "set": "q"}), "b")
         common = F.size(F.array_intersect("p", "q"))
     else:
-        lines = met.select("k1", "line")
+        lines = sought.select("k1", "line")
         both = fit.join(lines.withColumnsRenamed({"k1": "a", "line": "la"}), "a").join(lines.withColumnsRenamed({"k1": "b", "line": "lb"}), "b")
         common = F.size(F.array_intersect(every(F.col("la")), every(F.col("lb"))))
     return both.where(9 * common >= 4 * (F.col("x") + F.col("y"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -417,11 +440,12 @@ def _similar_parts(docs: DataFrame, lines: DataFrame, signed: DataFrame) -> Data
     """(node, component) of the lines that resemble another.
 
     All lines of a small bucket are compared. Of a large one two stars join most lines at a linear cost; where
-    it still holds several components, its lines outside its largest one are compared with all others.
+    it still holds several components, its lines outside its largest one are compared with those that share a rare shingle.
     """
-    few, members = _members(lines, signed)
-    pairs = written(_candidates(few, members), "line-pairs")
-    large = written(members.where(f"m > {ALL_PAIRS}").select("band", "k1"), "line-crowded")
+    with scope() as keep:
+        few, members = _members(lines, signed)
+        pairs = keep(written(_candidates(few, members), "line-pairs"))
+        large = keep(written(members.where(f"m > {ALL_PAIRS}").select("band", "k1"), "line-crowded"))
     keys = pairs.select(F.explode(F.array("a", "b")).alias("k1")).union(large.select("k1")).distinct()
     sought = _sought(docs, lines, written(keys, "line-keys"))
     edges = written(_verified(sought, pairs), "line-similar")
@@ -464,7 +488,8 @@ def dedup_lines(docs: DataFrame, broadcast_rows: int = 200_000, counts: tuple[st
 
     The drop lists go to all tasks if at most ``broadcast_rows`` documents have one, else by a join.
     """
-    drops = written(dropped_lines(docs), "line-drops")
+    with scope() as keep:
+        drops = keep(written(dropped_lines(docs), "line-drops"))
     r1, r2, drop = unused(docs, "r1", "r2", "drop")
     keyed = docs.select("*", *(c.alias(name) for c, name in zip(row_key(), (r1, r2), strict=True)))
     joined = keyed.join(small_or_shuffled(drops.withColumnsRenamed({"r1": r1, "r2": r2, "drop": drop}), broadcast_rows), [r1, r2], "left")

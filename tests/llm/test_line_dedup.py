@@ -255,3 +255,54 @@ def test_similar_lines_share_a_key(spark):
     lost = [pair for i, pair in enumerate(pairs) if not keys[2 * i] & keys[2 * i + 1]]
     print("lost", len(lost), "of", len(pairs), [len(a) for a, _ in lost])
     assert len(lost) <= 0.005 * len(pairs)
+
+
+def family(lines, words, seed):
+    """Lines of a family, in each of which so many other words stand for those of the first: a few are similar, most are just not."""
+    rng = random.Random(seed)
+    other = lambda: "".join(rng.choice("abcdefghijou") for _ in range(7))
+    base = [other() for _ in range(40)]
+    rows = []
+    for i in range(lines):
+        line = list(base)
+        for k in rng.sample(range(40), rng.randint(*words)):
+            line[k] = other()
+        rows.append((i, " ".join(line)))
+    return rows
+
+
+def test_a_family_is_not_compared_line_by_line(spark, monkeypatch):
+    """Lines that share only what all lines of their family have aren't paired, whatever shingles are counted, and no pair is lost."""
+    rows = family(160, (0, 7), 5)
+    rows += [(i + 1000, line[:-1] + "#") for i, line in rows[::9]]
+    tried = []
+
+    def recorded(df, label, stays=False, write=line_dedup.written):
+        out = write(df, label, stays)
+        if label == "line-apart":
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", recorded)
+    expected = {i for i, _ in slow(rows)}
+    for counted in (1 << 20, 40, 1):
+        monkeypatch.setattr(line_dedup, "BLOCK_LINES", counted)
+        got = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_dropped}
+        assert got == expected and 20 < len(got) < len(rows)
+    assert len(tried) == 3 and tried[0] < len(rows)
+
+
+def test_tables_on_the_way_go(spark, monkeypatch):
+    left = {}
+
+    def recorded(df, label, stays=False, write=line_dedup.written):
+        out = write(df, label, stays)
+        left[out.written_to] = label
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", recorded)
+    rows = family(60, (0, 7), 6)
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    exists = lambda path: spark._jvm.java.io.File(path.removeprefix("file:").replace("//", "/")).exists()
+    assert "line-cut" in left.values() and [label for path, label in left.items() if exists(path)] == ["line-drops"]
+    assert {r.doc_id for r in out.collect() if r.n_dropped} == {i for i, _ in slow(rows)}
